@@ -80,3 +80,234 @@ def q_profile_table(spark, sf_dir):
 @register("profile_events_columns", _profile_columns_sql("SELECT * FROM events", EVENTS_TYPES))
 def q_profile_events_columns(spark, sf_dir):
     return prof.profile_columns(table(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------------------
+# D1, A13 exact duplicates; A8, T1, W1 frequencies and ranks
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from dqspark.operators import dedup  # noqa: E402
+from dqspark.operators import repair as rep  # noqa: E402
+from dqspark.functions import scalar  # noqa: E402
+
+
+def exact_counts(df: DataFrame) -> DataFrame:
+    """One row: rows, distinct rows (missing equals missing), rows removed."""
+    return (df.agg(F.count(F.lit(1)).alias("raw_count"),
+                   F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("clean_count"))
+            .withColumn("removed", F.col("raw_count") - F.col("clean_count")))
+
+
+@register("exact_dedup", "SELECT DISTINCT text, lang FROM documents")
+def q_exact_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("text", "lang").dropDuplicates()
+
+
+@register("exact_removed", """
+    SELECT count(*) AS raw_count, (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS clean_count,
+           count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS removed
+    FROM documents""")
+def q_exact_removed(spark, sf_dir):
+    return exact_counts(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@register("exact_dedup_orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def q_exact_dedup_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").dropDuplicates()
+
+
+@register("value_frequency", """
+    SELECT CAST(p_name AS VARCHAR) AS value, count(*) AS count FROM part
+    WHERE p_name IS NOT NULL GROUP BY 1""")
+def q_value_frequency(spark, sf_dir):
+    return dedup.value_frequencies(table(spark, sf_dir, "part"), "p_name")
+
+
+@register("top_values", """
+    SELECT value, count, row_number() OVER (ORDER BY count DESC, value) AS rank FROM (
+      SELECT text AS value, count(*) AS count FROM documents WHERE text IS NOT NULL
+      GROUP BY 1 ORDER BY count DESC, value LIMIT 2000)""")
+def q_top_values(spark, sf_dir):
+    return dedup.top_values(dedup.value_frequencies(table(spark, sf_dir, "documents"), "text"), 2000)
+
+
+# ---------------------------------------------------------------------------
+# D2, J1, D3-D5 near duplicates on part.p_name
+
+def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k: int = 2000) -> str:
+    """Nodes, LCS by a row-fold recursion, edges, and the greedy walk over ranks."""
+    return f"""
+    WITH RECURSIVE
+    nodes AS (
+      SELECT value, cnt, row_number() OVER (ORDER BY cnt DESC, value) AS rank FROM (
+        SELECT CAST({column} AS VARCHAR) AS value, count(*) AS cnt FROM {source}
+        WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, value LIMIT {k})),
+    pairs AS (
+      SELECT a.rank AS rank_i, b.rank AS rank_j, a.value AS va, b.value AS vb
+      FROM nodes a JOIN nodes b ON a.rank < b.rank),
+    dp(rank_i, rank_j, va, vb, k, r) AS (
+      SELECT rank_i, rank_j, va, vb, 0, list_transform(range(length(va) + 1), lambda x: 0) FROM pairs
+      UNION ALL
+      SELECT rank_i, rank_j, va, vb, k + 1,
+             list_reduce(range(1, length(va) + 1),
+                lambda acc, j: list_append(acc, CASE WHEN substr(va, j::INTEGER, 1) = substr(vb, k + 1, 1)
+                                                THEN r[j] + 1 ELSE greatest(r[j + 1], acc[j]) END), [0])
+      FROM dp WHERE k < length(vb)),
+    scored AS (
+      SELECT rank_i, rank_j, va AS original, vb AS duplicate,
+             CASE WHEN length(va) + length(vb) = 0 THEN 100.0 ELSE
+               (1.0 - (length(va) + length(vb) - 2 * r[length(va) + 1]) / (length(va) + length(vb))::DOUBLE) * 100
+             END AS similarity
+      FROM dp WHERE k = length(vb)),
+    edges AS (SELECT * FROM scored WHERE similarity >= {float(threshold)}),
+    walk(r, kept) AS (
+      SELECT 0::BIGINT, []::BIGINT[]
+      UNION ALL
+      SELECT r + 1, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.rank_j = r + 1 AND list_contains(kept, e.rank_i))
+                         THEN kept ELSE list_append(kept, r + 1) END
+      FROM walk WHERE r < (SELECT count(*) FROM nodes)),
+    kept AS (SELECT unnest(kept) AS rank FROM walk WHERE r = (SELECT count(*) FROM nodes)),
+    dropped AS (SELECT n.value, n.cnt, n.rank FROM nodes n WHERE n.rank NOT IN (SELECT rank FROM kept)),
+    matches AS (
+      SELECT e.rank_j, min(e.rank_i) AS rank_i FROM edges e
+      WHERE e.rank_i IN (SELECT rank FROM kept) AND e.rank_j IN (SELECT rank FROM dropped) GROUP BY e.rank_j)
+    """
+
+
+@register("fuzzy_pairs", _fuzzy_sql(70) + "SELECT rank_i, rank_j, original, duplicate, similarity FROM edges")
+def q_fuzzy_pairs(spark, sf_dir):
+    from dqspark.operators.blocking import similarity_edges
+    nodes = dedup.ranked_values(table(spark, sf_dir, "part"), "p_name", 2000)
+    return similarity_edges(nodes.select("rank", "value"), 70).select(
+        "rank_i", "rank_j", F.col("value_i").alias("original"), F.col("value_j").alias("duplicate"), "similarity")
+
+
+@register("fuzzy_dedup", _fuzzy_sql(85) + """
+    SELECT * FROM part WHERE p_name IS NULL OR CAST(p_name AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
+def q_fuzzy_dedup(spark, sf_dir):
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 85).table
+
+
+@register("fuzzy_dedup_lenient", _fuzzy_sql(70) + """
+    SELECT * FROM part WHERE p_name IS NULL OR CAST(p_name AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
+def q_fuzzy_dedup_lenient(spark, sf_dir):
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70).table
+
+
+@register("fuzzy_matches", _fuzzy_sql(70) + """
+    SELECT e.original, e.duplicate, e.similarity, e.rank_i, e.rank_j FROM matches m
+    JOIN edges e ON e.rank_i = m.rank_i AND e.rank_j = m.rank_j ORDER BY e.rank_i, e.rank_j LIMIT 50""")
+def q_fuzzy_matches(spark, sf_dir):
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70).first_matches(dedup.MATCHES_KEPT)
+
+
+@register("fuzzy_removed", _fuzzy_sql(70) + """
+    SELECT (SELECT count(*) FROM nodes) AS "values", (SELECT count(*) FROM edges) AS pairs,
+           CAST((SELECT coalesce(sum(cnt), 0) FROM dropped) AS BIGINT) AS removed""")
+def q_fuzzy_removed(spark, sf_dir):
+    r = dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70)
+    return spark.createDataFrame([(r.values, r.pairs, r.removed)], '`values` long, pairs long, removed long')
+
+
+@register("fuzzy_dedup_customers", None)
+def q_fuzzy_dedup_customers(spark, sf_dir):
+    """Uncapped near-duplicate removal over all customer names (checked against
+    brute force in tests; the SQL walk over 1.1 M pairs is too slow for DuckDB)."""
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "customer"), "c_name", 85, max_values=None).table
+
+
+# ---------------------------------------------------------------------------
+# R1-R6 repairs on a dirty view derived from customer
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment"))
+         .otherwise(F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("@"))), F.lit(".example")))
+         .alias("email"),
+        (F.col("c_nationkey") * 6 - 20).alias("age"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"),
+        F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.col("c_mktsegment")).alias("segment"))
+
+
+PEOPLE_SQL = """
+    SELECT c_custkey AS id, c_name AS name,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment
+                ELSE lower(replace(c_name, '#', '@')) || '.example' END AS email,
+           c_nationkey * 6 - 20 AS age,
+           CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance,
+           CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN c_mktsegment END AS segment
+    FROM customer"""
+
+
+@register("repair_full", f"""
+    WITH p AS ({PEOPLE_SQL}), m AS (SELECT median(balance) AS mb, median(age) AS ma FROM p)
+    SELECT id, name,
+           CASE WHEN contains(coalesce(email, 'Unknown'), '@') THEN coalesce(email, 'Unknown') END AS email,
+           CAST(CASE WHEN age < 0 OR age > 120 THEN coalesce(m.ma, 30) ELSE age END AS DOUBLE) AS age,
+           CASE WHEN isinf(coalesce(balance, coalesce(m.mb, 0))) THEN NULL ELSE coalesce(balance, coalesce(m.mb, 0)) END AS balance,
+           coalesce(segment, 'Unknown') AS segment
+    FROM p, m""")
+def q_repair_full(spark, sf_dir):
+    return rep.repair(people(spark, sf_dir))[0]
+
+
+@register("repair_log", f"""
+    WITH p AS ({PEOPLE_SQL}),
+    c AS (
+      SELECT 0 AS ord, 'age' AS "column", 'invalid_age_fixed' AS type, count(*) FILTER (WHERE age < 0 OR age > 120) AS count FROM p
+      UNION ALL SELECT 1, 'balance', 'null_filled_numeric', count(*) - count(balance) FROM p
+      UNION ALL SELECT 2, 'name', 'null_filled_text', count(*) - count(name) FROM p
+      UNION ALL SELECT 3, 'email', 'null_filled_text', count(*) - count(email) FROM p
+      UNION ALL SELECT 4, 'email', 'invalid_email_flagged', count(*) FILTER (WHERE NOT coalesce(contains(email, '@'), false)) FROM p
+      UNION ALL SELECT 5, 'segment', 'null_filled_text', count(*) - count(segment) FROM p)
+    SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS step, "column", type, count
+    FROM c WHERE count > 0""")
+def q_repair_log(spark, sf_dir):
+    return rep.repair(people(spark, sf_dir))[2]
+
+
+@register("repair_numeric", f"""
+    WITH t AS ({LABELLED_DOCUMENTS_SQL}), m AS (SELECT median(quality) AS mq, median(toxic) AS mt FROM t)
+    SELECT doc_id, text, lang, source, n_chars,
+           coalesce(quality, coalesce(m.mq, 0))::DOUBLE AS quality, coalesce(toxic, coalesce(m.mt, 0))::DOUBLE AS toxic
+    FROM t, m""")
+def q_repair_numeric(spark, sf_dir):
+    return rep.repair(labelled_documents(spark, sf_dir))[0]
+
+
+@register("repair_age", """
+    WITH p AS (SELECT p_partkey, p_size * 3 - 20 AS age FROM part), m AS (SELECT median(age) AS ma FROM p)
+    SELECT p_partkey, CAST(CASE WHEN age < 0 OR age > 120 THEN coalesce(m.ma, 30) ELSE age END AS DOUBLE) AS age FROM p, m""")
+def q_repair_age(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 3 - 20).alias("age"))
+    return rep.repair(p)[0]
+
+
+# ---------------------------------------------------------------------------
+# C1 / R5 sanitise
+
+EVENTS_DIRTY_SQL = """
+    SELECT event_id, event_type,
+           CASE WHEN event_type = 'error' THEN 'inf'::DOUBLE WHEN event_type = 'purchase' THEN '-inf'::DOUBLE
+                WHEN value > 90 THEN 'nan'::DOUBLE ELSE value END AS value
+    FROM events"""
+
+
+def events_dirty(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "event_type",
+                    F.when(F.col("event_type") == "error", F.lit(float("inf")))
+                     .when(F.col("event_type") == "purchase", F.lit(float("-inf")))
+                     .when(F.col("value") > 90, F.lit(float("nan")))
+                     .otherwise(F.col("value")).alias("value"))
+
+
+@register("sanitise", f"""
+    SELECT event_id, event_type, CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END AS value
+    FROM ({EVENTS_DIRTY_SQL})""")
+def q_sanitise(spark, sf_dir):
+    return scalar.sanitize(events_dirty(spark, sf_dir))
