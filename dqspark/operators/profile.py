@@ -19,9 +19,12 @@ def _col(name: str):
     return F.col(f"`{name}`")
 
 
-def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """One row: ``n`` plus ``m{i}`` (missing) and ``u{i}`` (distinct, missing not counted)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01, extra: list | None = None) -> DataFrame:
+    """One row: ``n`` plus ``m{i}`` (missing) and ``u{i}`` (distinct, missing not counted).
+
+    ``extra`` aggregates ride on the same scan.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")] + list(extra or [])
     for i, f in enumerate(df.schema.fields):
         c = _col(f.name)
         aggs.append(F.count_if(missing(c, f.dataType)).alias(f"m{i}"))
