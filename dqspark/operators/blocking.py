@@ -57,6 +57,8 @@ def numbered_chars(values: pd.Series) -> pd.Series:
 def length_band(length, threshold: float):
     """Geometric length band; partners of a value lie in its band or the next."""
     r = (200.0 - threshold) / threshold
+    if r <= 1.0:          # threshold 100: partners have equal length
+        return length.cast("long")
     # band width log(r): a partner at most r times longer is at most one band up
     return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(math.log(r))).cast("long")
 
