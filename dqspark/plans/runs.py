@@ -117,10 +117,13 @@ class RunStore:
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """Current state per job: the row with the latest ``updated_at``."""
-    cols = [c for c in runs.columns if c != "job_id"]
-    last = runs.groupBy("job_id").agg(F.max_by(F.struct(*cols), F.col("updated_at")).alias("r"))
-    return last.select("job_id", *[F.col(f"r.{c}").alias(c) for c in cols])
+    """Current state per job: latest status, and each fact from the latest row that has it."""
+    cols = [c for c in runs.columns if c not in ("job_id", "status", "updated_at")]
+    ts = F.col("updated_at")
+    return runs.groupBy("job_id").agg(
+        F.max_by("status", ts).alias("status"), F.max(ts).alias("updated_at"),
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ts)).alias(c) for c in cols]) \
+        .select(*runs.columns)
 
 
 def output_counts(outputs: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from dqspark.plans.jobs import new_job_id, register_upload, run_job
 from dqspark.plans.runs import RunStore
 
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def _local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
@@ -25,7 +28,8 @@ def ingest_landing(spark: SparkSession, landing: str, store_root: str, checkpoin
                    available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery`` (``availableNow`` by default)."""
     store = RunStore(spark, store_root)
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+             .option("pathGlobFilter", "*.csv")
              .option("maxFilesPerTrigger", files_per_batch).load(landing).select("path"))
 
     def process(batch: DataFrame, epoch_id: int) -> None:
