@@ -311,3 +311,169 @@ def events_dirty(spark, sf_dir):
     FROM ({EVENTS_DIRTY_SQL})""")
 def q_sanitise(spark, sf_dir):
     return scalar.sanitize(events_dirty(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# K1-K6 quality index, C11-C13 report words
+
+from dqspark.operators import quality as qual  # noqa: E402
+from dqspark.operators import anomaly as anom  # noqa: E402
+from dqspark.plans import runs as runs_mod  # noqa: E402
+from dqspark.sources import sinks  # noqa: E402
+
+_QCOLS = ["text", "lang", "source", "quality", "toxic", "anomaly_flag"]
+
+
+def _quality_inputs(spark, sf_dir):
+    raw = labelled_documents(spark, sf_dir).select("text", "lang", "source", "quality", "toxic")
+    clean = raw.dropDuplicates().withColumn(
+        "anomaly_flag", F.when(F.col("toxic") == 1, F.lit(qual.ANOMALY)).otherwise(F.lit(qual.NORMAL)))
+    return raw, clean
+
+
+_QUALITY_SQL = f"""
+    WITH raw AS (SELECT d.text, d.lang, d.source, l.quality, l.toxic
+                 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+    c AS (SELECT *, CASE WHEN toxic = 1 THEN 'Anomaly' ELSE 'Normal' END AS anomaly_flag
+          FROM (SELECT DISTINCT * FROM raw)),
+    s AS (SELECT greatest(count(*), 1) AS n, (SELECT count(*) FROM raw) AS raw_n,
+                 {" + ".join(f"(count(*) - count({c}))" for c in _QCOLS)} AS nulls,
+                 count(*) FILTER (WHERE anomaly_flag = 'Anomaly') AS anomalies,
+                 {", ".join(f"count(DISTINCT {c}) AS d_{c}" for c in _QCOLS)}
+          FROM c),
+    k AS (SELECT round(1 - nulls / greatest(n * {len(_QCOLS)}, 1), 4) AS c,
+                 round(n / greatest(raw_n, 1), 4) AS u,
+                 round(1 - anomalies / n, 4) AS v,
+                 round(({" + ".join(f"d_{c} / n" for c in _QCOLS)}) / {len(_QCOLS)}, 4) AS s
+          FROM s),
+    q AS (SELECT greatest(0, least(100, round(c * 100, 1))) AS completeness,
+                 greatest(0, least(100, round(u * 100, 1))) AS uniqueness,
+                 greatest(0, least(100, round(v * 100, 1))) AS validity,
+                 greatest(0, least(100, round(s * 100, 1))) AS consistency,
+                 greatest(0, least(100, round(round(least(c, v), 4) * 100, 1))) AS accuracy,
+                 greatest(0, least(100, round((c + u + v + s + round(least(c, v), 4)) / 5 * 100, 2))) AS cqi_score
+          FROM k)
+    """
+
+
+@register("quality_index", _QUALITY_SQL + "SELECT * FROM q")
+def q_quality_index(spark, sf_dir):
+    raw, clean = _quality_inputs(spark, sf_dir)
+    return qual.quality_index(clean, raw.count())
+
+
+@register("quality_verdict", _QUALITY_SQL + """
+    SELECT cqi_score, CASE WHEN cqi_score >= 80 THEN 'Excellent' WHEN cqi_score >= 60 THEN 'Acceptable'
+                           ELSE 'Poor' END AS verdict FROM q""")
+def q_quality_verdict(spark, sf_dir):
+    raw, clean = _quality_inputs(spark, sf_dir)
+    return qual.with_verdict(qual.quality_index(clean, raw.count())).select("cqi_score", "verdict")
+
+
+@register("column_status", _profile_columns_sql(LABELLED_DOCUMENTS_SQL, LABELLED_DOCUMENTS_TYPES).replace(
+    "WITH t AS", "WITH p AS (WITH t AS", 1) + """)
+    SELECT "column", null_count, CASE WHEN null_count = 0 THEN 'Clean' ELSE 'Has Nulls' END AS status FROM p""")
+def q_column_status(spark, sf_dir):
+    cols = prof.profile_columns(labelled_documents(spark, sf_dir))
+    return cols.select("column", "null_count", scalar.column_status(F.col("null_count")).alias("status"))
+
+
+@register("match_severity", _fuzzy_sql(70) + """
+    SELECT rank_i, rank_j, similarity, CASE WHEN similarity >= 90 THEN 'High' ELSE 'Medium' END AS severity
+    FROM edges""")
+def q_match_severity(spark, sf_dir):
+    return q_fuzzy_pairs(spark, sf_dir).select(
+        "rank_i", "rank_j", "similarity", scalar.match_severity(F.col("similarity")).alias("severity"))
+
+
+# ---------------------------------------------------------------------------
+# U2, J3, P10, A17, C14 run records (a runs table derived from orders, outputs from lineitem)
+
+def runs_from_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("j"), F.col("o_orderkey").cast("string")).alias("job_id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("complete"))
+         .when(F.col("o_orderstatus") == "O", F.lit("running")).otherwise(F.lit("error")).alias("status"),
+        F.col("o_totalprice").alias("cqi_score"),
+        (F.length("o_orderpriority") * 10 + 40).cast("double").alias("threshold"),
+        F.col("o_orderdate").alias("updated_at"))
+
+
+def outputs_from_lineitem(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("job_id"))
+            .agg(F.count(F.lit(1)).alias("clean_records")))
+
+
+RUNS_SQL = """
+    WITH r AS (SELECT 'j' || CAST(o_orderkey AS VARCHAR) AS job_id,
+                      CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'error' END AS status,
+                      o_totalprice AS cqi_score, CAST(length(o_orderpriority) * 10 + 40 AS DOUBLE) AS threshold
+               FROM orders),
+    o AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS job_id, count(*) AS clean_records FROM lineitem GROUP BY 1)
+    """
+
+
+@register("run_history", RUNS_SQL + """
+    SELECT job_id, status, cqi_score, CAST(NULL AS DOUBLE) AS clean_records FROM r WHERE status IN ('complete', 'error')
+    UNION ALL
+    SELECT job_id, 'complete', CAST(NULL AS DOUBLE), CAST(clean_records AS DOUBLE) FROM o
+    WHERE job_id NOT IN (SELECT job_id FROM r)""")
+def q_run_history(spark, sf_dir):
+    latest = runs_mod.latest_runs(runs_from_orders(spark, sf_dir))
+    return runs_mod.run_history(latest, outputs_from_lineitem(spark, sf_dir)).select(
+        "job_id", "status", "cqi_score", F.col("clean_records").cast("double").alias("clean_records"))
+
+
+@register("run_counters", RUNS_SQL + """
+    SELECT count(*) FILTER (WHERE status = 'running') AS active_jobs, count(*) AS total_jobs FROM r""")
+def q_run_counters(spark, sf_dir):
+    return runs_mod.run_counters(runs_mod.latest_runs(runs_from_orders(spark, sf_dir)))
+
+
+@register("threshold_band", RUNS_SQL + """
+    SELECT job_id, threshold, CASE WHEN threshold >= 90 THEN 'Strict' WHEN threshold >= 80 THEN 'Balanced'
+                                   ELSE 'Lenient' END AS band FROM r""")
+def q_threshold_band(spark, sf_dir):
+    return runs_mod.with_band(runs_from_orders(spark, sf_dir)).select("job_id", "threshold", "band")
+
+
+# ---------------------------------------------------------------------------
+# M1-M6 anomaly flags (the flagged rows have no SQL twin; the count rule has one)
+
+@register("anomaly_flags", None)
+def q_anomaly_flags(spark, sf_dir):
+    return anom.detect_anomalies(table(spark, sf_dir, "lineitem"))[0]
+
+
+@register("anomaly_count", """
+    SELECT CAST(ceil(0.1 * (count(*) - 1)) AS BIGINT) AS anomaly_count, count(*) AS rows FROM lineitem""")
+def q_anomaly_count(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    flagged, n = anom.detect_anomalies(li)
+    return flagged.agg(F.count_if(F.col("anomaly_flag") == qual.ANOMALY).alias("anomaly_count"),
+                       F.count(F.lit(1)).alias("rows"))
+
+
+# ---------------------------------------------------------------------------
+# K8 the whole job, K7 its issue summary; S9 checksums
+
+@register("clean_part", None)
+def q_clean_part(spark, sf_dir):
+    from dqspark.plans.cleaning import clean_table
+    return clean_table(spark, table(spark, sf_dir, "part"), "p_name", 85).table
+
+
+@register("issue_summary", None)
+def q_issue_summary(spark, sf_dir):
+    from dqspark.plans.cleaning import clean_table
+    return clean_table(spark, table(spark, sf_dir, "part"), "p_name", 85).issues(spark)
+
+
+@register("file_checksum", """
+    SELECT parse_filename(filename) AS file, size AS length, substr(sha256(content), 1, 12) AS checksum
+    FROM read_blob('/root/testdata/sf0.01/*.parquet')""")
+def q_file_checksum(spark, sf_dir):
+    c = sinks.checksums(spark, sf_dir, "*.parquet")
+    return c.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "checksum")
