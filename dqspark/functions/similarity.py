@@ -17,6 +17,7 @@ when even matching every remaining character cannot reach the threshold).
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -83,22 +84,63 @@ def min_lcs(la: int, lb: int, threshold: float) -> int:
     return max(0, math.ceil(threshold * (la + lb) / 200.0 - 1e-9))
 
 
+def _common_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the common prefix and of the common suffix of what is left."""
+    n = min(len(a), len(b))
+    p = 0
+    while p < n and a[p] == b[p]:
+        p += 1
+    q = 0
+    while q < n - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    return p, q
+
+
+def _bag_overlap(ca: Counter, cb: Counter) -> int:
+    if len(ca) > len(cb):
+        ca, cb = cb, ca
+    return sum(min(c, cb.get(k, 0)) for k, c in ca.items())
+
+
 def _score_batch(a: pd.Series, b: pd.Series, threshold: float) -> pd.Series:
+    """Scores; with a threshold, a pair that provably misses it gets some value below it."""
     out = []
-    cache: dict = {}
+    patterns: dict = {}
+    counts: dict = {}
     for x, y in zip(a, b):
         if x is None or y is None:
             out.append(None)
             continue
-        longer, shorter = (x, y) if len(x) >= len(y) else (y, x)
-        pm = cache.get(longer)
-        if pm is None:
-            if len(cache) > 256:
-                cache.clear()
-            pm = cache[longer] = _pattern(longer)
-        need = min_lcs(len(x), len(y), threshold) if threshold > 0 else 0
-        lcs = lcs_length(longer, shorter, need, pm)
-        out.append(ratio_from_lcs(len(x), len(y), lcs))
+        la, lb = len(x), len(y)
+        need = min_lcs(la, lb, threshold) if threshold > 0 else 0
+        if need:
+            if min(la, lb) < need:                      # length bound
+                out.append(ratio_from_lcs(la, lb, min(la, lb)))
+                continue
+            if len(counts) > 512:
+                counts.clear()
+            cx = counts.get(x)
+            if cx is None:
+                cx = counts[x] = Counter(x)
+            cy = counts.get(y)
+            if cy is None:
+                cy = counts[y] = Counter(y)
+            bag = _bag_overlap(cx, cy)                  # character-bag bound
+            if bag < need:
+                out.append(ratio_from_lcs(la, lb, bag))
+                continue
+        p, q = _common_ends(x, y)                       # shared ends are part of an LCS
+        xm, ym = x[p:la - q], y[p:lb - q]
+        longer, shorter = (xm, ym) if len(xm) >= len(ym) else (ym, xm)
+        pm = None
+        if p == 0 and q == 0:
+            pm = patterns.get(longer)
+            if pm is None:
+                if len(patterns) > 256:
+                    patterns.clear()
+                pm = patterns[longer] = _pattern(longer)
+        lcs = p + q + lcs_length(longer, shorter, max(0, need - p - q), pm)
+        out.append(ratio_from_lcs(la, lb, lcs))
     return pd.Series(out, dtype="float64")
 
 
@@ -110,4 +152,6 @@ def similarity(a: Column, b: Column, threshold: float = 0.0) -> Column:
     def _similarity(x: pd.Series, y: pd.Series) -> pd.Series:
         return _score_batch(x, y, thr)
 
-    return _similarity(a, b)
+    # nondeterministic only to the optimizer: a filter on the score must not be
+    # pushed below the projection, which would run the UDF twice
+    return _similarity.asNondeterministic()(a, b)

@@ -13,8 +13,8 @@ Filters (no false negatives; a pair needs ``LCS >= L = ceil(t (la + lb) / 200)``
    lengths. With one global token order (rising frequency, then token), two
    values sharing ``alpha`` tokens share a token among their first
    ``l - alpha + 1`` ones. Only those prefix tokens are joined;
-3. numbered-character bag overlap ``>= L`` (JVM side, on candidate pairs);
-4. the score itself, with early exit (Arrow UDF).
+3. character-bag overlap ``>= L`` and 4. the score itself with early exit, both
+   in the verifying Arrow UDF (per-value counts cached within a batch).
 
 Plan: tokens come from a vectorised Arrow UDF (code points, as in Python);
 token frequencies are one ``groupBy`` (map-side combined); prefixes are a window
@@ -28,6 +28,7 @@ import math
 from collections import Counter
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,52 +69,86 @@ def alpha(length, threshold: float):
     return F.ceil(length.cast("double") * threshold / (200.0 - threshold) - 1e-9).cast("long")
 
 
-def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (rank_i < rank_j) passing the length and prefix filters."""
+def _parallelism(spark) -> int:
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
+def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = None) -> tuple[DataFrame, int]:
+    """Pairs (rank_i < rank_j) passing the length and prefix filters.
+
+    Returns the pairs (checkpointed: later stages and retries start from them)
+    and their number. Tokens and prefixes are each used twice and are persisted
+    for the duration of this call, so the tokenizing UDF runs once per value.
+    """
     t = float(threshold)
     if not 0 < t <= 100:
         raise ValueError("threshold must be in (0, 100]")
-    v = (nodes.select("rank", "value", F.length("value").alias("len"))
+    spark = nodes.sparkSession
+    par = _parallelism(spark)
+    n_nodes = n_nodes if n_nodes is not None else nodes.count()
+    # spread the tokenizing UDF; ranked nodes may arrive in a single partition
+    v = (nodes.repartition(max(par, -(-n_nodes // 2000)))
+         .select("rank", "value", F.length("value").alias("len"))
          .withColumn("band", length_band(F.col("len"), t)))
-    toks = v.select("rank", "len", "band", F.posexplode(numbered_chars("value")).alias("pos", "token"))
-    freq = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("rank").orderBy("freq", "token")
-    prefix = (toks.join(freq, "token")
-              .withColumn("o", F.row_number().over(w))
-              .where(F.col("o") <= F.col("len") - alpha(F.col("len"), t) + 1)
-              .select("rank", "len", "band", "token"))
-    build = prefix.select(F.col("token"), F.col("band").alias("b"), F.col("rank").alias("rank_i"),
-                          F.col("len").alias("len_i"))
-    probe = prefix.select(F.col("token"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b"),
-                          F.col("rank").alias("rank_j"), F.col("len").alias("len_j"))
-    lo, hi = t / (200.0 - t), (200.0 - t) / t
-    # build band <= probe band; orientation by rank is restored afterwards
-    pairs = (build.join(probe, ["token", "b"])
-             .where((F.col("rank_i") != F.col("rank_j"))
-                    & (F.col("len_j") >= F.col("len_i") * lo - 1e-9)
-                    & (F.col("len_j") <= F.col("len_i") * hi + 1e-9))
-             .select(F.least("rank_i", "rank_j").alias("rank_i"),
-                     F.greatest("rank_i", "rank_j").alias("rank_j"))
-             .distinct())
-    return pairs
-
-
-def _bag_overlap(a, b):
-    """Numbered-character bag overlap of two token arrays (JVM side)."""
-    return F.size(F.array_intersect(a, b))
-
-
-def similarity_edges(nodes: DataFrame, threshold: float, bag_filter: bool = True) -> DataFrame:
-    """J1 + D2: ``(rank_i, rank_j, similarity)`` with similarity >= threshold."""
+    toks = v.select("rank", "len", "band", F.posexplode(numbered_chars("value")).alias("pos", "token")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        freq = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+        w = Window.partitionBy("rank").orderBy("freq", "token")
+        prefix = (toks.join(freq, "token")
+                  .withColumn("o", F.row_number().over(w))
+                  .where(F.col("o") <= F.col("len") - alpha(F.col("len"), t) + 1)
+                  .select("rank", "len", "band", "token")
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            build = prefix.select(F.col("token"), F.col("band").alias("b"), F.col("rank").alias("rank_i"),
+                                  F.col("len").alias("len_i"))
+            probe = prefix.select(F.col("token"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b"),
+                                  F.col("rank").alias("rank_j"), F.col("len").alias("len_j"))
+            lo, hi = t / (200.0 - t), (200.0 - t) / t
+            # build band <= probe band; orientation by rank is restored afterwards
+            pairs = (build.join(probe, ["token", "b"])
+                     .where((F.col("rank_i") != F.col("rank_j"))
+                            & (F.col("len_j") >= F.col("len_i") * lo - 1e-9)
+                            & (F.col("len_j") <= F.col("len_i") * hi + 1e-9))
+                     .select(F.least("rank_i", "rank_j").alias("rank_i"),
+                             F.greatest("rank_i", "rank_j").alias("rank_j"))
+                     .distinct()
+                     .checkpoint())
+            n_pairs = pairs.count()
+        finally:
+            prefix.unpersist()
+    finally:
+        toks.unpersist()
+    return pairs, n_pairs
+
+
+BROADCAST_TEXT_BYTES = 64 << 20   # node texts below this size are broadcast to the pair joins
+
+
+def similarity_edges(nodes: DataFrame, threshold: float) -> DataFrame:
+    """J1 + D2: ``(rank_i, rank_j, value_i, value_j, similarity)`` with similarity >= threshold.
+
+    Candidates are sorted by ``rank_i`` inside each partition so one Arrow batch
+    reuses the bit pattern and character counts of a value across its partners.
+    The verifying UDF applies the character-bag bound before the LCS.
+    """
     t = float(threshold)
-    pairs = candidate_pairs(nodes, t)
+    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value") + 16).alias("b")).first()
+    pairs, n_pairs = candidate_pairs(nodes, t, stats["n"])
     left = nodes.select(F.col("rank").alias("rank_i"), F.col("value").alias("value_i"))
     right = nodes.select(F.col("rank").alias("rank_j"), F.col("value").alias("value_j"))
-    cand = pairs.join(left, "rank_i").join(right, "rank_j")
-    li, lj = F.length("value_i"), F.length("value_j")
-    need = F.ceil((li + lj).cast("double") * t / 200.0 - 1e-9)
-    if bag_filter:
-        cand = cand.where(_bag_overlap(numbered_chars("value_i"), numbered_chars("value_j")) >= need)
+    # verification is CPU-bound: size partitions by pair count (an explicit count
+    # is not merged away by AQE); chunks of 256 partners of one value stay together
+    # for the UDF caches, and a value with very many partners still spreads out
+    parts = max(4 * _parallelism(nodes.sparkSession), -(-n_pairs // 20_000))
+    spread = [F.col("rank_i"), F.floor(F.col("rank_j") / 256)]
+    if (stats["b"] or 0) <= BROADCAST_TEXT_BYTES:     # measured, not assumed
+        cand = pairs.repartition(parts, *spread).join(F.broadcast(left), "rank_i") \
+            .join(F.broadcast(right), "rank_j")
+    else:
+        cand = pairs.join(left, "rank_i").join(right, "rank_j").repartition(parts, *spread)
+    cand = cand.sortWithinPartitions("rank_i")
     scored = cand.select("rank_i", "rank_j", "value_i", "value_j",
                          similarity(F.col("value_i"), F.col("value_j"), t).alias("similarity"))
     return scored.where(F.col("similarity") >= t)
