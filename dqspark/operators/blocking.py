@@ -7,7 +7,7 @@ Filters (no false negatives; a pair needs ``LCS >= L = ceil(t (la + lb) / 200)``
 
 1. length: ``min(la, lb) >= L``, i.e. the partner length lies within
    ``[l t / (200 - t), l (200 - t) / t]``;
-2. prefix filter on numbered characters (``"e#3"`` = third ``e``): the LCS is a
+2. prefix filter on numbered characters (``e#3`` = third ``e``): the LCS is a
    common sub-multiset, so two matching values share at least ``L`` numbered
    characters, and at least ``alpha(l) = ceil(t l / (200 - t))`` over all partner
    lengths. With one global token order (rising frequency, then token), two
@@ -35,12 +35,12 @@ from pyspark.sql import types as T
 
 from dqspark.functions.similarity import similarity
 
-SEP = "\x1f"
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def numbered_chars(values: pd.Series) -> pd.Series:
-    """``"aba"`` -> ``["a\\x1f1", "b\\x1f1", "a\\x1f2"]`` (by code point)."""
+    """Numbered characters as exact longs: ``code point << 32 | occurrence``.
+
+    ``"aba"`` -> ``[a#1, b#1, a#2]``; by code point, as Python strings count.
+    """
     out = []
     for v in values:
         if v is None:
@@ -50,7 +50,7 @@ def numbered_chars(values: pd.Series) -> pd.Series:
         toks = []
         for ch in v:
             seen[ch] += 1
-            toks.append(f"{ch}{SEP}{seen[ch]}")
+            toks.append((ord(ch) << 32) | seen[ch])
         out.append(toks)
     return pd.Series(out)
 
