@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from dqspark.functions.scalar import is_inf, is_numeric
 from dqspark.operators import stats
 from dqspark.operators.quality import ANOMALY, FLAG_COLUMN, NORMAL
+from dqspark.session import spread_for_cpu
 
 # Fixed values of the detector.
 CONTAMINATION = 0.1
@@ -131,13 +132,16 @@ def fit_forest(df: DataFrame, cols: list[str], n_rows: int | None = None, n_tree
     q = 1.0 if want >= n else min(1.0, (want + 8.0 * math.sqrt(want) + 64.0) / n)
     while True:
         cut = rows.where(F.col("u") < q) if q < 1.0 else rows
-        pool = cut.orderBy("u", "x").limit(want)
+        pool = cut.orderBy("u", "x").limit(want).checkpoint()   # one scan; retried only if short
         if q >= 1.0 or pool.count() >= want:
             break
         q = min(1.0, q * 2.0)
-    pool = pool.checkpoint()
-    per_tree = (pool.select("x", "u", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    # an explicit partition count: AQE would merge the small tree groups into one task
+    parts = max(1, min(n_trees, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    per_tree = (pool.repartition(parts)
+                .select("x", "u", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
                 .withColumn("h", F.xxhash64(F.col("tree"), F.lit(seed), F.col("u"), F.col("x")))
+                .repartition(parts, "tree")
                 .withColumn("k", F.row_number().over(Window.partitionBy("tree").orderBy("h", "u")))
                 .where(F.col("k") <= psi)
                 .select("tree", "h", "u", "x"))
@@ -204,7 +208,7 @@ def detect_anomalies(df: DataFrame, contamination: float = CONTAMINATION, seed:
         return base.withColumn(FLAG_COLUMN, F.lit(NORMAL)), 0
     forest_df, psi = fit_forest(base, cols, n, n_trees, max_samples, seed)
     forest = Forest(forest_df, psi)
-    scored = base.withColumn("__score", score_column(forest, features(cols)))
+    scored = spread_for_cpu(base).withColumn("__score", score_column(forest, features(cols)))
     neg = scored.select((-F.col("__score")).alias("s")).persist()
     try:
         cut = stats.quantiles(neg, {"s": [contamination]}, median_mean=False)[("s", contamination)]

@@ -54,3 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="dqspark-ckpt-", dir=os.environ.get("DQSPARK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def spread_for_cpu(df, min_partitions: int | None = None):
+    """Before a CPU-heavy Python stage: make sure every core gets a task.
+
+    A small file scans as one partition; a UDF over it would then run on one
+    core. Large inputs already have many partitions and pass unchanged (no shuffle).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
