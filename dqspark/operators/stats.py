@@ -155,3 +155,20 @@ def quantiles(df: DataFrame, probs: dict[str, list[float]], ranges: dict[str, di
 def medians(df: DataFrame, columns: list[str], ranges: dict[str, dict] | None = None, **kw) -> dict[str, float | None]:
     q = quantiles(df, {c: [0.5] for c in columns}, ranges, **kw)
     return {c: q[(c, 0.5)] for c in columns}
+
+
+def approx_quantiles(df: DataFrame, probs: dict[str, list[float]], accuracy: int = 10_000) -> dict:
+    """``percentile_approx`` for every (column, p) in one aggregate (fixed-size sketches).
+
+    Returns an actual value of the column within rank error ``n / accuracy``; the
+    0.5 quantile is not the mean of the two middle values.
+    """
+    aggs, keys = [], []
+    for c, ps in probs.items():
+        for p in ps:
+            aggs.append(F.percentile_approx(_value(df, c), F.lit(p), accuracy).alias(f"q{len(keys)}"))
+            keys.append((c, p))
+    if not aggs:
+        return {}
+    row = df.agg(*aggs).first()
+    return {k: row[f"q{i}"] for i, k in enumerate(keys)}

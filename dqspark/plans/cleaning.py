@@ -83,8 +83,8 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     fz = dedup.fuzzy_dedup(deduped, match_col, threshold, max_values)
     matches = fz.first_matches(dedup.MATCHES_KEPT).checkpoint()
 
-    repaired, total_repairs, log = repair.repair(fz.table)
-    flagged, anomaly_count = anomaly.detect_anomalies(repaired)
+    repaired, total_repairs, log = repair.repair(fz.table, approx=approx)
+    flagged, anomaly_count = anomaly.detect_anomalies(repaired, approx=approx)
     final = flagged.checkpoint()
     clean_count = final.count()
     cqi = quality.quality_index(final, raw_count, anomaly_count, approx).first().asDict()

@@ -63,3 +63,11 @@ def test_exact_quantiles_match_numpy(spark):
 def test_median_even_count_is_mean_of_middle(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "x long")
     assert stats.medians(df, ["x"])["x"] == 2.5
+
+
+def test_approx_median_close(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1001)] + [(None,)], "x double")
+    out, count, log = repair(df, approx=True)
+    assert count == 1
+    filled = [r.x for r in out.collect()][-1]
+    assert abs(filled - 500.0) <= 1.0
