@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """A local session for tests and the bench (never used on a cluster)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+               # small local inputs: smaller AQE targets keep every core busy
+               .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
                .config("spark.driver.memory", "8g"))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
