@@ -10,8 +10,11 @@ character of the longer text): per character ``c`` of the shorter text,
 big-integer kernels run it in C, ~0.1 us per machine word per step.
 
 The Spark entry point is an Arrow ``pandas_udf`` working on whole batches; it
-takes the score threshold so hopeless pairs stop early (exact: a pair stops only
-when even matching every remaining character cannot reach the threshold).
+takes the score threshold so hopeless pairs stop early. The stop rule is exact:
+after ``k`` characters of ``b``, ``LCS(a, b) <= max_i LCS(a[:i], b[:k]) + min(m - i,
+rest)`` (split an optimal alignment where it leaves ``b[:k]``). The row values
+``LCS(a[:i], b[:k])`` are the zero bits of ``S`` below ``i``; they grow with ``i``,
+so checking block ends against block starts bounds every ``i`` of a block.
 """
 
 from __future__ import annotations
@@ -34,6 +37,17 @@ def _pattern(a: str) -> dict:
     return pm
 
 
+BOUND_BLOCKS = 16     # block ends checked by the stop rule
+CHECK_EVERY = 64      # characters of the shorter text between two checks
+
+
+def _blocks(m: int) -> list[tuple[int, int, int]]:
+    """``(mask of the low e bits, e, block start)`` for the stop rule."""
+    width = max(64, -(-m // BOUND_BLOCKS))
+    ends = list(range(width, m, width)) + [m]
+    return [((1 << e) - 1, e, start) for e, start in zip(ends, [0] + ends[:-1])]
+
+
 def lcs_length(a: str, b: str, need: int = 0, pm: dict | None = None) -> int:
     """Length of the longest common subsequence (by code point).
 
@@ -51,6 +65,7 @@ def lcs_length(a: str, b: str, need: int = 0, pm: dict | None = None) -> int:
     mask = (1 << m) - 1
     s = mask
     rest = len(b)
+    blocks = _blocks(m) if need else ()
     step = 0
     for ch in b:
         match = pm.get(ch)
@@ -59,9 +74,12 @@ def lcs_length(a: str, b: str, need: int = 0, pm: dict | None = None) -> int:
             u = s & match
             s = (s + u) | (s - u)
         step += 1
-        if need and step == 64:
+        if need and step == CHECK_EVERY:
             step = 0
-            if m - (s & mask).bit_count() + rest < need:
+            for low, end, start in blocks:
+                if end - (s & low).bit_count() + min(m - start, rest) >= need:
+                    break
+            else:                       # no split point can still reach need
                 return m - (s & mask).bit_count()
     return m - (s & mask).bit_count()
 
@@ -102,11 +120,44 @@ def _bag_overlap(ca: Counter, cb: Counter) -> int:
     return sum(min(c, cb.get(k, 0)) for k, c in ca.items())
 
 
-def _score_batch(a: pd.Series, b: pd.Series, threshold: float) -> pd.Series:
+class _Caches:
+    """Character counts and bit patterns of recently seen texts, bounded.
+
+    Candidates arrive sorted by their first value, so one value meets many
+    partners in a row. Patterns take about ``len x distinct characters`` bits
+    each, so they are bounded by the characters they cover.
+    """
+
+    def __init__(self, max_counts: int = 4096, max_pattern_chars: int = 4_000_000):
+        self.counts: dict = {}
+        self.patterns: dict = {}
+        self.pattern_chars = 0
+        self.max_counts = max_counts
+        self.max_pattern_chars = max_pattern_chars
+
+    def count(self, x: str) -> Counter:
+        c = self.counts.get(x)
+        if c is None:
+            if len(self.counts) >= self.max_counts:
+                self.counts.clear()
+            c = self.counts[x] = Counter(x)
+        return c
+
+    def pattern(self, x: str) -> dict:
+        pm = self.patterns.get(x)
+        if pm is None:
+            if self.pattern_chars + len(x) > self.max_pattern_chars:
+                self.patterns.clear()
+                self.pattern_chars = 0
+            pm = self.patterns[x] = _pattern(x)
+            self.pattern_chars += len(x)
+        return pm
+
+
+def _score_batch(a, b, threshold: float, caches: _Caches | None = None) -> pd.Series:
     """Scores; with a threshold, a pair that provably misses it gets some value below it."""
     out = []
-    patterns: dict = {}
-    counts: dict = {}
+    caches = caches or _Caches()
     for x, y in zip(a, b):
         if x is None or y is None:
             out.append(None)
@@ -117,28 +168,14 @@ def _score_batch(a: pd.Series, b: pd.Series, threshold: float) -> pd.Series:
             if min(la, lb) < need:                      # length bound
                 out.append(ratio_from_lcs(la, lb, min(la, lb)))
                 continue
-            if len(counts) > 512:
-                counts.clear()
-            cx = counts.get(x)
-            if cx is None:
-                cx = counts[x] = Counter(x)
-            cy = counts.get(y)
-            if cy is None:
-                cy = counts[y] = Counter(y)
-            bag = _bag_overlap(cx, cy)                  # character-bag bound
+            bag = _bag_overlap(caches.count(x), caches.count(y))   # character-bag bound
             if bag < need:
                 out.append(ratio_from_lcs(la, lb, bag))
                 continue
         p, q = _common_ends(x, y)                       # shared ends are part of an LCS
         xm, ym = x[p:la - q], y[p:lb - q]
         longer, shorter = (xm, ym) if len(xm) >= len(ym) else (ym, xm)
-        pm = None
-        if p == 0 and q == 0:
-            pm = patterns.get(longer)
-            if pm is None:
-                if len(patterns) > 256:
-                    patterns.clear()
-                pm = patterns[longer] = _pattern(longer)
+        pm = caches.pattern(longer) if p == 0 and q == 0 else None
         lcs = p + q + lcs_length(longer, shorter, max(0, need - p - q), pm)
         out.append(ratio_from_lcs(la, lb, lcs))
     return pd.Series(out, dtype="float64")
@@ -155,3 +192,21 @@ def similarity(a: Column, b: Column, threshold: float = 0.0) -> Column:
     # nondeterministic only to the optimizer: a filter on the score must not be
     # pushed below the projection, which would run the UDF twice
     return _similarity.asNondeterministic()(a, b)
+
+
+def similarity_of_ranks(rank_i: Column, rank_j: Column, texts, threshold: float = 0.0) -> Column:
+    """Scores of value pairs given by rank; ``texts`` is a broadcast ``{rank: text}``.
+
+    Only the two ranks cross into Python, so a long text is shipped once per
+    executor (the broadcast) instead of once per pair. Caches live for the task.
+    """
+    thr = float(threshold)
+    state: dict = {}
+
+    @F.pandas_udf(T.DoubleType())
+    def _similarity(ri: pd.Series, rj: pd.Series) -> pd.Series:
+        lookup = texts.value
+        caches = state.setdefault("caches", _Caches())
+        return _score_batch([lookup[r] for r in ri.tolist()], [lookup[r] for r in rj.tolist()], thr, caches)
+
+    return _similarity.asNondeterministic()(rank_i, rank_j)

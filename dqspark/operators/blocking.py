@@ -19,7 +19,17 @@ Filters (no false negatives; a pair needs ``LCS >= L = ceil(t (la + lb) / 200)``
 3. character-bag overlap ``>= L`` and 4. the score itself with early exit, both
    in the verifying Arrow UDF (per-value counts cached within a batch).
 
-Plan: tokens come from a vectorised Arrow UDF (code points, as in Python);
+Two exact candidate generators, chosen from counted sizes:
+
+* band join, for node sets whose same-or-next-band pairs number at most
+  ``BAND_PAIRS_MAX`` (always true under the 2,000-value cap): every pair in the
+  same or the next length band that passes the length bound, salted so a band
+  holding most values still spreads over many tasks. On long prose, whose
+  characters are few and shared, this beats the prefix join by far (each pair
+  shares hundreds of prefix tokens there, so the join emits ~200 rows per pair);
+* prefix join otherwise (uncapped value sets), described below.
+
+Prefix join: tokens come from a vectorised Arrow UDF (code points, as in Python);
 token frequencies are one ``groupBy`` (map-side combined); prefixes are a window
 per value; candidates are an equi-join on ``(token, length band)`` where each
 shorter-side row is sent to its own and the next band only, then de-duplicated.
@@ -36,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqspark.functions.similarity import similarity
+from dqspark.functions.similarity import similarity, similarity_of_ranks
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def numbered_chars(values: pd.Series) -> pd.Series:
@@ -63,8 +73,10 @@ def length_band(length, threshold: float):
     r = (200.0 - threshold) / threshold
     if r <= 1.0:          # threshold 100: partners have equal length
         return length.cast("long")
-    # band width log(r): a partner at most r times longer is at most one band up
-    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(math.log(r))).cast("long")
+    # band width a hair over log(r): a partner at most r times longer is at most one
+    # band up, with room for rounding in the logarithms
+    width = math.log(r) * (1.0 + 1e-9)
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(width)).cast("long")
 
 
 def short_alpha(length, threshold: float):
@@ -136,32 +148,90 @@ def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = No
     return pairs, n_pairs
 
 
-BROADCAST_TEXT_BYTES = 64 << 20   # node texts below this size are broadcast to the pair joins
+BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the prefix join
+BAND_SALTS = 16                   # a band is split over this many tasks
+BROADCAST_TEXT_BYTES = 64 << 20   # node texts below this size are broadcast to the verifier
+
+
+def _banded(nodes: DataFrame, threshold: float) -> DataFrame:
+    return (nodes.select("rank", "value", F.length("value").alias("len"))
+            .withColumn("band", length_band(F.col("len"), threshold)))
+
+
+def band_stats(banded: DataFrame) -> tuple[int, int, int]:
+    """One small aggregate: (values, text bytes, band-join pairs), the pairs being
+    ``sum c_b (c_b - 1) / 2 + c_b c_(b+1)`` over the length bands."""
+    h = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("len") + 16).alias("bytes"))
+    up = h.select((F.col("band") - 1).alias("band"), F.col("c").alias("c_up"))
+    row = (h.join(up, "band", "left")
+           .agg(F.sum("c").alias("n"), F.sum("bytes").alias("bytes"),
+                F.sum(F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * F.coalesce(F.col("c_up"), F.lit(0)))
+                .alias("pairs"))
+           .first())
+    return int(row["n"] or 0), int(row["bytes"] or 0), int(row["pairs"] or 0)
+
 
+def band_pair_count(banded: DataFrame) -> int:
+    return band_stats(banded)[2]
 
-def similarity_edges(nodes: DataFrame, threshold: float) -> DataFrame:
+
+def band_pairs(banded: DataFrame, threshold: float, salts: int = BAND_SALTS) -> DataFrame:
+    """Pairs (rank_i < rank_j) in the same or next length band that pass the length bound.
+
+    The shorter side (ties: lower rank) is sent to its own and the next band and to
+    every salt; the longer side sits in its band under one salt. Each pair meets once.
+    """
+    hi = (200.0 - threshold) / threshold
+    x = (banded.select(F.col("rank").alias("rank_x"), F.col("len").alias("len_x"),
+                       F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("b"))
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    y = banded.select(F.col("rank").alias("rank_y"), F.col("len").alias("len_y"), F.col("band").alias("b"),
+                      F.pmod(F.xxhash64("rank"), F.lit(salts)).cast("int").alias("salt"))
+    return (x.join(y, ["b", "salt"])
+            .where(((F.col("len_x") < F.col("len_y"))
+                    | ((F.col("len_x") == F.col("len_y")) & (F.col("rank_x") < F.col("rank_y"))))
+                   & (F.col("len_y") <= F.col("len_x") * hi + 1e-9))
+            .select(F.least("rank_x", "rank_y").alias("rank_i"), F.greatest("rank_x", "rank_y").alias("rank_j")))
+
+
+def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto") -> DataFrame:
     """J1 + D2: ``(rank_i, rank_j, value_i, value_j, similarity)`` with similarity >= threshold.
 
-    Candidates are sorted by ``rank_i`` inside each partition so one Arrow batch
-    reuses the bit pattern and character counts of a value across its partners.
-    The verifying UDF applies the character-bag bound before the LCS.
+    ``strategy``: ``"band"``, ``"prefix"`` or ``"auto"`` (band join when its counted
+    pairs are at most ``BAND_PAIRS_MAX``). Candidates are sorted by ``rank_i``
+    inside each partition so the verifier reuses a value's bit pattern and
+    character counts across its partners; it applies the character-bag bound
+    before the LCS. When the texts fit the measured broadcast bound, only ranks
+    cross into Python and the texts come from a broadcast map.
     """
     t = float(threshold)
-    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value") + 16).alias("b")).first()
-    pairs, n_pairs = candidate_pairs(nodes, t, stats["n"])
+    spark = nodes.sparkSession
+    if strategy not in ("auto", "band", "prefix"):
+        raise ValueError("strategy must be auto, band or prefix")
+    banded = _banded(nodes, t)
+    n_nodes, text_bytes, n_band = band_stats(banded)
+    if strategy == "band" or (strategy == "auto" and n_band <= BAND_PAIRS_MAX):
+        pairs, n_pairs = band_pairs(banded, t), n_band         # an upper bound of the count
+    else:
+        pairs, n_pairs = candidate_pairs(nodes, t, n_nodes)
     left = nodes.select(F.col("rank").alias("rank_i"), F.col("value").alias("value_i"))
     right = nodes.select(F.col("rank").alias("rank_j"), F.col("value").alias("value_j"))
     # verification is CPU-bound: size partitions by pair count (an explicit count
     # is not merged away by AQE); chunks of 256 partners of one value stay together
-    # for the UDF caches, and a value with very many partners still spreads out
-    parts = max(4 * _parallelism(nodes.sparkSession), -(-n_pairs // 20_000))
+    # for the caches, and a value with very many partners still spreads out
+    parts = max(4 * _parallelism(spark), -(-n_pairs // 20_000))
     spread = [F.col("rank_i"), F.floor(F.col("rank_j") / 256)]
-    if (stats["b"] or 0) <= BROADCAST_TEXT_BYTES:     # measured, not assumed
-        cand = pairs.repartition(parts, *spread).join(F.broadcast(left), "rank_i") \
-            .join(F.broadcast(right), "rank_j")
-    else:
-        cand = pairs.join(left, "rank_i").join(right, "rank_j").repartition(parts, *spread)
-    cand = cand.sortWithinPartitions("rank_i")
+    if text_bytes <= BROADCAST_TEXT_BYTES:       # measured, not assumed
+        pdf = nodes.select("rank", "value").toPandas()
+        texts = spark.sparkContext.broadcast(dict(zip(pdf["rank"].tolist(), pdf["value"].tolist())))
+        cand = pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")
+        scored = cand.select("rank_i", "rank_j",
+                             similarity_of_ranks(F.col("rank_i"), F.col("rank_j"), texts, t).alias("similarity"))
+        hits = scored.where(F.col("similarity") >= t)
+        return (hits.join(F.broadcast(left), "rank_i").join(F.broadcast(right), "rank_j")
+                .select("rank_i", "rank_j", "value_i", "value_j", "similarity"))
+    cand = pairs.join(left, "rank_i").join(right, "rank_j").repartition(parts, *spread) \
+        .sortWithinPartitions("rank_i")
     scored = cand.select("rank_i", "rank_j", "value_i", "value_j",
                          similarity(F.col("value_i"), F.col("value_j"), t).alias("similarity"))
     return scored.where(F.col("similarity") >= t)

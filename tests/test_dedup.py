@@ -86,9 +86,26 @@ def test_blocking_equals_brute_force(spark):
     vals = sorted(set(base + [b + rnd.choice("xyz") for b in base[:30]] + [b[1:] for b in base[:20]]))
     nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
     for t in (60, 75, 85, 95, 100):
-        got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, t).collect())
         want = sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, t))
-        assert got == want, t
+        for strategy in ("band", "prefix"):
+            got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, t, strategy).collect())
+            assert got == want, (t, strategy)
+
+
+def test_band_pairs_cover_length_bound(spark):
+    # every pair passing the length bound appears exactly once, for any threshold
+    rnd = random.Random(5)
+    vals = sorted({"x" * rnd.randint(1, 300) + str(i) for i in range(150)})
+    nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
+    for t in (60, 85, 99, 100):
+        banded = blocking._banded(nodes, t)
+        got = [(r.rank_i, r.rank_j) for r in blocking.band_pairs(banded, t, salts=3).collect()]
+        assert len(got) == len(set(got))
+        hi = (200.0 - t) / t
+        want = {(i, j) for i in range(len(vals)) for j in range(i + 1, len(vals))
+                if max(len(vals[i]), len(vals[j])) <= min(len(vals[i]), len(vals[j])) * hi + 1e-9}
+        assert set(got) == want, t
+        assert blocking.band_pair_count(banded) >= len(got)
 
 
 def test_blocking_customer_names_brute_force(spark):
@@ -97,6 +114,8 @@ def test_blocking_customer_names_brute_force(spark):
     got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, 85).collect())
     want = blocking.brute_force_edges(names, 85)
     assert got == sorted((i, j) for i, j, _ in want)
+    got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, 85, "prefix").collect())
+    assert got == sorted((i, j) for i, j, _ in want)
     # survivors of the uncapped dedup equal the sequential walk
     df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     r = dedup.fuzzy_dedup(df, "c_name", 85, max_values=None)

@@ -43,3 +43,18 @@ def test_lcs_long_and_early_exit():
         need = exact + 1
         assert lcs_length(a, b, need) < need      # early exit never reports a false pass
         assert lcs_length(a, b, exact) == exact
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcd", min_size=60, max_size=300), st.text(alphabet="abcd", min_size=60, max_size=300),
+       st.integers(min_value=0, max_value=40))
+def test_stop_rule_is_exact(a, b, slack):
+    # with a bound, a result >= need is the exact LCS and a miss is a true miss
+    exact = lcs_dp(a, b)
+    for need in (exact - slack, exact, exact + 1, exact + slack + 1):
+        if need <= 0:
+            continue
+        got = lcs_length(a, b, need)
+        assert (got >= need) == (exact >= need)
+        if got >= need:
+            assert got == exact
