@@ -199,19 +199,28 @@ def score_column(forest: Forest, feature_col: Column) -> Column:
 
 def detect_anomalies(df: DataFrame, contamination: float = CONTAMINATION, seed: int = SEED,
                      feature_cols: list[str] | None = None, n_trees: int = N_TREES,
-                     max_samples: int = MAX_SAMPLES, approx: bool = False) -> tuple[DataFrame, int]:
+                     max_samples: int = MAX_SAMPLES, approx: bool = False,
+                     n_rows: int | None = None, materialize: bool = False) -> tuple[DataFrame, int]:
     """M6: returns (table with ``anomaly_flag``, anomaly count).
 
     ``approx=True`` takes the cut from ``percentile_approx`` (A16) in one pass.
+    ``n_rows`` saves the counting pass when the caller knows the row count.
+    ``materialize=True`` scores every row once: the scored table is checkpointed
+    and both the cut and the flags read it (the returned table is then already
+    cut from its lineage). Otherwise the scores are computed again for the
+    returned table, which keeps nothing but one double per row on the side.
     """
     cols = feature_cols if feature_cols is not None else feature_columns(df)
     base = df.drop(FLAG_COLUMN) if FLAG_COLUMN in df.columns else df
-    n = base.count()
+    n = n_rows if n_rows is not None else base.count()
     if not cols or n < MIN_ROWS:              # M5
-        return base.withColumn(FLAG_COLUMN, F.lit(NORMAL)), 0
+        out = base.withColumn(FLAG_COLUMN, F.lit(NORMAL))
+        return (out.checkpoint() if materialize else out), 0
     forest_df, psi = fit_forest(base, cols, n, n_trees, max_samples, seed)
     forest = Forest(forest_df, psi)
     scored = spread_for_cpu(base).withColumn("__score", score_column(forest, features(cols)))
+    if materialize:
+        scored = scored.checkpoint()
     neg = scored.select((-F.col("__score")).alias("s")).persist()
     try:
         if approx:

@@ -5,8 +5,9 @@ anomaly flags -> quality index. Every stage is a DataFrame function; the job
 only decides where to cut lineage:
 
 * after exact dedup: its shuffle output feeds counts, ranking and the anti join;
-* after flagging: the final table feeds its count, the quality aggregate, the
-  preview and the sink.
+* after scoring (inside ``detect_anomalies``): the scored table feeds the cut, the
+  flags, the quality aggregate, the preview and the sink, so the forest scores
+  each row once. Row counts after the first cut are derived, not counted.
 
 Cuts use ``checkpoint()`` (reliable, in the session's checkpoint folder), so a lost
 executor re-runs at most the stage after the last cut.
@@ -84,9 +85,10 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     matches = fz.first_matches(dedup.MATCHES_KEPT).checkpoint()
 
     repaired, total_repairs, log = repair.repair(fz.table, approx=approx)
-    flagged, anomaly_count = anomaly.detect_anomalies(repaired, approx=approx)
-    final = flagged.checkpoint()
-    clean_count = final.count()
+    clean_count = exact_count - fz.removed
+    # scored once and checkpointed inside: the cut, the count and the sink read it
+    final, anomaly_count = anomaly.detect_anomalies(repaired, approx=approx, n_rows=clean_count,
+                                                    materialize=True)
     cqi = quality.quality_index(final, raw_count, anomaly_count, approx).first().asDict()
     return CleanResult(ptab_row, pcols_rows, exact_removed, fz.removed, matches, total_repairs, log,
                        anomaly_count, cqi, raw_count, clean_count, final, final.columns,

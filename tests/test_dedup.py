@@ -137,3 +137,16 @@ def test_survivor_rounds_equal_walk(spark):
         assert {k for k, v in got.items() if v} == set(kept) & nodes
         assert {k for k, v in got.items() if not v} == drop
         assert s.rounds >= 1
+
+
+def test_auto_cost_choice_equals_brute_force(spark, monkeypatch):
+    # force the auto path through the counted prefix-join size; either outcome is exact
+    monkeypatch.setattr(blocking, "BAND_PAIRS_MAX", 0)
+    rnd = random.Random(9)
+    short = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(4, 12))) for _ in range(40)]
+    prose = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(80, 120))) for _ in range(25)]
+    for vals in (sorted(set(short)), sorted(set(prose))):
+        nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
+        for t in (70, 85):
+            got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, t).collect())
+            assert got == sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, t)), t
