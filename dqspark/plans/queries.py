@@ -287,6 +287,55 @@ def q_repair_age(spark, sf_dir):
     return rep.repair(p)[0]
 
 
+@register("repair_text", """
+    SELECT o_orderkey, o_orderstatus,
+           coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END, 'Unknown') AS o_orderpriority
+    FROM orders""")
+def q_repair_text(spark, sf_dir):
+    """Text nulls (priorities of pending orders) become ``Unknown``."""
+    o = table(spark, sf_dir, "orders")
+    return rep.repair(o.select("o_orderkey", "o_orderstatus",
+                               F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+                               .alias("o_orderpriority")))[0]
+
+
+SUPPLIER_EMAIL_SQL = """
+    SELECT s_suppkey, s_name,
+           CASE WHEN s_acctbal < 0 THEN NULL WHEN s_acctbal < 1000 THEN s_name
+                ELSE lower(replace(s_name, '#', '@')) || '.example' END AS email
+    FROM supplier"""
+
+
+def supplier_emails(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", "s_name",
+                    F.when(F.col("s_acctbal") < 0, F.lit(None).cast("string"))
+                     .when(F.col("s_acctbal") < 1000, F.col("s_name"))
+                     .otherwise(F.concat(F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("@"))),
+                                         F.lit(".example"))).alias("email"))
+
+
+@register("repair_email", f"""
+    SELECT s_suppkey, s_name,
+           CASE WHEN contains(coalesce(email, 'Unknown'), '@') THEN coalesce(email, 'Unknown') END AS email
+    FROM ({SUPPLIER_EMAIL_SQL})""")
+def q_repair_email(spark, sf_dir):
+    """R3 then R4: a missing email is filled, found without ``@`` and nulled."""
+    return rep.repair(supplier_emails(spark, sf_dir))[0]
+
+
+@register("repair_email_log", f"""
+    WITH p AS ({SUPPLIER_EMAIL_SQL}),
+    c AS (SELECT 0 AS ord, 'email' AS "column", 'null_filled_text' AS type, count(*) - count(email) AS count FROM p
+          UNION ALL SELECT 1, 'email', 'invalid_email_flagged',
+                           count(*) FILTER (WHERE NOT coalesce(contains(email, '@'), false)) FROM p)
+    SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS step, "column", type, count
+    FROM c WHERE count > 0""")
+def q_repair_email_log(spark, sf_dir):
+    """A11 + R4 log: nulls are counted as filled and again as invalid."""
+    return rep.repair(supplier_emails(spark, sf_dir))[2]
+
+
 # ---------------------------------------------------------------------------
 # C1 / R5 sanitise
 
