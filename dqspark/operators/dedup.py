@@ -57,14 +57,61 @@ def value_frequencies(df: DataFrame, col: str) -> DataFrame:
             .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
 
 
-def top_values(freq: DataFrame, k: int) -> DataFrame:
+TOP_MERGE_MAX = 200_000   # candidate rows one task may merge for the top k
+
+
+def top_values(freq: DataFrame, k: int, merge_max: int = TOP_MERGE_MAX) -> DataFrame:
     """T1 + W1: the ``k`` most frequent values, ties by value, with their rank (1-based).
 
-    ``orderBy.limit`` runs as a per-partition top-k merged once (TakeOrderedAndProject);
-    the rank window then sees at most ``k`` rows.
+    A plain ``orderBy.limit`` sends every partition's top ``k`` rows, texts included,
+    to one task. Instead:
+
+    1. the histogram of counts, only its ``k`` largest counts (at most ``k`` small
+       rows), gives the k-th largest count ``c`` and how many values reach it;
+    2. only values with ``count >= c`` can be in the result. When those are at most
+       ``merge_max`` rows (the usual case) one bounded merge takes the first ``k``;
+    3. otherwise (a huge tie at ``c``, e.g. every value seen once) they are range
+       sorted over the cluster and the first ``k`` are kept by partition offsets.
+
+    The rank window then sees at most ``k`` rows.
     """
-    top = freq.orderBy(F.desc("count"), F.asc("value")).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.asc("value"))).cast("long"))
+    spark = freq.sparkSession
+    hist = (freq.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("count")).limit(k).collect())
+    above, cut, n_cand = 0, None, 0
+    for r in hist:
+        if above + r["n"] >= k:
+            cut, n_cand = r["count"], above + r["n"]
+            break
+        above += r["n"]
+    if cut is None:                       # fewer than k values in all: every one is in
+        cand, n_cand = freq, above
+    else:
+        cand = freq.where(F.col("count") >= F.lit(cut))
+    order = [F.desc("count"), F.asc("value")]
+    if n_cand <= merge_max:
+        top = cand.orderBy(*order).limit(k)
+    else:
+        ensure_checkpoint_dir(spark)
+        ranked = (cand.orderBy(*order)
+                  .select("value", "count", F.spark_partition_id().alias("__pid"),
+                          F.monotonically_increasing_id().alias("__pos"))
+                  .checkpoint())          # fixes the sorted layout for the offsets below
+        sizes = sorted((r["__pid"], r["n"]) for r in
+                       ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
+        keep, left = [], k                # partitions are in sort order
+        for pid, n in sizes:
+            if left <= 0:
+                break
+            keep.append((pid, min(n, left)))
+            left -= n
+        # row index inside a partition = id minus the partition's base (pid << 33)
+        idx = F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33)
+        cond = F.lit(False)
+        for pid, take in keep:
+            cond = cond | ((F.col("__pid") == pid) & (idx < take))
+        top = ranked.where(cond).select("value", "count")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def rank_all(freq: DataFrame) -> DataFrame:

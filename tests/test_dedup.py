@@ -150,3 +150,18 @@ def test_auto_cost_choice_equals_brute_force(spark, monkeypatch):
         for t in (70, 85):
             got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, t).collect())
             assert got == sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, t)), t
+
+
+def test_top_values_exact_on_ties(spark):
+    # many ties at the cut; both the bounded merge and the sorted path give the plain answer
+    rnd = random.Random(4)
+    rows = [(f"v{rnd.randint(0, 400):03d}{'x' * rnd.randint(0, 3)}",) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "name string").repartition(7)
+    freq = dedup.value_frequencies(df, "name")
+    plain = [(r.value, r["count"]) for r in freq.orderBy(F.desc("count"), F.asc("value")).collect()]
+    for k in (1, 10, 57, len(plain), len(plain) + 5):
+        want = [(v, c, i + 1) for i, (v, c) in enumerate(plain[:k])]
+        for merge_max in (0, 200_000):
+            got = [(r.value, r["count"], r.rank) for r in
+                   dedup.top_values(freq, k, merge_max).orderBy("rank").collect()]
+            assert got == want, (k, merge_max)
