@@ -135,9 +135,13 @@ def q_top_values(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # D2, J1, D3-D5 near duplicates on part.p_name
 
-def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k: int = 2000) -> str:
-    """Nodes, LCS by a row-fold recursion, edges, and the greedy walk over ranks."""
-    return f"""
+def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k: int = 2000,
+               materialized: bool = False) -> str:
+    """Nodes, LCS by a row-fold recursion, edges, and the greedy walk over ranks.
+
+    ``materialized`` asks DuckDB to compute the edges and the walk once (it may
+    otherwise inline them into each use)."""
+    sql = f"""
     WITH RECURSIVE
     nodes AS (
       SELECT value, cnt, row_number() OVER (ORDER BY cnt DESC, value) AS rank FROM (
@@ -173,6 +177,9 @@ def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k
       SELECT e.rank_j, min(e.rank_i) AS rank_i FROM edges e
       WHERE e.rank_i IN (SELECT rank FROM kept) AND e.rank_j IN (SELECT rank FROM dropped) GROUP BY e.rank_j)
     """
+    if materialized:
+        sql = sql.replace("edges AS (", "edges AS MATERIALIZED (").replace("kept AS (", "kept AS MATERIALIZED (")
+    return sql
 
 
 @register("fuzzy_pairs", _fuzzy_sql(70) + "SELECT rank_i, rank_j, original, duplicate, similarity FROM edges")
@@ -210,6 +217,26 @@ def q_fuzzy_removed(spark, sf_dir):
     return spark.createDataFrame([(r.values, r.pairs, r.removed)], '`values` long, pairs long, removed long')
 
 
+# uncapped on supplier names: every value takes part (the LIMIT is above any count)
+UNCAPPED = 1_000_000_000
+
+
+@register("fuzzy_dedup_suppliers", _fuzzy_sql(90, "s_name", "supplier", UNCAPPED, True) + """
+    SELECT * FROM supplier WHERE s_name IS NULL OR CAST(s_name AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
+def q_fuzzy_dedup_suppliers(spark, sf_dir):
+    """Uncapped near-duplicate removal: full ranking, band candidates, survivor rounds."""
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "s_name", 90, max_values=None).table
+
+
+@register("fuzzy_matches_suppliers", _fuzzy_sql(90, "s_name", "supplier", UNCAPPED, True) + """
+    SELECT e.original, e.duplicate, e.similarity FROM matches m
+    JOIN edges e ON e.rank_i = m.rank_i AND e.rank_j = m.rank_j""")
+def q_fuzzy_matches_suppliers(spark, sf_dir):
+    """D5 uncapped: each dropped name with its first kept match (ranks differ in form, so omitted)."""
+    r = dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "s_name", 90, max_values=None)
+    return r.matches.select("original", "duplicate", "similarity")
+
+
 @register("fuzzy_dedup_customers", None)
 def q_fuzzy_dedup_customers(spark, sf_dir):
     """Uncapped near-duplicate removal over all customer names (checked against
