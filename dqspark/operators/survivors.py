@@ -58,7 +58,9 @@ def _greedy_local(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rank": pd.Series(out_rank, dtype="int64"), "keep": out_keep})
 
 
-def greedy_survivors(edges: DataFrame, local_limit: int = 200_000, max_rounds: int = 10_000) -> Survivors:
+def greedy_survivors(edges: DataFrame, local_limit: int = 200_000, max_rounds: int | None = None) -> Survivors:
+    """Rounds until every node is decided. ``max_rounds`` only guards a job: reaching
+    it with edges left raises (undecided nodes are never reported as kept)."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col("rank_i").cast("long").alias("rank_i"),
                      F.col("rank_j").cast("long").alias("rank_j"))
@@ -76,7 +78,7 @@ def greedy_survivors(edges: DataFrame, local_limit: int = 200_000, max_rounds: i
     decided: list[DataFrame] = []
     rounds = 0
     local_edges = 0
-    while rounds < max_rounds:
+    while True:
         n_edges = e.count()
         if n_edges <= local_limit:
             # nodes left without edges are kept; the rest is walked in one bounded task
@@ -89,6 +91,8 @@ def greedy_survivors(edges: DataFrame, local_limit: int = 200_000, max_rounds: i
                 decided.append(local)
                 local_edges = n_edges
             break
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"survivors undecided after {rounds} rounds ({n_edges} edges left)")
         later = e.select(F.col("rank_j").alias("rank")).distinct()
         keep = u.join(later, "rank", "left_anti")
         drop = (e.join(keep.select(F.col("rank").alias("rank_i")), "rank_i", "left_semi")

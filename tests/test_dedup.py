@@ -165,3 +165,16 @@ def test_top_values_exact_on_ties(spark):
             got = [(r.value, r["count"], r.rank) for r in
                    dedup.top_values(freq, k, merge_max).orderBy("rank").collect()]
             assert got == want, (k, merge_max)
+
+
+def test_survivor_chain_rounds_and_guard(spark):
+    # a rank-ordered chain settles two nodes per round; the walk keeps every other node
+    n = 12
+    edges = [(i, i + 1) for i in range(n - 1)]
+    df = spark.createDataFrame(edges, "rank_i long, rank_j long")
+    s = greedy_survivors(df, local_limit=0)
+    got = {r.rank: r.keep for r in s.states.collect()}
+    assert got == {i: i % 2 == 0 for i in range(n)}
+    import pytest
+    with pytest.raises(RuntimeError):
+        greedy_survivors(df, local_limit=0, max_rounds=2).states.collect()
