@@ -153,7 +153,12 @@ def fit_forest(df: DataFrame, cols: list[str], n_rows: int | None = None, n_tree
 # --------------------------------------------------------------------------- M3
 
 class Forest:
-    """Forest arrays on the driver (bounded: trees x (2 psi - 1) nodes)."""
+    """Forest arrays on the driver (bounded: trees x (2 psi - 1) nodes).
+
+    Each node keeps its leaf value ``depth + c(size)`` ready, so scoring a batch
+    is a walk of index arrays; feature values are read from the flat row-major
+    batch (one gather per tree level).
+    """
 
     def __init__(self, forest: DataFrame | pd.DataFrame, psi: int):
         pdf = forest.toPandas() if isinstance(forest, DataFrame) else forest
@@ -161,22 +166,26 @@ class Forest:
         self.psi = psi
         self.trees = []
         for _, g in pdf.groupby("tree", sort=True):
-            self.trees.append(tuple(g[c].to_numpy() for c in ("feature", "split", "left", "right", "size", "depth")))
+            leaf = g["depth"].to_numpy() + average_path_length(g["size"].to_numpy())
+            self.trees.append((g["feature"].to_numpy().astype(np.int64), g["split"].to_numpy(),
+                               g["left"].to_numpy().astype(np.int64), g["right"].to_numpy().astype(np.int64), leaf))
         self.max_depth = int(pdf["depth"].max()) if len(pdf) else 0
 
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feat, split, left, right, size, depth in self.trees:
-            node = np.zeros(len(x), dtype=np.int64)
+        n, nf = x.shape
+        flat = np.ascontiguousarray(x, dtype=float).ravel()
+        row_base = np.arange(n, dtype=np.int64) * nf
+        total = np.zeros(n)
+        for feat, split, left, right, leaf in self.trees:
+            node = np.zeros(n, dtype=np.int64)
             for _ in range(self.max_depth + 1):
                 f = feat[node]
                 inner = f >= 0
                 if not inner.any():
                     break
-                go_left = x[rows, np.where(inner, f, 0)] <= split[node]
+                go_left = flat[row_base + np.maximum(f, 0)] <= split[node]
                 node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-            total += depth[node] + average_path_length(size[node])
+            total += leaf[node]
         return total / max(len(self.trees), 1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
