@@ -1,9 +1,9 @@
 """CSV scan (S1-S6): header, comma, quoted line breaks, encoding detection, inference.
 
 * S5: only ``.csv`` names are accepted (a folder is read with ``*.csv`` only);
-* S2: the encoding of each file is found from its bytes in one ``binaryFile`` job:
-  a UTF-16 or UTF-8 byte-order mark, else valid UTF-8, else ISO-8859-1 (which
-  decodes any bytes). Files are then read per encoding and unioned;
+* S2: the encoding of each file is found from its bytes in one splittable scan:
+  a UTF-16 byte-order mark, else valid UTF-8 (a UTF-8 mark included), else
+  ISO-8859-1 (which decodes any bytes). Files are then read per encoding and unioned;
 * S1: every column is read as text (``multiLine`` for quoted line breaks; pass
   ``multiline=False`` for large plain files so Spark can split them);
 * S4: empty fields and the usual missing-value words become null;
@@ -38,14 +38,31 @@ def _check_name(path: str) -> None:
 
 
 def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
-    """``{file: encoding}`` from the bytes, one row per file."""
-    bf = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    head = F.substring(F.col("content"), 1, 3)
-    enc = (F.when(F.substring(head, 1, 2).isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF"))), F.lit(UTF16))
-           .when(head == F.unhex(F.lit("EFBBBF")), F.lit(UTF8))
-           .when(F.is_valid_utf8(F.col("content").cast("string")), F.lit(UTF8))
+    """``{file: encoding}`` from the bytes, one row per file.
+
+    A splittable scan, no file held whole: the ``text`` source hands over raw line
+    bytes, and newline bytes never occur inside a UTF-8 sequence, so a file is
+    valid UTF-8 exactly when each of its lines is. The byte-order mark is read
+    from the first line of each file's first block. Files are listed with
+    ``binaryFile`` (its content column is pruned, so not read).
+    """
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    files = [r["path"] for r in listing.select("path").collect()]
+    if not files:
+        return {}
+    lines = (spark.read.option("pathGlobFilter", "*.csv").text(path) if os.path.isdir(path)
+             else spark.read.text(path))
+    b = F.col("value").cast("binary")
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    per_file = (lines.select(F.col("_metadata.file_path").alias("path"), b.alias("b"), first.alias("first"))
+                .groupBy("path")
+                .agg(F.bool_and(F.is_valid_utf8(F.col("b").cast("string"))).alias("utf8"),
+                     F.min_by(F.substring(F.col("b"), 1, 2), F.col("first")).alias("head")))
+    enc = (F.when(F.col("head").isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF"))), F.lit(UTF16))
+           .when(F.col("utf8"), F.lit(UTF8))
            .otherwise(F.lit(LATIN1)))
-    return {r["path"]: r["enc"] for r in bf.select("path", enc.alias("enc")).collect()}
+    found = {r["path"]: r["enc"] for r in per_file.select("path", enc.alias("enc")).collect()}
+    return {f: found.get(f, UTF8) for f in files}      # an empty file has no lines
 
 
 def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None,

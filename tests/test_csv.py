@@ -50,3 +50,22 @@ def test_checksum(spark, tmp_path):
     p.write_bytes(b"a,b\n1,2\n")
     r = checksums(spark, str(p)).first()
     assert r.checksum == hashlib.sha256(b"a,b\n1,2\n").hexdigest()[:12] and r.length == 8
+
+
+def test_encoding_detection_over_split_files(spark, tmp_path):
+    # files cut into many blocks: a Latin-1 byte far from the start, a UTF-16 file
+    # whose later blocks carry no mark, and plain UTF-8, all in one folder
+    from dqspark.sources.csv import detect_encodings
+    body = "name,n\n" + "".join(f"row{i},{i}\n" for i in range(400))
+    (tmp_path / "a_utf8.csv").write_bytes((body + "café,1\n").encode("utf-8"))
+    (tmp_path / "b_latin.csv").write_bytes((body + "café,1\n").encode("latin-1"))
+    (tmp_path / "c_utf16.csv").write_bytes((body + "café,1\n").encode("utf-16"))
+    (tmp_path / "d_empty.csv").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        enc = {k.rsplit("/", 1)[-1]: v for k, v in detect_encodings(spark, str(tmp_path)).items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert enc.pop("d_empty.csv", "UTF-8") == "UTF-8"      # zero-length files may not be listed
+    assert enc == {"a_utf8.csv": "UTF-8", "b_latin.csv": "ISO-8859-1", "c_utf16.csv": "UTF-16"}
