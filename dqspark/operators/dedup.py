@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,41 +77,46 @@ def top_values(freq: DataFrame, k: int, merge_max: int = TOP_MERGE_MAX) -> DataF
     The rank window then sees at most ``k`` rows.
     """
     spark = freq.sparkSession
-    hist = (freq.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("count")).limit(k).collect())
-    above, cut, n_cand = 0, None, 0
-    for r in hist:
-        if above + r["n"] >= k:
-            cut, n_cand = r["count"], above + r["n"]
-            break
-        above += r["n"]
-    if cut is None:                       # fewer than k values in all: every one is in
-        cand, n_cand = freq, above
-    else:
-        cand = freq.where(F.col("count") >= F.lit(cut))
-    order = [F.desc("count"), F.asc("value")]
-    if n_cand <= merge_max:
-        top = cand.orderBy(*order).limit(k)
-    else:
-        ensure_checkpoint_dir(spark)
-        ranked = (cand.orderBy(*order)
-                  .select("value", "count", F.spark_partition_id().alias("__pid"),
-                          F.monotonically_increasing_id().alias("__pos"))
-                  .checkpoint())          # fixes the sorted layout for the offsets below
-        sizes = sorted((r["__pid"], r["n"]) for r in
-                       ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-        keep, left = [], k                # partitions are in sort order
-        for pid, n in sizes:
-            if left <= 0:
+    ensure_checkpoint_dir(spark)
+    # both passes below read the frequencies: aggregate the table once
+    freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        hist = (freq.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.desc("count")).limit(k).collect())
+        above, cut, n_cand = 0, None, 0
+        for r in hist:
+            if above + r["n"] >= k:
+                cut, n_cand = r["count"], above + r["n"]
                 break
-            keep.append((pid, min(n, left)))
-            left -= n
-        # row index inside a partition = id minus the partition's base (pid << 33)
-        idx = F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33)
-        cond = F.lit(False)
-        for pid, take in keep:
-            cond = cond | ((F.col("__pid") == pid) & (idx < take))
-        top = ranked.where(cond).select("value", "count")
+            above += r["n"]
+        if cut is None:                   # fewer than k values in all: every one is in
+            cand, n_cand = freq, above
+        else:
+            cand = freq.where(F.col("count") >= F.lit(cut))
+        order = [F.desc("count"), F.asc("value")]
+        if n_cand <= merge_max:
+            top = cand.orderBy(*order).limit(k).checkpoint()       # at most k rows
+        else:
+            ranked = (cand.orderBy(*order)
+                      .select("value", "count", F.spark_partition_id().alias("__pid"),
+                              F.monotonically_increasing_id().alias("__pos"))
+                      .checkpoint())      # fixes the sorted layout for the offsets below
+            sizes = sorted((r["__pid"], r["n"]) for r in
+                           ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
+            keep, left = [], k            # partitions are in sort order
+            for pid, n in sizes:
+                if left <= 0:
+                    break
+                keep.append((pid, min(n, left)))
+                left -= n
+            # row index inside a partition = id minus the partition's base (pid << 33)
+            idx = F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33)
+            cond = F.lit(False)
+            for pid, take in keep:
+                cond = cond | ((F.col("__pid") == pid) & (idx < take))
+            top = ranked.where(cond).select("value", "count")
+    finally:
+        freq.unpersist()
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
