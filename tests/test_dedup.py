@@ -178,3 +178,17 @@ def test_survivor_chain_rounds_and_guard(spark):
     import pytest
     with pytest.raises(RuntimeError):
         greedy_survivors(df, local_limit=0, max_rounds=2).states.collect()
+
+
+def test_joined_text_verifier_equals_brute_force(spark, monkeypatch):
+    # texts above the broadcast bound travel with the pairs instead of a broadcast map
+    monkeypatch.setattr(blocking, "BROADCAST_TEXT_BYTES", 0)
+    rnd = random.Random(21)
+    base = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(5, 16))) for _ in range(40)]
+    vals = sorted(set(base + [b[:-1] + "z" for b in base[:20]]))
+    nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
+    want = sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, 80))
+    for strategy in ("band", "prefix"):
+        rows = blocking.similarity_edges(nodes, 80, strategy).collect()
+        assert sorted((r.rank_i, r.rank_j) for r in rows) == want, strategy
+        assert all(r.value_i == vals[r.rank_i] and r.value_j == vals[r.rank_j] for r in rows)
