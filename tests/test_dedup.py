@@ -192,3 +192,20 @@ def test_joined_text_verifier_equals_brute_force(spark, monkeypatch):
         rows = blocking.similarity_edges(nodes, 80, strategy).collect()
         assert sorted((r.rank_i, r.rank_j) for r in rows) == want, strategy
         assert all(r.value_i == vals[r.rank_i] and r.value_j == vals[r.rank_j] for r in rows)
+
+
+def test_survivor_properties_on_part_names(spark):
+    from dqspark.functions.similarity import ratio
+    df = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    for t in (70, 85):
+        r = dedup.fuzzy_dedup(df, "p_name", t)
+        kept = sorted({x.p_name for x in r.table.select("p_name").collect()})
+        # no two survivors reach the threshold
+        assert not [(a, b) for i, a in enumerate(kept) for b in kept[i + 1:] if ratio(a, b) >= t]
+        # every dropped value has an earlier kept match that reaches it
+        m = {x.duplicate: x for x in r.matches.collect()}
+        dropped = {x.value for x in r.dropped.collect()}
+        assert set(m) == dropped
+        for d, x in m.items():
+            assert x.original in kept and x.rank_i < x.rank_j and ratio(x.original, d) >= t
+            assert abs(x.similarity - ratio(x.original, d)) < 1e-9
