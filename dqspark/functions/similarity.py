@@ -184,10 +184,11 @@ def _score_batch(a, b, threshold: float, caches: _Caches | None = None) -> pd.Se
 def similarity(a: Column, b: Column, threshold: float = 0.0) -> Column:
     """Column of scores. Scores below ``threshold`` may be lower bounds only."""
     thr = float(threshold)
+    state: dict = {}
 
     @F.pandas_udf(T.DoubleType())
     def _similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return _score_batch(x, y, thr)
+        return _score_batch(x, y, thr, state.setdefault("caches", _Caches()))
 
     # nondeterministic only to the optimizer: a filter on the score must not be
     # pushed below the projection, which would run the UDF twice

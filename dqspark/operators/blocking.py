@@ -40,8 +40,8 @@ shorter-side row is sent to its own and the next band only, then de-duplicated.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -50,24 +50,28 @@ from pyspark.sql import types as T
 
 from dqspark.functions.similarity import similarity, similarity_of_ranks
 
+def _numbered(v: str) -> np.ndarray:
+    """``code point << 32 | occurrence`` for each character, in text order."""
+    cp = np.frombuffer(v.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    order = np.argsort(cp, kind="stable")           # equal characters keep text order
+    ranked = cp[order]
+    idx = np.arange(len(cp))
+    first = np.ones(len(cp), dtype=bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    run_start = np.maximum.accumulate(np.where(first, idx, 0))
+    occurrence = np.empty(len(cp), dtype=np.int64)
+    occurrence[order] = idx - run_start + 1
+    return (cp << 32) | occurrence
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def numbered_chars(values: pd.Series) -> pd.Series:
     """Numbered characters as exact longs: ``code point << 32 | occurrence``.
 
     ``"aba"`` -> ``[a#1, b#1, a#2]``; by code point, as Python strings count.
+    Vectorised per text: a stable sort by code point numbers equal characters.
     """
-    out = []
-    for v in values:
-        if v is None:
-            out.append(None)
-            continue
-        seen: Counter = Counter()
-        toks = []
-        for ch in v:
-            seen[ch] += 1
-            toks.append((ord(ch) << 32) | seen[ch])
-        out.append(toks)
-    return pd.Series(out)
+    return pd.Series([None if v is None else _numbered(v) for v in values])
 
 
 def length_band(length, threshold: float):

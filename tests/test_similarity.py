@@ -58,3 +58,16 @@ def test_stop_rule_is_exact(a, b, slack):
         assert (got >= need) == (exact >= need)
         if got >= need:
             assert got == exact
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abé😀 \n", max_size=60))
+def test_numbered_characters(v):
+    from collections import Counter
+
+    from dqspark.operators.blocking import _numbered
+    seen, want = Counter(), []
+    for ch in v:
+        seen[ch] += 1
+        want.append((ord(ch) << 32) | seen[ch])
+    assert _numbered(v).tolist() == want
