@@ -3,22 +3,33 @@
 A ``binaryFile`` stream over the landing folder lists new ``*.csv`` files (only
 the ``path`` column is selected, so file bodies are not read by the stream);
 each micro-batch holds at most ``files_per_batch`` files and ``foreachBatch`` runs
-the cleaning job once per file. The checkpoint location records which files were
-processed, so a restart (or a lost driver) resumes without running a file twice.
+the cleaning job once per file. The checkpoint location records which batches
+were committed, so a restart resumes after them. ``foreachBatch`` is
+at-least-once: a batch cut short by a failure runs again. The job id is derived
+from the file's path and modification time, so a replay overwrites the same
+output folder and appends rows for the same job, which the latest-run view
+(one row per job) folds together.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.plans.jobs import new_job_id, register_upload, run_job
+from dqspark.plans.jobs import register_upload, run_job
 from dqspark.plans.runs import RunStore
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+def landed_job_id(path: str, modified) -> str:
+    """Stable id of one landed file version: the same file replayed gets the same id."""
+    return hashlib.sha256(f"{path}|{modified}".encode()).hexdigest()[:8]
+
+
 def _local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
@@ -30,13 +41,14 @@ def ingest_landing(spark: SparkSession, landing: str, store_root: str, checkpoin
     store = RunStore(spark, store_root)
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", "*.csv")
-             .option("maxFilesPerTrigger", files_per_batch).load(landing).select("path"))
+             .option("maxFilesPerTrigger", files_per_batch).load(landing)
+             .select("path", "modificationTime"))
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         # bounded: at most files_per_batch paths per micro-batch
-        for row in batch.select("path").orderBy("path").collect():
+        for row in batch.select("path", "modificationTime").orderBy("path").collect():
             path = _local_path(row["path"])
-            job_id = new_job_id()
+            job_id = landed_job_id(row["path"], row["modificationTime"])
             register_upload(spark, store, path, job_id)
             run_job(spark, store, path, job_id, match_col, threshold)
 

@@ -52,3 +52,9 @@ def test_landing_stream_processes_each_file_once(spark, tmp_path):
     latest = RunStore(spark, store_root).latest().collect()
     assert sorted(r.filename for r in latest) == ["a.csv", "b.csv"]
     assert all(r.status == "complete" and r.clean_records == 12 for r in latest)
+    # a lost commit replays batches: the same files keep their job ids, so no new jobs appear
+    q = ingest_landing(spark, str(landing), store_root, str(tmp_path / "ckpt_fresh"))
+    q.awaitTermination(300)
+    again = RunStore(spark, store_root).latest().collect()
+    assert sorted(r.job_id for r in again) == sorted(r.job_id for r in latest)
+    assert all(r.status == "complete" and r.clean_records == 12 for r in again)
