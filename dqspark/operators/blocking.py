@@ -180,7 +180,8 @@ def _banded(nodes: DataFrame, threshold: float) -> DataFrame:
 def band_stats(banded: DataFrame) -> tuple[int, int, int]:
     """One small aggregate: (values, text bytes, band-join pairs), the pairs being
     ``sum c_b (c_b - 1) / 2 + c_b c_(b+1)`` over the length bands."""
-    h = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("len") + 16).alias("bytes"))
+    h = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"),
+                                   F.sum(F.octet_length("value") + 16).alias("bytes"))
     up = h.select((F.col("band") - 1).alias("band"), F.col("c").alias("c_up"))
     row = (h.join(up, "band", "left")
            .agg(F.sum("c").alias("n"), F.sum("bytes").alias("bytes"),

@@ -176,12 +176,12 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
     dropped = (nodes.join(states.where(~F.col("keep")).select("rank"), "rank")
                .select("value", "count", "rank")).checkpoint()
     stats = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows"),
-                        F.sum(F.length("value")).alias("chars")).first()
+                        F.sum(F.octet_length("value")).alias("bytes")).first()
     removed = int(stats["rows"] or 0)
 
     key = _c(col).cast("string")
     drop_side = dropped.select(F.col("value").alias("__drop_value"))
-    if (stats["chars"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES:
+    if (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES:
         drop_side = F.broadcast(drop_side)
     table = df.join(drop_side, key == F.col("__drop_value"), "left_anti") if stats["n"] else df
 
