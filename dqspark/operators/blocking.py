@@ -29,7 +29,9 @@ Two exact candidate generators, chosen from counted sizes:
   shares hundreds of prefix tokens there, so the join emits ~200 rows per pair);
 * prefix join otherwise (uncapped value sets), described below, unless its
   exact raw output (counted per join key before joining) costs more than the
-  band pairs would (``BAND_COST_RATIO``).
+  band pairs would (``BAND_COST_RATIO``) and those stay under the counted bound
+  ``BAND_PAIRS_COST_MAX``. All pairs of a band are thus only ever emitted in a
+  counted, bounded number.
 
 Prefix join: tokens come from a vectorised Arrow UDF (code points, as in Python);
 token frequencies are one ``groupBy`` (map-side combined); prefixes are a window
@@ -168,6 +170,7 @@ BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the
 # CPU per band pair (bag bound in Python) against per raw prefix-join row (shuffle,
 # de-duplication), measured on documents at sf 0.1: about 15 us against 2.4 us
 BAND_COST_RATIO = 6
+BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever the cost check says
 BAND_SALTS = 16                   # a band is split over this many tasks
 BROADCAST_TEXT_BYTES = 64 << 20   # node texts below this size are broadcast to the verifier
 
@@ -234,7 +237,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto")
     if strategy == "prefix" or (strategy == "auto" and n_band > BAND_PAIRS_MAX):
         # the prefix join wins on short, varied values; on long texts of one
         # language its raw output can exceed the band pairs many times over
-        limit = BAND_COST_RATIO * n_band if strategy == "auto" else None
+        limit = BAND_COST_RATIO * n_band if strategy == "auto" and n_band <= BAND_PAIRS_COST_MAX else None
         pairs, n_pairs = candidate_pairs(nodes, t, n_nodes, limit)
     if pairs is None:
         pairs, n_pairs = band_pairs(banded, t), n_band         # an upper bound of the count
