@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The score bands and words shown to users.
+STATUS_WORDS = ("Clean", "Has Nulls")                     # no nulls / some nulls
+VERDICT_WORDS = ("Excellent", "Acceptable", "Poor")
 VERDICT_EXCELLENT = 80       # quality score at or above: "Excellent"
 VERDICT_ACCEPTABLE = 60      # quality score at or above: "Acceptable", else "Poor"
+SEVERITY_WORDS = ("High", "Medium")
 SEVERITY_HIGH = 90           # match similarity at or above: "High", else "Medium"
+BAND_WORDS = ("Strict", "Balanced", "Lenient")
 BAND_STRICT = 90             # threshold at or above: "Strict"
 BAND_BALANCED = 80           # threshold at or above: "Balanced", else "Lenient"
 
@@ -73,26 +77,26 @@ def clamp_pct(ratio: Column) -> Column:
 
 def column_status(null_count: Column) -> Column:
     """C11."""
-    return F.when(null_count == 0, F.lit("Clean")).otherwise(F.lit("Has Nulls"))
+    return F.when(null_count == 0, F.lit(STATUS_WORDS[0])).otherwise(F.lit(STATUS_WORDS[1]))
 
 
 def quality_verdict(score: Column) -> Column:
     """C12."""
-    return (F.when(score >= VERDICT_EXCELLENT, F.lit("Excellent"))
-            .when(score >= VERDICT_ACCEPTABLE, F.lit("Acceptable"))
-            .otherwise(F.lit("Poor")))
+    return (F.when(score >= VERDICT_EXCELLENT, F.lit(VERDICT_WORDS[0]))
+            .when(score >= VERDICT_ACCEPTABLE, F.lit(VERDICT_WORDS[1]))
+            .otherwise(F.lit(VERDICT_WORDS[2])))
 
 
 def match_severity(similarity: Column) -> Column:
     """C13."""
-    return F.when(similarity >= SEVERITY_HIGH, F.lit("High")).otherwise(F.lit("Medium"))
+    return F.when(similarity >= SEVERITY_HIGH, F.lit(SEVERITY_WORDS[0])).otherwise(F.lit(SEVERITY_WORDS[1]))
 
 
 def threshold_band(threshold: Column) -> Column:
     """C14."""
-    return (F.when(threshold >= BAND_STRICT, F.lit("Strict"))
-            .when(threshold >= BAND_BALANCED, F.lit("Balanced"))
-            .otherwise(F.lit("Lenient")))
+    return (F.when(threshold >= BAND_STRICT, F.lit(BAND_WORDS[0]))
+            .when(threshold >= BAND_BALANCED, F.lit(BAND_WORDS[1]))
+            .otherwise(F.lit(BAND_WORDS[2])))
 
 
 def duration_text(seconds: Column) -> Column:
