@@ -65,7 +65,7 @@ def lcs_length(a: str, b: str, need: int = 0, pm: dict | None = None) -> int:
     mask = (1 << m) - 1
     s = mask
     rest = len(b)
-    blocks = _blocks(m) if need else ()
+    blocks = _blocks(m) if need and len(b) >= CHECK_EVERY else ()
     step = 0
     for ch in b:
         match = pm.get(ch)
@@ -103,15 +103,28 @@ def min_lcs(la: int, lb: int, threshold: float) -> int:
 
 
 def _common_ends(a: str, b: str) -> tuple[int, int]:
-    """Lengths of the common prefix and of the common suffix of what is left."""
+    """Lengths of the common prefix and of the common suffix of what is left.
+
+    Binary search over slice comparisons (done in C), not a character loop.
+    """
     n = min(len(a), len(b))
-    p = 0
-    while p < n and a[p] == b[p]:
-        p += 1
-    q = 0
-    while q < n - p and a[-1 - q] == b[-1 - q]:
-        q += 1
-    return p, q
+    lo, hi = 0, n                       # a[:lo] == b[:lo]; the longest such lo in [lo, hi]
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[:mid] == b[:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    p = lo
+    lo, hi = 0, n - p                   # same for suffixes of the rest
+    la, lb = len(a), len(b)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[la - mid:] == b[lb - mid:]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return p, lo
 
 
 def _bag_overlap(ca: Counter, cb: Counter) -> int:

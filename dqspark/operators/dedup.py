@@ -157,7 +157,7 @@ class FuzzyResult:
 
 
 def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
-                max_values: int | None = DEFAULT_MAX_VALUES, local_limit: int = 200_000) -> FuzzyResult:
+                max_values: int | None = DEFAULT_MAX_VALUES, local_limit: int = 1_000_000) -> FuzzyResult:
     """Drop every row whose ``col`` value is a near copy of an earlier kept value."""
     spark = df.sparkSession
     if col not in df.columns:          # P5

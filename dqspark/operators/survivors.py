@@ -58,7 +58,7 @@ def _greedy_local(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rank": pd.Series(out_rank, dtype="int64"), "keep": out_keep})
 
 
-def greedy_survivors(edges: DataFrame, local_limit: int = 200_000, max_rounds: int | None = None) -> Survivors:
+def greedy_survivors(edges: DataFrame, local_limit: int = 1_000_000, max_rounds: int | None = None) -> Survivors:
     """Rounds until every node is decided. ``max_rounds`` only guards a job: reaching
     it with edges left raises (undecided nodes are never reported as kept)."""
     ensure_checkpoint_dir(edges.sparkSession)

@@ -71,3 +71,16 @@ def test_numbered_characters(v):
         seen[ch] += 1
         want.append((ord(ch) << 32) | seen[ch])
     assert _numbered(v).tolist() == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab", max_size=12), st.text(alphabet="ab", max_size=12))
+def test_common_ends(a, b):
+    from dqspark.functions.similarity import _common_ends
+    p = 0
+    while p < min(len(a), len(b)) and a[p] == b[p]:
+        p += 1
+    q = 0
+    while q < min(len(a), len(b)) - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    assert _common_ends(a, b) == (p, q)
