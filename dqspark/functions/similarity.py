@@ -102,29 +102,34 @@ def min_lcs(la: int, lb: int, threshold: float) -> int:
     return max(0, math.ceil(threshold * (la + lb) / 200.0 - 1e-9))
 
 
-def _common_ends(a: str, b: str) -> tuple[int, int]:
-    """Lengths of the common prefix and of the common suffix of what is left.
+def _shared_run(a: str, b: str, n: int, backwards: bool) -> int:
+    """Length of the common prefix (or suffix) of ``a`` and ``b``, at most ``n``.
 
-    Binary search over slice comparisons (done in C), not a character loop.
+    Unrelated texts differ within a few characters: those are compared one by one.
+    A longer shared run (near copies) is found by binary search over slice
+    comparisons, done in C, instead of a Python loop over its length.
     """
-    n = min(len(a), len(b))
-    lo, hi = 0, n                       # a[:lo] == b[:lo]; the longest such lo in [lo, hi]
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[:mid] == b[:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    p = lo
-    lo, hi = 0, n - p                   # same for suffixes of the rest
     la, lb = len(a), len(b)
+    k = 0
+    while k < n and k < 32:
+        if (a[la - 1 - k] != b[lb - 1 - k]) if backwards else (a[k] != b[k]):
+            return k
+        k += 1
+    lo, hi = k, n
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        if a[la - mid:] == b[lb - mid:]:
+        if (a[la - mid:] == b[lb - mid:]) if backwards else (a[:mid] == b[:mid]):
             lo = mid
         else:
             hi = mid - 1
-    return p, lo
+    return lo
+
+
+def _common_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the common prefix and of the common suffix of what is left."""
+    n = min(len(a), len(b))
+    p = _shared_run(a, b, n, False)
+    return p, _shared_run(a, b, n - p, True)
 
 
 def _bag_overlap(ca: Counter, cb: Counter) -> int:

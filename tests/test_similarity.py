@@ -84,3 +84,19 @@ def test_common_ends(a, b):
     while q < min(len(a), len(b)) - p and a[-1 - q] == b[-1 - q]:
         q += 1
     assert _common_ends(a, b) == (p, q)
+
+
+def test_common_ends_long_runs():
+    from dqspark.functions.similarity import _common_ends
+    rnd = random.Random(2)
+    for _ in range(200):
+        core = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 300)))
+        a = core[:rnd.randint(0, len(core))] + "x" + core
+        b = core[:rnd.randint(0, len(core))] + "y" + core
+        p = 0
+        while p < min(len(a), len(b)) and a[p] == b[p]:
+            p += 1
+        q = 0
+        while q < min(len(a), len(b)) - p and a[-1 - q] == b[-1 - q]:
+            q += 1
+        assert _common_ends(a, b) == (p, q)
