@@ -53,7 +53,10 @@ def main() -> None:
         force(r.table)
         sec = round(time.time() - t0, 3)
         times[f"fuzzy_{tab}"] = sec
-        fuzzy[label] = {"values": r.values, "pairs_verified": r.pairs, "survivor_rounds": r.rounds,
+        fuzzy[label] = {"values": r.values, "all_pairs": r.values * (r.values - 1) // 2,
+                        "candidate_generator": r.strategy, "candidate_pairs": r.candidates,
+                        "candidate_count_exact": r.strategy == "prefix",   # band: counted upper bound
+                        "pairs_matched": r.pairs, "survivor_rounds": r.rounds,
                         "rows_removed": r.removed, "sec": sec}
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

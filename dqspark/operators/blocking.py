@@ -217,7 +217,8 @@ def band_pairs(banded: DataFrame, threshold: float, salts: int = BAND_SALTS) ->
             .select(F.least("rank_x", "rank_y").alias("rank_i"), F.greatest("rank_x", "rank_y").alias("rank_j")))
 
 
-def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto") -> DataFrame:
+def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
+                     info: dict | None = None) -> DataFrame:
     """J1 + D2: ``(rank_i, rank_j, value_i, value_j, similarity)`` with similarity >= threshold.
 
     ``strategy``: ``"band"``, ``"prefix"`` or ``"auto"`` (band join when its counted
@@ -225,7 +226,9 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto")
     inside each partition so the verifier reuses a value's bit pattern and
     character counts across its partners; it applies the character-bag bound
     before the LCS. When the texts fit the measured broadcast bound, only ranks
-    cross into Python and the texts come from a broadcast map.
+    cross into Python and the texts come from a broadcast map. ``info``, when
+    given, receives the generator used and the candidate count (for the band
+    join, its counted upper bound before the length check).
     """
     t = float(threshold)
     spark = nodes.sparkSession
@@ -239,8 +242,11 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto")
         # language its raw output can exceed the band pairs many times over
         limit = BAND_COST_RATIO * n_band if strategy == "auto" and n_band <= BAND_PAIRS_COST_MAX else None
         pairs, n_pairs = candidate_pairs(nodes, t, n_nodes, limit)
+    used = "prefix"
     if pairs is None:
-        pairs, n_pairs = band_pairs(banded, t), n_band         # an upper bound of the count
+        pairs, n_pairs, used = band_pairs(banded, t), n_band, "band"    # an upper bound of the count
+    if info is not None:
+        info.update(strategy=used, candidates=int(n_pairs), band_pairs=int(n_band), values=int(n_nodes))
     left = nodes.select(F.col("rank").alias("rank_i"), F.col("value").alias("value_i"))
     right = nodes.select(F.col("rank").alias("rank_j"), F.col("value").alias("value_j"))
     # verification is CPU-bound: size partitions by pair count (an explicit count

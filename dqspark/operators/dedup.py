@@ -150,6 +150,8 @@ class FuzzyResult:
     pairs: int                # pairs scored >= threshold
     rounds: int               # survivor rounds
     dropped: DataFrame        # (value, count) of dropped values
+    candidates: int = 0       # candidate pairs verified (band join: its counted upper bound)
+    strategy: str = ""        # candidate generator used: band or prefix
 
     def first_matches(self, n: int = MATCHES_KEPT) -> DataFrame:
         """The first ``n`` matches in (rank_i, rank_j) order."""
@@ -169,7 +171,8 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
     if max_values is not None:
         nodes = nodes.checkpoint()
     n_values = nodes.count()
-    edges = similarity_edges(nodes.select("rank", "value"), threshold).checkpoint()
+    info: dict = {}
+    edges = similarity_edges(nodes.select("rank", "value"), threshold, info=info).checkpoint()
     n_pairs = edges.count()
     surv = greedy_survivors(edges.select("rank_i", "rank_j"), local_limit=local_limit)
     states = surv.states.checkpoint()
@@ -194,4 +197,4 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
                            F.col("m.similarity").alias("similarity"),
                            F.col("m.rank_i").alias("rank_i"), F.col("rank_j"))
     return FuzzyResult(table, removed, matches, edges, n_values, n_pairs, surv.rounds,
-                       dropped.select("value", "count"))
+                       dropped.select("value", "count"), info.get("candidates", 0), info.get("strategy", ""))
