@@ -57,12 +57,39 @@ def finite_or_null(c: Column) -> Column:
     return F.when(F.isnan(c) | is_inf(c), F.lit(None)).otherwise(c)
 
 
+def _holds_float(dt: T.DataType) -> bool:
+    if is_float(dt):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _holds_float(dt.elementType)
+    if isinstance(dt, T.MapType):
+        return _holds_float(dt.valueType)
+    if isinstance(dt, T.StructType):
+        return any(_holds_float(f.dataType) for f in dt.fields)
+    return False
+
+
+def finite_deep(c: Column, dt: T.DataType) -> Column:
+    """C1 at any depth: NaN and +-inf to null inside arrays, map values and structs.
+
+    Higher-order functions (``transform``, ``transform_values``) run in the JVM.
+    """
+    if not _holds_float(dt):
+        return c
+    if is_float(dt):
+        return finite_or_null(c).cast(dt)
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: finite_deep(x, dt.elementType))
+    if isinstance(dt, T.MapType):
+        return F.transform_values(c, lambda _, v: finite_deep(v, dt.valueType))
+    fields = [finite_deep(c.getField(f.name), f.dataType).alias(f.name) for f in dt.fields]
+    return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields)).cast(dt)
+
+
 def sanitize(df: DataFrame) -> DataFrame:
-    """NaN and +-inf to null in every float column, nested ones left as they are."""
-    cols = [finite_or_null(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
-            if is_float(f.dataType) else F.col(f"`{f.name}`")
-            for f in df.schema.fields]
-    return df.select(*cols)
+    """NaN and +-inf to null in every float value, nested ones included."""
+    return df.select(*[finite_deep(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
+                       for f in df.schema.fields])
 
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:

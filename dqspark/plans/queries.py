@@ -389,6 +389,36 @@ def q_sanitise(spark, sf_dir):
     return scalar.sanitize(events_dirty(spark, sf_dir))
 
 
+def embeddings_dirty(spark, sf_dir):
+    """Embeddings with +inf above 0.2 and NaN below -0.2, element by element."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.transform("embedding", lambda x: F.when(x.cast("double") > 0.2, F.lit(float("inf")).cast("float"))
+                    .when(x.cast("double") < -0.2, F.lit(float("nan")).cast("float")).otherwise(x))
+    return e.select("vec_id", "label", v.alias("embedding"))
+
+
+@register("sanitise_nested", """
+    WITH d AS (
+      SELECT vec_id, label,
+             list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > 0.2 THEN 'inf'::FLOAT
+                                                 WHEN CAST(x AS DOUBLE) < -0.2 THEN 'nan'::FLOAT ELSE x END) AS embedding
+      FROM embeddings),
+    c AS (SELECT vec_id, label,
+                 list_transform(embedding, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN NULL ELSE x END) AS embedding
+          FROM d)
+    SELECT vec_id, label, len(list_filter(embedding, lambda x: x IS NULL)) AS nulled,
+           len(list_filter(embedding, lambda x: x IS NOT NULL)) AS kept, CAST(list_max(embedding) AS DOUBLE) AS top
+    FROM c""")
+def q_sanitise_nested(spark, sf_dir):
+    """C1 inside arrays: NaN and +-inf elements become null, the rest stay."""
+    v = F.col("embedding")
+    return scalar.sanitize(embeddings_dirty(spark, sf_dir)).select(
+        "vec_id", "label",
+        F.size(F.filter(v, lambda x: x.isNull())).cast("long").alias("nulled"),
+        F.size(F.filter(v, lambda x: x.isNotNull())).cast("long").alias("kept"),
+        F.array_max(v).cast("double").alias("top"))
+
+
 # ---------------------------------------------------------------------------
 # K1-K6 quality index, C11-C13 report words
 

@@ -18,3 +18,19 @@ def test_score_range(spark, people):
     r = quality_index(people, raw_count=6, anomaly_count=0).first()
     assert 0 <= r.cqi_score <= 100
     assert set(r.asDict()) == {"completeness", "uniqueness", "validity", "consistency", "accuracy", "cqi_score"}
+
+
+def test_sanitize_nested(spark):
+    from dqspark.functions.scalar import sanitize
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame(
+        [(1, [1.0, inf, nan, None], {"a": -inf, "b": 2.0}, (nan, "x", [inf, 3.0]), 4.0),
+         (2, None, None, None, nan)],
+        "id int, xs array<double>, m map<string,double>, s struct<f:double,t:string,ys:array<double>>, d double")
+    out = {r.id: r for r in sanitize(df).collect()}
+    assert out[1].xs == [1.0, None, None, None]
+    assert out[1].m == {"a": None, "b": 2.0}
+    assert out[1].s.f is None and out[1].s.t == "x" and out[1].s.ys == [None, 3.0]
+    assert out[1].d == 4.0
+    assert out[2].xs is None and out[2].m is None and out[2].s is None and out[2].d is None
+    assert sanitize(df).schema == df.schema
