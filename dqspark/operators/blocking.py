@@ -257,6 +257,8 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     if text_bytes <= BROADCAST_TEXT_BYTES:       # measured, not assumed
         pdf = nodes.select("rank", "value").toPandas()
         texts = spark.sparkContext.broadcast(dict(zip(pdf["rank"].tolist(), pdf["value"].tolist())))
+        if info is not None:
+            info["broadcast"] = texts      # the caller may release it once the edges are written
         cand = pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")
         scored = cand.select("rank_i", "rank_j",
                              similarity_of_ranks(F.col("rank_i"), F.col("rank_j"), texts, t).alias("similarity"))

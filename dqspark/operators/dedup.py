@@ -174,6 +174,10 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
     info: dict = {}
     edges = similarity_edges(nodes.select("rank", "value"), threshold, info=info).checkpoint()
     n_pairs = edges.count()
+    if info.get("broadcast") is not None:
+        # edges are checkpointed: executors no longer need the texts (unpersist, not
+        # destroy, so a recomputation could still fetch them again)
+        info["broadcast"].unpersist()
     surv = greedy_survivors(edges.select("rank_i", "rank_j"), local_limit=local_limit)
     states = surv.states.checkpoint()
     dropped = (nodes.join(states.where(~F.col("keep")).select("rank"), "rank")
