@@ -527,8 +527,8 @@ RUNS_SQL = """
     SELECT job_id, 'complete', CAST(NULL AS DOUBLE), CAST(clean_records AS DOUBLE) FROM o
     WHERE job_id NOT IN (SELECT job_id FROM r)""")
 def q_run_history(spark, sf_dir):
-    latest = runs_mod.latest_runs(runs_from_orders(spark, sf_dir))
-    return runs_mod.run_history(latest, outputs_from_lineitem(spark, sf_dir)).select(
+    runs = runs_from_orders(spark, sf_dir)
+    return runs_mod.run_history(runs_mod.latest_runs(runs), outputs_from_lineitem(spark, sf_dir), runs).select(
         "job_id", "status", "cqi_score", F.col("clean_records").cast("double").alias("clean_records"))
 
 

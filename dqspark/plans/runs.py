@@ -110,7 +110,7 @@ class RunStore:
                              .option("escape", '"').csv(f"{p}/*_clean.csv"))
 
     def history(self) -> DataFrame:
-        return run_history(self.latest(), self.outputs())
+        return run_history(self.latest(), self.outputs(), self.runs())
 
     def counters(self) -> DataFrame:
         return run_counters(self.latest())
@@ -133,10 +133,16 @@ def output_counts(outputs: DataFrame) -> DataFrame:
             .select(job_id_of(F.col("file")).alias("job_id"), "clean_records", "file"))
 
 
-def run_history(latest: DataFrame, outputs: DataFrame) -> DataFrame:
-    """U2 + J3 + P10: finished runs, plus stored outputs that have no run record."""
+def run_history(latest: DataFrame, outputs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """U2 + J3 + P10: finished runs, plus stored outputs that have no run record.
+
+    ``runs`` (the raw run rows), when given, serves the anti join directly: a job
+    has a latest row exactly when it has any run row, so the latest-state
+    aggregate is not computed a second time just for its ids.
+    """
     finished = latest.where(F.col("status").isin(*FINISHED))
-    orphans = (outputs.join(latest.select("job_id"), "job_id", "left_anti")
+    known = (runs if runs is not None else latest).select("job_id")
+    orphans = (outputs.join(known, "job_id", "left_anti")
                .withColumn("status", F.lit("complete")))
     return finished.unionByName(orphans, allowMissingColumns=True)
 
