@@ -15,9 +15,9 @@ rows; readers take the latest row per job.
 
 from __future__ import annotations
 
-import os
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,10 +84,12 @@ class RunStore:
 
     # ------------------------------------------------------------------ reads
     def _read(self, name: str, schema) -> DataFrame:
-        p = self.path(name)
-        if os.path.isdir(p) and any(not n.startswith((".", "_")) for n in os.listdir(p)):
-            return self.spark.read.schema(schema).parquet(p)
-        return self.spark.createDataFrame([], schema)
+        # any filesystem the cluster names (no local-disk checks): a table not
+        # written yet reads as empty
+        try:
+            return self.spark.read.schema(schema).parquet(self.path(name))
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
         return self._read("runs", RUN_SCHEMA)
@@ -104,10 +106,12 @@ class RunStore:
     def outputs(self) -> DataFrame:
         """``(job_id, clean_records, file)`` per stored output, one scan of all outputs."""
         p = self.path("outputs")
-        if not os.path.isdir(p):
+        try:
+            stored = (self.spark.read.option("header", True).option("multiLine", True)
+                      .option("escape", '"').csv(f"{p}/*_clean.csv"))
+        except AnalysisException:          # no output stored yet
             return self.spark.createDataFrame([], "job_id string, clean_records long, file string")
-        return output_counts(self.spark.read.option("header", True).option("multiLine", True)
-                             .option("escape", '"').csv(f"{p}/*_clean.csv"))
+        return output_counts(stored)
 
     def history(self) -> DataFrame:
         return run_history(self.latest(), self.outputs(), self.runs())

@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +31,15 @@ FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:
 UTF8, UTF16, LATIN1 = "UTF-8", "UTF-16", "ISO-8859-1"
 
 
-def _check_name(path: str) -> None:
-    if not os.path.isdir(path) and not path.lower().endswith(".csv") and "*" not in path:
-        raise ValueError("Only CSV files are supported.")
+def list_csv(spark: SparkSession, path: str) -> list[str]:
+    """The ``*.csv`` files at ``path`` (a file, a folder or a glob, on any
+    filesystem); a path with none is refused. ``binaryFile`` prunes the file
+    bodies, so this only lists."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    files = [r["path"] for r in listing.select("path").collect()]
+    if not files:
+        raise ValueError(f"Only CSV files are supported: no *.csv file at {path}")
+    return files
 
 
 def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
@@ -46,12 +51,8 @@ def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
     from the first line of each file's first block. Files are listed with
     ``binaryFile`` (its content column is pruned, so not read).
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    files = [r["path"] for r in listing.select("path").collect()]
-    if not files:
-        return {}
-    lines = (spark.read.option("pathGlobFilter", "*.csv").text(path) if os.path.isdir(path)
-             else spark.read.text(path))
+    files = list_csv(spark, path)
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
     b = F.col("value").cast("binary")
     first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     per_file = (lines.select(F.col("_metadata.file_path").alias("path"), b.alias("b"), first.alias("first"))
@@ -68,19 +69,14 @@ def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
 def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None,
                   multiline: bool = True) -> DataFrame:
     """S1 + S2 + S5: all columns as text, files grouped by encoding."""
-    _check_name(path)
     reader = (spark.read.option("header", True).option("multiLine", multiline)
               .option("escape", '"').option("mode", "PERMISSIVE"))
-    if os.path.isdir(path):
-        reader = reader.option("pathGlobFilter", "*.csv")
     if encoding is not None:
-        groups = {encoding: [path]}
+        groups = {encoding: list_csv(spark, path)}
     else:
         groups = {}
         for f, enc in detect_encodings(spark, path).items():
             groups.setdefault(enc, []).append(f)
-        if not groups:
-            raise ValueError(f"no CSV file at {path}")
     frames = [reader.option("encoding", enc).csv(files) for enc, files in sorted(groups.items())]
     out = frames[0]
     for f in frames[1:]:
