@@ -58,3 +58,12 @@ def test_landing_stream_processes_each_file_once(spark, tmp_path):
     again = RunStore(spark, store_root).latest().collect()
     assert sorted(r.job_id for r in again) == sorted(r.job_id for r in latest)
     assert all(r.status == "complete" and r.clean_records == 12 for r in again)
+
+
+def test_empty_store_reads_empty(spark, tmp_path):
+    # nothing written yet: every view is empty, no local-disk checks involved
+    store = RunStore(spark, str(tmp_path / "never_written"))
+    assert store.runs().count() == 0 and store.latest().count() == 0
+    assert store.outputs().count() == 0 and store.history().count() == 0
+    c = store.counters().first()
+    assert c.active_jobs == 0 and c.total_jobs == 0
