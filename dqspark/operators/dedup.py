@@ -194,11 +194,18 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
 
     kept = states.where(F.col("keep")).select(F.col("rank").alias("rank_i"))
     drop_ranks = states.where(~F.col("keep")).select(F.col("rank").alias("rank_j"))
-    first = (edges.join(kept, "rank_i", "left_semi").join(drop_ranks, "rank_j", "left_semi")
+    # The first kept original per dropped value, found on ranks and scores only;
+    # texts are joined to the one row per dropped value afterwards
+    first = (edges.select("rank_i", "rank_j", "similarity")
+             .join(kept, "rank_i", "left_semi").join(drop_ranks, "rank_j", "left_semi")
              .groupBy("rank_j")
-             .agg(F.min(F.struct("rank_i", "value_i", "value_j", "similarity")).alias("m")))
-    matches = first.select(F.col("m.value_i").alias("original"), F.col("m.value_j").alias("duplicate"),
-                           F.col("m.similarity").alias("similarity"),
-                           F.col("m.rank_i").alias("rank_i"), F.col("rank_j"))
+             .agg(F.min(F.struct("rank_i", "similarity")).alias("m"))
+             .select(F.col("m.rank_i").alias("rank_i"), "rank_j", F.col("m.similarity").alias("similarity")))
+    originals = nodes.select(F.col("rank").alias("rank_i"), F.col("value").alias("original"))
+    duplicates = dropped.select(F.col("rank").alias("rank_j"), F.col("value").alias("duplicate"))
+    if (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES:
+        duplicates = F.broadcast(duplicates)   # the dropped values, measured above
+    matches = (first.join(duplicates, "rank_j").join(originals, "rank_i")
+               .select("original", "duplicate", "similarity", "rank_i", "rank_j"))
     return FuzzyResult(table, removed, matches, edges, n_values, n_pairs, surv.rounds,
                        dropped.select("value", "count"), info.get("candidates", 0), info.get("strategy", ""))
