@@ -31,7 +31,9 @@ DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 STEM = 4
 #: Most documents of each label that the fit reads.
 MAX_PER_CLASS = 4000
-EPOCHS, BATCH, RATE = 5, 32, 0.1
+EPOCHS, BATCH, RATE = 8, 32, 0.2
+#: A small sample gets more epochs, up to so many steps.
+LEAST_STEPS = 1500
 TOXIC_AT = 0.7
 
 
@@ -125,7 +127,7 @@ class Network:
                 g[unique] += total * total
                 p[unique] -= RATE * total / np.sqrt(g[unique])
 
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(texts))))):
             order = r.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 pick = order[at:at + BATCH]
