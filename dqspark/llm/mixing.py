@@ -3,8 +3,8 @@
 A document's expected number of copies is its source's target over its source's size.
 The whole part is taken for sure; the fractional parts are rounded by the pivotal
 method: two documents exchange word mass at random until one of them is integral, so
-every document keeps its expectation and a source's words stay on target up to one
-document. The exchange runs in blocks, and what one block leaves over (at most one
+every document keeps its expectation and a source's words stay on target up to half of one
+document, the last one, which goes to its nearer side. The exchange runs in blocks, and what one block leaves over (at most one
 fractional document) meets the leftovers of other blocks one level up: a reduction tree
 whose tasks each see a bounded number of rows, whatever a source holds.
 
@@ -137,9 +137,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7, ro
         rows = stored(_round_blocks(todo, level, seed).drop("block"), f"mix-level{level}")
         open_ = (F.col("frac") > 0) & (F.col("frac") < 1)
         if blocks == 1:
-            last = F.pmod(F.xxhash64("pick", F.lit("last")), F.lit(1 << 52)) / float(1 << 52)
-            sure.append(rows.withColumn("frac", F.when(open_, (last < F.col("frac")).cast("double"))
-                                        .otherwise(F.col("frac"))))
+            # One fractional document a source is left: the nearer side, at most half of it off target.
+            sure.append(rows.withColumn("frac", F.when(open_, (F.col("frac") >= 0.5).cast("double")).otherwise(F.col("frac"))))
             break
         sure.append(rows.where(~open_))
         rows, top, level = rows.where(open_), blocks, level + 1

@@ -64,7 +64,7 @@ def _sql(s: str) -> str:
 
 def _luhn(digits: str) -> str:
     """SQL: the digit string passes the Luhn sum."""
-    x = f"int(substring({digits}, length({digits}) - i + 1, 1))"
+    x = f"try_cast(substring({digits}, length({digits}) - i + 1, 1) as int)"
     return (f"(aggregate(sequence(1, greatest(length({digits}), 1)), 0, (a, i) -> a + if(i % 2 = 1, coalesce({x}, 0),"
             f" coalesce(2 * {x} - if({x} > 4, 9, 0), 0))) % 10 = 0)")
 
