@@ -56,4 +56,42 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_quality_rules, op5_pii, op6_secrets,
                                    op7_ngram_join, op8_url_filter, op9_mixing, op10_licenses)}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                      list_filter(string_split(coalesce(text, ''), chr(10)),
+                                  lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    tok AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+    win AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM tok
+            WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+                                     FROM win WHERE c IS NOT NULL) WHERE n > 1),
+    rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY 1),
+    m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                 CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+                 length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lows,
+                 len(list_filter(ws, lambda x: lower(x) IN ({', '.join(f"'{w}'" for w in quality_rules.STOP_WORDS)}))) AS stops
+          FROM d LEFT JOIN rep USING (doc_id)),
+    j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND n_symbols <= 0.2 * n_words
+           AND stops >= 0.03 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_repeat_words <= 0.5 * n_words
+           AND caps <= 0.6 * (caps + lows) AS kept FROM j"""
+
+OP7_SQL = rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id, doc_id AS t FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.t)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(t) AS component_id
+    FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op7_ngram_join": OP7_SQL}
