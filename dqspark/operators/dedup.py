@@ -27,9 +27,9 @@ from dqspark.operators.survivors import greedy_survivors
 from dqspark.session import ensure_checkpoint_dir
 
 DEFAULT_THRESHOLD = 85
-DEFAULT_MAX_VALUES = 2000      # the reference compares the 2,000 most frequent values
+DEFAULT_MAX_VALUES = None      # all values; a caller may ask for the k most frequent ones
 MATCHES_KEPT = 50              # T2
-MATCHES_SHOWN = 20             # T3
+MATCHES_SHOWN = 20             # T3: a display limit, never applied to what is stored
 BROADCAST_BYTES = 64 << 20     # drop sets below this many bytes are broadcast to the anti join
 
 
@@ -121,16 +121,22 @@ def top_values(freq: DataFrame, k: int, merge_max: int = TOP_MERGE_MAX) -> DataF
 
 
 def rank_all(freq: DataFrame) -> DataFrame:
-    """W1 without a cap: a global range sort, then an order-preserving id.
+    """W1 without a cap: a global range sort, then ranks from 1 without gaps.
 
-    ``monotonically_increasing_id`` after the sort grows with the sort order
-    (partition index in the high bits); the result is checkpointed so the ids are
-    fixed even if a stage is recomputed.
+    ``monotonically_increasing_id`` after the sort holds the partition (high bits) and the
+    place in it; the result is checkpointed so the ids are fixed even if a stage is
+    recomputed. The row counts before each partition (one row per partition) turn it into
+    a rank, so no task sees more than its own partition.
     """
     ensure_checkpoint_dir(freq.sparkSession)
-    return (freq.orderBy(F.desc("count"), F.asc("value"))
-            .withColumn("rank", F.monotonically_increasing_id())
-            .checkpoint())
+    placed = (freq.orderBy(F.desc("count"), F.asc("value"))
+              .withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+              .withColumn("__part", F.shiftright("__id", 33)))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.col("__id") - F.shiftleft(F.col("__part"), 33)
+    return placed.join(F.broadcast(before), "__part").select(
+        "value", "count", (F.col("__before") + inside + 1).cast("long").alias("rank")).checkpoint()
 
 
 def ranked_values(df: DataFrame, col: str, max_values: int | None = DEFAULT_MAX_VALUES) -> DataFrame:

@@ -37,7 +37,7 @@ class CleanResult:
     profile_columns: list[dict]
     exact_removed: int
     fuzzy_removed: int
-    fuzzy_matches: DataFrame          # first 50 (T2); ``.limit(20)`` for T3
+    fuzzy_matches: DataFrame          # all matches; ``first_matches`` shows the first ones
     total_repairs: int
     repair_log: DataFrame
     anomaly_count: int
@@ -52,6 +52,10 @@ class CleanResult:
         """T4 + C1: first rows, NaN/inf as null."""
         return sanitize(self.table).limit(n)
 
+    def first_matches(self, n: int = dedup.MATCHES_SHOWN) -> DataFrame:
+        """The first ``n`` matches, for display."""
+        return self.fuzzy_matches.orderBy("rank_i", "rank_j").limit(n)
+
     def issues(self, spark: SparkSession) -> DataFrame:
         return quality.issue_summary(spark, self.exact_removed, self.fuzzy_removed, self.total_repairs,
                                      self.anomaly_count, self.raw_count, self.clean_count)
@@ -82,7 +86,7 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     exact_removed = raw_count - exact_count
 
     fz = dedup.fuzzy_dedup(deduped, match_col, threshold, max_values)
-    matches = fz.first_matches(dedup.MATCHES_KEPT).checkpoint()
+    matches = fz.matches.checkpoint()
 
     repaired, total_repairs, log = repair.repair(fz.table, approx=approx)
     clean_count = exact_count - fz.removed

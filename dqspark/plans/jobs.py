@@ -50,5 +50,5 @@ def run_job(spark: SparkSession, store: RunStore, path: str, job_id: str, match_
         return {"status": "complete", "elapsed": elapsed, "result": res}
     except Exception as e:  # noqa: BLE001 - any failure marks the job as error
         store.record(job_id, "error", fuzzy_col=match_col, threshold=float(threshold),
-                     elapsed=round(time.time() - t0, 2), error=str(e)[:2000])
+                     elapsed=round(time.time() - t0, 2), error=str(e))
         return {"status": "error", "error": str(e)}

@@ -127,15 +127,15 @@ def q_value_frequency(spark, sf_dir):
 @register("top_values", """
     SELECT value, count, row_number() OVER (ORDER BY count DESC, value) AS rank FROM (
       SELECT text AS value, count(*) AS count FROM documents WHERE text IS NOT NULL
-      GROUP BY 1 ORDER BY count DESC, value LIMIT 2000)""")
+      GROUP BY 1 ORDER BY count DESC, value LIMIT 100)""")
 def q_top_values(spark, sf_dir):
-    return dedup.top_values(dedup.value_frequencies(table(spark, sf_dir, "documents"), "text"), 2000)
+    return dedup.top_values(dedup.value_frequencies(table(spark, sf_dir, "documents"), "text"), 100)
 
 
 # ---------------------------------------------------------------------------
 # D2, J1, D3-D5 near duplicates on part.p_name
 
-def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k: int = 2000,
+def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k: int = 10**12,
                materialized: bool = False) -> str:
     """Nodes, LCS by a row-fold recursion, edges, and the greedy walk over ranks.
 
@@ -185,7 +185,7 @@ def _fuzzy_sql(threshold: float, column: str = "p_name", source: str = "part", k
 @register("fuzzy_pairs", _fuzzy_sql(70) + "SELECT rank_i, rank_j, original, duplicate, similarity FROM edges")
 def q_fuzzy_pairs(spark, sf_dir):
     from dqspark.operators.blocking import similarity_edges
-    nodes = dedup.ranked_values(table(spark, sf_dir, "part"), "p_name", 2000)
+    nodes = dedup.ranked_values(table(spark, sf_dir, "part"), "p_name")
     return similarity_edges(nodes.select("rank", "value"), 70).select(
         "rank_i", "rank_j", F.col("value_i").alias("original"), F.col("value_j").alias("duplicate"), "similarity")
 
@@ -204,9 +204,9 @@ def q_fuzzy_dedup_lenient(spark, sf_dir):
 
 @register("fuzzy_matches", _fuzzy_sql(70) + """
     SELECT e.original, e.duplicate, e.similarity, e.rank_i, e.rank_j FROM matches m
-    JOIN edges e ON e.rank_i = m.rank_i AND e.rank_j = m.rank_j ORDER BY e.rank_i, e.rank_j LIMIT 50""")
+    JOIN edges e ON e.rank_i = m.rank_i AND e.rank_j = m.rank_j""")
 def q_fuzzy_matches(spark, sf_dir):
-    return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70).first_matches(dedup.MATCHES_KEPT)
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70).matches
 
 
 @register("fuzzy_removed", _fuzzy_sql(70) + """
@@ -506,9 +506,19 @@ def runs_from_orders(spark, sf_dir):
         F.col("o_orderdate").alias("updated_at"))
 
 
+def run_rows(spark, sf_dir):
+    """Two status rows per job: it ran, and a day later it had its present state."""
+    now = runs_from_orders(spark, sf_dir)
+    then = now.withColumns({"status": F.lit("running"), "cqi_score": F.lit(None).cast("double"),
+                            "updated_at": F.col("updated_at") - F.expr("interval 1 day")})
+    return then.unionByName(now)
+
+
 def outputs_from_lineitem(spark, sf_dir):
+    """Outputs of suppliers; those with even keys carry the id of a recorded job."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("job_id"))
+    prefix = F.when(F.col("l_suppkey") % 2 == 0, F.lit("j")).otherwise(F.lit("s"))
+    return (li.groupBy(F.concat(prefix, F.col("l_suppkey").cast("string")).alias("job_id"))
             .agg(F.count(F.lit(1)).alias("clean_records")))
 
 
@@ -517,7 +527,7 @@ RUNS_SQL = """
                       CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'error' END AS status,
                       o_totalprice AS cqi_score, CAST(length(o_orderpriority) * 10 + 40 AS DOUBLE) AS threshold
                FROM orders),
-    o AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS job_id, count(*) AS clean_records FROM lineitem GROUP BY 1)
+    o AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'j' ELSE 's' END || CAST(l_suppkey AS VARCHAR) AS job_id, count(*) AS clean_records FROM lineitem GROUP BY 1)
     """
 
 
@@ -527,7 +537,7 @@ RUNS_SQL = """
     SELECT job_id, 'complete', CAST(NULL AS DOUBLE), CAST(clean_records AS DOUBLE) FROM o
     WHERE job_id NOT IN (SELECT job_id FROM r)""")
 def q_run_history(spark, sf_dir):
-    runs = runs_from_orders(spark, sf_dir)
+    runs = run_rows(spark, sf_dir)
     return runs_mod.run_history(runs_mod.latest_runs(runs), outputs_from_lineitem(spark, sf_dir), runs).select(
         "job_id", "status", "cqi_score", F.col("clean_records").cast("double").alias("clean_records"))
 
@@ -535,7 +545,7 @@ def q_run_history(spark, sf_dir):
 @register("run_counters", RUNS_SQL + """
     SELECT count(*) FILTER (WHERE status = 'running') AS active_jobs, count(*) AS total_jobs FROM r""")
 def q_run_counters(spark, sf_dir):
-    return runs_mod.run_counters(runs_mod.latest_runs(runs_from_orders(spark, sf_dir)))
+    return runs_mod.run_counters(runs_mod.latest_runs(run_rows(spark, sf_dir)))
 
 
 @register("threshold_band", RUNS_SQL + """

@@ -4,7 +4,8 @@
 * S2: the encoding of each file is found from its bytes in one splittable scan:
   a UTF-16 byte-order mark, else valid UTF-8 (a UTF-8 mark included), else
   ISO-8859-1 (which decodes any bytes). Files are then read per encoding and unioned;
-* S1: every column is read as text (``multiLine`` for quoted line breaks; pass
+* S1: every column is read as text; differing headers and rows longer than the header
+  are errors, short rows are filled with nulls, repeated headers become ``a, a.1`` (``multiLine`` for quoted line breaks; pass
   ``multiline=False`` for large plain files so Spark can split them);
 * S4: empty fields and the usual missing-value words become null;
 * S3: one aggregate counts, per column, the present values that look like an
@@ -15,6 +16,8 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +38,22 @@ def list_csv(spark: SparkSession, path: str) -> list[str]:
     """The ``*.csv`` files at ``path`` (a file, a folder or a glob, on any
     filesystem); a path with none is refused. ``binaryFile`` prunes the file
     bodies, so this only lists."""
+    return list(_sizes(spark, path))
+
+
+def _sizes(spark: SparkSession, path: str) -> dict[str, int]:
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    files = [r["path"] for r in listing.select("path").collect()]
+    files = {r["path"]: r["length"] for r in listing.select("path", "length").collect()}
     if not files:
         raise ValueError(f"Only CSV files are supported: no *.csv file at {path}")
     return files
 
 
+def _plain_path(uri: str) -> str:
+    """A metadata path (escaped, any number of slashes) as the file listing writes it."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(uri))
+
+
 def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
     """``{file: encoding}`` from the bytes, one row per file.
 
@@ -51,7 +63,7 @@ def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
     from the first line of each file's first block. Files are listed with
     ``binaryFile`` (its content column is pruned, so not read).
     """
-    files = list_csv(spark, path)
+    files = _sizes(spark, path)
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
     b = F.col("value").cast("binary")
     first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
@@ -62,28 +74,65 @@ def detect_encodings(spark: SparkSession, path: str) -> dict[str, str]:
     enc = (F.when(F.col("head").isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF"))), F.lit(UTF16))
            .when(F.col("utf8"), F.lit(UTF8))
            .otherwise(F.lit(LATIN1)))
-    found = {r["path"]: r["enc"] for r in per_file.select("path", enc.alias("enc")).collect()}
-    return {f: found.get(f, UTF8) for f in files}      # an empty file has no lines
+    found = {_plain_path(r["path"]): r["enc"] for r in per_file.select("path", enc.alias("enc")).collect()}
+    plain = {f: re.sub(r"^(\w+):/+", r"\1:/", f) for f in files}
+    lost = [f for f, size in files.items() if size and plain[f] not in found]
+    if lost:
+        raise ValueError(f"no encoding found for {lost[:3]}")
+    return {f: found.get(plain[f], UTF8) for f in files}      # an empty file has no lines
 
 
 def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None,
                   multiline: bool = True) -> DataFrame:
-    """S1 + S2 + S5: all columns as text, files grouped by encoding."""
-    reader = (spark.read.option("header", True).option("multiLine", multiline)
-              .option("escape", '"').option("mode", "PERMISSIVE"))
+    """S1 + S2 + S5: all columns as text, files grouped by encoding.
+
+    A file whose header differs from the group's first file is an error, and so is a row
+    with more fields than the header; a short row is filled with nulls.
+    """
     if encoding is not None:
         groups = {encoding: list_csv(spark, path)}
     else:
         groups = {}
         for f, enc in detect_encodings(spark, path).items():
             groups.setdefault(enc, []).append(f)
-    frames = [reader.option("encoding", enc).csv(files) for enc, files in sorted(groups.items())]
+    frames = [_read_group(spark, files, enc, multiline) for enc, files in sorted(groups.items())]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    # a UTF-8 byte-order mark can stay glued to the first header
-    renamed = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in out.columns]
-    return out.select(*renamed)
+    return out
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _read_group(spark: SparkSession, files: list[str], encoding: str, multiline: bool) -> DataFrame:
+    reader = (spark.read.option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE")
+              .option("encoding", encoding))
+    head = reader.option("header", False).csv(files[0]).first()
+    raw = [(c or "").lstrip("\ufeff") for c in head] if head else []   # a byte-order mark can stay on the first header
+    if not raw:
+        return reader.option("header", True).csv(files)
+    names = unique_names(raw)
+    checked = names == list(head)                     # the header as it stands: compare it in every file
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    rows = (reader.option("header", True).option("enforceSchema", not checked)
+            .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(files))
+    last = F.col(f"`{names[-1]}`")
+    too_long = F.col(CORRUPT).isNotNull() & last.isNotNull()
+    fits = F.when(too_long, F.raise_error(F.concat(F.lit("more fields than the header: "), F.col(CORRUPT))).cast("boolean"))
+    return rows.where(fits.otherwise(F.lit(True))).drop(CORRUPT)
+
+
+def unique_names(raw: list[str]) -> list[str]:
+    """Header names as the usual CSV readers give them: ``a, a.1`` for repeats, ``Unnamed: i`` for blanks."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, c in enumerate(raw):
+        name = c or f"Unnamed: {i}"
+        k = seen.get(name, 0)
+        seen[name] = k + 1
+        out.append(f"{name}.{k}" if k else name)
+    return out
 
 
 def na_to_null(df: DataFrame) -> DataFrame:
@@ -97,14 +146,14 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     """S3: one aggregate over all text columns -> Spark type per column."""
     aggs = []
     for i, c in enumerate(df.columns):
-        v = F.col(f"`{c}`")
+        v = F.ltrim(F.col(f"`{c}`"))             # leading blanks do not make a number a text
         aggs += [F.count(v).alias(f"n{i}"),
-                 F.count_if(v.rlike(INT_PATTERN) & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"i{i}"),
+                 F.count_if(v.rlike(INT_PATTERN) & F.expr(f"try_cast(ltrim(`{c}`) AS BIGINT)").isNotNull()).alias(f"i{i}"),
                  F.count_if(v.rlike(FLOAT_PATTERN)).alias(f"f{i}"),
-                 F.count_if(v.isin(TRUE_WORDS + FALSE_WORDS)).alias(f"b{i}")]
+                 F.count_if(F.col(f"`{c}`").isin(TRUE_WORDS + FALSE_WORDS)).alias(f"b{i}")]
     if not aggs:
         return {}
-    row = df.agg(*aggs).first()
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
     types = {}
     for i, c in enumerate(df.columns):
         n = row[f"n{i}"]
@@ -114,7 +163,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
             types[c] = "bigint"
         elif row[f"f{i}"] == n:
             types[c] = "double"
-        elif row[f"b{i}"] == n:
+        elif row[f"b{i}"] == row["rows"]:         # truth words with missing values stay text
             types[c] = "boolean"
         else:
             types[c] = "string"
@@ -129,7 +178,7 @@ def cast_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
         if t == "boolean":
             v = F.when(v.isin(TRUE_WORDS), F.lit(True)).when(v.isin(FALSE_WORDS), F.lit(False))
         elif t != "string":
-            v = v.cast(t)
+            v = F.ltrim(v).cast(t)
         cols.append(v.alias(c))
     return df.select(*cols)
 

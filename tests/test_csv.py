@@ -69,3 +69,33 @@ def test_encoding_detection_over_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert enc.pop("d_empty.csv", "UTF-8") == "UTF-8"      # zero-length files may not be listed
     assert enc == {"a_utf8.csv": "UTF-8", "b_latin.csv": "ISO-8859-1", "c_utf16.csv": "UTF-16"}
+
+
+def test_blank_in_the_path_keeps_the_encoding(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("name\ncafé\n".encode("latin-1"))
+    assert [r.name for r in read_csv(spark, str(tmp_path)).collect()] == ["café"]
+
+
+def test_differing_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "y.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(tmp_path)).collect()
+
+
+def test_long_rows_are_an_error_and_short_ones_are_filled(spark, tmp_path):
+    p = tmp_path / "long.csv"
+    p.write_text("a,b\n3,4,5\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, str(p)).collect()
+    q = tmp_path / "short.csv"
+    q.write_text("a,b\n3\n4,5\n")
+    assert [(r.a, r.b) for r in read_csv(spark, str(q)).orderBy("a").collect()] == [(3, None), (4, 5)]
+
+
+def test_truth_words_leading_blanks_and_repeated_headers(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("f,n,n\nTrue, 5,1\n,\u0020 6,2\nFalse, 7,3\n")
+    df = read_csv(spark, str(p))
+    assert df.dtypes == [("f", "string"), ("n", "bigint"), ("n.1", "bigint")]
+    assert sorted(r[1] for r in df.collect()) == [5, 6, 7]
