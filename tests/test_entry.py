@@ -6,5 +6,5 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    for name in q:
-        assert not name.startswith("op") and "pipeline" not in name
+    from dqspark.plans.queries import QUERIES
+    assert set(QUERIES) <= set(q)
