@@ -10,8 +10,7 @@ by histogram refinement instead:
    target's current value range (``groupBy`` with map-side partial aggregation,
    at most ``buckets`` groups per target, so the shuffle is tiny and skew-free);
    the bucket holding the rank becomes the next range;
-3. once a range holds at most ``fetch_limit`` values (or a single value) the rank
-   is read from a sorted ``limit`` of that range (bounded).
+3. a range that holds a single value settles its rank; no value is fetched.
 
 Bucketing is monotone in the value, so ranges are exact; no floating tolerance.
 """
@@ -54,7 +53,7 @@ def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, dict]:
 
 
 def kth_values(df: DataFrame, targets: list[tuple[str, int]], ranges: dict[str, dict],
-               buckets: int = 4096, fetch_limit: int = 50_000) -> dict[tuple[str, int], float]:
+               buckets: int = 4096) -> dict[tuple[str, int], float]:
     """Exact k-th smallest (0-based) present value for each ``(column, k)``."""
     out: dict[tuple[str, int], float] = {}
     # active target: [column, k, lo, hi, below, count_in_range]
@@ -77,13 +76,6 @@ def kth_values(df: DataFrame, targets: list[tuple[str, int]], ranges: dict[str,
                 out[(col, k)] = lo
                 settled.append(t)
         active = [t for t in active if t not in settled]
-        small = [t for t in active if t[5] <= fetch_limit]
-        for col, k, lo, hi, below, cnt in small:
-            v = _value(df, col)
-            vals = (df.select(v.alias("v")).where((F.col("v") >= lo) & (F.col("v") <= hi))
-                    .orderBy("v").limit(k - below + 1).collect())
-            out[(col, k)] = vals[-1]["v"]
-        active = [t for t in active if t[5] > fetch_limit]
         if not active:
             break
         # one histogram job for every remaining target
@@ -91,8 +83,11 @@ def kth_values(df: DataFrame, targets: list[tuple[str, int]], ranges: dict[str,
         for ti, (col, k, lo, hi, below, cnt) in enumerate(active):
             v = _value(df, col)
             half_lo, span = lo / 2.0, hi / 2.0 - lo / 2.0
-            b = F.least(F.lit(buckets - 1), F.greatest(F.lit(0),
-                        F.floor((v / 2.0 - F.lit(half_lo)) / F.lit(span) * buckets).cast("int")))
+            if span > 0:
+                b = F.least(F.lit(buckets - 1), F.greatest(F.lit(0),
+                            F.floor((v / 2.0 - F.lit(half_lo)) / F.lit(span) * buckets).cast("int")))
+            else:                     # neighbouring denormal numbers: halves are equal
+                b = (v > lo).cast("int")
             entries.append(F.when((v >= lo) & (v <= hi),
                                   F.struct(F.lit(ti).alias("t"), b.alias("b"), v.alias("v"))))
         hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
