@@ -3,7 +3,8 @@
 Plan shape: a single ``HashAggregate`` (partial on the map side) computes the row
 count, every column's missing count and every column's distinct count. Exact
 distinct counts of several columns make Spark expand each row once per column
-and de-duplicate ``(column, value)`` map-side; ``approx=True`` swaps in
+and de-duplicate ``(column, value)`` map-side, so a text longer than 32 bytes is
+replaced by its SHA-256 first: no shuffle carries long texts. ``approx=True`` swaps in
 HyperLogLog sketches (no expand, fixed-size buffers).
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqspark.functions.scalar import missing, pct, present
 
@@ -19,6 +21,13 @@ def _col(name: str):
     return F.col(f"`{name}`")
 
 
+def _counted(c, dtype):
+    """What distinct counts compare: a digest (64 characters) for texts longer than 32 bytes."""
+    if not isinstance(dtype, T.StringType):
+        return c
+    return F.when(F.octet_length(c) > 32, F.sha2(c, 256)).otherwise(c)
+
+
 def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01, extra: list | None = None) -> DataFrame:
     """One row: ``n`` plus ``m{i}`` (missing) and ``u{i}`` (distinct, missing not counted).
 
@@ -29,7 +38,8 @@ def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01, extra:
         c = _col(f.name)
         aggs.append(F.count_if(missing(c, f.dataType)).alias(f"m{i}"))
         v = present(c, f.dataType)
-        aggs.append((F.approx_count_distinct(v, rsd) if approx else F.count_distinct(v)).alias(f"u{i}"))
+        u = F.approx_count_distinct(v, rsd) if approx else F.count_distinct(_counted(v, f.dataType))
+        aggs.append(u.alias(f"u{i}"))
     return df.agg(*aggs)
 
 
