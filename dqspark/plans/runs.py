@@ -45,6 +45,7 @@ RUN_SCHEMA = T.StructType([
 
 PARAM_SCHEMA = "run_id string, key string, value string, ts timestamp"
 METRIC_SCHEMA = "run_id string, key string, value double, ts timestamp"
+OUTPUT_FOLDER = r"([^/]+_clean\.csv)/[^/]*$"
 FINISHED = ("complete", "error")
 
 
@@ -111,7 +112,10 @@ class RunStore:
                       .option("escape", '"').csv(f"{p}/*_clean.csv"))
         except AnalysisException:          # no output stored yet
             return self.spark.createDataFrame([], "job_id string, clean_records long, file string")
-        return output_counts(stored)
+        # every stored file is listed (bodies pruned), so outputs without rows count 0
+        files = (self.spark.read.format("binaryFile").load(f"{p}/*_clean.csv")
+                 .select(F.regexp_extract("path", OUTPUT_FOLDER, 1).alias("file")).distinct())
+        return with_empty_outputs(files, output_counts(stored))
 
     def history(self) -> DataFrame:
         return run_history(self.latest(), self.outputs(), self.runs())
@@ -130,9 +134,16 @@ def latest_runs(runs: DataFrame) -> DataFrame:
         .select(*runs.columns)
 
 
+def with_empty_outputs(files: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every listed output ``file`` with its rows, 0 where it holds none."""
+    return (files.join(counts.select("file", "clean_records"), "file", "left")
+            .select(job_id_of(F.col("file")).alias("job_id"),
+                    F.coalesce("clean_records", F.lit(0).cast("long")).alias("clean_records"), "file"))
+
+
 def output_counts(outputs: DataFrame) -> DataFrame:
     """A18 + C8: rows per stored output file folder."""
-    f = F.regexp_extract(F.input_file_name(), r"([^/]+_clean\.csv)/[^/]*$", 1)
+    f = F.url_decode(F.regexp_replace(F.regexp_extract(F.input_file_name(), OUTPUT_FOLDER, 1), r"\+", "%2B"))
     return (outputs.select(f.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("clean_records"))
             .select(job_id_of(F.col("file")).alias("job_id"), "clean_records", "file"))
 

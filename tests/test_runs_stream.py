@@ -27,10 +27,14 @@ def test_job_records_and_history(spark, tmp_path, sample_csv):
     legacy = tmp_path / "store" / "outputs" / "old42_clean.csv"
     os.makedirs(legacy)
     (legacy / "part-0.csv").write_text("a\n1\n2\n")
+    hollow = tmp_path / "store" / "outputs" / "none 7_clean.csv"
+    os.makedirs(hollow)
+    (hollow / "part-0.csv").write_text("a\n")
     hist = {r.job_id: r for r in store.history().collect()}
     assert hist["job1"].status == "complete" and hist["job1"].clean_records == 12
     assert hist["job3"].status == "error"
     assert hist["old42"].clean_records == 2 and hist["old42"].status == "complete"
+    assert hist["none 7"].clean_records == 0 and hist["none 7"].status == "complete"
     c = store.counters().first()
     assert c.active_jobs == 0 and c.total_jobs == 2
     assert register is None or register["rows"] == 0
