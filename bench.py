@@ -21,7 +21,7 @@ from dqspark.session import local_session  # noqa: E402
 from dqspark.sources.tables import table  # noqa: E402
 
 HEADLINE = ["profile_columns", "profile_table", "exact_dedup", "top_values", "value_frequency",
-            "fuzzy_pairs", "fuzzy_dedup", "repair_full", "repair_numeric", "sanitise",
+            "fuzzy_pairs", "fuzzy_dedup", "fuzzy_dedup_customers", "repair_full", "repair_numeric", "sanitise",
             "quality_index", "run_history", "anomaly_flags", "clean_part", "file_checksum"]
 
 

@@ -33,6 +33,10 @@ Two exact candidate generators, chosen from counted sizes:
   ``BAND_PAIRS_COST_MAX``. All pairs of a band are thus only ever emitted in a
   counted, bounded number.
 
+With ``against`` (earlier values), only pairs of one earlier and one new value are
+made, by the same generators: the side a partner must come from is part of the join
+key, so pairs inside either set are never formed.
+
 Prefix join: tokens come from a vectorised Arrow UDF (code points, as in Python);
 token frequencies are one ``groupBy`` (map-side combined); prefixes are a window
 per value; candidates are an equi-join on ``(token, length band)`` where each
@@ -102,9 +106,20 @@ def _parallelism(spark) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+def _old(df: DataFrame):
+    """Whether a value is one of the earlier ones; all are partners of each other without that column."""
+    return F.col("old") if "old" in df.columns else F.lit(False)
+
+
+def _wanted(df: DataFrame):
+    """The side that a value's partners come from."""
+    return ~F.col("old") if "old" in df.columns else F.lit(False)
+
+
 def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = None,
                     max_join_rows: int | None = None) -> tuple[DataFrame | None, int]:
-    """Pairs (rank_i < rank_j) passing the length and prefix filters.
+    """Pairs (rank_i < rank_j) passing the length and prefix filters; nodes with a boolean
+    column ``old`` only pair across it.
 
     Returns the pairs (checkpointed: later stages and retries start from them)
     and their number. Tokens and prefixes are each used twice and are persisted
@@ -120,9 +135,10 @@ def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = No
     n_nodes = n_nodes if n_nodes is not None else nodes.count()
     # spread the tokenizing UDF; ranked nodes may arrive in a single partition
     v = (nodes.repartition(max(par, -(-n_nodes // 2000)))
-         .select("rank", "value", F.length("value").alias("len"))
+         .select("rank", "value", F.length("value").alias("len"), _old(nodes).alias("old"),
+                 _wanted(nodes).alias("want"))
          .withColumn("band", length_band(F.col("len"), t)))
-    toks = v.select("rank", "len", "band", F.posexplode(numbered_chars("value")).alias("pos", "token")) \
+    toks = v.select("rank", "len", "band", "old", "want", F.posexplode(numbered_chars("value")).alias("pos", "token")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         freq = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
@@ -133,16 +149,16 @@ def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = No
                   .withColumn("o", F.row_number().over(w))
                   .where(F.col("o") <= F.col("len") - alpha(F.col("len"), t) + 1)
                   .withColumn("short", F.col("o") <= F.col("len") - short_alpha(F.col("len"), t) + 1)
-                  .select("rank", "len", "band", "token", "short")
+                  .select("rank", "len", "band", "old", "want", "token", "short")
                   .persist(StorageLevel.MEMORY_AND_DISK))
         try:
-            longer = prefix.select(F.col("token"), F.col("band").alias("b"), F.col("rank").alias("rank_y"),
-                                   F.col("len").alias("len_y"))
+            longer = prefix.select(F.col("token"), F.col("band").alias("b"), F.col("old").alias("side"),
+                                   F.col("rank").alias("rank_y"), F.col("len").alias("len_y"))
             shorter = prefix.where("short").select(
-                F.col("token"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("b"),
+                F.col("token"), F.col("want").alias("side"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("b"),
                 F.col("rank").alias("rank_x"), F.col("len").alias("len_x"))
             if max_join_rows is not None:
-                keys = ["token", "b"]
+                keys = ["token", "b", "side"]
                 rows = (shorter.groupBy(*keys).agg(F.count(F.lit(1)).alias("s"))
                         .join(longer.groupBy(*keys).agg(F.count(F.lit(1)).alias("l")), keys)
                         .agg(F.sum(F.col("s") * F.col("l"))).first()[0] or 0)
@@ -150,7 +166,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = No
                     return None, int(rows)
             hi = (200.0 - t) / t
             # x is the shorter (or equal) side; the longer side lies in x's band or the next
-            pairs = (shorter.join(longer, ["token", "b"])
+            pairs = (shorter.join(longer, ["token", "b", "side"])
                      .where((F.col("rank_x") != F.col("rank_y"))
                             & (F.col("len_y") >= F.col("len_x"))
                             & (F.col("len_y") <= F.col("len_x") * hi + 1e-9))
@@ -176,20 +192,25 @@ BROADCAST_TEXT_BYTES = 64 << 20   # node texts below this size are broadcast to
 
 
 def _banded(nodes: DataFrame, threshold: float) -> DataFrame:
-    return (nodes.select("rank", "value", F.length("value").alias("len"))
+    return (nodes.withColumn("len", F.length("value"))
             .withColumn("band", length_band(F.col("len"), threshold)))
 
 
 def band_stats(banded: DataFrame) -> tuple[int, int, int]:
     """One small aggregate: (values, text bytes, band-join pairs), the pairs being
-    ``sum c_b (c_b - 1) / 2 + c_b c_(b+1)`` over the length bands."""
-    h = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"),
+    ``sum c_b (c_b - 1) / 2 + c_b c_(b+1)`` over the length bands, or across ``old``
+    ``sum o_b w_b + o_b w_(b+1) + w_b o_(b+1)``."""
+    h = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if(_old(banded)).alias("o"),
                                    F.sum(F.octet_length("value") + 16).alias("bytes"))
-    up = h.select((F.col("band") - 1).alias("band"), F.col("c").alias("c_up"))
+    up = h.select((F.col("band") - 1).alias("band"), F.col("c").alias("c_up"), F.col("o").alias("o_up"))
+    c, o = F.col("c"), F.col("o")
+    c_up, o_up = F.coalesce(F.col("c_up"), F.lit(0)), F.coalesce(F.col("o_up"), F.lit(0))
+    if "old" in banded.columns:
+        pairs = o * (c - o) + o * (c_up - o_up) + (c - o) * o_up
+    else:
+        pairs = c * (c - 1) / 2 + c * c_up
     row = (h.join(up, "band", "left")
-           .agg(F.sum("c").alias("n"), F.sum("bytes").alias("bytes"),
-                F.sum(F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * F.coalesce(F.col("c_up"), F.lit(0)))
-                .alias("pairs"))
+           .agg(F.sum("c").alias("n"), F.sum("bytes").alias("bytes"), F.sum(pairs).alias("pairs"))
            .first())
     return int(row["n"] or 0), int(row["bytes"] or 0), int(row["pairs"] or 0)
 
@@ -205,12 +226,13 @@ def band_pairs(banded: DataFrame, threshold: float, salts: int = BAND_SALTS) ->
     every salt; the longer side sits in its band under one salt. Each pair meets once.
     """
     hi = (200.0 - threshold) / threshold
-    x = (banded.select(F.col("rank").alias("rank_x"), F.col("len").alias("len_x"),
+    x = (banded.select(F.col("rank").alias("rank_x"), F.col("len").alias("len_x"), _wanted(banded).alias("side"),
                        F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("b"))
          .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     y = banded.select(F.col("rank").alias("rank_y"), F.col("len").alias("len_y"), F.col("band").alias("b"),
+                      _old(banded).alias("side"),
                       F.pmod(F.xxhash64("rank"), F.lit(salts)).cast("int").alias("salt"))
-    return (x.join(y, ["b", "salt"])
+    return (x.join(y, ["b", "salt", "side"])
             .where(((F.col("len_x") < F.col("len_y"))
                     | ((F.col("len_x") == F.col("len_y")) & (F.col("rank_x") < F.col("rank_y"))))
                    & (F.col("len_y") <= F.col("len_x") * hi + 1e-9))
@@ -218,9 +240,12 @@ def band_pairs(banded: DataFrame, threshold: float, salts: int = BAND_SALTS) ->
 
 
 def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
-                     info: dict | None = None) -> DataFrame:
+                     info: dict | None = None, against: DataFrame | None = None) -> DataFrame:
     """J1 + D2: ``(rank_i, rank_j, value_i, value_j, similarity)`` with similarity >= threshold.
 
+    With ``against(rank, value)``, holding other ranks, only pairs of a value of ``nodes``
+    and one of ``against``.
+
     ``strategy``: ``"band"``, ``"prefix"`` or ``"auto"`` (band join when its counted
     pairs are at most ``BAND_PAIRS_MAX``). Candidates are sorted by ``rank_i``
     inside each partition so the verifier reuses a value's bit pattern and
@@ -234,6 +259,10 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     spark = nodes.sparkSession
     if strategy not in ("auto", "band", "prefix"):
         raise ValueError("strategy must be auto, band or prefix")
+    nodes = nodes.select("rank", "value")
+    if against is not None:
+        nodes = (against.select("rank", "value", F.lit(True).alias("old"))
+                 .unionByName(nodes.withColumn("old", F.lit(False))))
     banded = _banded(nodes, t)
     n_nodes, text_bytes, n_band = band_stats(banded)
     pairs = None

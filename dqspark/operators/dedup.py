@@ -5,8 +5,9 @@ Near-duplicate plan over the match column ``col``:
   rows --groupBy(value) (map-side combined)--> frequencies (A8)
        --rank by (count desc, value asc)--> nodes (W1; ``max_values`` caps to
          the most frequent values as the reference does; ``None`` ranks all)
-       --J1 similarity self-join (exact blocking, no all-pairs)--> edges
-       --D3 greedy survivor rounds--> dropped values
+       --blocks of ranks, each as large as all before it: a block meets only the values
+         kept so far (J1), what matches goes; the rest is joined with itself (J1) and
+         walked greedily (D3)--> dropped values, each with its first kept match (W2)
        --left anti join (J2)--> rows without dropped values
 
 Rows sharing a kept value all stay, rows sharing a dropped value all go, rows
@@ -151,67 +152,131 @@ class FuzzyResult:
     table: DataFrame          # rows left
     removed: int              # rows removed (A13)
     matches: DataFrame        # D5: original, duplicate, similarity, rank_i, rank_j (all)
-    edges: DataFrame          # J1 output
-    values: int               # ranked values compared
-    pairs: int                # pairs scored >= threshold
+    values: int               # ranked values
+    pairs: int                # pairs scored >= threshold; those of dropped values are not looked for
     rounds: int               # survivor rounds
     dropped: DataFrame        # (value, count) of dropped values
     candidates: int = 0       # candidate pairs verified (band join: its counted upper bound)
-    strategy: str = ""        # candidate generator used: band or prefix
+    strategy: str = ""        # candidate generators used: band, prefix or both
 
     def first_matches(self, n: int = MATCHES_KEPT) -> DataFrame:
         """The first ``n`` matches in (rank_i, rank_j) order."""
         return self.matches.orderBy("rank_i", "rank_j").limit(n)
 
 
+FIRST_BLOCK = 512        # ranks in the first block of the walk
+
+
+@dataclass
+class Walk:
+    matches: DataFrame        # (rank_i, rank_j, similarity): each dropped rank with its first kept match
+    pairs: int
+    rounds: int
+    candidates: int
+    strategy: str
+
+
+def _first_kept(edges: DataFrame) -> DataFrame:
+    """W2 on ranks: per later rank the smallest earlier one, with its score."""
+    return (edges.groupBy("rank_j").agg(F.min(F.struct("rank_i", "similarity")).alias("m"))
+            .select(F.col("m.rank_i").alias("rank_i"), "rank_j", F.col("m.similarity").alias("similarity")))
+
+
+def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block: int = FIRST_BLOCK,
+                local_limit: int = 1_000_000) -> Walk:
+    """The greedy walk over ``nodes(rank 1..n, value)`` without the edges of dropped values.
+
+    Ranks are taken in blocks, each as large as all before it together. A value's fate
+    depends on earlier kept values alone, so a block is first matched with the values kept
+    so far; only what is left is joined with itself and walked (D3). Work grows with
+    values x kept values: templated names, where nearly all pairs match, keep few. Each
+    block's results are checkpointed, so a lost executor re-runs one block at most.
+    """
+    spark = nodes.sparkSession
+    found: list[DataFrame] = []
+    kept: DataFrame | None = None
+    pairs = rounds = candidates = 0
+    used: set[str] = set()
+
+    def scored(block: DataFrame, against: DataFrame | None) -> tuple[DataFrame, int]:
+        nonlocal candidates
+        info: dict = {}
+        edges = (similarity_edges(block, threshold, info=info, against=against)
+                 .select("rank_i", "rank_j", "similarity").checkpoint())
+        if info.get("broadcast") is not None:
+            # the edges are stored: executors no longer need the texts (unpersist, not
+            # destroy, so a recomputation could still fetch them again)
+            info["broadcast"].unpersist()
+        candidates += info["candidates"]
+        used.add(info["strategy"])
+        return edges, edges.count()
+
+    start, size = 0, first_block
+    while start < n_values:
+        block = nodes.select("rank", "value").where((F.col("rank") > start) & (F.col("rank") <= start + size))
+        if kept is not None:
+            edges, n = scored(block, kept)
+            pairs += n
+            if n:
+                hits = _first_kept(edges).checkpoint()
+                found.append(hits)
+                block = block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti").checkpoint()
+        edges, n = scored(block, None)
+        pairs += n
+        if n:
+            surv = greedy_survivors(edges.select("rank_i", "rank_j"), local_limit=local_limit)
+            rounds += surv.rounds
+            states = surv.states.checkpoint()
+            stay = states.where(F.col("keep")).select(F.col("rank").alias("rank_i"))
+            gone = states.where(~F.col("keep")).select(F.col("rank").alias("rank_j"))
+            found.append(_first_kept(edges.join(stay, "rank_i", "left_semi")
+                                     .join(gone, "rank_j", "left_semi")).checkpoint())
+            block = block.join(gone.select(F.col("rank_j").alias("rank")), "rank", "left_anti")
+        kept = block if kept is None else kept.unionByName(block)
+        start, size = start + size, max(size, start + size)
+        if start < n_values:
+            kept = kept.checkpoint()
+    if not found:
+        found = [spark.createDataFrame([], "rank_i long, rank_j long, similarity double")]
+    matches = found[0]
+    for part in found[1:]:
+        matches = matches.unionByName(part)
+    return Walk(matches, pairs, rounds, candidates, "+".join(sorted(used)))
+
+
 def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
-                max_values: int | None = DEFAULT_MAX_VALUES, local_limit: int = 1_000_000) -> FuzzyResult:
+                max_values: int | None = DEFAULT_MAX_VALUES, local_limit: int = 1_000_000,
+                first_block: int = FIRST_BLOCK) -> FuzzyResult:
     """Drop every row whose ``col`` value is a near copy of an earlier kept value."""
     spark = df.sparkSession
     if col not in df.columns:          # P5
         empty = spark.createDataFrame([], "original string, duplicate string, similarity double, "
                                           "rank_i long, rank_j long")
-        return FuzzyResult(df, 0, empty, empty, 0, 0, 0, spark.createDataFrame([], "value string, count long"))
+        return FuzzyResult(df, 0, empty, 0, 0, 0, spark.createDataFrame([], "value string, count long"))
     ensure_checkpoint_dir(spark)
     nodes = ranked_values(df, col, max_values)
     if max_values is not None:
         nodes = nodes.checkpoint()
     n_values = nodes.count()
-    info: dict = {}
-    edges = similarity_edges(nodes.select("rank", "value"), threshold, info=info).checkpoint()
-    n_pairs = edges.count()
-    if info.get("broadcast") is not None:
-        # edges are checkpointed: executors no longer need the texts (unpersist, not
-        # destroy, so a recomputation could still fetch them again)
-        info["broadcast"].unpersist()
-    surv = greedy_survivors(edges.select("rank_i", "rank_j"), local_limit=local_limit)
-    states = surv.states.checkpoint()
-    dropped = (nodes.join(states.where(~F.col("keep")).select("rank"), "rank")
+    walk = greedy_walk(nodes, n_values, threshold, first_block, local_limit)
+    dropped = (nodes.join(walk.matches.select(F.col("rank_j").alias("rank")), "rank")
                .select("value", "count", "rank")).checkpoint()
     stats = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows"),
                         F.sum(F.octet_length("value")).alias("bytes")).first()
     removed = int(stats["rows"] or 0)
+    small = (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES     # measured
 
-    key = _c(col).cast("string")
     drop_side = dropped.select(F.col("value").alias("__drop_value"))
-    if (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES:
+    if small:
         drop_side = F.broadcast(drop_side)
-    table = df.join(drop_side, key == F.col("__drop_value"), "left_anti") if stats["n"] else df
-
-    kept = states.where(F.col("keep")).select(F.col("rank").alias("rank_i"))
-    drop_ranks = states.where(~F.col("keep")).select(F.col("rank").alias("rank_j"))
-    # The first kept original per dropped value, found on ranks and scores only;
-    # texts are joined to the one row per dropped value afterwards
-    first = (edges.select("rank_i", "rank_j", "similarity")
-             .join(kept, "rank_i", "left_semi").join(drop_ranks, "rank_j", "left_semi")
-             .groupBy("rank_j")
-             .agg(F.min(F.struct("rank_i", "similarity")).alias("m"))
-             .select(F.col("m.rank_i").alias("rank_i"), "rank_j", F.col("m.similarity").alias("similarity")))
+    table = df.join(drop_side, _c(col).cast("string") == F.col("__drop_value"), "left_anti") if stats["n"] else df
+
+    # texts are joined to the one row per dropped value
     originals = nodes.select(F.col("rank").alias("rank_i"), F.col("value").alias("original"))
     duplicates = dropped.select(F.col("rank").alias("rank_j"), F.col("value").alias("duplicate"))
-    if (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES:
-        duplicates = F.broadcast(duplicates)   # the dropped values, measured above
-    matches = (first.join(duplicates, "rank_j").join(originals, "rank_i")
+    if small:
+        duplicates = F.broadcast(duplicates)
+    matches = (walk.matches.join(duplicates, "rank_j").join(originals, "rank_i")
                .select("original", "duplicate", "similarity", "rank_i", "rank_j"))
-    return FuzzyResult(table, removed, matches, edges, n_values, n_pairs, surv.rounds,
-                       dropped.select("value", "count"), info.get("candidates", 0), info.get("strategy", ""))
+    return FuzzyResult(table, removed, matches, n_values, walk.pairs, walk.rounds,
+                       dropped.select("value", "count"), walk.candidates, walk.strategy)

@@ -213,8 +213,11 @@ def q_fuzzy_matches(spark, sf_dir):
     SELECT (SELECT count(*) FROM nodes) AS "values", (SELECT count(*) FROM edges) AS pairs,
            CAST((SELECT coalesce(sum(cnt), 0) FROM dropped) AS BIGINT) AS removed""")
 def q_fuzzy_removed(spark, sf_dir):
-    r = dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70)
-    return spark.createDataFrame([(r.values, r.pairs, r.removed)], '`values` long, pairs long, removed long')
+    from dqspark.operators.blocking import similarity_edges
+    part = table(spark, sf_dir, "part")
+    r = dedup.fuzzy_dedup(part, "p_name", 70)
+    pairs = similarity_edges(dedup.ranked_values(part, "p_name"), 70).count()
+    return spark.createDataFrame([(r.values, pairs, r.removed)], '`values` long, pairs long, removed long')
 
 
 # uncapped on supplier names: every value takes part (the LIMIT is above any count)
@@ -237,10 +240,35 @@ def q_fuzzy_matches_suppliers(spark, sf_dir):
     return r.matches.select("original", "duplicate", "similarity")
 
 
-@register("fuzzy_dedup_customers", None)
+#: The greedy walk over all customer names, each compared with the kept names alone.
+CUSTOMER_WALK_SQL = """
+    WITH RECURSIVE
+    nodes AS (
+      SELECT value, cnt, row_number() OVER (ORDER BY cnt DESC, value) AS rank FROM (
+        SELECT c_name AS value, count(*) AS cnt FROM customer WHERE c_name IS NOT NULL GROUP BY 1)),
+    walk(r, kept, gone) AS (
+      SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR
+      UNION ALL
+      SELECT r + 1, CASE WHEN hit THEN kept ELSE list_append(kept, value) END, CASE WHEN hit THEN value END
+      FROM (SELECT w.r, w.kept, n.value,
+                   len(list_filter(w.kept, lambda a:
+                     (1.0 - (length(a) + length(n.value) - 2 * list_reduce(
+                        range(1, length(n.value) + 1),
+                        lambda row, k: list_reduce(range(1, length(a) + 1),
+                           lambda acc, j: list_append(acc,
+                              CASE WHEN substr(a, j::INTEGER, 1) = substr(n.value, k::INTEGER, 1)
+                                   THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0::BIGINT]),
+                        list_transform(range(length(a) + 1), lambda x: 0::BIGINT))[length(a) + 1])
+                      / (length(a) + length(n.value))::DOUBLE) * 100 >= 85.0)) > 0 AS hit
+            FROM walk w JOIN nodes n ON n.rank = w.r + 1)),
+    left_over AS MATERIALIZED (
+      SELECT * FROM customer WHERE c_name IS NULL OR c_name NOT IN (SELECT gone FROM walk WHERE gone IS NOT NULL))
+    """
+
+
+@register("fuzzy_dedup_customers", CUSTOMER_WALK_SQL + "SELECT * FROM left_over")
 def q_fuzzy_dedup_customers(spark, sf_dir):
-    """Uncapped near-duplicate removal over all customer names (checked against
-    brute force in tests; the SQL walk over 1.1 M pairs is too slow for DuckDB)."""
+    """Uncapped near-duplicate removal over all customer names."""
     return dedup.fuzzy_dedup(table(spark, sf_dir, "customer"), "c_name", 85, max_values=None).table
 
 
@@ -572,6 +600,17 @@ def q_anomaly_count(spark, sf_dir):
                        F.count(F.lit(1)).alias("rows"))
 
 
+@register("anomaly_far_rows", """
+    SELECT l_orderkey, l_linenumber, 'Anomaly' AS anomaly_flag FROM lineitem WHERE l_orderkey % 100 = 7""")
+def q_anomaly_far_rows(spark, sf_dir):
+    """M1-M4: line items moved far off in quantity, price, discount and tax must all be flagged."""
+    far = F.col("l_orderkey") % 100 == 7
+    li = table(spark, sf_dir, "lineitem").withColumns(
+        {c: F.when(far, F.col(c) * 1000 + 1000).otherwise(F.col(c))
+         for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")})
+    return anom.detect_anomalies(li)[0].where(far).select("l_orderkey", "l_linenumber", "anomaly_flag")
+
+
 # ---------------------------------------------------------------------------
 # K8 the whole job, K7 its issue summary; S9 checksums
 
@@ -587,6 +626,42 @@ def q_issue_summary(spark, sf_dir):
     return clean_table(spark, table(spark, sf_dir, "part"), "p_name", 85).issues(spark)
 
 
+_CLEAN_PEOPLE_SQL = CUSTOMER_WALK_SQL + f""",
+    p AS ({PEOPLE_SQL.replace("FROM customer", "FROM left_over")}),
+    m AS (SELECT median(balance) AS mb, median(age) AS ma FROM p)"""
+
+
+@register("clean_people", _CLEAN_PEOPLE_SQL + """
+    SELECT id, name,
+           CASE WHEN contains(coalesce(email, 'Unknown'), '@') THEN coalesce(email, 'Unknown') END AS email,
+           CAST(CASE WHEN age < 0 OR age > 120 THEN coalesce(m.ma, 30) ELSE age END AS DOUBLE) AS age,
+           coalesce(balance, coalesce(m.mb, 0)) AS balance, coalesce(segment, 'Unknown') AS segment
+    FROM p, m""")
+def q_clean_people(spark, sf_dir):
+    """K8 on the dirty customer view: near copies of names go, the rest is repaired (flags left out)."""
+    from dqspark.plans.cleaning import clean_table
+    return clean_table(spark, people(spark, sf_dir), "name", 85).table.drop(qual.FLAG_COLUMN)
+
+
+@register("people_issues", _CLEAN_PEOPLE_SQL + """,
+    c AS (SELECT count(*) AS n, (SELECT count(*) FROM customer) AS raw,
+                 count(*) FILTER (WHERE age < 0 OR age > 120) + count(*) FILTER (WHERE balance IS NULL)
+                 + count(*) FILTER (WHERE name IS NULL) + count(*) FILTER (WHERE email IS NULL)
+                 + count(*) FILTER (WHERE NOT coalesce(contains(email, '@'), false))
+                 + count(*) FILTER (WHERE segment IS NULL) AS fixed FROM p)
+    SELECT 'exact_duplicates' AS issue, CAST(0 AS BIGINT) AS count FROM c
+    UNION ALL SELECT 'fuzzy_duplicates', raw - n FROM c
+    UNION ALL SELECT 'repairs', fixed FROM c
+    UNION ALL SELECT 'raw_records', raw FROM c
+    UNION ALL SELECT 'clean_records', n FROM c
+    UNION ALL SELECT 'removed_records', raw - n FROM c""")
+def q_people_issues(spark, sf_dir):
+    """K7 on the same job (anomalies have their own queries)."""
+    from dqspark.plans.cleaning import clean_table
+    issues = clean_table(spark, people(spark, sf_dir), "name", 85).issues(spark)
+    return issues.where(F.col("issue") != "anomalies")
+
+
 @register("file_checksum", """
     SELECT parse_filename(filename) AS file, size AS length, substr(sha256(content), 1, 12) AS checksum
     FROM read_blob('/root/testdata/sf0.01/*.parquet')""")

@@ -209,3 +209,33 @@ def test_survivor_properties_on_part_names(spark):
         for d, x in m.items():
             assert x.original in kept and x.rank_i < x.rank_j and ratio(x.original, d) >= t
             assert abs(x.similarity - ratio(x.original, d)) < 1e-9
+
+
+def test_walk_in_blocks_equals_sequential_walk(spark):
+    # small first blocks force several blocks; both generators meet the kept values
+    rnd = random.Random(17)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(6, 14))) for _ in range(30)]
+    vals = sorted(set(base + [b[:-1] + "z" for b in base] + [f"item {i:03d}" for i in range(40)]))
+    df = spark.createDataFrame([(v,) for v in vals], "name string")
+    for t, first in ((75, 30), (88, 12)):
+        edges = blocking.brute_force_edges(vals, t)
+        kept, drop = _greedy(vals, edges)
+        r = dedup.fuzzy_dedup(df, "name", t, first_block=first)
+        assert sorted(x.name for x in r.table.collect()) == [vals[i] for i in kept], t
+        first_match = {}
+        for i, j, s in edges:
+            if i in set(kept) and j in drop and j not in first_match:
+                first_match[j] = (vals[i], s)
+        got = {x.duplicate: (x.original, x.similarity) for x in r.matches.collect()}
+        assert got == {vals[j]: m for j, m in first_match.items()}
+
+
+def test_pairs_against_earlier_values(spark):
+    rnd = random.Random(23)
+    vals = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 9))) for _ in range(60)})
+    old = spark.createDataFrame(list(enumerate(vals))[:25], "rank long, value string")
+    new = spark.createDataFrame(list(enumerate(vals))[25:], "rank long, value string")
+    want = sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, 70) if i < 25 <= j)
+    for strategy in ("band", "prefix"):
+        got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(new, 70, strategy, against=old).collect())
+        assert got == want and want, strategy
