@@ -9,7 +9,8 @@ character of the longer text): per character ``c`` of the shorter text,
 ``u = S & M[c]; S = (S + u) | (S - u)``; LCS = zero bits of ``S``. Python's
 big-integer kernels run it in C, ~0.1 us per machine word per step.
 
-The Spark entry point is an Arrow ``pandas_udf`` working on whole batches; it
+The Spark entry point is an Arrow ``pandas_udf`` working on whole batches: the bounds
+and the LCS of texts up to 64 characters are numpy steps over all pairs of a batch. It
 takes the score threshold so hopeless pairs stop early. The stop rule is exact:
 after ``k`` characters of ``b``, ``LCS(a, b) <= max_i LCS(a[:i], b[:k]) + min(m - i,
 rest)`` (split an optimal alignment where it leaves ``b[:k]``). The row values
@@ -20,8 +21,8 @@ so checking block ends against block starts bounds every ``i`` of a block.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,35 +133,19 @@ def _common_ends(a: str, b: str) -> tuple[int, int]:
     return p, _shared_run(a, b, n - p, True)
 
 
-def _bag_overlap(ca: Counter, cb: Counter) -> int:
-    if len(ca) > len(cb):
-        ca, cb = cb, ca
-    return sum(min(c, cb.get(k, 0)) for k, c in ca.items())
-
-
 class _Caches:
-    """Character counts and bit patterns of recently seen texts, bounded.
+    """Bit patterns of recently seen texts, bounded.
 
     Candidates arrive sorted by their first value, so one value meets many
     partners in a row. Patterns take about ``len x distinct characters`` bits
     each, so they are bounded by the characters they cover.
     """
 
-    def __init__(self, max_counts: int = 4096, max_pattern_chars: int = 4_000_000):
-        self.counts: dict = {}
+    def __init__(self, max_pattern_chars: int = 4_000_000):
         self.patterns: dict = {}
         self.pattern_chars = 0
-        self.max_counts = max_counts
         self.max_pattern_chars = max_pattern_chars
 
-    def count(self, x: str) -> Counter:
-        c = self.counts.get(x)
-        if c is None:
-            if len(self.counts) >= self.max_counts:
-                self.counts.clear()
-            c = self.counts[x] = Counter(x)
-        return c
-
     def pattern(self, x: str) -> dict:
         pm = self.patterns.get(x)
         if pm is None:
@@ -172,31 +157,93 @@ class _Caches:
         return pm
 
 
+BINS = 128                # character bins of the bag bound; ASCII characters have one each
+WORD_BITS = 64            # texts up to this length have their LCS computed many pairs at a time
+MAX_CELLS = 2_000_000     # bit patterns of one step; a step with more is halved
+STEP = 4096               # pairs whose count vectors are compared at a time
+
+
+def _points(v: str) -> np.ndarray:
+    return np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _bag_overlaps(points: list[np.ndarray], ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Upper bound of each pair's LCS: the overlap of its character counts in bins."""
+    counts = np.stack([np.bincount(p & np.uint32(BINS - 1), minlength=BINS) for p in points]).astype(np.int32)
+    out = np.empty(len(ia), np.int64)
+    for at in range(0, len(ia), STEP):
+        out[at:at + STEP] = np.minimum(counts[ia[at:at + STEP]], counts[ib[at:at + STEP]]).sum(1)
+    return out
+
+
+def lcs_short(points: list[np.ndarray], ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Exact LCS lengths of many pairs of texts of at most ``WORD_BITS`` characters.
+
+    The recurrence of ``lcs_length`` on one machine word per pair: step ``k`` feeds the
+    ``k``-th character of every second text at once.
+    """
+    used, at = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+    own = [points[i] for i in used]
+    a, b = at[:len(ia)], at[len(ia):]
+    lens = np.array([len(p) for p in own], np.int64)
+    alphabet, codes = np.unique(np.concatenate(own), return_inverse=True)
+    if len(own) * (len(alphabet) + 1) > MAX_CELLS and len(ia) > 1:
+        half = len(ia) // 2
+        return np.concatenate([lcs_short(points, ia[:half], ib[:half]), lcs_short(points, ia[half:], ib[half:])])
+    owner = np.repeat(np.arange(len(own)), lens)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
+    grid = np.full((len(own), WORD_BITS), len(alphabet))          # the code past a text's end has no pattern bits
+    grid[owner, place] = codes
+    pattern = np.zeros((len(own), len(alphabet) + 1), np.uint64)
+    np.bitwise_or.at(pattern, (owner, codes), np.uint64(1) << place.astype(np.uint64))
+    s = np.full(len(a), np.uint64(2**64 - 1))
+    for k in range(int(lens[b].max(initial=0))):
+        u = s & pattern[a, grid[b, k]]
+        s = (s + u) | (s - u)
+    unused = (WORD_BITS - lens[a]).astype(np.uint64)
+    low = np.where(lens[a] > 0, np.uint64(2**64 - 1) >> np.minimum(unused, np.uint64(WORD_BITS - 1)), np.uint64(0))
+    return lens[a] - np.bitwise_count(s & low).astype(np.int64)
+
+
 def _score_batch(a, b, threshold: float, caches: _Caches | None = None) -> pd.Series:
-    """Scores; with a threshold, a pair that provably misses it gets some value below it."""
-    out = []
+    """Scores; with a threshold, a pair that provably misses it gets some value below it.
+
+    The length and character-bag bounds and the LCS of short texts are computed for the
+    whole batch; longer texts that pass the bounds go one by one.
+    """
     caches = caches or _Caches()
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        la, lb = len(x), len(y)
-        need = min_lcs(la, lb, threshold) if threshold > 0 else 0
-        if need:
-            if min(la, lb) < need:                      # length bound
-                out.append(ratio_from_lcs(la, lb, min(la, lb)))
-                continue
-            bag = _bag_overlap(caches.count(x), caches.count(y))   # character-bag bound
-            if bag < need:
-                out.append(ratio_from_lcs(la, lb, bag))
-                continue
-        p, q = _common_ends(x, y)                       # shared ends are part of an LCS
-        xm, ym = x[p:la - q], y[p:lb - q]
+    a, b = list(a), list(b)
+    scores = np.full(len(a), np.nan)
+    present = np.array([k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None], np.int64)
+    if not len(present):
+        return pd.Series(scores)
+    places: dict[str, int] = {}
+    ia = np.array([places.setdefault(a[k], len(places)) for k in present])
+    ib = np.array([places.setdefault(b[k], len(places)) for k in present])
+    values = list(places)
+    points = [_points(v) for v in values]
+    lens = np.array([len(p) for p in points], np.int64)
+    la, lb = lens[ia], lens[ib]
+    total = la + lb
+    need = np.zeros(len(ia), np.int64)
+    lcs = np.minimum(la, lb)
+    if threshold > 0:
+        need = np.maximum(0, np.ceil(threshold * total / 200.0 - 1e-9)).astype(np.int64)
+        fits = np.flatnonzero(lcs >= need)
+        lcs[fits] = np.minimum(lcs[fits], _bag_overlaps(points, ia[fits], ib[fits]))
+    open_ = lcs >= need                                   # what fails keeps its bound, below the threshold
+    short = np.flatnonzero(open_ & (np.maximum(la, lb) <= WORD_BITS))
+    if len(short):
+        lcs[short] = lcs_short(points, ia[short], ib[short])
+    for k in np.flatnonzero(open_ & (np.maximum(la, lb) > WORD_BITS)).tolist():
+        x, y = values[ia[k]], values[ib[k]]
+        p, q = _common_ends(x, y)                         # shared ends are part of an LCS
+        xm, ym = x[p:len(x) - q], y[p:len(y) - q]
         longer, shorter = (xm, ym) if len(xm) >= len(ym) else (ym, xm)
         pm = caches.pattern(longer) if p == 0 and q == 0 else None
-        lcs = p + q + lcs_length(longer, shorter, max(0, need - p - q), pm)
-        out.append(ratio_from_lcs(la, lb, lcs))
-    return pd.Series(out, dtype="float64")
+        lcs[k] = p + q + lcs_length(longer, shorter, max(0, int(need[k]) - p - q), pm)
+    scores[present] = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / np.maximum(total, 1)) * 100.0)
+    return pd.Series(scores)
 
 
 def similarity(a: Column, b: Column, threshold: float = 0.0) -> Column:

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dqspark.functions.similarity import lcs_length, ratio
+from dqspark.functions.similarity import _score_batch, lcs_length, ratio
 
 
 def lcs_dp(a, b):
@@ -100,3 +100,31 @@ def test_common_ends_long_runs():
         while q < min(len(a), len(b)) - p and a[-1 - q] == b[-1 - q]:
             q += 1
         assert _common_ends(a, b) == (p, q)
+
+
+_TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="abAB é😀語", max_size=70), st.text(alphabet="ab", min_size=60, max_size=70)),
+                  min_size=1, max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(_TEXTS, st.sampled_from([0.0, 40.0, 70.0, 85.0, 100.0]))
+def test_batch_scores_equal_single_ones(texts, threshold):
+    pairs = [(x, y) for x in texts for y in texts]
+    got = _score_batch([x for x, _ in pairs], [y for _, y in pairs], threshold).tolist()
+    for (x, y), s in zip(pairs, got, strict=True):
+        if x is None or y is None:
+            assert s != s
+            continue
+        exact = ratio(x, y)
+        if exact >= threshold:
+            assert s == exact
+        else:
+            assert s < threshold
+
+
+def test_batch_steps_are_halved(monkeypatch):
+    from dqspark.functions import similarity
+    monkeypatch.setattr(similarity, "MAX_CELLS", 50)
+    rnd = random.Random(3)
+    a = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 64))) for _ in range(40)]
+    assert _score_batch(a, a[::-1], 0.0).tolist() == [ratio(x, y) for x, y in zip(a, a[::-1])]
