@@ -126,6 +126,11 @@ def threshold_band(threshold: Column) -> Column:
             .otherwise(F.lit(BAND_WORDS[2])))
 
 
+def elapsed(start: Column, end: Column) -> Column:
+    """Seconds between two timestamps, two places."""
+    return F.round(F.timestamp_diff("MICROSECOND", start, end) / F.lit(1_000_000.0), 2)
+
+
 def duration_text(seconds: Column) -> Column:
     """Seconds as ``"<h>h <m>m <s>s"``."""
     s = F.floor(seconds).cast("long")

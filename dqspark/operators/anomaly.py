@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from dqspark.functions.scalar import is_inf, is_numeric
 from dqspark.operators import stats
 from dqspark.operators.quality import ANOMALY, FLAG_COLUMN, NORMAL
-from dqspark.session import spread_for_cpu
+from dqspark.session import spread_for_cpu, staged
 
 # Fixed values of the detector.
 CONTAMINATION = 0.1
@@ -64,13 +64,13 @@ def feature_columns(df: DataFrame, exclude: tuple[str, ...] = (FLAG_COLUMN,)) ->
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
 
 
-def features(cols: list[str]) -> Column:
+def feature_values(cols: list[str]) -> list[Column]:
     """M2: numeric values as doubles, missing and +-inf as 0."""
     parts = []
     for c in cols:
         v = F.col(f"`{c}`").cast("double")
         parts.append(F.when(v.isNull() | F.isnan(v) | is_inf(v), F.lit(0.0)).otherwise(v))
-    return F.array(*parts)
+    return parts
 
 
 def _row_hash(seed: int, cols: list[str]) -> Column:
@@ -128,7 +128,7 @@ def fit_forest(df: DataFrame, cols: list[str], n_rows: int | None = None, n_tree
     psi = min(max_samples, n)
     want = min(n, n_trees * psi)
     u = F.pmod(_row_hash(seed, df.columns), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    rows = df.select(features(cols).alias("x"), u.alias("u"))
+    rows = df.select(F.array(*feature_values(cols)).alias("x"), u.alias("u"))
     q = 1.0 if want >= n else min(1.0, (want + 8.0 * math.sqrt(want) + 64.0) / n)
     while True:
         cut = rows.where(F.col("u") < q) if q < 1.0 else rows
@@ -193,15 +193,12 @@ class Forest:
         return np.power(2.0, -self.path_lengths(x) / c)
 
 
-def score_column(forest: Forest, feature_col: Column) -> Column:
-    """M3: anomaly score in (0, 1], higher is odder (Arrow UDF over the feature array)."""
+def score_column(forest: Forest, cols: list[str]) -> Column:
+    """M3: anomaly score in (0, 1], higher is odder (Arrow UDF over one double column per feature)."""
     @F.pandas_udf(T.DoubleType())
-    def _score(xs: pd.Series) -> pd.Series:
-        if len(xs) == 0:
-            return pd.Series([], dtype="float64")
-        x = np.stack(xs.to_numpy()).astype(float)
-        return pd.Series(forest.scores(x))
-    return _score(feature_col)
+    def _score(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(forest.scores(x.to_numpy(float)) if len(x) else [], dtype="float64")
+    return _score(F.struct(*[v.alias(f"f{i}") for i, v in enumerate(feature_values(cols))]))
 
 
 # --------------------------------------------------------------------------- M4-M6
@@ -209,36 +206,28 @@ def score_column(forest: Forest, feature_col: Column) -> Column:
 def detect_anomalies(df: DataFrame, contamination: float = CONTAMINATION, seed: int = SEED,
                      feature_cols: list[str] | None = None, n_trees: int = N_TREES,
                      max_samples: int = MAX_SAMPLES, approx: bool = False,
-                     n_rows: int | None = None, materialize: bool = False) -> tuple[DataFrame, int]:
+                     n_rows: int | None = None) -> tuple[DataFrame, int]:
     """M6: returns (table with ``anomaly_flag``, anomaly count).
 
     ``approx=True`` takes the cut from ``percentile_approx`` (A16) in one pass.
     ``n_rows`` saves the counting pass when the caller knows the row count.
-    ``materialize=True`` scores every row once: the scored table is checkpointed
-    and both the cut and the flags read it (the returned table is then already
-    cut from its lineage). Otherwise the scores are computed again for the
-    returned table, which keeps nothing but one double per row on the side.
+    Every row is scored once: the scored table is staged, and the cut, the count and the
+    returned table read it. The returned table is thus cut from its lineage.
     """
     cols = feature_cols if feature_cols is not None else feature_columns(df)
     base = df.drop(FLAG_COLUMN) if FLAG_COLUMN in df.columns else df
     n = n_rows if n_rows is not None else base.count()
     if not cols or n < MIN_ROWS:              # M5
-        out = base.withColumn(FLAG_COLUMN, F.lit(NORMAL))
-        return (out.checkpoint() if materialize else out), 0
+        return staged(base.withColumn(FLAG_COLUMN, F.lit(NORMAL)), "anomaly-flags"), 0
     forest_df, psi = fit_forest(base, cols, n, n_trees, max_samples, seed)
     forest = Forest(forest_df, psi)
-    scored = spread_for_cpu(base).withColumn("__score", score_column(forest, features(cols)))
-    if materialize:
-        scored = scored.checkpoint()
-    neg = scored.select((-F.col("__score")).alias("s")).persist()
-    try:
-        if approx:
-            cut = stats.approx_quantiles(neg, {"s": [contamination]})[("s", contamination)]
-        else:
-            cut = stats.quantiles(neg, {"s": [contamination]}, median_mean=False)[("s", contamination)]
-        count = neg.where(F.col("s") < F.lit(cut)).count()
-    finally:
-        neg.unpersist()
+    scored = staged(spread_for_cpu(base).withColumn("__score", score_column(forest, cols)), "anomaly-scores")
+    neg = scored.select((-F.col("__score")).alias("s"))
+    if approx:
+        cut = stats.approx_quantiles(neg, {"s": [contamination]})[("s", contamination)]
+    else:
+        cut = stats.quantiles(neg, {"s": [contamination]}, median_mean=False)[("s", contamination)]
+    count = neg.where(F.col("s") < F.lit(cut)).count()
     flagged = (scored.withColumn(FLAG_COLUMN, F.when(-F.col("__score") < F.lit(cut), F.lit(ANOMALY))
                                  .otherwise(F.lit(NORMAL)))
                .drop("__score"))

@@ -9,8 +9,8 @@ only decides where to cut lineage:
   flags, the quality aggregate, the preview and the sink, so the forest scores
   each row once. Row counts after the first cut are derived, not counted.
 
-Cuts use ``checkpoint()`` (reliable, in the session's checkpoint folder), so a lost
-executor re-runs at most the stage after the last cut.
+Cuts write Parquet (or ``checkpoint()``, for small tables) into the session's checkpoint
+folder, so a lost executor re-runs at most the stage after the last cut.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqspark.functions.scalar import default_match_column, sanitize, threshold_band
 from dqspark.operators import anomaly, dedup, profile, quality, repair
-from dqspark.session import ensure_checkpoint_dir
+from dqspark.session import ensure_checkpoint_dir, staged
 from dqspark.sources import csv as csv_source
 from dqspark.sources import sinks
 
@@ -61,18 +62,25 @@ class CleanResult:
                                      self.anomaly_count, self.raw_count, self.clean_count)
 
 
-def load(spark: SparkSession, source: DataFrame | str, encoding: str | None = None) -> DataFrame:
-    return csv_source.read_csv(spark, source, encoding) if isinstance(source, str) else source
+def load(spark: SparkSession, source: DataFrame | str, encoding: str | None = None, multiline: bool = True,
+         schema: T.StructType | None = None) -> DataFrame:
+    return csv_source.read_csv(spark, source, encoding, multiline, schema) if isinstance(source, str) else source
 
 
 def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | None = "name",
                 threshold: float = dedup.DEFAULT_THRESHOLD,
                 max_values: int | None = dedup.DEFAULT_MAX_VALUES,
-                approx: bool = False) -> CleanResult:
-    """K8: the seven stages on a table or a CSV path."""
+                approx: bool = False, age_columns: list[str] | None = None,
+                email_columns: list[str] | None = None, feature_cols: list[str] | None = None,
+                **csv_options) -> CleanResult:
+    """K8: the seven stages on a table or a CSV path.
+
+    ``age_columns``, ``email_columns`` and ``feature_cols`` replace the choice by name and
+    type; ``csv_options`` are ``encoding``, ``multiline`` and ``schema`` of a CSV path.
+    """
     ensure_checkpoint_dir(spark)
     t0 = time.time()
-    raw = load(spark, source)
+    raw = load(spark, source, **csv_options)
     if match_col is None:
         match_col = default_match_column(raw.columns)   # P4
 
@@ -81,18 +89,18 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     pcols_rows = [r.asDict() for r in pcols.orderBy("position").collect()]
     raw_count = int(ptab_row["total_records"])
 
-    deduped = raw.dropDuplicates().checkpoint()
+    deduped = staged(raw.dropDuplicates(), "exact-dedup")
     exact_count = deduped.count()
     exact_removed = raw_count - exact_count
 
     fz = dedup.fuzzy_dedup(deduped, match_col, threshold, max_values)
     matches = fz.matches.checkpoint()
 
-    repaired, total_repairs, log = repair.repair(fz.table, approx=approx)
+    repaired, total_repairs, log = repair.repair(fz.table, age_columns, email_columns, approx)
     clean_count = exact_count - fz.removed
-    # scored once and checkpointed inside: the cut, the count and the sink read it
+    # scored once and staged inside: the cut, the count and the sink read it
     final, anomaly_count = anomaly.detect_anomalies(repaired, approx=approx, n_rows=clean_count,
-                                                    materialize=True)
+                                                    feature_cols=feature_cols)
     cqi = quality.quality_index(final, raw_count, anomaly_count, approx).first().asDict()
     return CleanResult(ptab_row, pcols_rows, exact_removed, fz.removed, matches, total_repairs, log,
                        anomaly_count, cqi, raw_count, clean_count, final, final.columns,
@@ -102,14 +110,18 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
 
 def run_tracked(spark: SparkSession, source: DataFrame | str, out_dir: str, run_id: str,
                 match_col: str = "name", threshold: float = dedup.DEFAULT_THRESHOLD,
-                store=None) -> CleanResult:
-    """K9: the job plus reports (S8), metrics (S11), clean CSV (S7) and the model."""
+                store=None, **options) -> CleanResult:
+    """K9: the job plus reports (S8), metrics (S11), clean CSV (S7) and the model.
+
+    ``options`` are those of ``clean_table``; a CSV path is UTF-8 unless told otherwise (S6).
+    """
     from dqspark.plans.runs import RunStore
     store = store or RunStore(spark, f"{out_dir}/runs")
-    spark_source = load(spark, source, "UTF-8") if isinstance(source, str) else source   # S6
+    csv_options = {k: options.pop(k) for k in ("encoding", "multiline", "schema") if k in options}
+    spark_source = load(spark, source, **{"encoding": csv_source.UTF8, **csv_options})
     store.log_params(run_id, {"input_file": source if isinstance(source, str) else "<table>",
                               "fuzzy_col": match_col, "threshold": threshold})
-    res = clean_table(spark, spark_source, match_col, threshold)
+    res = clean_table(spark, spark_source, match_col, threshold, **options)
     store.log_params(run_id, {"total_raw_records": res.profile_table["total_records"],
                               "total_columns": res.profile_table["total_columns"],
                               "threshold_band": spark.range(1).select(threshold_band(F.lit(threshold))).first()[0]})

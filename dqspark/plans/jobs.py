@@ -23,10 +23,10 @@ def new_job_id() -> str:
     return uuid.uuid4().hex[:8]
 
 
-def register_upload(spark: SparkSession, store: RunStore, path: str, job_id: str | None = None) -> dict:
+def register_upload(spark: SparkSession, store: RunStore, path: str, job_id: str | None = None, **csv_options) -> dict:
     """S5 + S10 + T5: read the file, record ``uploaded`` with its facts, return a preview."""
     job_id = job_id or new_job_id()
-    df = csv_source.read_csv(spark, path)
+    df = csv_source.read_csv(spark, path, **csv_options)
     meta = sinks.input_metadata(spark, job_id, os.path.basename(path.rstrip("/")), df, path).first().asDict()
     store.record(job_id, "uploaded", **{k: v for k, v in meta.items() if k not in ("job_id", "status")})
     preview = [r.asDict() for r in sinks.sanitize(df).limit(UPLOAD_PREVIEW_ROWS).collect()]
@@ -34,12 +34,12 @@ def register_upload(spark: SparkSession, store: RunStore, path: str, job_id: str
 
 
 def run_job(spark: SparkSession, store: RunStore, path: str, job_id: str, match_col: str = "name",
-            threshold: float = 85) -> dict:
-    """Run the cleaning job on an uploaded file and record the outcome."""
+            threshold: float = 85, **options) -> dict:
+    """Run the cleaning job on an uploaded file and record the outcome; ``options`` go to ``clean_table``."""
     store.record(job_id, "running", fuzzy_col=match_col, threshold=float(threshold))
     t0 = time.time()
     try:
-        res = clean_table(spark, path, match_col, threshold)
+        res = clean_table(spark, path, match_col, threshold, **options)
         out = store.output_path(job_id)
         sinks.write_csv(res.table, out)
         facts = sinks.file_facts(spark, out, "*.csv")

@@ -117,6 +117,36 @@ def q_exact_dedup_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").dropDuplicates()
 
 
+_ORDERS_TWICE_SQL = "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 = 0"
+
+
+def orders_twice(spark, sf_dir):
+    """Orders, every third of them repeated."""
+    o = table(spark, sf_dir, "orders")
+    return o.unionByName(o.where(F.col("o_orderkey") % 3 == 0))
+
+
+@register("exact_dedup_rows", f"SELECT DISTINCT * FROM ({_ORDERS_TWICE_SQL})")
+def q_exact_dedup_rows(spark, sf_dir):
+    """D1 by the operator, all columns."""
+    return dedup.exact_dedup(orders_twice(spark, sf_dir))[0]
+
+
+@register("exact_dedup_rows_removed", f"""
+    SELECT (SELECT count(*) FROM ({_ORDERS_TWICE_SQL})) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_ORDERS_TWICE_SQL}))) AS removed""")
+def q_exact_dedup_rows_removed(spark, sf_dir):
+    """A13 by the operator."""
+    return spark.createDataFrame([(dedup.exact_dedup(orders_twice(spark, sf_dir))[1],)], "removed long")
+
+
+@register("default_column_frequency", """
+    SELECT c_name AS value, count(*) AS count FROM customer WHERE c_name IS NOT NULL GROUP BY 1""")
+def q_default_column_frequency(spark, sf_dir):
+    """P4 + A8: the frequencies of the column matched by default."""
+    c = table(spark, sf_dir, "customer")
+    return dedup.value_frequencies(c, scalar.default_match_column(c.columns))
+
+
 @register("value_frequency", """
     SELECT CAST(p_name AS VARCHAR) AS value, count(*) AS count FROM part
     WHERE p_name IS NOT NULL GROUP BY 1""")
@@ -209,6 +239,19 @@ def q_fuzzy_matches(spark, sf_dir):
     return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_name", 70).matches
 
 
+@register("fuzzy_dedup_numbers", _fuzzy_sql(60, "p_size", materialized=True) + """
+    SELECT * FROM part WHERE p_size IS NULL OR CAST(p_size AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
+def q_fuzzy_dedup_numbers(spark, sf_dir):
+    """A numeric match column, compared as text."""
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "part"), "p_size", 60).table
+
+
+@register("fuzzy_missing_column", "SELECT * FROM supplier")
+def q_fuzzy_missing_column(spark, sf_dir):
+    """P5: without the match column the table stays as it is."""
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "no_such_column", 85).table
+
+
 @register("fuzzy_removed", _fuzzy_sql(70) + """
     SELECT (SELECT count(*) FROM nodes) AS "values", (SELECT count(*) FROM edges) AS pairs,
            CAST((SELECT coalesce(sum(cnt), 0) FROM dropped) AS BIGINT) AS removed""")
@@ -240,6 +283,13 @@ def q_fuzzy_matches_suppliers(spark, sf_dir):
     return r.matches.select("original", "duplicate", "similarity")
 
 
+@register("fuzzy_dedup_rounds", _fuzzy_sql(90, "s_name", "supplier", UNCAPPED, True) + """
+    SELECT * FROM supplier WHERE s_name IS NULL OR CAST(s_name AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
+def q_fuzzy_dedup_rounds(spark, sf_dir):
+    """D3 by distributed rounds alone, in blocks of 16 ranks and up; no walk in one task."""
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "s_name", 90, local_limit=0, first_block=16).table
+
+
 #: The greedy walk over all customer names, each compared with the kept names alone.
 CUSTOMER_WALK_SQL = """
     WITH RECURSIVE
@@ -325,6 +375,15 @@ def q_repair_log(spark, sf_dir):
     return rep.repair(people(spark, sf_dir))[2]
 
 
+@register("repair_labels", QUERIES["repair_log"][1].replace(
+    'SELECT CAST(row_number()', 'SELECT "column", replace(type, \'_\', \' \') AS label, CAST(row_number()').replace(
+    'AS step, "column", type, count', 'AS step, count'))
+def q_repair_labels(spark, sf_dir):
+    """C16 on the repair log."""
+    log = rep.repair(people(spark, sf_dir))[2]
+    return log.select("step", "column", scalar.repair_label(F.col("type")).alias("label"), "count")
+
+
 @register("repair_numeric", f"""
     WITH t AS ({LABELLED_DOCUMENTS_SQL}), m AS (SELECT median(quality) AS mq, median(toxic) AS mt FROM t)
     SELECT doc_id, text, lang, source, n_chars,
@@ -417,6 +476,15 @@ def q_sanitise(spark, sf_dir):
     return scalar.sanitize(events_dirty(spark, sf_dir))
 
 
+@register("repair_infinite", f"""
+    WITH d AS ({EVENTS_DIRTY_SQL}), m AS (SELECT median(value) AS mv FROM d WHERE NOT isnan(value)),
+    f AS (SELECT event_id, event_type, CASE WHEN value IS NULL OR isnan(value) THEN coalesce(m.mv, 0) ELSE value END AS value FROM d, m)
+    SELECT event_id, coalesce(event_type, 'Unknown') AS event_type, CASE WHEN isinf(value) THEN NULL ELSE value END AS value FROM f""")
+def q_repair_infinite(spark, sf_dir):
+    """R1 then R5: NaN is filled with the median (infinities count in it), infinities end as null."""
+    return rep.repair(events_dirty(spark, sf_dir))[0]
+
+
 def embeddings_dirty(spark, sf_dir):
     """Embeddings with +inf above 0.2 and NaN below -0.2, element by element."""
     e = table(spark, sf_dir, "embeddings")
@@ -453,6 +521,7 @@ def q_sanitise_nested(spark, sf_dir):
 from dqspark.operators import quality as qual  # noqa: E402
 from dqspark.operators import anomaly as anom  # noqa: E402
 from dqspark.plans import runs as runs_mod  # noqa: E402
+from dqspark.sources import csv as csv_source  # noqa: E402
 from dqspark.sources import sinks  # noqa: E402
 
 _QCOLS = ["text", "lang", "source", "quality", "toxic", "anomaly_flag"]
@@ -583,6 +652,59 @@ def q_threshold_band(spark, sf_dir):
     return runs_mod.with_band(runs_from_orders(spark, sf_dir)).select("job_id", "threshold", "band")
 
 
+# ---------------------------------------------------------------------------
+# C8-C10, C15 report texts; S3, S4 inference over dirty text
+
+@register("output_job_ids", """
+    SELECT file, split_part(split_part(file, '/', 2), '_', 1) AS job_id
+    FROM (SELECT 'outputs/' || o_orderkey || '_' || o_orderstatus || '_clean.csv' AS file FROM orders)""")
+def q_output_job_ids(spark, sf_dir):
+    """Job ids from output file names."""
+    file = F.concat_ws("", F.lit("outputs/"), F.col("o_orderkey").cast("string"), F.lit("_"), F.col("o_orderstatus"),
+                       F.lit("_clean.csv"))
+    return table(spark, sf_dir, "orders").select(file.alias("file")).withColumn("job_id", scalar.job_id_of(F.col("file")))
+
+
+@register("event_times", """
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS time FROM events""")
+def q_event_times(spark, sf_dir):
+    """ISO-8601 text of every event's time."""
+    return table(spark, sf_dir, "events").select("event_id", scalar.utc_iso(F.col("ts")).alias("time"))
+
+
+@register("user_durations", """
+    WITH e AS (SELECT user_id, round(date_diff('microsecond', min(ts), max(ts)) / 1000000.0, 2) AS elapsed
+               FROM events GROUP BY user_id),
+    s AS (SELECT *, CAST(floor(elapsed) AS BIGINT) AS n FROM e)
+    SELECT user_id, elapsed, (n // 3600) || 'h ' || ((n % 3600) // 60) || 'm ' || (n % 60) || 's' AS duration FROM s""")
+def q_user_durations(spark, sf_dir):
+    """C10 + C15: time between a user's first and last event."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        scalar.elapsed(F.min("ts"), F.max("ts")).alias("elapsed"))
+    return e.withColumn("duration", scalar.duration_text(F.col("elapsed")))
+
+
+@register("csv_types", """
+    SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS nation,
+           CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance, c_acctbal >= 0 AS flag,
+           CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_acctbal >= 0 THEN 'True' ELSE 'False' END AS some_flag,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS segment, CAST(NULL AS DOUBLE) AS nothing
+    FROM customer""")
+def q_csv_types(spark, sf_dir):
+    """S3 + S4: customers as a CSV scan hands them over (text, missing-value words, leading blanks), typed again."""
+    key, rich = F.col("c_custkey"), F.col("c_acctbal") >= 0
+    raw = table(spark, sf_dir, "customer").select(
+        key.cast("string").alias("id"),
+        F.concat(F.lit(" "), F.col("c_nationkey").cast("string")).alias("nation"),
+        F.when(key % 7 == 0, "N/A").when(key % 5 == 0, "nan").otherwise(F.col("c_acctbal").cast("string")).alias("balance"),
+        F.when(rich, "True").otherwise("false").alias("flag"),
+        F.when(key % 3 == 0, "NULL").when(rich, "True").otherwise("False").alias("some_flag"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "null").otherwise(F.col("c_mktsegment")).alias("segment"),
+        F.lit("").alias("nothing"))
+    clean = csv_source.na_to_null(raw)
+    return csv_source.cast_types(clean, csv_source.infer_types(clean))
+
+
 # ---------------------------------------------------------------------------
 # M1-M6 anomaly flags (the flagged rows have no SQL twin; the count rule has one)
 

@@ -191,7 +191,3 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multil
         return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
     return cast_types(raw, infer_types(raw))
 
-
-def read_csv_plain(spark: SparkSession, path: str) -> DataFrame:
-    """The tracked run reads UTF-8 without fallback."""
-    return read_csv(spark, path, encoding=UTF8)

@@ -23,10 +23,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     sanitize(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def write_report(df: DataFrame, path: str, only_if_rows: bool = False) -> bool:
     """A JSON report (one object per line). Returns whether it was written."""
     if only_if_rows and df.isEmpty():

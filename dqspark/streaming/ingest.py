@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dqspark.plans.jobs import register_upload, run_job
 from dqspark.plans.runs import RunStore
@@ -36,8 +35,12 @@ def _local_path(p: str) -> str:
 
 def ingest_landing(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
                    match_col: str = "name", threshold: float = 85, files_per_batch: int = 1,
-                   available_now: bool = True):
-    """Start the stream; returns the ``StreamingQuery`` (``availableNow`` by default)."""
+                   available_now: bool = True, csv_options: dict | None = None, **options):
+    """Start the stream; returns the ``StreamingQuery`` (``availableNow`` by default).
+
+    ``csv_options`` (``encoding``, ``multiline``, ``schema``) and ``options`` go to the job.
+    """
+    csv_options = csv_options or {}
     store = RunStore(spark, store_root)
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", "*.csv")
@@ -49,15 +52,9 @@ def ingest_landing(spark: SparkSession, landing: str, store_root: str, checkpoin
         for row in batch.select("path", "modificationTime").orderBy("path").collect():
             path = _local_path(row["path"])
             job_id = landed_job_id(row["path"], row["modificationTime"])
-            register_upload(spark, store, path, job_id)
-            run_job(spark, store, path, job_id, match_col, threshold)
+            register_upload(spark, store, path, job_id, **csv_options)
+            run_job(spark, store, path, job_id, match_col, threshold, **csv_options, **options)
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
-
-
-def landed_counts(spark: SparkSession, landing: str) -> DataFrame:
-    """Files waiting in the landing folder with their sizes (a batch view)."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(landing)
-            .select("path", "length", F.col("modificationTime").alias("landed_at")))

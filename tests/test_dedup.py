@@ -12,19 +12,19 @@ def _vals(df, col):
 
 def test_exact_dedup(people):
     out, removed = dedup.exact_dedup(people)
-    assert removed == 2 and out.count() == 4
+    assert removed == 2 and out.count() == 5
     assert out.count() == out.distinct().count()
 
 
-def test_fuzzy_six_rows(people):
+def test_fuzzy_people(people):
     deduped, _ = dedup.exact_dedup(people)
     for t in (80, 85):
         r = dedup.fuzzy_dedup(deduped, "name", t)
         assert r.removed == 1
         m = r.first_matches().collect()
-        assert [(x.original, x.duplicate) for x in m] == [("Alice", "Alicee")]
-        assert abs(m[0].similarity - 90.9090909090909) < 1e-9
-        assert "Alicee" not in _vals(r.table, "name")
+        assert [(x.original, x.duplicate) for x in m] == [("Marion", "Marionn")]
+        assert abs(m[0].similarity - 100 * 12 / 13) < 1e-9         # one letter of 6 + 7 is extra
+        assert "Marionn" not in _vals(r.table, "name")
 
 
 def test_fuzzy_sample(spark, sample_csv):
@@ -39,7 +39,7 @@ def test_fuzzy_sample(spark, sample_csv):
 
 def test_missing_column_unchanged(people):
     r = dedup.fuzzy_dedup(people, "nonexistent", 85)
-    assert r.removed == 0 and r.table.count() == 6 and r.matches.count() == 0
+    assert r.removed == 0 and r.table.count() == 7 and r.matches.count() == 0
 
 
 def test_survivor_chain_is_greedy_not_components(spark):

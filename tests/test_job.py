@@ -3,18 +3,36 @@ import os
 from dqspark.plans.cleaning import clean_table, run_tracked
 
 
-def test_six_row_golden(spark, people):
+def test_people_golden(spark, people):
     r = clean_table(spark, people, "name", 85)
-    assert r.raw_count == 6 and r.exact_removed == 2 and r.fuzzy_removed == 1 and r.clean_count == 3
+    assert r.raw_count == 7 and r.exact_removed == 2 and r.fuzzy_removed == 1 and r.clean_count == 4
     assert r.total_repairs == 1
     assert [(x.column, x.type, x["count"]) for x in r.repair_log.collect()] == [("city", "null_filled_text", 1)]
     assert r.anomaly_count == 0
-    assert r.cqi == {"completeness": 100.0, "uniqueness": 50.0, "validity": 100.0,
-                     "consistency": 86.7, "accuracy": 100.0, "cqi_score": 87.33}
-    assert r.profile_table["total_nulls"] == 1 and r.profile_table["null_rate"] == 4.17
+    # 4 of 7 rows left; distinct shares 4/4, 4/4, 4/4, 3/4 (towns) and 1/4 (flags)
+    assert r.cqi == {"completeness": 100.0, "uniqueness": 57.1, "validity": 100.0,
+                     "consistency": 80.0, "accuracy": 100.0, "cqi_score": 87.43}
+    assert r.profile_table["total_nulls"] == 2 and r.profile_table["null_rate"] == 7.14
     assert r.clean_count <= r.raw_count
 
 
+def test_chosen_columns_replace_those_found_by_name(spark):
+    rows = [(f"n{i}", 900 + i, f"m{i}", float(i % 3)) for i in range(12)]
+    df = spark.createDataFrame(rows, "name string, years long, contact string, x double")
+    plain = clean_table(spark, df, "name", 100)
+    assert plain.total_repairs == 0
+    chosen = clean_table(spark, df, "name", 100, age_columns=["years"], email_columns=["contact"], feature_cols=["x"])
+    assert {(x.column, x.type, x["count"]) for x in chosen.repair_log.collect()} == {
+        ("years", "invalid_age_fixed", 12), ("contact", "invalid_email_flagged", 12)}
+
+
+def test_csv_options_reach_the_reader(spark, tmp_path):
+    p = tmp_path / "latin.csv"
+    p.write_bytes("name,n\ncafé,1\nthé,2\n".encode("latin-1"))
+    r = clean_table(spark, str(p), "name", 85, encoding="ISO-8859-1", multiline=False)
+    assert {x.name for x in r.table.collect()} == {"café", "thé"}
+
+
 def test_sample_golden(spark, sample_csv):
     r = clean_table(spark, sample_csv, "name", 85)
     assert r.raw_count == 15 and r.exact_removed == 0 and r.fuzzy_removed == 3 and r.clean_count == 12

@@ -1,14 +1,14 @@
 from dqspark.operators.profile import profile_columns, profile_table
 
 
-def test_profile_six_rows(people):
+def test_profile_people(people):
     t = profile_table(people).first()
-    assert t.total_records == 6 and t.total_columns == 4 and t.total_nulls == 1
-    assert t.null_rate == 4.17
+    assert t.total_records == 7 and t.total_columns == 4 and t.total_nulls == 2
+    assert t.null_rate == 7.14
     cols = {r.column: r for r in profile_columns(people).collect()}
     assert len(cols) == 4
-    assert cols["city"].null_count == 1 and cols["city"].null_rate == 16.67
-    assert cols["name"].unique_count == 4 and cols["city"].unique_count == 2
+    assert cols["city"].null_count == 2 and cols["city"].null_rate == 28.57
+    assert cols["name"].unique_count == 5 and cols["city"].unique_count == 2
     assert cols["age"].dtype == "bigint"
 
 
