@@ -6,11 +6,16 @@ one SQL expression, score them, and a calibrated threshold per generator selects
 redacted beside the base formats. The text is never seen by Python: finding, offsets,
 features, scores and redaction are built-in expressions, row by row, without a shuffle.
 
-The trees are fitted on ``fit_docs`` documents at most (chosen by a hash): candidates that
-meet a verified base format are positive, also with their telling mark removed (a phone
-number without its plus sign); the rest are negative. Equal feature vectors are counted by
-Spark, and only these counts reach the driver, where the trees are grown. A fifth of the
-documents is held back to calibrate the thresholds for ``MIN_PRECISION``.
+The trees are fitted on ``fit_docs`` documents at most (chosen by a hash), and only on
+candidates that overlap no base span, since only these may be added. Positive are verified
+structures (mod-97 codes, social security numbers) and verified base spans written anew in
+their place: mails with obscured marks, phones without the plus sign or with other
+separators, cards with other separators, cards as account numbers of a code with its check
+digits. Negative is what a rule refutes: copies broken on purpose, failed checksums, dates,
+years, thousands, digit counts that no format has, bare digit runs. What can be neither
+verified nor refuted is left out. Equal feature vectors are counted by Spark, and only these
+counts reach the driver, where the trees are grown. A fifth of the documents is held back to
+calibrate the threshold of each generator for ``MIN_PRECISION`` on the same examples.
 
 Offsets come from the text between the matches (split by the same pattern) and the matches;
 possessive quantifiers keep the patterns linear and free of recursion on long runs.
@@ -28,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import span_text
+from dqspark.llm.common import span_text, stored
 
 #: Base formats in the contract's order, then the generators.
 BASE = ("email", "ip", "card", "phone")
@@ -43,8 +48,9 @@ PATTERNS = {
     "contact": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9-]++"
                r"(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)*+",
     "number": r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,}+",
-    "code": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}+(?![A-Za-z0-9])",
+    "code": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}+(?:\x20?[0-9])?+(?![A-Za-z0-9])",
 }
+_AT, _DOT = r"^.*?(?:@|[\[(](?:at|AT)[\])])", r"[.]|[\[(](?:dot|DOT)[\])]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
          "contact": "[EMAIL]", "number": "[NUMBER]", "code": "[ID]"}
@@ -69,6 +75,18 @@ def _luhn(digits: str) -> str:
             f" coalesce(2 * {x} - if({x} > 4, 9, 0), 0))) % 10 = 0)")
 
 
+def _mod97(chars: str) -> str:
+    """SQL: a string of digits and capital letters (A = 10 ... Z = 35) modulo 97."""
+    return (f"aggregate(transform(sequence(1, greatest(length({chars}), 1)), i -> substring({chars}, i, 1)), 0,"
+            " (a, x) -> if(x rlike '[0-9]', a * 10 + coalesce(try_cast(x as int), 0), a * 100 + ascii(x) - 55) % 97)")
+
+
+def _iban(code: str) -> str:
+    """SQL: a code of two letters, two check digits and a number has the right check digits."""
+    c = f"regexp_replace({code}, ' ', '')"
+    return f"(length({c}) between 15 and 34 and {_mod97(f'concat(substring({c}, 5), left({c}, 4))')} = 1)"
+
+
 def _occurrences(df: DataFrame, kind: str) -> DataFrame:
     """Adds ``kind``: array of (start, end, text), code points from 0, of all leftmost matches."""
     pattern = _sql(PATTERNS[kind])
@@ -111,13 +129,19 @@ def _features(kind: str) -> str:
     """SQL: a struct of span and features per candidate of a generator."""
     digits = "regexp_replace(m.text, '[^0-9]', '')"
     near = "lower(substring(text, greatest(m.start - 19, 1), least(m.start, 20)))"
+    dots, check = "regexp_count(m.text, '[.]')", _luhn(digits)
+    if kind == "contact":                        # the marks of the domain, obscured ones too
+        domain = f"regexp_replace(m.text, {_sql(_AT)}, '')"
+        dots = f"regexp_count({domain}, {_sql(_DOT)})"
+    elif kind == "code":
+        check = _iban("m.text")
     return f"""transform({kind}, m -> struct(m.start as start, m.end as end, '{kind}' as kind,
         exists(base, b -> b.start < m.end and m.start < b.end) as hit,
         {GENERATED.index(kind)} as gen,
         least(length({digits}), 25) as digits,
         least(length(m.text), 60) as length,
         least(regexp_count(m.text, ' '), 5) as blanks,
-        least(regexp_count(m.text, '[.]'), 5) as dots,
+        least({dots}, 5) as dots,
         least(regexp_count(m.text, '-'), 5) as dashes,
         least(regexp_count(m.text, '[()]'), 3) as parens,
         int(startswith(m.text, '+')) as plus,
@@ -129,7 +153,7 @@ def _features(kind: str) -> str:
         case when {near} rlike 'phone|tel|call|fax|mobil|cell' then 1 when {near} rlike 'mail|contact' then 2
              when {near} rlike 'card|visa|iban|account|konto' then 3 when {near} rlike 'host|server|addr' then 4
              when {near} rlike '(ssn|passport|nr|no|id)[ .:#]*$' then 5 else 0 end as cue,
-        int({_luhn(digits)}) as luhn,
+        int({check}) as luhn,
         int(m.text rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') as quad))"""
 
 
@@ -200,6 +224,75 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: int = TREES, depth:
     return model, margin
 
 
+_SSN = r"^(?!000|666|9)[0-9]{3}([\x20-])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}$"
+_YEAR = r"(?:1[5-9]|20)[0-9]{2}"
+_MONTH, _DAY = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12][0-9]|3[01])"
+#: Numbers that are something else: dates, runs of years, thousands.
+_OTHER = (rf"^(?:{_YEAR}[.\x20-]{{1,2}}{_MONTH}[.\x20-]{{1,2}}{_DAY}|{_DAY}[.\x20-]{{1,2}}{_MONTH}[.\x20-]{{1,2}}{_YEAR}"
+          rf"|{_MONTH}[.\x20-]{{1,2}}{_DAY}[.\x20-]{{1,2}}{_YEAR}|{_YEAR}(?:[.\x20-]{{1,2}}{_YEAR})+|[0-9]{{1,3}}(?:[.][0-9]{{3}})+)$")
+#: SQL: 1 for a verified candidate ``c`` with text ``m``, 0 for a refuted one, null for neither.
+_TRUTH = f"""case c.kind when 'code' then c.luhn when 'contact' then if(c.dots = 0, 0, null) else
+    case when m rlike {_sql(_SSN)} then 1
+         when c.digits < 9 or c.digits > 19 or c.quad = 1 or m rlike {_sql(_OTHER)} or (c.digits > 15 and c.luhn = 0)
+              or (m rlike '^[0-9]+$' and c.cue = 0) then 0 end end"""
+#: Weight of an example; the copies of one span share it.
+_UNIT = 60
+
+
+def _copies(found: DataFrame) -> DataFrame:
+    """Verified spans written anew between the characters around them, true and broken: aside, y, w, at, to and text."""
+    b = found.select("row.aside", "text", F.explode("base").alias("b")).where("b.kind <> 'ip'").selectExpr(
+        "aside", "b.kind as kind", "substring(text, greatest(b.start - 23, 1), least(b.start, 24)) as front",
+        "substring(text, b.start + 1, b.end - b.start) as p", "substring(text, b.end + 1, 24) as back")
+    b = b.selectExpr("*", "regexp_replace(p, '[^0-9]', '') as d", "substring_index(p, '@', 1) as name",
+                     "substring_index(p, '@', -1) as domain", "substring(p, 2) as q")
+    b = b.withColumn("q", F.expr("if(q rlike '[^0-9]', q, regexp_replace(q, '([0-9]{3})(?=[0-9]{3})', '$1 '))"))
+    b = b.withColumn("q", F.expr("if(q rlike '[^0-9]', q, null)"))
+    b = b.withColumn("broken", F.expr(
+        "if(length(d) > 15, concat(left(d, length(d) - 1), (int(right(d, 1)) + 1) % 10), null)"))
+    for at, (land, number) in enumerate((("DE", "d"), ("GB", "if(length(d) > 13, concat('NWBK', left(d, 14)), null)"))):
+        b = b.withColumn(f"n{at}", F.expr(f"if(kind = 'card', {number}, null)"))
+        b = b.withColumn(f"c{at}", F.expr(f"98 - {_mod97(f'concat(n{at}, {_sql(land)}, {_sql("00")})')}"))
+        for name, digits in (("good", f"c{at}"), ("bad", f"(c{at} - 1) % 97 + 2")):
+            b = b.withColumn(f"{name}{at}", F.expr(f"concat('{land}', lpad(string({digits}), 2, '0'), n{at})"))
+    joined = lambda x, by: f"regexp_replace({x}, '([0-9]{{4}})(?=[0-9])', '$1{by}')"
+    fours = lambda x: f"regexp_replace({x}, '(.{{4}})(?=.)', '$1 ')"
+    again = lambda by: f"regexp_replace(regexp_replace(q, '[()]', ''), '[ .-]+', '{by}')"
+    local = "regexp_replace(q, '^[0-9]{1,3}[ .-]*', '')"
+    label = "substring_index(domain, '.', 1)"
+    codes = lambda name: [x for i in (0, 1) for x in (f"{name}{i}", fours(f"{name}{i}"))]
+    groups = {
+        "email": [(1, ["concat(name, ' [at] ', replace(domain, '.', ' [dot] '))", "concat(name, '(at)', replace(domain, '.', '(dot)'))",
+                       "concat(name, ' (AT) ', replace(domain, '.', ' (DOT) '))", "concat(name, ' [at] ', domain)",
+                       "concat(name, '@', replace(domain, '.', ' [dot] '))"]),
+                  (0, [f"concat(name, ' [at] ', {label})", f"concat(name, '(at)', {label})", f"concat(name, '@', {label})"])],
+        "phone": [(1, ["q", again("."), again("-"),
+                       f"if(q rlike '^[0-9]{{1,3}}[ .(-]' and length(regexp_replace({local}, '[^0-9]', '')) > 8"
+                       f" and {local} rlike '[^0-9]', {local}, null)"]), (0, ["left(d, 7)"])],
+        "card": [(1, [joined("d", "."), joined("d", "  ")]), (0, [joined("broken", "."), joined("broken", "  ")]),
+                 (1, codes("good")), (0, codes("bad"))],
+    }
+    whole = " ".join(f"when '{kind}' then concat(" + ", ".join(
+        f"transform(array({', '.join(texts)}), x -> struct(x as x, {y} as y, {_UNIT // len(texts)} as w))" for y, texts in parts) + ")"
+        for kind, parts in groups.items())
+    b = b.select("aside", "front", "back", F.explode(F.expr(f"case kind {whole} end")).alias("e")).where("e.x is not null")
+    return b.selectExpr("aside", "e.y as y", "e.w as w", "length(front) as at", "length(front) + length(e.x) as to",
+                        "concat(front, e.x, back) as text")
+
+
+def _examples(sample: DataFrame) -> DataFrame:
+    """Labelled candidates that could be added: aside, y, w, c."""
+    aside = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(12)), F.lit(5)) == 0).alias("aside")
+    found = find(sample, F.struct(aside))
+    own = found.select("row.aside", "text", F.explode("candidates").alias("c")).where("not c.hit").selectExpr(
+        "aside", "c", "substring(text, c.start + 1, c.end - c.start) as m").selectExpr(
+        "aside", f"{_TRUTH} as y", f"{_UNIT} as w", "c").where("y is not null")
+    copies = find(stored(_copies(found), "pii-copies"), F.struct("aside", "y", "w", "at", "to"))
+    copies = copies.select("row", F.explode("candidates").alias("c")).where(
+        "not c.hit and c.start = row.at and c.end = row.to").select("row.aside", "row.y", "row.w", "c")
+    return own.unionByName(copies)
+
+
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Boosted:
     """Boosted trees and thresholds from at most about ``fit_docs`` documents."""
     total = docs.count()
@@ -208,24 +301,16 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Boosted:
     scale = 1 << 20
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(scale))
     sample = docs.select("doc_id", "text").where(place < int(min(1.0, fit_docs / total) * scale))
-    found = find(sample, F.struct((F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(12)), F.lit(5)) == 0).alias("aside")))
-    c = found.select("row.aside", F.explode("candidates").alias("c"))
-    counts = c.groupBy("aside", "c.hit", *[f"c.{f}" for f in FEATURES]).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = _examples(sample).groupBy("aside", "y", *[f"c.{f}" for f in FEATURES]).agg(F.sum("w").alias("n")).collect()
     if not counts:
         return Boosted()
     x = np.array([[r[f] for f in FEATURES] for r in counts], np.int64)
-    y = np.array([float(r["hit"]) for r in counts])
-    n = np.array([float(r["n"]) for r in counts])
+    y = np.array([float(r["y"]) for r in counts])
+    n = np.array([r["n"] / _UNIT for r in counts])
     aside = np.array([r["aside"] for r in counts])
-    plus, length = FEATURES.index("plus"), FEATURES.index("length")
-    marked = (y > 0) & (x[:, plus] == 1) & ~aside                     # a phone number also without its plus sign
-    bare = x[marked].copy()
-    bare[:, plus] = 0
-    bare[:, length] -= 1
     keep = ~aside if (~aside).any() else np.ones(len(y), bool)
-    order = np.lexsort(np.concatenate([x[keep], bare]).T)             # an order that reruns share
-    model, _ = grow(np.concatenate([x[keep], bare])[order], np.concatenate([y[keep], y[marked]])[order],
-                    np.concatenate([n[keep], n[marked]])[order])
+    order = np.lexsort(np.concatenate([x[keep], y[keep, None]], axis=1).T)       # an order that reruns share
+    model, _ = grow(x[keep][order], y[keep][order], n[keep][order])
     margin = _margins(model, x)
     check = aside if aside.any() else np.ones(len(y), bool)
     for g, kind in enumerate(GENERATED):

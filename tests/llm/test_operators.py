@@ -70,6 +70,34 @@ def test_pii_trees_learn_the_format(spark):
     assert python == pytest.approx(sql)
 
 
+def test_pii_each_generator_adds_a_span(spark):
+    """Obscured mails, formatted ids and mod-97 codes, by what base spans and structure teach."""
+    def check(country, number):
+        return country + f"{98 - int(''.join(str(int(c, 36)) for c in number + country + '00')) % 97:02}" + number
+
+    r, rows = random.Random(4), []
+    for i in range(600):
+        body = f"{r.randrange(4 * 10**14, 5 * 10**14)}"
+        card = next(body + c for c in "0123456789" if B.luhn(body + c))
+        bare = r.randrange(10**7, 10**8)
+        rows.append((i, f"{prose(i, 4)} mail {r.choice(['jo', 'ann.lee', 'max'])}{i}@mail{i % 7}.example.org or look (at)this "
+                        f"{r.randrange(1950, 2020)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02} phone +1 (319) 555-{1000 + i} here "
+                        f"paid {card} code {bare} end {prose(i, 3)}", *[None] * 9))
+    code = check("DE", "370400440532013000")
+    planted = [("contact", "john [at] example [dot] com"), ("number", "319-555-7788"), ("code", code),
+               ("code", " ".join(code[i:i + 4] for i in range(0, len(code), 4))), ("code", check("CH", "00762011623852957"))]
+    clean = ["look (at)noon", code[:2] + "11" + code[4:], "2019-11-23", "73829104"]
+    rows += [(1000 + i, f"gamma delta eps {t} and so on", *[None] * 9) for i, (_, t) in enumerate(planted)]
+    rows += [(2000 + i, f"gamma delta eps {t} and so on", *[None] * 9) for i, t in enumerate(clean)]
+    rows += [(3000 + i, f"gamma ssn {r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)} and so on", *[None] * 9)
+             for i in range(60)]
+    spans = {x["doc_id"]: x["spans"] for x in pii.digest(pii.spans(spark.createDataFrame(rows, SCHEMA))).collect()}
+    for i, (kind, t) in enumerate(planted):
+        assert f"{kind}:16:{16 + len(t)}" in spans[1000 + i].split(","), (t, spans[1000 + i])
+    assert not any(spans[2000 + i] for i in range(len(clean))), [spans[2000 + i] for i in range(len(clean))]
+    assert all(spans[3000 + i] == "number:10:21" for i in range(60))
+
+
 # 6 secrets
 
 def test_secret_base_matches_brute_force(edge_repeated, nothing):
