@@ -8,8 +8,15 @@ lag-1 serial correlation. Fisher's method combines the three p-values.
 Which scores count is learnt from the corpus: tokens of one letter case without digits are
 decoys (ordinary words). Per length stratum and score bin both kinds are counted over all
 documents; a bin is accepted when the decoys at or above it, scaled to the number of
-candidates, are within ``max_fdr`` of the candidates at or above it. The counts are a table
-of strata times bins, so only that reaches the driver.
+candidates, are within ``max_fdr`` of the candidates at or above it.
+
+Long decoys are rare, and decoys hold no digits. So every candidate also needs a small
+p-value under natural text: symbol pairs of the corpus, tokens left out, make a chain, and
+the likelihood of a token under it over that under random symbols is a p-value at any length
+(Markov's inequality); it is 1 where the three tests refute randomness. The p-values are
+counted in bins per stratum, and Benjamini-Hochberg picks the lowest bin. A stratum with
+fewer decoys than candidates, or too few to show the rate, is judged by these alone.
+The counts are tables of strata times bins and of symbol pairs, so only these reach the driver.
 
 Defined cases: null and empty texts hold nothing; repeated rows are scanned each by itself;
 spans of the base formats always stay, and a candidate that overlaps one is not reported
@@ -26,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import doc_texts, span_text, stored
+from dqspark.llm.common import doc_texts, slices, span_text, stored
+from dqspark.llm.license_scan import NOTICES
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -38,6 +46,9 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 STRATA = (16, 24, 40, 64)
 MAX_FDR = 0.01
 MAX_BIN = 120
+#: Bins per power of ten of a natural p-value, and the tests' p-value below which a token is not random.
+PER_TEN = 4
+MIN_RANDOM = 1e-3
 
 _SYMBOLS = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-=")}
 # Alphabet sizes of the encodings.
@@ -56,19 +67,15 @@ def _normal_tail(z: float) -> float:
     return max(1e-12, math.erfc(abs(z) / math.sqrt(2)))
 
 
-def battery(token: str) -> tuple[str, float]:
-    """(encoding, score): higher is more random.
-
-    The score adds the fourth root of Fisher's combined p-value (how well the token fits
-    random symbols) and the share of distinct symbols times the mix of character kinds.
-    """
+def random_tests(token: str) -> tuple[str, float, float]:
+    """(encoding, Fisher's combined p-value of the three tests, share of distinct symbols)."""
     encoding = infer_encoding(token)
     k = _ALPHABET[encoding]
     body = token.rstrip("=")
     x = np.fromiter((_SYMBOLS[c] for c in (body.lower() if encoding in ("hex", "lower36") else body)), np.int64)
     n = len(x)
     if n < 8:
-        return encoding, 0.0
+        return encoding, 0.0, 0.0
     counts = np.bincount(x, minlength=k)
     expected = n / k
     chi = float(((counts - expected) ** 2).sum() / expected)
@@ -90,9 +97,78 @@ def battery(token: str) -> tuple[str, float]:
     p_serial = _normal_tail(float((d[1:] * d[:-1]).sum()) / spread * math.sqrt(n)) if spread else 1e-12
     fisher = -(math.log(p_chi) + math.log(p_runs) + math.log(p_serial))
     p = math.exp(-fisher) * (1 + fisher + fisher * fisher / 2)       # chi-squared tail with 6 degrees
-    distinct = len(np.unique(x)) / min(n, k)
+    return encoding, p, len(np.unique(x)) / min(n, k)
+
+
+def battery(token: str) -> tuple[str, float]:
+    """(encoding, score): higher is more random.
+
+    The score adds the fourth root of Fisher's combined p-value (how well the token fits
+    random symbols) and the share of distinct symbols times the mix of character kinds.
+    """
+    encoding, p, distinct = random_tests(token)
+    return encoding, score(token, p, distinct)
+
+
+def score(token: str, p: float, distinct: float) -> float:
     mixed = (any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)) / 3
-    return encoding, p ** 0.25 * 6 + 3 * distinct * mixed
+    return p ** 0.25 * 6 + 3 * distinct * mixed
+
+
+#: Symbol pairs are counted over the token characters and one class for all others.
+_CLASSES = len(_SYMBOLS) + 1
+_CLASS_OF = np.full(256, len(_SYMBOLS), np.int64)
+_CLASS_OF[[ord(c) for c in _SYMBOLS]] = list(_SYMBOLS.values())
+
+
+def pair_counts(text: str) -> np.ndarray:
+    x = _CLASS_OF[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return np.bincount(x[:-1] * _CLASSES + x[1:], minlength=_CLASSES * _CLASSES)
+
+
+def _prior() -> np.ndarray:
+    """Pairs of plain English, slugs and numbers, so that small corpora have a chain too."""
+    notices = [text for text, _ in NOTICES]
+    texts = [*notices, *map(str.title, notices), *map(str.upper, notices), *(str(n) for n in range(0, 2100, 3)),
+             *(text.replace(" ", by) for text in notices for by in "-_/"),
+             *(f"{y}{by}{m:02}{by}{y % 28 + 1:02}" for y in range(1990, 2030) for m in range(1, 13) for by in "-/")]
+    return pair_counts("\n".join(texts))
+
+
+def natural_chain(docs: DataFrame) -> np.ndarray:
+    """Log probabilities of each symbol after each class, of two chains from the texts without their tokens.
+
+    The first has the pairs of the corpus. The second knows only the kinds of characters,
+    which mostly stay, so that words the corpus lacks are not random because their pairs are rare.
+    """
+    def run(batches):
+        counts = np.zeros(_CLASSES * _CLASSES, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                counts += pair_counts("\n" + TOKEN.sub("\n", "\n".join(part["text"].to_pylist())) + "\n")
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["pair", "n"])
+
+    rows = doc_texts(docs).select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = _prior().astype(float)
+    for r in rows:
+        counts[r["pair"]] += r["n"]
+    counts = counts.reshape(_CLASSES, _CLASSES)[:, :-1]
+    single = (counts.sum(axis=0) + 1) / (counts.sum() + _CLASSES - 1)
+    chain = (counts + 20 * single) / (counts.sum(axis=1, keepdims=True) + 20)
+    kinds = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in _SYMBOLS])
+    own = 0.5 * single / np.bincount(kinds, single)[kinds] + 0.5 / np.bincount(kinds)[kinds]
+    stay = np.where(np.append(kinds, -1)[:, None] == kinds, 0.8, 0.2 / 3)
+    return np.log(np.stack([chain, stay * own]))
+
+
+def natural_p(token: str, encoding: str, chain: np.ndarray) -> float:
+    """log10 of a p-value of the token under natural text, against random symbols of its encoding."""
+    body = token.rstrip("=")
+    x = _CLASS_OF[np.frombuffer(body.encode(), np.uint8)]
+    natural = np.logaddexp(*(chain[:, len(_SYMBOLS), x[0]] + chain[:, x[:-1], x[1:]].sum(axis=1))) - math.log(2)
+    random = -len(x) * math.log(_ALPHABET[encoding]) - math.log(len(_ALPHABET))    # any of the encodings
+    return min(0.0, (natural - random) / math.log(10))
 
 
 def is_decoy(token: str) -> bool:
@@ -112,16 +188,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 _SPAN = "struct<kind:string,start:long,end:long>"
-_CAND = "struct<start:long,end:long,encoding:string,stratum:int,bin:int,decoy:boolean>"
+_CAND = "struct<start:long,end:long,encoding:string,stratum:int,bin:int,rare:int,decoy:boolean>"
 _ARROW = pa.schema([
     ("doc_id", pa.int64()),
     ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
     ("candidates", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()),
-                                       ("stratum", pa.int32()), ("bin", pa.int32()), ("decoy", pa.bool_())])))])
+                                       ("stratum", pa.int32()), ("bin", pa.int32()), ("rare", pa.int32()), ("decoy", pa.bool_())])))])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Per document: base spans, and the scored token candidates that overlap none of them."""
+    chain = natural_chain(docs)
+
     def run(batches):
         for batch in batches:
             base, cands = [], []
@@ -137,10 +215,12 @@ def candidates(docs: DataFrame) -> DataFrame:
                         continue                                  # joined words or plain numbers: neither kind
                     if any(a < e and s < b for a, b, _ in spans):
                         continue
-                    encoding, score = battery(token)
+                    encoding, p, distinct = random_tests(token)
+                    rare = 0.0 if p < MIN_RANDOM else -natural_p(token, encoding, chain)
                     row.append({"start": s, "end": e, "encoding": encoding,
                                 "stratum": sum(len(token) >= x for x in STRATA) - 1,
-                                "bin": min(MAX_BIN, int(score * 10)), "decoy": decoy})
+                                "bin": min(MAX_BIN, int(score(token, p, distinct) * 10)),
+                                "rare": min(MAX_BIN, int(rare * PER_TEN)), "decoy": decoy})
                 cands.append(row)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(base, _ARROW.field(1).type), pa.array(cands, _ARROW.field(2).type)], schema=_ARROW)
@@ -148,21 +228,31 @@ def candidates(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, f"doc_id long, base array<{_SPAN}>, candidates array<{_CAND}>")
 
 
-def thresholds(found: DataFrame, max_fdr: float = MAX_FDR) -> dict[int, int]:
-    """The lowest accepted bin per length stratum, from counts over all documents."""
-    rows = (found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin")
+def thresholds(found: DataFrame, max_fdr: float = MAX_FDR) -> dict[int, tuple[int, int]]:
+    """Per length stratum the lowest accepted score and p-value bins, from counts over all documents."""
+    rows = (found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin", "c.rare")
             .agg(F.sum(F.col("c.decoy").cast("long")).alias("decoys"), F.count(F.lit(1)).alias("n")).collect())
+
+    def lowest(own: list[tuple[int, int, int]], natural) -> int | None:
+        """The lowest bin with at most ``max_fdr`` natural tokens among the candidates at or above it."""
+        out, decoys, targets = None, 0, 0
+        for b in sorted({r[0] for r in own}, reverse=True):
+            decoys += sum(r[1] for r in own if r[0] == b)
+            targets += sum(r[2] for r in own if r[0] == b)
+            if targets and natural(b, decoys) / targets <= max_fdr:
+                out = b
+        return out
+
     out = {}
     for stratum in range(len(STRATA)):
-        targets = decoys = all_decoys = all_targets = 0
-        own = sorted(((r["bin"], r["decoys"], r["n"] - r["decoys"]) for r in rows if r["stratum"] == stratum), reverse=True)
-        all_decoys, all_targets = sum(r[1] for r in own), sum(r[2] for r in own)
-        for b, d, t in own:
-            decoys, targets = decoys + d, targets + t
-            # decoys stand for the natural tokens among the candidates, at most as many
-            natural = min(1.0, all_targets / all_decoys) if all_decoys else 0.0
-            if targets and decoys * natural / targets <= max_fdr:
-                out[stratum] = b
+        own = [r for r in rows if r["stratum"] == stratum]
+        all_decoys, all_targets = sum(r["decoys"] for r in own), sum(r["n"] - r["decoys"] for r in own)
+        by = lambda name: [(r[name], r["decoys"], r["n"] - r["decoys"]) for r in own]  # noqa: E731, B023
+        rare, score_bin = lowest(by("rare"), lambda b, _: all_targets * 10 ** (-b / PER_TEN)), 0  # noqa: B023
+        if all_decoys >= max(all_targets, 1 / max_fdr):
+            score_bin = lowest(by("bin"), lambda _, d: d * all_targets / all_decoys)  # noqa: B023
+        if rare is not None and score_bin is not None:
+            out[stratum] = (score_bin, rare)
     return out
 
 
@@ -173,8 +263,8 @@ def scan(docs: DataFrame, max_fdr: float = MAX_FDR) -> DataFrame:
 
     def accepted(c: Column) -> Column:
         test = F.lit(False)
-        for stratum, b in cut.items():
-            test = test | ((c["stratum"] == stratum) & (c["bin"] >= b))
+        for stratum, (b, rare) in cut.items():
+            test = test | ((c["stratum"] == stratum) & (c["bin"] >= b) & (c["rare"] >= rare))
         return ~c["decoy"] & test
 
     extra = F.transform(F.filter("candidates", accepted),

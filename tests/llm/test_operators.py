@@ -119,6 +119,24 @@ def test_battery_tells_random_from_words():
     assert np.quantile(keys, 0.1) > np.quantile(natural, 0.9)
 
 
+def test_long_clean_paths_are_no_secrets_and_keys_are(spark):
+    """Few or no decoys give no free pass, and the verdict does not hang on the number of candidates."""
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (3, 300):
+        r = random.Random(n)
+        word = lambda: r.choice(["garden", "travel", "report", "summer", "Kitchen", "history", "review", "market"])  # noqa: E731, B023
+        rows = []
+        for i in range(n):
+            clean = [f"blog/{r.randrange(1990, 2026)}/{r.randrange(10, 13)}/" + "-".join(word() for _ in range(k)) for k in (2, 4, 9)]
+            clean += [f"the-{r.randrange(2, 99)}-best-{word()}-ideas-of-{word()}-{i}", "_".join([word(), word(), word(), str(i)])]
+            rows.append((i, f"{prose(i, 20)} internationalization {' '.join(clean)} end", *[None] * 9))
+        for i in range(3):
+            rows += [(1000 + k + i, f"alpha beta {''.join(r.choice(b64) for _ in range(k))}9aZ end", *[None] * 9) for k in (24, 40, 80)]
+        got = {x["doc_id"]: x["spans"] for x in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, SCHEMA))).collect()}
+        assert not any(got[i] for i in range(n)), [got[i] for i in range(n) if got[i]][:3]
+        assert sum(got[i] == f"random:11:{11 + k + 3}" for k in (24, 40, 80) for i in range(1000 + k, 1003 + k)) >= 8
+
+
 # 7 n-gram join
 
 def family(seed, size, edits, copies):
