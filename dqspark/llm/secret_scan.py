@@ -51,8 +51,13 @@ PER_TEN = 4
 MIN_RANDOM = 1e-3
 
 _SYMBOLS = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-=")}
-# Alphabet sizes of the encodings.
-_ALPHABET = {"hex": 16, "base32": 32, "lower36": 36, "base64": 64}
+# Symbols of the encodings in code order; "any" holds tokens that mix them.
+_LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_CODES = {name: {c: i for i, c in enumerate(symbols)} for name, symbols in {
+    "hex": _DIGITS + "abcdef", "base32": _LETTERS + "234567", "lower36": _DIGITS + _LETTERS.lower(),
+    "base64": _LETTERS + _LETTERS.lower() + _DIGITS + "+/", "base64url": _LETTERS + _LETTERS.lower() + _DIGITS + "-_",
+    "any": "".join(_SYMBOLS)}.items()}
+_ALPHABET = {name: len(codes) for name, codes in _CODES.items()}
 
 
 def infer_encoding(token: str) -> str:
@@ -60,7 +65,11 @@ def infer_encoding(token: str) -> str:
         return "hex"
     if re.fullmatch(r"[A-Z2-7]+=*", token):
         return "base32"
-    return "lower36" if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", token) else "base64"
+    if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", token):
+        return "lower36"
+    if re.fullmatch(r"[A-Za-z0-9+/]+=*", token):
+        return "base64"
+    return "base64url" if re.fullmatch(r"[A-Za-z0-9_-]+=*", token) else "any"
 
 
 def _normal_tail(z: float) -> float:
@@ -72,7 +81,7 @@ def random_tests(token: str) -> tuple[str, float, float]:
     encoding = infer_encoding(token)
     k = _ALPHABET[encoding]
     body = token.rstrip("=")
-    x = np.fromiter((_SYMBOLS[c] for c in (body.lower() if encoding in ("hex", "lower36") else body)), np.int64)
+    x = np.fromiter(map(_CODES[encoding].__getitem__, body.lower() if encoding in ("hex", "lower36") else body), np.int64)
     n = len(x)
     if n < 8:
         return encoding, 0.0, 0.0

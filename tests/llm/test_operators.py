@@ -119,6 +119,19 @@ def test_battery_tells_random_from_words():
     assert np.quantile(keys, 0.1) > np.quantile(natural, 0.9)
 
 
+def test_random_tokens_of_every_encoding_have_uniform_p_values():
+    r = random.Random(2)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for name, symbols in {"hex": digits + "abcdef", "base32": upper + "234567", "lower36": digits + upper.lower(),
+                          "base64": upper + upper.lower() + digits + "+/", "base64url": upper + upper.lower() + digits + "-_"}.items():
+        for length in (32, 40, 64):
+            tests = [secret_scan.random_tests("".join(r.choice(symbols) for _ in range(length))) for _ in range(600)]
+            p = np.array([x[1] for x in tests if x[0] == name])
+            assert len(p) > 60, name                     # without its marks a token belongs to a smaller alphabet
+            assert 0.35 < np.median(p) < 0.65, (name, length, np.median(p))
+            assert (p < 0.1).mean() < 0.2 and (p < 0.01).mean() < 0.05, (name, length)
+
+
 def test_long_clean_paths_are_no_secrets_and_keys_are(spark):
     """Few or no decoys give no free pass, and the verdict does not hang on the number of candidates."""
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
