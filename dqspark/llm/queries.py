@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm import license_scan, mixing, ngram_join, pieces, pii, quality_rules, secret_scan, simhash, toxicity, url_filter
+from dqspark.llm import filter_audit, hard_negatives, html_extract, license_scan, mixing, ngram_join, pieces, pii, quality_rules, secret_scan, simhash, toxicity, url_filter
 from dqspark.llm.common import stored
 from dqspark.sources.tables import table
 
@@ -54,8 +54,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
             ":", s["label"], s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), moved=F.col("vec_id") % 7 == 0)
+
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_quality_rules, op5_pii, op6_secrets,
-                                   op7_ngram_join, op8_url_filter, op9_mixing, op10_licenses)}
+                                   op7_ngram_join, op8_url_filter, op9_mixing, op10_licenses, op11_filter_audit,
+                                   op12_hard_negatives, op13_html)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = rf"""
@@ -94,4 +108,50 @@ OP7_SQL = rf"""
     SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(t) AS component_id
     FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op7_ngram_join": OP7_SQL}
+OP11_SQL = r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    m AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+              || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+              || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+              || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+              || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM t),
+    l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+    g AS (SELECT part, fails, count(*) AS n, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i:i] AS x, filter_order[1:i] AS done
+          FROM o, range(1, 6) r(i)),
+    c AS (SELECT part, filter_order, step, any_value(x) AS x, sum(n) AS total,
+                 sum(CASE WHEN translate(fails, done, '') = fails THEN n ELSE 0 END) AS kept,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, done[1:step - 1], '') = fails THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN contains(fails, x) THEN n ELSE 0 END) AS failing,
+                 sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, done[1:step - 1], '') = fails THEN good ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, done[1:step - 1], '') = fails THEN bad ELSE 0 END) AS toxic_lost
+          FROM g, s GROUP BY 1, 2, 3)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(failing - removed AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM c"""
+
+OP12_SQL = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                 CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, positive_score,
+           n.score AS negative_score
+    FROM pos JOIN p n USING (anchor_id)
+    WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id) QUALIFY rank <= 5"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op7_ngram_join": OP7_SQL, "op11_filter_audit": OP11_SQL,
+                           "op12_hard_negatives": OP12_SQL}
