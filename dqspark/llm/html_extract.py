@@ -548,11 +548,17 @@ def training_pages(labelled: list[str], copies: int = COPIES) -> list[tuple[list
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Chain:
-    """The field fitted on at most ``fit_pages`` labelled pages of at most ``FIT_CHARS`` characters."""
-    rows = pages.select(F.col("html").cast("string").alias("html")).where(
+    """The field fitted on at most ``fit_pages`` labelled pages of at most ``FIT_CHARS`` characters.
+
+    They are looked for among about ``4 * fit_pages`` different pages whose hash lies under a cut that
+    follows from the number of rows, so what meets in the last step does not grow with the table.
+    """
+    span = int(2 ** 64 * min(1.0, 4 * fit_pages / max(1, pages.count())))
+    page = F.col("html").cast("string")
+    rows = pages.select(page.alias("html"), F.xxhash64(page).alias("h")).where(F.col("h") <= span - 2 ** 63 - 1).where(
         (F.length("html") <= FIT_CHARS) & F.col("html").rlike("(?i)<(article|main)[\\s>]")
         & F.col("html").rlike("(?i)<(nav|footer|aside|form|header|menu|dialog)[\\s>]"))
-    chosen = rows.select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(fit_pages)
+    chosen = rows.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(fit_pages)
     return Chain().fit(training_pages([r["html"] for r in chosen.collect()]))
 
 
