@@ -8,8 +8,9 @@ them go through the regex library's bounded-error matching, which verifies the e
 reports the span.
 
 Defined cases: null and empty texts have no words, no places, empty labels, score 0;
-repeated rows are scanned each by itself; ties between equally good spans go to the
-leftmost; other columns are ignored.
+repeated rows are scanned each by itself; spans are taken from the left, each improved in its
+place, so an edited notice is reported beside a better one that follows; an empty table gives an
+empty result; other columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ class Scanner:
 
     def __init__(self, notices=NOTICES, rate: float = ERROR_RATE):
         self.notices = [split_notice(t, lab, rate) for t, lab in notices]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.text, special_only=True)}){{e<={n.edits}}}")
+        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n.text, special_only=True)}){{e<={n.edits}}}")
                          for n in self.notices]
         seeds: dict[str, list] = {}
         for i, n in enumerate(self.notices):

@@ -9,8 +9,13 @@ fractional document) meets the leftovers of other blocks one level up: a reducti
 whose tasks each see a bounded number of rows, whatever a source holds.
 
 Defined cases: null text has size 0; size 0 is never taken; a null source is a source of
-its own, last in order; repeated rows are separate documents; an empty table gives an
-empty result. Reruns agree: the random numbers are hashes of the document and the seed.
+its own, last in order; repeated rows are separate documents, each with a coin and a block of
+its own, drawn by its occurrence number among its equals (in ``take``, rows that differ in columns other
+than id, source and text alone share a coin); sources are ordered by code point, so
+there are no ties among them, and documents of equal size and coin stay in the order they are
+read; texts of any length are counted whole; other columns are never read by the rounding; an
+empty table gives an empty result. Reruns agree: the random numbers are hashes of the document,
+its occurrence number and the seed.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ MOST_COPIES = 3
 #: Documents that one task of the reduction tree sees at a time.
 BLOCK = 4096
 _SLACK = 1e-9
+#: Occurrences of one row that are numbered by one task.
+CHUNK = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -113,19 +120,33 @@ def _round_blocks(df: DataFrame, level: int, seed: int) -> DataFrame:
     return df.groupBy("source_key", "block").applyInPandas(block, schema=df.schema)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Every row with ``occurrence``, its number among equal rows (from 0).
+
+    Rows are counted with partial aggregation and dealt out again in chunks, so a row that
+    repeats through a third of the table is neither gathered nor numbered by one task.
+    """
+    own = rows.columns
+    counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(CHUNK).cast("long"))))
+    dealt = chunks.repartition(*own, "_at")
+    last = F.least(F.col("_at") + (CHUNK - 1), F.col("_n") - 1)
+    return dealt.withColumn("occurrence", F.explode(F.sequence("_at", last))).select(*own, "occurrence")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7, row: Column | None = None) -> DataFrame:
     """Per document: ``row``, size, source_size, target (its source's), copies and taken words."""
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id")) if row is None else row
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"),
-                       word_count(F.col("text")).alias("size"), row.alias("row"))
-    base = stored(base.withColumn("pick", F.xxhash64(F.lit(seed), "id", "source", "size")), "mix-docs")
+                       word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("digest"), row.alias("row"))
+    base = stored(numbered(base).withColumn(
+        "pick", F.xxhash64(F.lit(seed), "id", "source", "size", "digest", "occurrence")).drop("occurrence", "digest"), "mix-docs")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"),
                                                         F.count(F.lit(1)).alias("docs")), weights)
     targets = stored(targets, "mix-targets").withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
     joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(
         "id", "pick", "size", "row", "source_key", "source_size", "docs", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("want"))
-    # Equal rows need places of their own only to be told apart; they are rounded as separate documents.
     whole = F.floor(F.col("want") + _SLACK)
     frac = F.when((F.col("size") > 0) & (F.col("want") - whole > _SLACK), F.col("want") - whole).otherwise(0.0)
     joined = joined.withColumn("whole", whole).withColumn("frac", frac)

@@ -5,18 +5,14 @@ characters and three tests ask whether it looks like random symbols of that enco
 chi-squared uniformity over the alphabet, a runs test around the median symbol, and the
 lag-1 serial correlation. Fisher's method combines the three p-values.
 
-Which scores count is learnt from the corpus: tokens of one letter case without digits are
-decoys (ordinary words). Per length stratum and score bin both kinds are counted over all
-documents; a bin is accepted when the decoys at or above it, scaled to the number of
-candidates, are within ``max_fdr`` of the candidates at or above it.
-
-Long decoys are rare, and decoys hold no digits. So every candidate also needs a small
-p-value under natural text: symbol pairs of the corpus, tokens left out, make a chain, and
-the likelihood of a token under it over that under random symbols is a p-value at any length
-(Markov's inequality); it is 1 where the three tests refute randomness. The p-values are
-counted in bins per stratum, and Benjamini-Hochberg picks the lowest bin. A stratum with
-fewer decoys than candidates, or too few to show the rate, is judged by these alone.
-The counts are tables of strata times bins and of symbol pairs, so only these reach the driver.
+Which results count is learnt from the corpus: symbol pairs of its texts, tokens left out, make
+a chain of natural text, and the likelihood of a token under it over that under random symbols
+is a p-value at any length (Markov's inequality); it is 1 where the three tests refute
+randomness. The p-values are counted in bins per length stratum over all documents, and
+Benjamini-Hochberg picks the lowest bin whose expected natural tokens are within ``max_fdr`` of
+the candidates at or above it. The rule is the same at every size, and words and plain numbers
+never enter it. The counts are tables of strata times bins and of symbol pairs, so only these
+reach the driver.
 
 Defined cases: null and empty texts hold nothing; repeated rows are scanned each by itself;
 spans of the base formats always stay, and a candidate that overlaps one is not reported
@@ -180,11 +176,6 @@ def natural_p(token: str, encoding: str, chain: np.ndarray) -> float:
     return min(0.0, (natural - random) / math.log(10))
 
 
-def is_decoy(token: str) -> bool:
-    """Ordinary words: letters alone, of one case but for the first."""
-    return token.isalpha() and (token[1:].islower() or token.isupper())
-
-
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     low = text.lower()
@@ -197,12 +188,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 _SPAN = "struct<kind:string,start:long,end:long>"
-_CAND = "struct<start:long,end:long,encoding:string,stratum:int,bin:int,rare:int,decoy:boolean>"
+_CAND = "struct<start:long,end:long,encoding:string,stratum:int,rare:int>"
 _ARROW = pa.schema([
     ("doc_id", pa.int64()),
     ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
     ("candidates", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()),
-                                       ("stratum", pa.int32()), ("bin", pa.int32()), ("rare", pa.int32()), ("decoy", pa.bool_())])))])
+                                       ("stratum", pa.int32()), ("rare", pa.int32())])))])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -219,17 +210,15 @@ def candidates(docs: DataFrame) -> DataFrame:
                 for m in TOKEN.finditer(text):
                     s, e = m.span()
                     token = m.group()
-                    decoy = is_decoy(token)
-                    if not decoy and not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-                        continue                                  # joined words or plain numbers: neither kind
+                    if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+                        continue                                  # words, joined words, plain numbers
                     if any(a < e and s < b for a, b, _ in spans):
                         continue
-                    encoding, p, distinct = random_tests(token)
+                    encoding, p, _ = random_tests(token)
                     rare = 0.0 if p < MIN_RANDOM else -natural_p(token, encoding, chain)
                     row.append({"start": s, "end": e, "encoding": encoding,
                                 "stratum": sum(len(token) >= x for x in STRATA) - 1,
-                                "bin": min(MAX_BIN, int(score(token, p, distinct) * 10)),
-                                "rare": min(MAX_BIN, int(rare * PER_TEN)), "decoy": decoy})
+                                "rare": min(MAX_BIN, int(rare * PER_TEN))})
                 cands.append(row)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(base, _ARROW.field(1).type), pa.array(cands, _ARROW.field(2).type)], schema=_ARROW)
@@ -237,31 +226,22 @@ def candidates(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, f"doc_id long, base array<{_SPAN}>, candidates array<{_CAND}>")
 
 
-def thresholds(found: DataFrame, max_fdr: float = MAX_FDR) -> dict[int, tuple[int, int]]:
-    """Per length stratum the lowest accepted score and p-value bins, from counts over all documents."""
-    rows = (found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin", "c.rare")
-            .agg(F.sum(F.col("c.decoy").cast("long")).alias("decoys"), F.count(F.lit(1)).alias("n")).collect())
+def thresholds(found: DataFrame, max_fdr: float = MAX_FDR) -> dict[int, int]:
+    """Per length stratum the lowest accepted p-value bin, from counts over all documents.
 
-    def lowest(own: list[tuple[int, int, int]], natural) -> int | None:
-        """The lowest bin with at most ``max_fdr`` natural tokens among the candidates at or above it."""
-        out, decoys, targets = None, 0, 0
-        for b in sorted({r[0] for r in own}, reverse=True):
-            decoys += sum(r[1] for r in own if r[0] == b)
-            targets += sum(r[2] for r in own if r[0] == b)
-            if targets and natural(b, decoys) / targets <= max_fdr:
-                out = b
-        return out
-
-    out = {}
+    Benjamini-Hochberg: with n candidates in the stratum, a bin whose p-values are at most p may hold
+    n * p natural tokens, and is accepted while that is within ``max_fdr`` of the candidates at or beyond it.
+    """
+    rows = (found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.rare")
+            .agg(F.count(F.lit(1)).alias("n")).collect())
+    out: dict[int, int] = {}
     for stratum in range(len(STRATA)):
-        own = [r for r in rows if r["stratum"] == stratum]
-        all_decoys, all_targets = sum(r["decoys"] for r in own), sum(r["n"] - r["decoys"] for r in own)
-        by = lambda name: [(r[name], r["decoys"], r["n"] - r["decoys"]) for r in own]  # noqa: E731, B023
-        rare, score_bin = lowest(by("rare"), lambda b, _: all_targets * 10 ** (-b / PER_TEN)), 0  # noqa: B023
-        if all_decoys >= max(all_targets, 1 / max_fdr):
-            score_bin = lowest(by("bin"), lambda _, d: d * all_targets / all_decoys)  # noqa: B023
-        if rare is not None and score_bin is not None:
-            out[stratum] = (score_bin, rare)
+        own = {r["rare"]: r["n"] for r in rows if r["stratum"] == stratum}
+        beyond = 0
+        for b in sorted(own, reverse=True):
+            beyond += own[b]
+            if sum(own.values()) * 10 ** (-b / PER_TEN) <= max_fdr * beyond:
+                out[stratum] = b
     return out
 
 
@@ -272,9 +252,9 @@ def scan(docs: DataFrame, max_fdr: float = MAX_FDR) -> DataFrame:
 
     def accepted(c: Column) -> Column:
         test = F.lit(False)
-        for stratum, (b, rare) in cut.items():
-            test = test | ((c["stratum"] == stratum) & (c["bin"] >= b) & (c["rare"] >= rare))
-        return ~c["decoy"] & test
+        for stratum, rare in cut.items():
+            test = test | ((c["stratum"] == stratum) & (c["rare"] >= rare))
+        return test
 
     extra = F.transform(F.filter("candidates", accepted),
                         lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))

@@ -3,16 +3,22 @@
 Rules decide first (the longest that fits). Every other page is judged by its host: trust
 is personalised PageRank from hosts with allowed pages along links, distrust is the same
 walk from hosts with blocked pages against the links (who links to a bad host is suspect).
-A host is blocked when its distrust outweighs its trust by ``ratio``.
+A host is blocked when its distrust outweighs its own trust by ``ratio``.
 
-Edges are distinct host pairs: hyperlinks between hosts, and from each host to its parent
-domain where that has pages itself. The pages are reduced to hosts and host pairs before
-anything iterates, so a host with a third of all pages is one row; each round is a join and
-an aggregate of the edge table, stored, and starts from the last one stored.
+Edges are distinct host pairs: hyperlinks between hosts, and from each host to its nearest
+ancestor domain that has pages itself. The pages are reduced to hosts and host pairs before
+anything iterates, so a host with a third of all pages is one row.
+
+Rank that a host without outgoing edges holds goes back to the seeds, as the jumps do. So the
+ranks are, up to their sum, the series ``seed + d P seed + (d P)^2 seed + ...``: each round
+sends on only what the last one moved (a join and an aggregate with the edge table, stored),
+and the rounds end when less than ``tolerance`` of the rank moves, or nothing at all, as in a
+graph without cycles, whatever its depth.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule and
 are judged by the empty host, which has no edges; repeated rows are judged each by itself;
-null html has no links; an empty table gives an empty result; ties go to allow.
+null html has no links; an empty table gives an empty result; ties go to allow; other columns
+than ``page_id``, ``url`` and ``html`` are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -39,7 +45,9 @@ class UrlRule:
 # The rule list of the contract.
 RULES = (UrlRule("org", "/", "allow"), UrlRule("example.org", "/es/", "block"), UrlRule("example.org", "/en/1", "block"),
          UrlRule("com", "/fr/", "allow"), UrlRule("com", "/de/", "block"))
-DAMPING, ROUNDS, RATIO = 0.85, 8, 1.0
+DAMPING, TOLERANCE, RATIO = 0.85, 1e-7, 1.0
+#: Rounds whose tables are added up into one.
+FOLD = 16
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -68,38 +76,55 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .select("src", url_host(F.col("url")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct())
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, hosts: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) by ``rounds`` of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, hosts: DataFrame, damping: float = DAMPING,
+              tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) by personalised PageRank, each summing to 1 where it has seeds.
 
     ``seeds`` is (host, good, bad), each column a distribution. A host without outgoing
     edges in a walk's direction returns its rank to that walk's seeds.
     """
     both = edges.select(F.lit("good").alias("walk"), "src", "dst").unionByName(
         edges.select(F.lit("bad").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degree = both.groupBy("walk", F.col("src").alias("host")).agg(F.count(F.lit(1)).alias("degree"))
-    both = stored(both, "url-edges")
-    start = hosts.join(seeds, "host", "left").select(
-        "host", F.explode(F.array(F.struct(F.lit("good").alias("walk"), F.coalesce("good", F.lit(0.0)).alias("seed")),
-                                  F.struct(F.lit("bad").alias("walk"), F.coalesce("bad", F.lit(0.0)).alias("seed")))))
-    start = start.select("host", "col.walk", "col.seed").join(degree, ["walk", "host"], "left")
-    start = stored(start, "url-start")
-    rank = start.select("walk", "host", "degree", "seed", F.col("seed").alias("rank"))
-    for i in range(rounds):
-        sent = both.join(rank.select("walk", F.col("host").alias("src"), (F.col("rank") / F.col("degree")).alias("part")),
-                         ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg(F.sum("part").alias("got"))
-        loose = {r["walk"]: r["lost"] for r in rank.where("degree is null").groupBy("walk").agg(
-            F.sum("rank").alias("lost")).collect()}                                       # two rows
-        back = F.when(F.col("walk") == "good", F.lit(float(loose.get("good") or 0.0))).otherwise(
-            F.lit(float(loose.get("bad") or 0.0)))
-        rank = stored(start.join(sent, ["walk", "host"], "left").select(
-            "walk", "host", "degree", "seed",
-            ((1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + back * F.col("seed"))).alias("rank")),
-            f"url-rank{i}")
-    pick = lambda w: F.sum(F.when(F.col("walk") == w, F.col("rank")).otherwise(0.0))
-    return rank.groupBy("host").agg(pick("good").alias("trust"), pick("bad").alias("distrust"))
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS,
+    degree = both.groupBy("walk", "src").agg(F.count(F.lit(1)).alias("degree"))
+    both = stored(both.join(degree, ["walk", "src"]).select("walk", "src", "dst", (F.lit(damping) / F.col("degree")).alias("share")),
+                  "url-edges")
+    moved = stored(seeds.select("host", F.explode(F.array(F.struct(F.lit("good").alias("walk"), F.col("good").alias("rank")),
+                                                          F.struct(F.lit("bad").alias("walk"), F.col("bad").alias("rank")))))
+                   .select("col.walk", "host", "col.rank").where("rank > 0"), "url-seeds")
+    parts, left = [moved], 2.0
+    while left > tolerance:
+        sent = both.join(moved.withColumnRenamed("host", "src"), ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg(
+            F.sum(F.col("rank") * F.col("share")).alias("rank"))
+        moved = stored(sent, f"url-round{len(parts)}")
+        left = float(moved.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0])
+        if left:
+            parts.append(moved)
+        if len(parts) > FOLD:                            # the series so far in one table: plans stay short
+            parts = [stored(_series(parts), "url-series")]
+    ranks = _series(parts)
+    total = {r["walk"]: r["total"] for r in ranks.groupBy("walk").agg(F.sum("rank").alias("total")).collect()}     # two rows
+    pick = lambda w: F.coalesce(F.sum(F.when(F.col("walk") == w, F.col("rank"))) / F.lit(total.get(w, 1.0)), F.lit(0.0))
+    found = ranks.groupBy("host").agg(pick("good").alias("trust"), pick("bad").alias("distrust"))
+    return hosts.join(found, "host", "left").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
+
+
+def _series(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+
+
+def nearest_ancestors(hosts: DataFrame, with_pages: DataFrame) -> DataFrame:
+    """(src, dst): each host and the longest proper parent domain that has pages itself."""
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    up = hosts.where("host <> ''").where(F.size(labels) > 1).select(F.col("host").alias("src"), F.explode(above).alias("dst"))
+    return up.join(with_pages.where("host <> ''").select(F.col("host").alias("dst")), "dst", "left_semi").groupBy("src").agg(
+        F.max_by("dst", F.length("dst")).alias("dst"))
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE,
           ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -114,10 +139,9 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, damping: float =
                                       for c in ("good", "bad")])
     links = host_edges(p)
     hosts = stored(per_host.select("host").union(links.select("src")).union(links.select("dst")).distinct(), "url-all-hosts")
-    child = hosts.where("host <> ''").select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.?", "").alias("dst"))
-    parents = child.join(per_host.where("host <> ''").select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
+    parents = nearest_ancestors(hosts, per_host)
     edges = links.unionByName(parents).distinct()
-    ranks = propagate(edges, seeds, hosts, damping, rounds).select(
+    ranks = propagate(edges, seeds, hosts, damping, tolerance).select(
         "host", "trust", "distrust", (F.col("distrust") > F.lit(ratio) * F.col("trust")).alias("bad_host"))
     out = judged.join(stored(ranks, "url-ranks"), "host", "left")
     by_host = F.when(F.coalesce("bad_host", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
