@@ -16,7 +16,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(simhash.edit_and_fingerprint(table(spark, sf_dir, "documents")), "simhash-rows")
-    return rows.join(simhash.near_counts(rows), ["hi", "lo"], "left").drop("hi", "lo")
+    return simhash.near_counts(rows).drop("hi", "lo")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

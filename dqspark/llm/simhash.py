@@ -5,31 +5,44 @@ distinct term votes with its 128-bit hash, weighted by 1 + ln(count): bit b of t
 fingerprint is set when the weights of terms with that bit outweigh those without. The
 likeness of two fingerprints is 1 - (differing bits) / 128.
 
-``near_fingerprints`` cuts the 128 bits into radius + 1 blocks; two fingerprints within the
-radius agree in at least one block, so one table per block, keyed by that block, finds all
-of them. Equal fingerprints are one row there, whatever number of documents shares them.
-
-Defined cases: null, empty and blank texts have no terms and the all-zero fingerprint;
-equal texts have equal fingerprints; documents that share a ``doc_id`` follow each other in
-the order of a text hash; rows without ``doc_id`` come last; a single document is its own
-successor; an empty table gives an empty result.
+``search`` finds all fingerprints within ``radius`` bits of the query fingerprints, exactly. The
+128 bits are cut into ``BLOCKS``; block i may differ in t_i bits, and where the t_i + 1 sum to
+more than the radius some block of any near pair keeps its bound (pigeonhole). One table per
+block is keyed by the block's bits; a query looks up its own bits with every choice of at most
+t_i of them turned over. ``RADIUS`` is 16: a text with 2 % of its words replaced lies 9 to 11
+bits away on average, and within 16 bits in 95 to 99 % of the cases (100 words and more). The
+queries are the documents whose id is divisible by ``EVERY``; they are looked up in all rows.
+
+Documents are put in order by one range shuffle of the texts. Each range is then read as a
+stream, and the last document of a range meets the first of the next one in a second, small step.
+
+Defined cases: null, empty and blank texts have no terms and the all-zero fingerprint; a bit
+whose votes tie is 0; equal texts have equal fingerprints; documents that share a ``doc_id``
+follow each other in the order of a text hash; rows without ``doc_id`` come last and are no
+queries; a single document is its own successor; an empty table gives an empty result; texts of
+any length are read whole, one at a time; columns other than ``doc_id`` and ``text`` are never read,
+so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.llm.common import U64, WordHashes, doc_texts, mix64, stored
 
 BITS = 128
-RADIUS = 3
-#: Most ranges of doc_id that the successor search deals the rows into.
-MAX_RANGES = 2000
+#: Bits in which a near fingerprint may differ, and which documents are queries of the search.
+RADIUS, EVERY = 16, 50
+#: Blocks as (half, first bit from the right, width), the wide ones first: they take spare bits of the radius first.
+BLOCKS = (("lo", 0, 22), ("lo", 22, 21), ("lo", 43, 21), ("hi", 0, 16), ("hi", 16, 16), ("hi", 32, 16), ("hi", 48, 16))
 
 
 def fingerprint(words: list[bytes], cache: WordHashes) -> tuple[int, int]:
@@ -50,29 +63,8 @@ def fingerprint(words: list[bytes], cache: WordHashes) -> tuple[int, int]:
     return int(out[0]), int(out[1])
 
 
-def fingerprints_udf(columns: int):
-    """An Arrow UDF over ``columns`` text columns: an array of half pairs, two longs per column."""
-    @F.pandas_udf("array<bigint>")
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        cache = WordHashes()
-        for cols in parts:
-            out = []
-            for row in zip(*cols, strict=True):
-                halves: list[int] = []
-                for text in row:
-                    halves += fingerprint((text or "").encode("utf-8", "replace").lower().split(), cache)
-                out.append(halves)
-            yield pd.Series(out)
-
-    if columns == 1:
-        @F.pandas_udf("array<bigint>")
-        def one(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            cache = WordHashes()
-            for col in parts:
-                yield pd.Series([list(fingerprint((t or "").encode("utf-8", "replace").lower().split(), cache))
-                                 for t in col])
-        return one
-    return run
+def text_print(text: str, cache: WordHashes) -> tuple[int, int]:
+    return fingerprint(text.encode("utf-8", "replace").lower().split(), cache)
 
 
 def hex128(hi: Column, lo: Column) -> Column:
@@ -83,71 +75,81 @@ def distance(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
-def _ranges(ids: DataFrame) -> list[int]:
-    """Bounds that deal the documents into ranges of doc_id; at most MAX_RANGES numbers."""
-    n = ids.count()
-    parts = max(4, min(MAX_RANGES, n // 1000))
-    row = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000).alias("q")).first()
-    return sorted(set(row["q"] or []))
+_EDITED = ("doc_id long, n_chars long, edited_sha256 string, hi long, lo long, e_hi long, e_lo long, n_hi long, n_lo long, "
+           "range int, edge int, text string")
+_ARROW = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+                    for name, kind in (c.split() for c in _EDITED.split(", "))])
 
 
-def _range_of(bounds: list[int]) -> Column:
-    """Index of a doc_id's range: a two-level search over the literal bounds; null comes last."""
-    if not bounds:
-        return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    wide = max(1, int(len(bounds) ** 0.5))
-    fine = [bounds[i:i + wide] for i in range(0, len(bounds), wide)]
-    coarse = F.size(F.filter(F.array(*[F.lit(b[0]) for b in fine]), lambda b: b <= F.col("doc_id")))
-    table = F.array(*[F.array(*[F.lit(x) for x in b]) for b in fine])
-    inner = F.size(F.filter(F.element_at(table, F.greatest(coarse, F.lit(1))), lambda b: b <= F.col("doc_id")))
-    index = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * wide + inner)
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(index)
+def edited_text(text: str, following: str) -> str:
+    """The text with its last floor(n/2) code points replaced by the first as many of the next document."""
+    half = len(text) // 2
+    return text[:len(text) - half] + following[:half]
 
 
-def with_successor(docs: DataFrame) -> tuple[DataFrame, Window]:
-    """Documents dealt into ranges of doc_id, each range closed by a copy of the row that follows it.
+class Walk:
+    """A range of documents as a stream: each row is finished when the one after it is known."""
 
-    The copy (``halo``) lets ``lead`` work inside a range; no window spans the table.
-    """
-    d = doc_texts(docs)
-    ids = d.select("doc_id")
-    place = _range_of(_ranges(ids))
-    firsts = [(r["range"], r["first"]) for r in ids.groupBy(place.alias("range")).agg(
-        F.min("doc_id").alias("first")).orderBy("range").collect()]       # one row per range
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    d = d.withColumn("range", place)
-    heads = [(v, k) for k, v in before.items() if k is not None]
-    halo = F.lit(None).cast("int")
-    if heads:
-        halo = F.when(F.col("doc_id").isin([k for _, k in heads]), F.element_at(
-            F.lit([before[f] for _, f in firsts]), F.array_position(F.lit([r for r, _ in firsts]), F.col("range")).cast("int")))
-    if None in before:
-        halo = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(halo)
-    copies = F.when(halo.isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("h")))).otherwise(
-        F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("h")), F.struct(halo.alias("r"), F.lit(1).alias("h"))))
-    d = d.withColumn("copy", F.explode(copies)).select(
-        "doc_id", "text", F.col("copy.r").alias("range"), F.col("copy.h").alias("halo"), F.xxhash64("text").alias("tie"))
-    return d, Window.partitionBy("range").orderBy("halo", F.col("doc_id").asc_nulls_last(), "tie")
+    def __init__(self) -> None:
+        self.cache = WordHashes()
+
+    def finish(self, row: dict, following: str, print_: tuple[int, int]) -> dict:
+        edited = edited_text(row["text"], following)
+        e_hi, e_lo = text_print(edited, self.cache)
+        return {**row, "edited_sha256": hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), "e_hi": e_hi, "e_lo": e_lo,
+                "n_hi": print_[0], "n_lo": print_[1], "edge": 0, "text": None}
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece, out = batch.slice(at, 256), []
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                    hi, lo = text_print(text, self.cache)
+                    row = {"doc_id": doc_id, "n_chars": len(text), "hi": hi, "lo": lo, "range": part, "text": text}
+                    if held is None:
+                        out.append({**row, "edge": 1})          # the first of the range, for the range before
+                    else:
+                        out.append(self.finish(held, text, (hi, lo)))
+                    held = row
+                yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([{**held, "edge": 2}], schema=_ARROW)       # the last of the range
+
+    def close(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Last rows joined with the first row of the next range."""
+        for batch in batches:
+            out = [self.finish({k: r[k] for k in ("doc_id", "n_chars", "hi", "lo", "range", "text")}, r["f_text"], (r["f_hi"], r["f_lo"]))
+                   for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
 def edit_and_fingerprint(docs: DataFrame) -> DataFrame:
-    """Per document: length, fingerprint, that of its edited text, and both likenesses (see the contract)."""
-    d, w = with_successor(docs)
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    d = (d.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("next_text", F.lead("text").over(w))
-         .withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"),
-                                        F.substring(F.col("next_text"), F.lit(1), half))))
-    d = d.select("range", "halo", "doc_id", "tie", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-                 fingerprints_udf(2)("text", "edited").alias("f"))
-    d = d.withColumn("next_f", F.lead("f").over(w)).where("halo = 0")
-    f, n = F.col("f"), F.col("next_f")
-    like = lambda a, b, c, e: F.lit(1.0) - distance(a, b, c, e) / F.lit(float(BITS))
-    return d.select("doc_id", "n_chars", "edited_sha256", hex128(f[0], f[1]).alias("fingerprint"),
-                    hex128(f[2], f[3]).alias("edited_fingerprint"), like(f[0], f[1], f[2], f[3]).alias("near_edited"),
-                    like(f[0], f[1], n[0], n[1]).alias("near_next"), f[0].alias("hi"), f[1].alias("lo"))
-
-
-def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per document: length, fingerprint, that of its edited text, and both likenesses (see the contract).
+
+    One id, or one text under one id, may hold any share of the rows: the text hash and the row's own
+    number split them over ranges.
+    """
+    d = doc_texts(docs).withColumn("tie", F.xxhash64("text")).withColumn("own", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("own")]
+    walked = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(
+        lambda batches: Walk().run(batches), _EDITED)
+    walked = stored(walked, "simhash-ranges")
+    firsts = walked.where("edge = 1").select(F.col("range").alias("next"), F.col("text").alias("f_text"), F.col("hi").alias("f_hi"),
+                                             F.col("lo").alias("f_lo"))
+    # One short row per range: which range follows which; after the last comes the first.
+    ranges = walked.where("edge = 2").select("range")
+    turn = ranges.select("range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy()))
+                         .alias("next"))
+    lasts = walked.where("edge = 2").join(turn, "range").join(firsts, "next").select(*_ARROW.names, "f_text", "f_hi", "f_lo")
+    d = walked.where("edge = 0").unionByName(lasts.mapInArrow(lambda batches: Walk().close(batches), _EDITED))
+    like = lambda a, b: F.lit(1.0) - distance(F.col("hi"), F.col("lo"), F.col(a), F.col(b)) / F.lit(float(BITS))
+    return d.select("doc_id", "n_chars", "edited_sha256", hex128(F.col("hi"), F.col("lo")).alias("fingerprint"),
+                    hex128(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"), like("e_hi", "e_lo").alias("near_edited"),
+                    like("n_hi", "n_lo").alias("near_next"), "hi", "lo")
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     """All pairs (a < b) of distinct fingerprints ``hi``, ``lo`` that differ in at most ``radius`` bits.
 
     A pair that agrees in several blocks is reported by the first of them only.
@@ -173,16 +175,56 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                     distance(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo")).alias("bits")))
 
 
-def near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(hi, lo, n_near): how many other documents lie within the radius of a fingerprint."""
-    counts = stored(rows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")), "simhash-counts")
-    pairs = near_fingerprints(counts, radius)
-    pairs = stored(pairs, "simhash-pairs")
-    both = pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"), F.col("b_hi").alias("o_hi"),
-                        F.col("b_lo").alias("o_lo")).unionByName(
-        pairs.select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"), F.col("a_hi").alias("o_hi"),
-                     F.col("a_lo").alias("o_lo")))
-    others = counts.select(F.col("hi").alias("o_hi"), F.col("lo").alias("o_lo"), F.col("n").alias("o_n"))
-    linked = both.join(others, ["o_hi", "o_lo"]).groupBy("hi", "lo").agg(F.sum("o_n").alias("more"))
-    return counts.join(linked, ["hi", "lo"], "left").select(
-        "hi", "lo", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
+def block_bounds(radius: int) -> list[int]:
+    """Bits that may differ in each of ``BLOCKS``: the bounds plus one sum to ``radius`` + 1; -1 leaves a block out."""
+    n = len(BLOCKS)
+    return [(radius + 1) // n + (i < (radius + 1) % n) - 1 for i in range(n)]
+
+
+def _block(i: int, hi: str, lo: str) -> Column:
+    half, at, width = BLOCKS[i]
+    return F.shiftrightunsigned(F.col(hi if half == "hi" else lo), at).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _turned(width: int, bound: int) -> list[int]:
+    return [sum(1 << b for b in bits) for k in range(bound + 1) for bits in combinations(range(width), k)]
+
+
+def _key(i: int, value: Column) -> Column:
+    return F.lit(i << 32).cast("long").bitwiseOR(value)
+
+
+def _looked_up(i: int, bound: int) -> Column:
+    """Keys of a query in the table of block i: its bits with at most ``bound`` of them turned over."""
+    own = _block(i, "q_hi", "q_lo")
+    return F.transform(F.lit(_turned(BLOCKS[i][2], bound)).cast("array<bigint>"), lambda m: _key(i, own.bitwiseXOR(m)))
+
+
+def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(q_hi, q_lo, hi, lo, n, bits): all ``prints`` (hi, lo, n) within ``radius`` of a query (hi, lo), itself included.
+
+    A pair found through several blocks is reported by the first whose bound it keeps.
+    """
+    bounds = block_bounds(radius)
+    used = [i for i, t in enumerate(bounds) if t >= 0]
+    table = prints.select("hi", "lo", "n", F.explode(F.array(*[_key(i, _block(i, "hi", "lo")) for i in used])).alias("key"))
+    looks = F.concat(*[_looked_up(i, bounds[i]) for i in used])
+    asked = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct().select(
+        "q_hi", "q_lo", F.explode(looks).alias("key"))
+    far = distance(F.col("hi"), F.col("lo"), F.col("q_hi"), F.col("q_lo"))
+    keeps = F.lit(None).cast("int")
+    for i in reversed(used):
+        apart = F.bit_count(_block(i, "hi", "lo").bitwiseXOR(_block(i, "q_hi", "q_lo")))
+        keeps = F.when(apart <= bounds[i], F.lit(i)).otherwise(keeps)
+    return asked.join(table, "key").where((far <= radius) & (F.shiftrightunsigned("key", 32) == keeps)).select(
+        "q_hi", "q_lo", "hi", "lo", "n", far.alias("bits"))
+
+
+def near_counts(rows: DataFrame, radius: int = RADIUS, every: int = EVERY) -> DataFrame:
+    """``rows`` with ``n_near``: how many other documents lie within the radius; null where a row is no query."""
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    counts = stored(rows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max(asks).alias("asks")), "simhash-counts")
+    near = search(counts.where("asks"), counts, radius).groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(
+        (F.sum("n") - 1).alias("n_near"))
+    asked = rows.where(asks).join(near, ["hi", "lo"], "left")
+    return asked.unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
