@@ -216,7 +216,8 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
     for i in reversed(used):
         apart = F.bit_count(_block(i, "hi", "lo").bitwiseXOR(_block(i, "q_hi", "q_lo")))
         keeps = F.when(apart <= bounds[i], F.lit(i)).otherwise(keeps)
-    return asked.join(table, "key").where((far <= radius) & (F.shiftrightunsigned("key", 32) == keeps)).select(
+    # The estimate of an exploded side does not count what it becomes, so neither side may be broadcast on it.
+    return asked.hint("merge").join(table.hint("merge"), "key").where((far <= radius) & (F.shiftrightunsigned("key", 32) == keeps)).select(
         "q_hi", "q_lo", "hi", "lo", "n", far.alias("bits"))
 
 
