@@ -258,21 +258,3 @@ def similarity(a: Column, b: Column, threshold: float = 0.0) -> Column:
     # nondeterministic only to the optimizer: a filter on the score must not be
     # pushed below the projection, which would run the UDF twice
     return _similarity.asNondeterministic()(a, b)
-
-
-def similarity_of_ranks(rank_i: Column, rank_j: Column, texts, threshold: float = 0.0) -> Column:
-    """Scores of value pairs given by rank; ``texts`` is a broadcast ``{rank: text}``.
-
-    Only the two ranks cross into Python, so a long text is shipped once per
-    executor (the broadcast) instead of once per pair. Caches live for the task.
-    """
-    thr = float(threshold)
-    state: dict = {}
-
-    @F.pandas_udf(T.DoubleType())
-    def _similarity(ri: pd.Series, rj: pd.Series) -> pd.Series:
-        lookup = texts.value
-        caches = state.setdefault("caches", _Caches())
-        return _score_batch([lookup[r] for r in ri.tolist()], [lookup[r] for r in rj.tolist()], thr, caches)
-
-    return _similarity.asNondeterministic()(rank_i, rank_j)

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqspark.functions.similarity import similarity, similarity_of_ranks
+from dqspark.functions.similarity import similarity
 
 def _numbered(v: str) -> np.ndarray:
     """``code point << 32 | occurrence`` for each character, in text order."""
@@ -188,7 +188,7 @@ BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the
 BAND_COST_RATIO = 6
 BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever the cost check says
 BAND_SALTS = 16                   # a band is split over this many tasks
-BROADCAST_TEXT_BYTES = 64 << 20   # node texts below this size are broadcast to the verifier
+BROADCAST_TEXT_BYTES = 64 << 20   # node texts measured below this size join the pairs without a shuffle
 
 
 def _banded(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -215,10 +215,6 @@ def band_stats(banded: DataFrame) -> tuple[int, int, int]:
     return int(row["n"] or 0), int(row["bytes"] or 0), int(row["pairs"] or 0)
 
 
-def band_pair_count(banded: DataFrame) -> int:
-    return band_stats(banded)[2]
-
-
 def band_pairs(banded: DataFrame, threshold: float, salts: int = BAND_SALTS) -> DataFrame:
     """Pairs (rank_i < rank_j) in the same or next length band that pass the length bound.
 
@@ -250,8 +246,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     pairs are at most ``BAND_PAIRS_MAX``). Candidates are sorted by ``rank_i``
     inside each partition so the verifier reuses a value's bit pattern and
     character counts across its partners; it applies the character-bag bound
-    before the LCS. When the texts fit the measured broadcast bound, only ranks
-    cross into Python and the texts come from a broadcast map. ``info``, when
+    before the LCS. Texts are joined to the pairs by rank. ``info``, when
     given, receives the generator used and the candidate count (for the band
     join, its counted upper bound before the length check).
     """
@@ -283,31 +278,12 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     # for the caches, and a value with very many partners still spreads out
     parts = max(4 * _parallelism(spark), -(-n_pairs // 20_000))
     spread = [F.col("rank_i"), F.floor(F.col("rank_j") / 256)]
-    if text_bytes <= BROADCAST_TEXT_BYTES:       # measured, not assumed
-        pdf = nodes.select("rank", "value").toPandas()
-        texts = spark.sparkContext.broadcast(dict(zip(pdf["rank"].tolist(), pdf["value"].tolist())))
-        if info is not None:
-            info["broadcast"] = texts      # the caller may release it once the edges are written
-        cand = pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")
-        scored = cand.select("rank_i", "rank_j",
-                             similarity_of_ranks(F.col("rank_i"), F.col("rank_j"), texts, t).alias("similarity"))
-        hits = scored.where(F.col("similarity") >= t)
-        return (hits.join(F.broadcast(left), "rank_i").join(F.broadcast(right), "rank_j")
-                .select("rank_i", "rank_j", "value_i", "value_j", "similarity"))
-    cand = pairs.join(left, "rank_i").join(right, "rank_j").repartition(parts, *spread) \
-        .sortWithinPartitions("rank_i")
+    if text_bytes <= BROADCAST_TEXT_BYTES:       # measured, not assumed: only ranks are shuffled
+        cand = (pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")
+                .join(F.broadcast(left), "rank_i").join(F.broadcast(right), "rank_j"))
+    else:
+        cand = pairs.join(left, "rank_i").join(right, "rank_j").repartition(parts, *spread) \
+            .sortWithinPartitions("rank_i")
     scored = cand.select("rank_i", "rank_j", "value_i", "value_j",
                          similarity(F.col("value_i"), F.col("value_j"), t).alias("similarity"))
     return scored.where(F.col("similarity") >= t)
-
-
-def brute_force_edges(values: list[str], threshold: float) -> list[tuple[int, int, float]]:
-    """All pairs in rank order (list position); for tests only."""
-    from dqspark.functions.similarity import ratio
-    out = []
-    for i in range(len(values)):
-        for j in range(i + 1, len(values)):
-            s = ratio(values[i], values[j])
-            if s >= threshold:
-                out.append((i, j, s))
-    return out

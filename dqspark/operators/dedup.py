@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from dqspark.operators.blocking import similarity_edges
 from dqspark.operators.survivors import greedy_survivors
-from dqspark.session import ensure_checkpoint_dir
+from dqspark.session import ensure_checkpoint_dir, staged
 
 DEFAULT_THRESHOLD = 85
 DEFAULT_MAX_VALUES = None      # all values; a caller may ask for the k most frequent ones
@@ -59,10 +59,7 @@ def value_frequencies(df: DataFrame, col: str) -> DataFrame:
             .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
 
 
-TOP_MERGE_MAX = 200_000   # candidate rows one task may merge for the top k
-
-
-def top_values(freq: DataFrame, k: int, merge_max: int = TOP_MERGE_MAX) -> DataFrame:
+def top_values(freq: DataFrame, k: int) -> DataFrame:
     """T1 + W1: the ``k`` most frequent values, ties by value, with their rank (1-based).
 
     A plain ``orderBy.limit`` sends every partition's top ``k`` rows, texts included,
@@ -70,10 +67,9 @@ def top_values(freq: DataFrame, k: int, merge_max: int = TOP_MERGE_MAX) -> DataF
 
     1. the histogram of counts, only its ``k`` largest counts (at most ``k`` small
        rows), gives the k-th largest count ``c`` and how many values reach it;
-    2. only values with ``count >= c`` can be in the result. When those are at most
-       ``merge_max`` rows (the usual case) one bounded merge takes the first ``k``;
-    3. otherwise (a huge tie at ``c``, e.g. every value seen once) they are range
-       sorted over the cluster and the first ``k`` are kept by partition offsets.
+    2. only values with ``count >= c`` can be in the result, however many tie at ``c``;
+       they are range sorted over the cluster and the first ``k`` are kept by partition
+       offsets.
 
     The rank window then sees at most ``k`` rows.
     """
@@ -84,38 +80,33 @@ def top_values(freq: DataFrame, k: int, merge_max: int = TOP_MERGE_MAX) -> DataF
     try:
         hist = (freq.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
                 .orderBy(F.desc("count")).limit(k).collect())
-        above, cut, n_cand = 0, None, 0
+        above, cut = 0, None
         for r in hist:
             if above + r["n"] >= k:
-                cut, n_cand = r["count"], above + r["n"]
+                cut = r["count"]
                 break
             above += r["n"]
-        if cut is None:                   # fewer than k values in all: every one is in
-            cand, n_cand = freq, above
-        else:
-            cand = freq.where(F.col("count") >= F.lit(cut))
+        # fewer than k values in all: every one is in
+        cand = freq if cut is None else freq.where(F.col("count") >= F.lit(cut))
         order = [F.desc("count"), F.asc("value")]
-        if n_cand <= merge_max:
-            top = cand.orderBy(*order).limit(k).checkpoint()       # at most k rows
-        else:
-            ranked = (cand.orderBy(*order)
-                      .select("value", "count", F.spark_partition_id().alias("__pid"),
-                              F.monotonically_increasing_id().alias("__pos"))
-                      .checkpoint())      # fixes the sorted layout for the offsets below
-            sizes = sorted((r["__pid"], r["n"]) for r in
-                           ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-            keep, left = [], k            # partitions are in sort order
-            for pid, n in sizes:
-                if left <= 0:
-                    break
-                keep.append((pid, min(n, left)))
-                left -= n
-            # row index inside a partition = id minus the partition's base (pid << 33)
-            idx = F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33)
-            cond = F.lit(False)
-            for pid, take in keep:
-                cond = cond | ((F.col("__pid") == pid) & (idx < take))
-            top = ranked.where(cond).select("value", "count")
+        ranked = (cand.orderBy(*order)
+                  .select("value", "count", F.spark_partition_id().alias("__pid"),
+                          F.monotonically_increasing_id().alias("__pos"))
+                  .checkpoint())      # fixes the sorted layout for the offsets below
+        sizes = sorted((r["__pid"], r["n"]) for r in
+                       ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
+        keep, left = [], k            # partitions are in sort order
+        for pid, n in sizes:
+            if left <= 0:
+                break
+            keep.append((pid, min(n, left)))
+            left -= n
+        # row index inside a partition = id minus the partition's base (pid << 33)
+        idx = F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33)
+        cond = F.lit(False)
+        for pid, take in keep:
+            cond = cond | ((F.col("__pid") == pid) & (idx < take))
+        top = ranked.where(cond).select("value", "count")
     finally:
         freq.unpersist()
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -182,8 +173,7 @@ def _first_kept(edges: DataFrame) -> DataFrame:
             .select(F.col("m.rank_i").alias("rank_i"), "rank_j", F.col("m.similarity").alias("similarity")))
 
 
-def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block: int = FIRST_BLOCK,
-                local_limit: int = 1_000_000) -> Walk:
+def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block: int = FIRST_BLOCK) -> Walk:
     """The greedy walk over ``nodes(rank 1..n, value)`` without the edges of dropped values.
 
     Ranks are taken in blocks, each as large as all before it together. A value's fate
@@ -201,12 +191,8 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
     def scored(block: DataFrame, against: DataFrame | None) -> tuple[DataFrame, int]:
         nonlocal candidates
         info: dict = {}
-        edges = (similarity_edges(block, threshold, info=info, against=against)
-                 .select("rank_i", "rank_j", "similarity").checkpoint())
-        if info.get("broadcast") is not None:
-            # the edges are stored: executors no longer need the texts (unpersist, not
-            # destroy, so a recomputation could still fetch them again)
-            info["broadcast"].unpersist()
+        edges = staged(similarity_edges(block, threshold, info=info, against=against)
+                       .select("rank_i", "rank_j", "similarity"), "similarity-edges")
         candidates += info["candidates"]
         used.add(info["strategy"])
         return edges, edges.count()
@@ -218,24 +204,22 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
             edges, n = scored(block, kept)
             pairs += n
             if n:
-                hits = _first_kept(edges).checkpoint()
+                hits = staged(_first_kept(edges), "first-kept")
                 found.append(hits)
-                block = block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti").checkpoint()
+                block = staged(block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti"), "walk-block")
         edges, n = scored(block, None)
         pairs += n
         if n:
-            surv = greedy_survivors(edges.select("rank_i", "rank_j"), local_limit=local_limit)
+            surv = greedy_survivors(edges.select("rank_i", "rank_j"))
             rounds += surv.rounds
-            states = surv.states.checkpoint()
-            stay = states.where(F.col("keep")).select(F.col("rank").alias("rank_i"))
-            gone = states.where(~F.col("keep")).select(F.col("rank").alias("rank_j"))
-            found.append(_first_kept(edges.join(stay, "rank_i", "left_semi")
-                                     .join(gone, "rank_j", "left_semi")).checkpoint())
-            block = block.join(gone.select(F.col("rank_j").alias("rank")), "rank", "left_anti")
+            # what a kept value matches later on is dropped, and nothing else is
+            found.append(staged(_first_kept(edges.join(surv.dropped.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti")),
+                                "first-kept"))
+            block = block.join(surv.dropped, "rank", "left_anti")
         kept = block if kept is None else kept.unionByName(block)
         start, size = start + size, max(size, start + size)
         if start < n_values:
-            kept = kept.checkpoint()
+            kept = staged(kept, "walk-kept")
     if not found:
         found = [spark.createDataFrame([], "rank_i long, rank_j long, similarity double")]
     matches = found[0]
@@ -245,7 +229,7 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
 
 
 def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
-                max_values: int | None = DEFAULT_MAX_VALUES, local_limit: int = 1_000_000,
+                max_values: int | None = DEFAULT_MAX_VALUES,
                 first_block: int = FIRST_BLOCK) -> FuzzyResult:
     """Drop every row whose ``col`` value is a near copy of an earlier kept value."""
     spark = df.sparkSession
@@ -258,7 +242,7 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
     if max_values is not None:
         nodes = nodes.checkpoint()
     n_values = nodes.count()
-    walk = greedy_walk(nodes, n_values, threshold, first_block, local_limit)
+    walk = greedy_walk(nodes, n_values, threshold, first_block)
     dropped = (nodes.join(walk.matches.select(F.col("rank_j").alias("rank")), "rank")
                .select("value", "count", "rank")).checkpoint()
     stats = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows"),

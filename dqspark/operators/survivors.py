@@ -4,108 +4,124 @@ The reference walks values in rank order: a value is kept unless an earlier *kep
 value matches it; a dropped value drops nothing. That is the lexicographically
 first maximal independent set of the edge graph (not connected components).
 
-Spark form, in rounds over ``edges(rank_i < rank_j)`` restricted to undecided nodes:
-
-* keep every undecided node that has no undecided earlier neighbour (all its
-  earlier neighbours were dropped, so the greedy walk keeps it too);
-* drop every undecided node with an earlier neighbour kept in this round;
-* remove decided nodes and their edges; repeat.
-
-Each round is a few joins over the remaining edges, and its outputs are written
-with ``checkpoint()`` (reliable, in the session's checkpoint folder), so lineage
-stays one round long and a lost executor only re-runs the current round. When
-the remaining edges fit under ``local_limit`` the rest of the walk runs in one
-bounded pandas task.
+Spark form, in rounds over the edges (rank_i < rank_j) between undecided values:
+
+* a value without an undecided earlier neighbour is kept. The edges are range partitioned
+  by their later value, and each partition is walked as a sorted stream: a value is dropped
+  by any kept neighbour, kept if all its earlier neighbours are dropped, and left open while
+  one of them, in a partition before, is open. Edges of decided values go, and the next round
+  begins; every round settles at least the first open partition, and most settle all;
+* a value with exactly one undecided earlier neighbour is kept if and only if that one is
+  dropped. Such values point at their neighbour and form trees; pointer jumping (every
+  pointer takes its target's pointer, with the parity of the way) finds the top of each
+  tree in O(log depth) steps, so a chain of near copies does not cost a round per pair.
+  A tree whose top is kept is settled whole; one whose top has several earlier
+  neighbours waits for it.
+
+Stored tables of each round (and jump) hold ranks only. A walk holds the verdicts of its
+own partition's values; nothing is gathered in one group or on the driver, and a lost
+executor re-runs the current round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dqspark.session import ensure_checkpoint_dir
+from dqspark.session import staged
 
-STATE_SCHEMA = T.StructType([T.StructField("rank", T.LongType(), False),
-                             T.StructField("keep", T.BooleanType(), False)])
+#: Rounds before pointers are followed: most graphs are settled by then.
+PLAIN_ROUNDS = 2
 
 
 @dataclass
 class Survivors:
     states: DataFrame        # (rank, keep) for every node that has an edge
-    rounds: int              # distributed rounds run
-    local_edges: int         # edges settled by the final bounded task
-
-
-def _greedy_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    earlier: dict[int, list[int]] = {}
-    nodes = set()
-    for i, j in zip(pdf["rank_i"].tolist(), pdf["rank_j"].tolist()):
-        earlier.setdefault(j, []).append(i)
-        nodes.add(i)
-        nodes.add(j)
-    kept: set[int] = set()
-    out_rank, out_keep = [], []
-    for n in sorted(nodes):
-        keep = not any(i in kept for i in earlier.get(n, ()))
-        if keep:
-            kept.add(n)
-        out_rank.append(n)
-        out_keep.append(keep)
-    return pd.DataFrame({"rank": pd.Series(out_rank, dtype="int64"), "keep": out_keep})
-
-
-def greedy_survivors(edges: DataFrame, local_limit: int = 1_000_000, max_rounds: int | None = None) -> Survivors:
+    dropped: DataFrame       # (rank) of the values that are not kept
+    rounds: int              # rounds run
+    jumps: int               # steps of pointer jumping in all of them
+
+
+def _tree_tops(e: DataFrame) -> tuple[DataFrame | None, int]:
+    """(node, top, odd): for values with one earlier neighbour, the top of their tree and the parity
+    of the way there. None if no tree is deeper than one step, where a plain round does as well."""
+    own = e.groupBy("rank_j").agg(F.count(F.lit(1)).alias("n"), F.min("rank_i").alias("top")).where("n = 1")
+    tops = staged(own.select(F.col("rank_j").alias("node"), "top", F.lit(True).alias("odd")), "survivor-pointers")
+    steps = 0
+    while True:
+        above = tops.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("odd").alias("more"))
+        if tops.join(above, "top", "left_semi").limit(1).count() == 0:
+            return (tops if steps else None), steps
+        tops = staged(tops.join(above, "top", "left").select(
+            "node", F.coalesce("next", "top").alias("top"),
+            (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")), "survivor-jump")
+        steps += 1
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, keep) of the later values that a partition, sorted by them, can decide."""
+    verdicts: dict[int, bool | None] = {}       # of this partition's values; None: open
+    current, dropped, open_ = None, False, False
+    for batch in batches:
+        ranks, keeps = [], []
+        for i, j, settles in zip(*(batch.column(c).to_pylist() for c in ("rank_i", "rank_j", "settles")), strict=True):
+            if j != current:
+                if current is not None:
+                    verdicts[current] = verdict = False if dropped else None if open_ else True
+                    if verdict is not None:
+                        ranks.append(current)
+                        keeps.append(verdict)
+                current, dropped, open_ = j, False, False
+            earlier = True if settles else verdicts.get(i)
+            dropped |= earlier is True
+            open_ |= earlier is None
+        yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(keeps, pa.bool_())], names=["rank", "keep"])
+    if current is not None and (dropped or not open_):
+        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([not dropped], pa.bool_())], names=["rank", "keep"])
+
+
+def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivors:
     """Rounds until every node is decided. ``max_rounds`` only guards a job: reaching
     it with edges left raises (undecided nodes are never reported as kept)."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col("rank_i").cast("long").alias("rank_i"),
-                     F.col("rank_j").cast("long").alias("rank_j"))
-    n0 = e.count()
-    if n0 <= local_limit:
-        # small graph (checked): the whole walk is one bounded task, no rounds
-        if n0 == 0:
-            return Survivors(edges.sparkSession.createDataFrame([], STATE_SCHEMA), 0, 0)
-        local = e.groupBy(F.lit(0).alias("g")).applyInPandas(
-            lambda pdf: _greedy_local(pdf[["rank_i", "rank_j"]]), STATE_SCHEMA)
-        return Survivors(local, 0, n0)
-    e = e.checkpoint()
-    u = (e.select(F.col("rank_i").alias("rank")).union(e.select(F.col("rank_j").alias("rank")))
-         .distinct().checkpoint())
-    decided: list[DataFrame] = []
-    rounds = 0
-    local_edges = 0
+    e = edges.select(F.col("rank_i").cast("long").alias("rank_i"), F.col("rank_j").cast("long").alias("rank_j"))
+    first, gone, rounds, jumps = None, [], 0, 0
     while True:
-        n_edges = e.count()
-        if n_edges <= local_limit:
-            # nodes left without edges are kept; the rest is walked in one bounded task
-            lone = u.join(e.select(F.col("rank_i").alias("rank")).union(e.select(F.col("rank_j").alias("rank"))),
-                          "rank", "left_anti").withColumn("keep", F.lit(True))
-            decided.append(lone)
-            if n_edges:
-                local = (e.groupBy(F.lit(0).alias("g")).applyInPandas(
-                    lambda pdf: _greedy_local(pdf[["rank_i", "rank_j"]]), STATE_SCHEMA))
-                decided.append(local)
-                local_edges = n_edges
+        later = e.select(F.col("rank_j").alias("rank_i")).distinct().withColumn("waits", F.lit(True))
+        marked = staged(e.join(later, "rank_i", "left").select("rank_i", "rank_j", F.col("waits").isNull().alias("settles")),
+                        "survivor-round")
+        first = marked if first is None else first
+        left = marked.count()
+        if not left:
             break
         if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"survivors undecided after {rounds} rounds ({n_edges} edges left)")
-        later = e.select(F.col("rank_j").alias("rank")).distinct()
-        keep = u.join(later, "rank", "left_anti")
-        drop = (e.join(keep.select(F.col("rank").alias("rank_i")), "rank_i", "left_semi")
-                .select(F.col("rank_j").alias("rank")).distinct())
-        settled = (keep.withColumn("keep", F.lit(True))
-                   .union(drop.withColumn("keep", F.lit(False)))).checkpoint()
-        decided.append(settled)
-        gone = settled.select("rank")
-        u = u.join(gone, "rank", "left_anti").checkpoint()
-        e = (e.join(gone.select(F.col("rank").alias("rank_i")), "rank_i", "left_anti")
-             .join(gone.select(F.col("rank").alias("rank_j")), "rank_j", "left_anti")).checkpoint()
+            raise RuntimeError(f"survivors undecided after {rounds} rounds ({left} edges left)")
+        if rounds >= PLAIN_ROUNDS:
+            tops, steps = _tree_tops(marked)
+            jumps += steps
+            if tops is not None:
+                heads = marked.where("settles").select(F.col("rank_i").alias("top")).distinct()
+                even = tops.where("not odd").join(heads, "top", "left_semi").select(F.col("node").alias("rank_i"), F.lit(True).alias("even"))
+                marked = staged(marked.join(even, "rank_i", "left").select(
+                    "rank_i", "rank_j", (F.col("settles") | F.col("even").isNotNull()).alias("settles")), "survivor-trees")
+        walked = staged(marked.repartitionByRange("rank_j").sortWithinPartitions("rank_j").mapInArrow(_walk, "rank long, keep boolean"),
+                        "survivor-walk")
+        kept = walked.where("keep").select("rank")
+        drop = walked.where("not keep").select("rank").union(
+            marked.join(kept.withColumnRenamed("rank", "rank_i"), "rank_i", "left_semi").select("rank_j")).distinct()
+        gone.append(drop)
+        decided = drop.union(kept)
+        e = (marked.where("not settles").join(decided.withColumnRenamed("rank", "rank_j"), "rank_j", "left_anti")
+             .join(decided.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti").select("rank_i", "rank_j"))
         rounds += 1
-    states = decided[0]
-    for d in decided[1:]:
-        states = states.unionByName(d)
-    return Survivors(states.select(F.col("rank").cast("long"), F.col("keep")), rounds, local_edges)
+    spark = edges.sparkSession
+    dropped = gone[0] if gone else spark.createDataFrame([], "rank long")
+    for more in gone[1:]:
+        dropped = dropped.unionByName(more)
+    dropped = staged(dropped.distinct(), "survivor-dropped")
+    nodes = first.select(F.col("rank_i").alias("rank")).union(first.select("rank_j")).distinct()
+    states = nodes.join(dropped.withColumn("gone", F.lit(True)), "rank", "left").select("rank", F.col("gone").isNull().alias("keep"))
+    return Survivors(states, dropped, rounds, jumps)

@@ -286,8 +286,8 @@ def q_fuzzy_matches_suppliers(spark, sf_dir):
 @register("fuzzy_dedup_rounds", _fuzzy_sql(90, "s_name", "supplier", UNCAPPED, True) + """
     SELECT * FROM supplier WHERE s_name IS NULL OR CAST(s_name AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
 def q_fuzzy_dedup_rounds(spark, sf_dir):
-    """D3 by distributed rounds alone, in blocks of 16 ranks and up; no walk in one task."""
-    return dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "s_name", 90, local_limit=0, first_block=16).table
+    """D3 in blocks of 16 ranks and up, so that several blocks meet the values kept so far."""
+    return dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "s_name", 90, first_block=16).table
 
 
 #: The greedy walk over all customer names, each compared with the kept names alone.

@@ -2,10 +2,17 @@ import random
 
 from pyspark.sql import functions as F
 
+from dqspark.functions.similarity import ratio
 from dqspark.operators import blocking, dedup
 from dqspark.operators.survivors import greedy_survivors
 
 
+def brute_force_edges(values, threshold):
+    """All pairs in rank order (list position)."""
+    scored = ((i, j, ratio(values[i], values[j])) for i in range(len(values)) for j in range(i + 1, len(values)))
+    return [x for x in scored if x[2] >= threshold]
+
+
 def _vals(df, col):
     return sorted((r[0] for r in df.select(col).collect()), key=lambda v: (v is None, v))
 
@@ -86,7 +93,7 @@ def test_blocking_equals_brute_force(spark):
     vals = sorted(set(base + [b + rnd.choice("xyz") for b in base[:30]] + [b[1:] for b in base[:20]]))
     nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
     for t in (60, 75, 85, 95, 100):
-        want = sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, t))
+        want = sorted((i, j) for i, j, _ in brute_force_edges(vals, t))
         for strategy in ("band", "prefix"):
             got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, t, strategy).collect())
             assert got == want, (t, strategy)
@@ -105,14 +112,14 @@ def test_band_pairs_cover_length_bound(spark):
         want = {(i, j) for i in range(len(vals)) for j in range(i + 1, len(vals))
                 if max(len(vals[i]), len(vals[j])) <= min(len(vals[i]), len(vals[j])) * hi + 1e-9}
         assert set(got) == want, t
-        assert blocking.band_pair_count(banded) >= len(got)
+        assert blocking.band_stats(banded)[2] >= len(got)
 
 
 def test_blocking_customer_names_brute_force(spark):
     names = sorted(r[0] for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_name").collect())
     nodes = spark.createDataFrame(list(enumerate(names)), "rank long, value string")
     got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, 85).collect())
-    want = blocking.brute_force_edges(names, 85)
+    want = brute_force_edges(names, 85)
     assert got == sorted((i, j) for i, j, _ in want)
     got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, 85, "prefix").collect())
     assert got == sorted((i, j) for i, j, _ in want)
@@ -130,7 +137,7 @@ def test_survivor_rounds_equal_walk(spark):
         n = 200
         edges = sorted({(i, j) for i in range(n) for j in range(i + 1, min(n, i + 6)) if rnd.random() < 0.5})
         df = spark.createDataFrame(edges, "rank_i long, rank_j long")
-        s = greedy_survivors(df, local_limit=0)          # force distributed rounds
+        s = greedy_survivors(df)
         got = {r.rank: r.keep for r in s.states.collect()}
         kept, drop = _greedy(list(range(n)), [(i, j, 0) for i, j in edges])
         nodes = {i for e in edges for i in e}
@@ -149,11 +156,11 @@ def test_auto_cost_choice_equals_brute_force(spark, monkeypatch):
         nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
         for t in (70, 85):
             got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(nodes, t).collect())
-            assert got == sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, t)), t
+            assert got == sorted((i, j) for i, j, _ in brute_force_edges(vals, t)), t
 
 
 def test_top_values_exact_on_ties(spark):
-    # many ties at the cut; both the bounded merge and the sorted path give the plain answer
+    # many ties at the cut
     rnd = random.Random(4)
     rows = [(f"v{rnd.randint(0, 400):03d}{'x' * rnd.randint(0, 3)}",) for _ in range(3000)]
     df = spark.createDataFrame(rows, "name string").repartition(7)
@@ -161,23 +168,59 @@ def test_top_values_exact_on_ties(spark):
     plain = [(r.value, r["count"]) for r in freq.orderBy(F.desc("count"), F.asc("value")).collect()]
     for k in (1, 10, 57, len(plain), len(plain) + 5):
         want = [(v, c, i + 1) for i, (v, c) in enumerate(plain[:k])]
-        for merge_max in (0, 200_000):
-            got = [(r.value, r["count"], r.rank) for r in
-                   dedup.top_values(freq, k, merge_max).orderBy("rank").collect()]
-            assert got == want, (k, merge_max)
+        got = [(r.value, r["count"], r.rank) for r in dedup.top_values(freq, k).orderBy("rank").collect()]
+        assert got == want, k
 
 
 def test_survivor_chain_rounds_and_guard(spark):
-    # a rank-ordered chain settles two nodes per round; the walk keeps every other node
+    # the walk along a rank-ordered chain keeps every other node
     n = 12
     edges = [(i, i + 1) for i in range(n - 1)]
     df = spark.createDataFrame(edges, "rank_i long, rank_j long")
-    s = greedy_survivors(df, local_limit=0)
+    s = greedy_survivors(df)
     got = {r.rank: r.keep for r in s.states.collect()}
     assert got == {i: i % 2 == 0 for i in range(n)}
     import pytest
     with pytest.raises(RuntimeError):
-        greedy_survivors(df, local_limit=0, max_rounds=2).states.collect()
+        greedy_survivors(df, max_rounds=0).states.collect()
+
+
+def test_open_partitions_wait_for_earlier_ones(spark, monkeypatch):
+    # two edges a partition: verdicts cross partitions, and chains are settled by pointers
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = sorted({(i, i + 1) for i in range(40)} | {(i, i + 2) for i in range(0, 40, 5)})
+        s = greedy_survivors(spark.createDataFrame(edges, "rank_i long, rank_j long"))
+        kept, drop = _greedy(list(range(42)), [(i, j, 0) for i, j in edges])
+        assert {r.rank for r in s.dropped.collect()} == drop and s.rounds > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_chain_settles_by_pointer_jumping(spark):
+    n = 10_000
+    df = spark.range(n - 1).selectExpr("id AS rank_i", "id + 1 AS rank_j")
+    s = greedy_survivors(df)
+    assert s.rounds <= 4 and s.jumps <= 16
+    wrong = s.states.where("keep <> (rank % 2 = 0)").count()
+    assert wrong == 0 and s.states.count() == n
+
+
+def test_trees_below_shared_values_equal_the_walk(spark):
+    # chains that hang on values with several earlier neighbours, some of them chains themselves
+    rnd = random.Random(21)
+    n = 400
+    edges = {(i, i + 1) for i in range(n - 1) if i % 37} | {(rnd.randrange(j), j) for j in range(60, n, 7)}
+    s = greedy_survivors(spark.createDataFrame(sorted(edges), "rank_i long, rank_j long"))
+    kept, drop = _greedy(list(range(n)), [(i, j, 0) for i, j in edges])
+    nodes = {i for e in edges for i in e}
+    assert {r.rank for r in s.states.where("keep").collect()} == set(kept) & nodes
+    assert {r.rank for r in s.dropped.collect()} == drop
+
+
+def test_survivors_without_edges(spark):
+    s = greedy_survivors(spark.createDataFrame([], "rank_i long, rank_j long"))
+    assert s.states.count() == 0 and s.dropped.count() == 0 and s.rounds == 0
 
 
 def test_joined_text_verifier_equals_brute_force(spark, monkeypatch):
@@ -187,7 +230,7 @@ def test_joined_text_verifier_equals_brute_force(spark, monkeypatch):
     base = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(5, 16))) for _ in range(40)]
     vals = sorted(set(base + [b[:-1] + "z" for b in base[:20]]))
     nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
-    want = sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, 80))
+    want = sorted((i, j) for i, j, _ in brute_force_edges(vals, 80))
     for strategy in ("band", "prefix"):
         rows = blocking.similarity_edges(nodes, 80, strategy).collect()
         assert sorted((r.rank_i, r.rank_j) for r in rows) == want, strategy
@@ -218,7 +261,7 @@ def test_walk_in_blocks_equals_sequential_walk(spark):
     vals = sorted(set(base + [b[:-1] + "z" for b in base] + [f"item {i:03d}" for i in range(40)]))
     df = spark.createDataFrame([(v,) for v in vals], "name string")
     for t, first in ((75, 30), (88, 12)):
-        edges = blocking.brute_force_edges(vals, t)
+        edges = brute_force_edges(vals, t)
         kept, drop = _greedy(vals, edges)
         r = dedup.fuzzy_dedup(df, "name", t, first_block=first)
         assert sorted(x.name for x in r.table.collect()) == [vals[i] for i in kept], t
@@ -235,7 +278,7 @@ def test_pairs_against_earlier_values(spark):
     vals = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 9))) for _ in range(60)})
     old = spark.createDataFrame(list(enumerate(vals))[:25], "rank long, value string")
     new = spark.createDataFrame(list(enumerate(vals))[25:], "rank long, value string")
-    want = sorted((i, j) for i, j, _ in blocking.brute_force_edges(vals, 70) if i < 25 <= j)
+    want = sorted((i, j) for i, j, _ in brute_force_edges(vals, 70) if i < 25 <= j)
     for strategy in ("band", "prefix"):
         got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(new, 70, strategy, against=old).collect())
         assert got == want and want, strategy
