@@ -73,8 +73,8 @@ def feature_values(cols: list[str]) -> list[Column]:
     return parts
 
 
-def _row_hash(seed: int, cols: list[str]) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])
+#: Copies of one row that are numbered by one task.
+CHUNK = 65_536
 
 
 # --------------------------------------------------------------------------- M1
@@ -121,21 +121,45 @@ def _grow_group(seed: int, max_depth: int):
     return grow
 
 
+def _draws(counted: DataFrame, seed: int) -> DataFrame:
+    """(d1, d2, k, u): every copy of every row with its own uniform number.
+
+    The copies of rows that repeat more than ``CHUNK`` times are dealt out in chunks.
+    """
+    numbered = lambda at, last: F.explode(F.sequence(at, last)).alias("k")
+    few = counted.where(F.col("m") <= CHUNK).select("d1", "d2", numbered(F.lit(0).cast("long"), F.col("m") - 1))
+    many = counted.where(F.col("m") > CHUNK).select(
+        "d1", "d2", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(CHUNK).cast("long"))).alias("at"))
+    many = many.repartition("d1", "d2", "at").select("d1", "d2", numbered(F.col("at"), F.least(F.col("at") + (CHUNK - 1), F.col("m") - 1)))
+    u = F.pmod(F.xxhash64(F.lit(seed), "d1", "d2", "k"), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return few.unionByName(many).withColumn("u", u)
+
+
 def fit_forest(df: DataFrame, cols: list[str], n_rows: int | None = None, n_trees: int = N_TREES,
                max_samples: int = MAX_SAMPLES, seed: int = SEED) -> tuple[DataFrame, int]:
-    """M1: returns (forest table, psi)."""
+    """M1: returns (forest table, psi).
+
+    Every row draws its own number: equal rows are counted first, and each copy hashes its
+    occurrence with the row's digest. So a row held by a third of the table makes up about a
+    third of the sample, whatever its values, and the sample does not depend on the layout.
+    Only digests are shuffled; the values of the drawn rows are read afterwards.
+    """
     n = n_rows if n_rows is not None else df.count()
     psi = min(max_samples, n)
     want = min(n, n_trees * psi)
-    u = F.pmod(_row_hash(seed, df.columns), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    rows = df.select(F.array(*feature_values(cols)).alias("x"), u.alias("u"))
+    x = F.array(*feature_values(cols))
+    rows = df.select(x.alias("x")).select("x", F.xxhash64(F.lit(seed), "x").alias("d1"), F.xxhash64(F.lit(seed + 1), "x").alias("d2"))
+    counted = staged(rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("m")), "forest-rows")
     q = 1.0 if want >= n else min(1.0, (want + 8.0 * math.sqrt(want) + 64.0) / n)
     while True:
-        cut = rows.where(F.col("u") < q) if q < 1.0 else rows
-        pool = cut.orderBy("u", "x").limit(want).checkpoint()   # one scan; retried only if short
+        pool = staged(_draws(counted, seed).where(F.col("u") < q).orderBy("u", "d1", "d2", "k").limit(want)
+                      .select("d1", "d2", "u"), "forest-draws")
         if q >= 1.0 or pool.count() >= want:
             break
         q = min(1.0, q * 2.0)
+    drawn = pool.select("d1", "d2").distinct()                      # at most trees x samples short rows
+    values = rows.join(F.broadcast(drawn), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("x").alias("x"))
+    pool = staged(pool.join(values, ["d1", "d2"]).select("x", "u"), "forest-sample")
     # an explicit partition count: AQE would merge the small tree groups into one task
     parts = max(1, min(n_trees, 2 * df.sparkSession.sparkContext.defaultParallelism))
     per_tree = (pool.repartition(parts)

@@ -20,7 +20,7 @@ from dqspark.sources import sinks
 
 
 def new_job_id() -> str:
-    return uuid.uuid4().hex[:8]
+    return uuid.uuid4().hex
 
 
 def register_upload(spark: SparkSession, store: RunStore, path: str, job_id: str | None = None, **csv_options) -> dict:

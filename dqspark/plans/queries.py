@@ -733,6 +733,27 @@ def q_anomaly_far_rows(spark, sf_dir):
     return anom.detect_anomalies(li)[0].where(far).select("l_orderkey", "l_linenumber", "anomaly_flag")
 
 
+@register("anomaly_repeated_rows", """
+    SELECT v.size AS size, count(*) AS rows, count(*) FILTER (WHERE l_orderkey % 3 = 0) AS repeated,
+           CAST(0 AS BIGINT) AS repeated_flagged, CAST(ceil(0.1 * (count(*) - 1)) AS BIGINT) AS flagged
+    FROM lineitem, (VALUES (10), (25), (40)) v(size) GROUP BY 1""")
+def q_anomaly_repeated_rows(spark, sf_dir):
+    """M1: a third of the line items replaced by one repeated row. The sample holds it by its share,
+    so it is ordinary, whichever values it has."""
+    li = table(spark, sf_dir, "lineitem")
+    cols, out = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], None
+    same = F.col("l_orderkey") % 3 == 0
+    for size in (10, 25, 40):
+        typical = dict(zip(cols, (float(size), 1500.0 * size, 0.05, 0.04), strict=True))
+        rows = li.select("l_orderkey", *[F.when(same, F.lit(typical[c])).otherwise(F.col(c).cast("double")).alias(c) for c in cols])
+        flagged, _ = anom.detect_anomalies(rows, feature_cols=cols)
+        odd = F.col("anomaly_flag") == qual.ANOMALY
+        one = flagged.agg(F.lit(size).alias("size"), F.count(F.lit(1)).alias("rows"), F.count_if(same).alias("repeated"),
+                          F.count_if(same & odd).alias("repeated_flagged"), F.count_if(odd).alias("flagged"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------------------
 # K8 the whole job, K7 its issue summary; S9 checksums
 

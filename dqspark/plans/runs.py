@@ -44,6 +44,7 @@ RUN_SCHEMA = T.StructType([
     T.StructField("updated_at", T.TimestampType(), False)])
 
 PARAM_SCHEMA = "run_id string, key string, value string, ts timestamp"
+LEDGER_SCHEMA = "batch long, job_id string, path string, outcome string, ended_at timestamp"
 METRIC_SCHEMA = "run_id string, key string, value double, ts timestamp"
 OUTPUT_FOLDER = r"([^/]+_clean\.csv)/[^/]*$"
 FINISHED = ("complete", "error")
@@ -80,6 +81,11 @@ class RunStore:
         rows = [(run_id, k, None if v is None else float(v), ts) for k, v in metrics.items()]
         self.spark.createDataFrame(rows, METRIC_SCHEMA).write.mode("append").parquet(self.path("metrics"))
 
+    def end_of_file(self, batch: int, job_id: str, path: str, outcome: str) -> None:
+        """The job of a landed file has ended, whatever its outcome."""
+        self.spark.createDataFrame([(batch, job_id, path, outcome, now())], LEDGER_SCHEMA) \
+            .write.mode("append").parquet(self.path("ledger"))
+
     def output_path(self, job_id: str) -> str:
         return self.path(f"outputs/{job_id}_clean.csv")
 
@@ -101,6 +107,9 @@ class RunStore:
     def metrics(self) -> DataFrame:
         return self._read("metrics", T._parse_datatype_string(METRIC_SCHEMA))
 
+    def ledger(self) -> DataFrame:
+        return self._read("ledger", T._parse_datatype_string(LEDGER_SCHEMA))
+
     def latest(self) -> DataFrame:
         return latest_runs(self.runs())
 

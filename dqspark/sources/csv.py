@@ -87,7 +87,8 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None,
     """S1 + S2 + S5: all columns as text, files grouped by encoding.
 
     A file whose header differs from the group's first file is an error, and so is a row
-    with more fields than the header; a short row is filled with nulls.
+    with more fields than the header, empty ones included (only a row of empty fields alone, which holds
+    nothing to lose, may pass); a short row is filled with nulls.
     """
     if encoding is not None:
         groups = {encoding: list_csv(spark, path)}
@@ -117,8 +118,10 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, multiline:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     rows = (reader.option("header", True).option("enforceSchema", not checked)
             .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(files))
-    last = F.col(f"`{names[-1]}`")
-    too_long = F.col(CORRUPT).isNotNull() & last.isNotNull()
+    # A row that Spark could not fit is parsed again with one more column: an empty field counts, a missing one does not.
+    again = F.from_csv(F.col(CORRUPT), ", ".join(f"c{i} string" for i in range(len(names) + 1)),
+                       {"escape": '"', "nullValue": "\u0001", "emptyValue": "", "multiLine": str(multiline).lower()})
+    too_long = F.col(CORRUPT).isNotNull() & (F.col(f"`{names[-1]}`").isNotNull() | again[f"c{len(names)}"].isNotNull())
     fits = F.when(too_long, F.raise_error(F.concat(F.lit("more fields than the header: "), F.col(CORRUPT))).cast("boolean"))
     return rows.where(fits.otherwise(F.lit(True))).drop(CORRUPT)
 

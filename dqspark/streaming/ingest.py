@@ -6,16 +6,19 @@ each micro-batch holds at most ``files_per_batch`` files and ``foreachBatch`` ru
 the cleaning job once per file. The checkpoint location records which batches
 were committed, so a restart resumes after them. ``foreachBatch`` is
 at-least-once: a batch cut short by a failure runs again. The job id is derived
-from the file's path and modification time, so a replay overwrites the same
-output folder and appends rows for the same job, which the latest-run view
-(one row per job) folds together.
+from the file's path and modification time, and a ledger of the run store holds
+(batch, job, file, outcome) once a file's job has ended: a replay passes over the jobs in it,
+so it adds nothing, and a job cut short overwrites its own output. A file that cannot be read
+gets an ``error`` row with the reason and its ledger row; the stream goes on with the next one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dqspark.plans.jobs import register_upload, run_job
 from dqspark.plans.runs import RunStore
@@ -26,7 +29,7 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 def landed_job_id(path: str, modified) -> str:
     """Stable id of one landed file version: the same file replayed gets the same id."""
-    return hashlib.sha256(f"{path}|{modified}".encode()).hexdigest()[:8]
+    return hashlib.sha256(f"{path}|{modified}".encode()).hexdigest()[:32]
 
 
 def _local_path(p: str) -> str:
@@ -49,11 +52,19 @@ def ingest_landing(spark: SparkSession, landing: str, store_root: str, checkpoin
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         # bounded: at most files_per_batch paths per micro-batch
-        for row in batch.select("path", "modificationTime").orderBy("path").collect():
-            path = _local_path(row["path"])
-            job_id = landed_job_id(row["path"], row["modificationTime"])
-            register_upload(spark, store, path, job_id, **csv_options)
-            run_job(spark, store, path, job_id, match_col, threshold, **csv_options, **options)
+        landed = {landed_job_id(r["path"], r["modificationTime"]): _local_path(r["path"])
+                  for r in batch.select("path", "modificationTime").orderBy("path").collect()}
+        ended = {r["job_id"] for r in store.ledger().where(F.col("job_id").isin(list(landed))).select("job_id").collect()}
+        for job_id, path in landed.items():
+            if job_id in ended:
+                continue
+            try:
+                register_upload(spark, store, path, job_id, **csv_options)
+                outcome = run_job(spark, store, path, job_id, match_col, threshold, **csv_options, **options)["status"]
+            except Exception as e:  # noqa: BLE001 - a file that cannot be read must not stop the stream
+                outcome = "error"
+                store.record(job_id, outcome, filename=os.path.basename(path), error=str(e))
+            store.end_of_file(epoch_id, job_id, path, outcome)
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -33,3 +33,26 @@ def test_count_rule_and_layout_independence(spark):
     fa = sorted(tuple(r) for r in a.collect())
     fb = sorted(tuple(r) for r in b.collect())
     assert fa == fb
+
+
+def test_repeated_row_is_sampled_by_its_share(spark):
+    from dqspark.operators.anomaly import _draws, fit_forest
+    shares = []
+    for value in (3.0, 17.0, 250.0, 9999.0):
+        rows = spark.range(6000).selectExpr(f"IF(id % 3 = 0, {value}, id * 1.0) AS v")
+        forest, psi = fit_forest(rows, ["v"], n_trees=10)
+        assert psi == 256 and forest.select("tree").distinct().count() == 10
+        counted = rows.groupBy(F.col("v").alias("d1")).agg(F.count(F.lit(1)).alias("m")).withColumn("d2", F.lit(0))
+        drawn = _draws(counted, 42).orderBy("u").limit(1200)
+        shares.append(drawn.where(F.col("d1") == value).count() / 1200)
+    assert all(0.28 < x < 0.39 for x in shares), shares
+
+
+def test_many_copies_are_dealt_in_chunks(spark, monkeypatch):
+    from dqspark.operators import anomaly
+    monkeypatch.setattr(anomaly, "CHUNK", 100)
+    counted = spark.createDataFrame([(1, 1, 1), (2, 2, 100), (3, 3, 101), (4, 4, 1234)], "d1 long, d2 long, m long")
+    rows = anomaly._draws(counted, 1)
+    assert {r.d1: (r["count"], r.ks) for r in rows.groupBy("d1").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("k").alias("ks")).collect()} \
+        == {1: (1, 1), 2: (100, 100), 3: (101, 101), 4: (1234, 1234)}
+    assert rows.select("u").distinct().count() == rows.count()

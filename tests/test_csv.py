@@ -99,3 +99,20 @@ def test_truth_words_leading_blanks_and_repeated_headers(spark, tmp_path):
     df = read_csv(spark, str(p))
     assert df.dtypes == [("f", "string"), ("n", "bigint"), ("n.1", "bigint")]
     assert sorted(r[1] for r in df.collect()) == [5, 6, 7]
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+@pytest.mark.parametrize("row", ["1,,3", "1,2,", "1,,\"3\"", "1,2,3,4", "\"a,b\",,x"])
+def test_every_long_row_is_an_error(spark, tmp_path, row, multiline):
+    p = tmp_path / "long.csv"
+    p.write_text(f"a,b\n1,2\n{row}\n3\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, str(p), multiline=multiline).collect()
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_rows_that_fit_are_no_error(spark, tmp_path, multiline):
+    p = tmp_path / "fits.csv"
+    p.write_text('a,b\n1,\n,\n3\n"4,5",\n"",6\n')
+    rows = read_csv(spark, str(p), multiline=multiline).collect()
+    assert len(rows) == 5 and {r.a for r in rows} == {"1", None, "3", "4,5"}

@@ -19,19 +19,20 @@ def _vals(df, col):
 
 def test_exact_dedup(people):
     out, removed = dedup.exact_dedup(people)
-    assert removed == 2 and out.count() == 5
+    assert removed == 9 and out.count() == 30
     assert out.count() == out.distinct().count()
 
 
 def test_fuzzy_people(people):
     deduped, _ = dedup.exact_dedup(people)
+    codes = {r.id: r.code for r in deduped.collect()}
     for t in (80, 85):
-        r = dedup.fuzzy_dedup(deduped, "name", t)
-        assert r.removed == 1
+        r = dedup.fuzzy_dedup(deduped, "code", t)
+        assert r.removed == 5
         m = r.first_matches().collect()
-        assert [(x.original, x.duplicate) for x in m] == [("Marion", "Marionn")]
-        assert abs(m[0].similarity - 100 * 12 / 13) < 1e-9         # one letter of 6 + 7 is extra
-        assert "Marionn" not in _vals(r.table, "name")
+        assert {(x.original, x.duplicate) for x in m} == {(codes[i], codes[i] + "x") for i in (1, 6, 11, 16, 21)}
+        assert all(abs(x.similarity - 100 * 28 / 29) < 1e-9 for x in m)       # one letter of 14 + 15 is extra
+        assert not [c for c in _vals(r.table, "code") if c.endswith("x")]
 
 
 def test_fuzzy_sample(spark, sample_csv):
@@ -46,7 +47,7 @@ def test_fuzzy_sample(spark, sample_csv):
 
 def test_missing_column_unchanged(people):
     r = dedup.fuzzy_dedup(people, "nonexistent", 85)
-    assert r.removed == 0 and r.table.count() == 7 and r.matches.count() == 0
+    assert r.removed == 0 and r.table.count() == 39 and r.matches.count() == 0
 
 
 def test_survivor_chain_is_greedy_not_components(spark):

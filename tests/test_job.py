@@ -4,15 +4,15 @@ from dqspark.plans.cleaning import clean_table, run_tracked
 
 
 def test_people_golden(spark, people):
-    r = clean_table(spark, people, "name", 85)
-    assert r.raw_count == 7 and r.exact_removed == 2 and r.fuzzy_removed == 1 and r.clean_count == 4
-    assert r.total_repairs == 1
-    assert [(x.column, x.type, x["count"]) for x in r.repair_log.collect()] == [("city", "null_filled_text", 1)]
-    assert r.anomaly_count == 0
-    # 4 of 7 rows left; distinct shares 4/4, 4/4, 4/4, 3/4 (towns) and 1/4 (flags)
-    assert r.cqi == {"completeness": 100.0, "uniqueness": 57.1, "validity": 100.0,
-                     "consistency": 80.0, "accuracy": 100.0, "cqi_score": 87.43}
-    assert r.profile_table["total_nulls"] == 2 and r.profile_table["null_rate"] == 7.14
+    r = clean_table(spark, people, "code", 85)
+    assert r.raw_count == 39 and r.exact_removed == 9 and r.fuzzy_removed == 5 and r.clean_count == 25
+    assert r.total_repairs == 6                                # towns of the ids 2, 6, 10, 14, 18, 22
+    assert [(x.column, x.type, x["count"]) for x in r.repair_log.collect()] == [("town", "null_filled_text", 6)]
+    assert r.anomaly_count == 3                                # ceil(0.1 * 24)
+    # 25 of 39 rows left; distinct shares 25/25 ids, 25/25 codes, 20/25 towns, 5/25 shares, 2/25 flags
+    assert r.cqi["completeness"] == 100.0 and r.cqi["uniqueness"] == 64.1 and r.cqi["accuracy"] == 88.0
+    # the near copies of the ids 6 and 106 miss their towns too, and so do 18's equal row and 6's
+    assert r.profile_table["total_nulls"] == 9
     assert r.clean_count <= r.raw_count
 
 

@@ -3,13 +3,13 @@ from dqspark.operators.profile import profile_columns, profile_table
 
 def test_profile_people(people):
     t = profile_table(people).first()
-    assert t.total_records == 7 and t.total_columns == 4 and t.total_nulls == 2
-    assert t.null_rate == 7.14
+    assert t.total_records == 39 and t.total_columns == 4 and t.total_nulls == 9
+    assert t.null_rate == 5.77                                 # 9 of 156 cells
     cols = {r.column: r for r in profile_columns(people).collect()}
     assert len(cols) == 4
-    assert cols["city"].null_count == 2 and cols["city"].null_rate == 28.57
-    assert cols["name"].unique_count == 5 and cols["city"].unique_count == 2
-    assert cols["age"].dtype == "bigint"
+    assert cols["town"].null_count == 9 and cols["town"].null_rate == 23.08
+    assert cols["code"].unique_count == 30 and cols["share"].unique_count == 5
+    assert cols["id"].dtype == "int"
 
 
 def test_nan_is_missing_and_not_distinct(spark):

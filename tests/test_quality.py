@@ -15,7 +15,7 @@ def test_score_formula_on_ten_rows(spark):
 
 
 def test_score_range(spark, people):
-    r = quality_index(people, raw_count=7, anomaly_count=0).first()
+    r = quality_index(people, raw_count=39, anomaly_count=0).first()
     assert 0 <= r.cqi_score <= 100
     assert set(r.asDict()) == {"completeness", "uniqueness", "validity", "consistency", "accuracy", "cqi_score"}
 

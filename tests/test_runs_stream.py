@@ -64,6 +64,23 @@ def test_landing_stream_processes_each_file_once(spark, tmp_path):
     assert all(r.status == "complete" and r.clean_records == 12 for r in again)
 
 
+def test_bad_file_is_reported_and_the_next_one_done(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    store_root = str(tmp_path / "store")
+    (landing / "a_bad.csv").write_text("name,n\nx,1\ny,,3\n")
+    (landing / "b_good.csv").write_text("name,n\nx,1\ny,2\n")
+    for ckpt in ("ckpt", "ckpt", "ckpt_fresh"):                 # a restart, and a replay of all batches
+        ingest_landing(spark, str(landing), store_root, str(tmp_path / ckpt), files_per_batch=2).awaitTermination(300)
+        store = RunStore(spark, store_root)
+        latest = {r.filename: r for r in store.latest().collect()}
+        assert latest["a_bad.csv"].status == "error" and "more fields" in latest["a_bad.csv"].error
+        assert latest["b_good.csv"].status == "complete" and latest["b_good.csv"].clean_records == 2
+        assert len(latest) == store.ledger().count() == 2
+        assert all(len(r.job_id) == 32 for r in latest.values())
+        assert store.runs().count() == 4                        # nothing added by the replay
+
+
 def test_empty_store_reads_empty(spark, tmp_path):
     # nothing written yet: every view is empty, no local-disk checks involved
     store = RunStore(spark, str(tmp_path / "never_written"))
