@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import CACHE_ENTRIES, doc_texts, shared, slices
+from dqspark.llm.common import CACHE_ENTRIES, shared, slices
 
 WORD_ROWS, STEM_ROWS = 1 << 17, 1 << 15
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 STEM = 4
-#: Most documents of each label that the fit reads.
-MAX_PER_CLASS = 4000
+#: Most documents of each label that the fit reads, and their most characters (longer ones are only scored).
+MAX_PER_CLASS, MAX_FIT_CHARS = 4000, 40_000
 EPOCHS, BATCH, RATE = 8, 32, 0.2
 #: A small sample gets more epochs, up to so many steps.
 LEAST_STEPS = 1500
@@ -218,17 +218,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
         ids = WordIds()
         for big in batches:
             for b in slices(big, 256):
-                rows = pa.array([ids.of(t) for t in b["text"].to_pylist()], pa.list_(pa.int64()))
+                rows = pa.array([ids.of(t).astype(np.uint32).view(np.int32) for t in b["text"].to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], b["toxic"], rows],
                                                  names=["doc_id", "lang", "toxic", "ids"])
 
+    texts = texts.where(F.char_length("text") <= MAX_FIT_CHARS)
     rows = (texts.join(F.broadcast(sample), "doc_id").select("doc_id", "lang", "toxic", "text")   # 2 * max_per_class ids
-            .mapInArrow(run, "doc_id long, lang string, toxic int, ids array<long>").toArrow())
+            .mapInArrow(run, "doc_id long, lang string, toxic int, ids array<int>").toArrow())
     net = Network.fresh(seed)
     if not rows.num_rows:
         return net
     rows = rows.sort_by([("doc_id", "ascending")])
-    ids = [x.values.to_numpy() for x in rows["ids"]]
+    ids = [x.values.to_numpy().view(np.uint32) for x in rows["ids"]]
     y = rows["toxic"].to_numpy().astype(np.float32)
     langs = rows["lang"].to_pylist()
     if y.min() == y.max():
@@ -243,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score) of every whole text."""
+    """(doc_id, lang, score) of every whole text; ``lang`` is passed through and never scored."""
     net_of = shared(docs.sparkSession, net)
 
     def run(batches):
@@ -251,22 +252,24 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for big in batches:
             for b in slices(big, 64):
                 s = own.scores([ids.of(t) for t in b["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], pa.array(s, pa.float64())], names=["doc_id", "lang", "score"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang string, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """The contract's columns: doc_id, held_out, score, predicted."""
-    return score(docs, fit(docs, labels, max_per_class)).select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
-
-
-def flag(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, lang, score, flagged): the score against the threshold of the document's language."""
-    scored = score(docs, net)
-    langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
+def flagged(scored: DataFrame, net: Network) -> DataFrame:
+    """``scored`` with the threshold of each document's language, and whether its score reaches it."""
     cut = F.lit(TOXIC_AT)
     for lang, at in sorted(net.thresholds.items()):
-        cut = F.when(F.col("lang") == lang, F.lit(at)).otherwise(cut)
-    return scored.join(langs, "doc_id", "left").withColumn("flagged", F.col("score") >= cut)
+        cut = F.when(F.col("lang") == lang, F.lit(float(at))).otherwise(cut)
+    return scored.withColumn("threshold", cut).withColumn("flagged", F.col("score") >= F.col("threshold"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
+    """The contract's columns doc_id, held_out, score and predicted; then the language's threshold and its verdict."""
+    net = fit(docs, labels, max_per_class)
+    return flagged(score(docs, net), net).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"),
+        "threshold", "flagged")

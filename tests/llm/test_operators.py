@@ -18,6 +18,15 @@ def rows_of(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
+def test_flags_follow_the_languages_thresholds(spark):
+    net = toxicity.Network.fresh(0)
+    net.thresholds = {"en": 0.3, "de": 0.9}
+    rows = [(i, lang, s) for i, (lang, s) in enumerate((x, s) for x in ("en", "de", "fr", None) for s in (0.3, 0.5, 0.7, 0.9))]
+    got = toxicity.flagged(spark.createDataFrame(rows, "doc_id long, lang string, score double"), net).collect()
+    cut = {"en": 0.3, "de": 0.9}
+    assert len(got) == 16 and all(x["flagged"] == (x["score"] >= cut.get(x["lang"], 0.7)) for x in got)
+
+
 # 4 quality rules
 
 def test_quality_matches_brute_force(edge_repeated):
