@@ -220,6 +220,24 @@ def q_fuzzy_pairs(spark, sf_dir):
         "rank_i", "rank_j", F.col("value_i").alias("original"), F.col("value_j").alias("duplicate"), "similarity")
 
 
+_NATION_TEXTS = """(SELECT s_nationkey, string_agg(s_name, ', ' ORDER BY s_name) AS names
+                     FROM supplier GROUP BY s_nationkey)"""
+
+
+@register("similarity_native", _fuzzy_sql(60, "names", _NATION_TEXTS, materialized=True) + """
+    SELECT rank_i, rank_j, similarity, similarity AS native FROM edges""")
+def q_similarity_native(spark, sf_dir):
+    """D2 twice: the batch kernel and the native expression, on the joined supplier names of each nation
+    (more than one machine word long)."""
+    from dqspark.functions.similarity import similarity_native
+    from dqspark.operators.blocking import similarity_edges
+    texts = (table(spark, sf_dir, "supplier").groupBy("s_nationkey")
+             .agg(F.array_join(F.sort_array(F.collect_list("s_name")), ", ").alias("names")))
+    nodes = dedup.ranked_values(texts, "names")
+    return similarity_edges(nodes.select("rank", "value"), 60).select(
+        "rank_i", "rank_j", "similarity", similarity_native(F.col("value_i"), F.col("value_j")).alias("native"))
+
+
 @register("fuzzy_dedup", _fuzzy_sql(85) + """
     SELECT * FROM part WHERE p_name IS NULL OR CAST(p_name AS VARCHAR) NOT IN (SELECT value FROM dropped)""")
 def q_fuzzy_dedup(spark, sf_dir):

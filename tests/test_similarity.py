@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dqspark.functions.similarity import _score_batch, lcs_length, ratio
+from dqspark.functions.similarity import _score_batch, lcs_length, ratio, similarity, similarity_native
 
 
 def lcs_dp(a, b):
@@ -128,3 +128,58 @@ def test_batch_steps_are_halved(monkeypatch):
     rnd = random.Random(3)
     a = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 64))) for _ in range(40)]
     assert _score_batch(a, a[::-1], 0.0).tolist() == [ratio(x, y) for x, y in zip(a, a[::-1])]
+
+
+def _edited(rnd, alphabet, n, edits):
+    x = [rnd.choice(alphabet) for _ in range(n)]
+    y = list(x)
+    for _ in range(edits):
+        y[rnd.randrange(len(y))] = rnd.choice(alphabet)
+    return "".join(x), "".join(y[rnd.randint(0, 9):])
+
+
+def test_many_long_pairs_equal_single_ones(monkeypatch):
+    # pairs of several words are stepped together; both ways to the LCS agree with the scalar form
+    from dqspark.functions import similarity as sim
+    rnd = random.Random(8)
+    for alphabet in ("ab", "abcdefgh", "aé😀語b"):
+        texts = [t for _ in range(25) for t in _edited(rnd, alphabet, rnd.randint(60, 260), rnd.randint(0, 50))]
+        pairs = [(x, y) for x in texts for y in texts]
+        exact = [ratio(x, y) for x, y in pairs]
+        for threshold in (0.0, 40.0, 85.0, 100.0):
+            for pays in (lambda *a: True, lambda *a: False, sim._numpy_pays):
+                with monkeypatch.context() as m:
+                    m.setattr(sim, "_numpy_pays", pays)
+                    got = _score_batch([x for x, _ in pairs], [y for _, y in pairs], threshold).tolist()
+                assert all(g == e if e >= threshold else g < threshold for g, e in zip(got, exact, strict=True))
+
+
+def test_long_groups_are_halved(monkeypatch):
+    from dqspark.functions import similarity as sim
+    monkeypatch.setattr(sim, "LONG_CELLS", 200)
+    monkeypatch.setattr(sim, "_numpy_pays", lambda pairs, words, band: pairs > 1)
+    rnd = random.Random(9)
+    pairs = [_edited(rnd, "abcdef", rnd.randint(65, 200), 5) for _ in range(30)]
+    got = _score_batch([x for x, _ in pairs], [y for _, y in pairs], 0.0).tolist()
+    assert got == [ratio(x, y) for x, y in pairs]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=40), st.text(alphabet="abc", max_size=40))
+def test_adjacent_pairs_bound_the_lcs(a, b):
+    import numpy as np
+
+    from dqspark.functions.similarity import _pair_overlaps, _points
+    shared = _pair_overlaps([_points(a), _points(b)], np.array([0]), np.array([1]))[0]
+    assert shared >= 3 * lcs_dp(a, b) - 1 - len(a) - len(b)
+
+
+def test_native_form_equals_kernel(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(4)
+    texts = [None, "", "a", "aé😀語b", " "] + [
+        "".join(rnd.choice("abé😀 ") for _ in range(n)) for n in (3, 61, 62, 63, 64, 124, 125, 150) for _ in range(2)]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    for r in df.select(similarity_native(F.col("a"), F.col("b")).alias("native"),
+                       similarity(F.col("a"), F.col("b")).alias("kernel")).collect():
+        assert r.native == r.kernel or (r.native is None and (r.kernel is None or r.kernel != r.kernel))
