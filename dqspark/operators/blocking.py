@@ -16,8 +16,16 @@ Filters (no false negatives; a pair needs ``LCS >= L = ceil(t (la + lb) / 200)``
    pair a value needs ``ceil(t l / 100)`` shared tokens, so its prefix there is
    only ``l - ceil(t l / 100) + 1`` long (about 15 % of it at t = 85, against
    26 % as the longer side). Shorter-side prefixes are joined to longer-side ones;
-3. character-bag overlap ``>= L`` and 4. the score itself with early exit, both
-   in the verifying Arrow UDF (per-value counts cached within a batch).
+3. the same filter on numbered adjacent pairs of characters (``th#2``). An alignment of
+   ``L`` matches has ``L - 1`` steps, of which at most ``la - L`` leave out characters of one
+   text and ``lb - L`` of the other; the rest are shared pairs, at least
+   ``3 L - 1 - (la + lb)``. That is positive from ``t`` > 66.7 and a length of a few
+   characters on (55 % of the pairs at t = 85). Prefixes are longer, but pairs are
+   far rarer than characters. With ``PAIRS_SHARED`` more tokens in each prefix, two values
+   must share that many there and not just one, which unrelated texts rarely do. Each length
+   band of the longer side uses the kind of token whose counted cost is less;
+4. character-bag and pair-bag overlap and 5. the score itself with early exit, both
+   in the verifying Arrow UDF (per batch).
 
 Two exact candidate generators, chosen from counted sizes:
 
@@ -80,6 +88,29 @@ def numbered_chars(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else _numbered(v) for v in values])
 
 
+PAIR_REPEATS = (1 << 21) - 1    # a pair seen more often than this repeats its token, which only adds candidates
+
+
+def _numbered_pairs(v: str) -> np.ndarray:
+    cp = np.frombuffer(v.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    code = (cp[:-1] << 21) | cp[1:]
+    order = np.argsort(code, kind="stable")
+    ranked = code[order]
+    idx = np.arange(len(code))
+    first = np.ones(len(code), dtype=bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    run_start = np.maximum.accumulate(np.where(first, idx, 0))
+    occurrence = np.empty(len(code), dtype=np.int64)
+    occurrence[order] = np.minimum(idx - run_start, PAIR_REPEATS)
+    return -1 - ((code << 21) | occurrence)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def numbered_pairs(values: pd.Series) -> pd.Series:
+    """Numbered adjacent pairs of characters as negative longs, so they never meet a numbered character."""
+    return pd.Series([None if v is None else _numbered_pairs(v) for v in values])
+
+
 def length_band(length, threshold: float):
     """Geometric length band; partners of a value lie in its band or the next."""
     r = (200.0 - threshold) / threshold
@@ -102,6 +133,30 @@ def alpha(length, threshold: float):
     return F.ceil(length.cast("double") * threshold / (200.0 - threshold) - 1e-9).cast("long")
 
 
+def pair_alpha(length, threshold: float):
+    """Adjacent pairs that every partner of a value of this length shares, from
+    ``3 L - 1 - (la + lb)`` with the shortest partner (``t`` > 66.7)."""
+    return F.ceil(length.cast("double") * (3 * threshold - 200.0) / (200.0 - threshold) - 1.0 - 1e-9).cast("long")
+
+
+def short_pair_alpha(length, threshold: float):
+    """The same when this value is the shorter side (its partner at least as long)."""
+    return F.ceil(length.cast("double") * (3 * threshold - 200.0) / 100.0 - 1.0 - 1e-9).cast("long")
+
+
+def pairs_bound_band(band, threshold: float):
+    """Whether both bounds above are positive for every pair whose longer side lies in ``band``.
+
+    The shorter side is then at least as long as the lower end of the band before.
+    """
+    if threshold <= 200.0 / 3:
+        return F.lit(False)
+    r = (200.0 - threshold) / threshold
+    shortest = (band - 1).cast("double") if r <= 1.0 else F.exp((band - 1) * F.lit(math.log(r)))
+    return (shortest * (1 - 1e-6) * (3 * threshold - 200.0) / 100.0 > 1.001) & \
+        (shortest * (1 - 1e-6) * (3 * threshold - 200.0) / (200.0 - threshold) > 1.001)
+
+
 def _parallelism(spark) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
@@ -117,62 +172,124 @@ def _wanted(df: DataFrame):
 
 
 def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = None,
-                    max_join_rows: int | None = None) -> tuple[DataFrame | None, int]:
+                    max_join_rows: int | None = None, tokens: str = "auto",
+                    info: dict | None = None) -> tuple[DataFrame | None, int]:
     """Pairs (rank_i < rank_j) passing the length and prefix filters; nodes with a boolean
     column ``old`` only pair across it.
 
+    ``tokens``: ``"chars"``, ``"pairs"`` (adjacent pairs wherever their bound is positive) or
+    ``"auto"``, which counts the join's exact output (before grouping) of both kinds in each
+    length band from per-key counts and takes the cheaper: its rows, and ``BAND_COST_RATIO`` for each
+    candidate, of which there are at most rows / tokens shared and at most the band's pairs.
+    Each kind gives a superset of the matches.
+
     Returns the pairs (checkpointed: later stages and retries start from them)
-    and their number. Tokens and prefixes are each used twice and are persisted
-    for the duration of this call, so the tokenizing UDF runs once per value.
-    With ``max_join_rows``, the join's exact output size (before de-duplication)
-    is counted first from per-key counts; above it, ``(None, rows)`` is returned.
+    and their number. Tokens and prefixes are each used more than once and are persisted
+    for the duration of this call, so the tokenizing UDFs run once per value.
+    With ``max_join_rows``, ``(None, rows)`` is returned when the counted output exceeds it.
+    ``info``, when given, receives the counted join rows by kind, and those of the choice.
     """
     t = float(threshold)
     if not 0 < t <= 100:
         raise ValueError("threshold must be in (0, 100]")
+    if tokens not in ("auto", "chars", "pairs"):
+        raise ValueError("tokens must be auto, chars or pairs")
     spark = nodes.sparkSession
     par = _parallelism(spark)
     n_nodes = n_nodes if n_nodes is not None else nodes.count()
+    with_pairs = tokens != "chars" and t > 200.0 / 3
+    array = F.concat(numbered_chars("value"), numbered_pairs("value")) if with_pairs else numbered_chars("value")
     # spread the tokenizing UDF; ranked nodes may arrive in a single partition
     v = (nodes.repartition(max(par, -(-n_nodes // 2000)))
          .select("rank", "value", F.length("value").alias("len"), _old(nodes).alias("old"),
                  _wanted(nodes).alias("want"))
          .withColumn("band", length_band(F.col("len"), t)))
-    toks = v.select("rank", "len", "band", "old", "want", F.posexplode(numbered_chars("value")).alias("pos", "token")) \
+    toks = v.select("rank", "len", "band", "old", "want", F.explode(array).alias("token")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         freq = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-        w = Window.partitionBy("rank").orderBy("freq", "token")
+        w = Window.partitionBy("rank", "pair").orderBy("freq", "token")
         # a value's long prefix serves it as the longer side of a pair, its short
-        # prefix as the shorter side (see short_alpha)
+        # prefix as the shorter side (see short_alpha); there are len - 1 adjacent pairs
+        size = F.when(F.col("pair"), F.col("len") - 1).otherwise(F.col("len"))
+        long_alpha, low_alpha = alpha(F.col("len"), t), short_alpha(F.col("len"), t)
+        if with_pairs:
+            long_alpha = F.when(F.col("pair"), pair_alpha(F.col("len"), t)).otherwise(long_alpha)
+            low_alpha = F.when(F.col("pair"), short_pair_alpha(F.col("len"), t)).otherwise(low_alpha)
+        # of o shared tokens, all but the last alpha - more lie in a prefix of size - alpha + more
+        more, low_more = F.lit(1), F.lit(1)
+        if with_pairs:
+            more = F.when(F.col("pair"), F.greatest(F.lit(1), F.least(F.lit(PAIRS_SHARED), long_alpha))).otherwise(more)
+            low_more = F.when(F.col("pair"), F.greatest(F.lit(1), F.least(F.lit(PAIRS_SHARED), low_alpha))).otherwise(low_more)
         prefix = (toks.join(freq, "token")
+                  .withColumn("pair", F.col("token") < 0)
                   .withColumn("o", F.row_number().over(w))
-                  .where(F.col("o") <= F.col("len") - alpha(F.col("len"), t) + 1)
-                  .withColumn("short", F.col("o") <= F.col("len") - short_alpha(F.col("len"), t) + 1)
-                  .select("rank", "len", "band", "old", "want", "token", "short")
+                  .withColumn("long", F.col("o") <= size - long_alpha + more)
+                  .withColumn("short", F.col("o") <= size - low_alpha + low_more)
+                  .withColumn("slack_y", long_alpha - more)
+                  .withColumn("slack_x", low_alpha - low_more)
+                  .where("long or short")
+                  .select("rank", "len", "band", "old", "want", "token", "pair", "long", "short",
+                          "slack_x", "slack_y")
                   .persist(StorageLevel.MEMORY_AND_DISK))
         try:
-            longer = prefix.select(F.col("token"), F.col("band").alias("b"), F.col("old").alias("side"),
-                                   F.col("rank").alias("rank_y"), F.col("len").alias("len_y"))
+            longer = prefix.where("long").select(
+                "token", "pair", F.col("band").alias("b"), F.col("old").alias("side"),
+                F.col("rank").alias("rank_y"), F.col("len").alias("len_y"), "slack_y")
             shorter = prefix.where("short").select(
-                F.col("token"), F.col("want").alias("side"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("b"),
-                F.col("rank").alias("rank_x"), F.col("len").alias("len_x"))
-            if max_join_rows is not None:
-                keys = ["token", "b", "side"]
-                rows = (shorter.groupBy(*keys).agg(F.count(F.lit(1)).alias("s"))
-                        .join(longer.groupBy(*keys).agg(F.count(F.lit(1)).alias("l")), keys)
-                        .agg(F.sum(F.col("s") * F.col("l"))).first()[0] or 0)
-                if rows > max_join_rows:
-                    return None, int(rows)
+                "token", "pair", F.col("want").alias("side"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("b"),
+                F.col("rank").alias("rank_x"), F.col("len").alias("len_x"), "slack_x")
+            if with_pairs:          # adjacent pairs only where their bounds are positive
+                bound = pairs_bound_band(F.col("b"), t)
+                longer, shorter = longer.where(~F.col("pair") | bound), shorter.where(~F.col("pair") | bound)
+            keys = ["token", "pair", "b", "side"]
+            choice = None
+            if max_join_rows is not None or with_pairs:
+                by_band = (shorter.groupBy(*keys).agg(F.count(F.lit(1)).alias("s"))
+                           .join(longer.groupBy(*keys).agg(F.count(F.lit(1)).alias("l")), keys, "full")
+                           .groupBy("b").agg(
+                               F.coalesce(F.sum(F.when(~F.col("pair"), F.col("s") * F.col("l"))), F.lit(0)).alias("chars"),
+                               F.coalesce(F.sum(F.when(F.col("pair"), F.col("s") * F.col("l"))), F.lit(0)).alias("pairs"))
+                           .withColumn("use", pairs_bound_band(F.col("b"), t) if with_pairs else F.lit(False)))
+                if tokens == "auto" and with_pairs:
+                    # pairs of the band: within it each is met from both sides
+                    near = F.explode(F.array(F.struct(F.col("band").alias("b"), F.lit(0.5).alias("share")),
+                                             F.struct((F.col("band") + 1).alias("b"), F.lit(1.0).alias("share"))))
+                    x_side = (v.select(near.alias("n"), F.col("want").alias("side")).select("n.*", "side")
+                              .groupBy("b", "side").agg(F.sum("share").alias("x")))
+                    most = (v.groupBy(F.col("band").alias("b"), F.col("old").alias("side")).agg(F.count(F.lit(1)).alias("y"))
+                            .join(x_side, ["b", "side"]).groupBy("b").agg(F.sum(F.col("x") * F.col("y")).alias("most")))
+                    most_pairs = F.coalesce(F.col("most"), F.lit(0))
+                    cost_chars = F.col("chars") + BAND_COST_RATIO * F.least(F.col("chars"), most_pairs)
+                    cost_pairs = F.col("pairs") + BAND_COST_RATIO * F.least(F.col("pairs") / PAIRS_SHARED, most_pairs)
+                    by_band = by_band.join(most, "b", "left").withColumn("use", F.col("use") & (cost_pairs < cost_chars))
+                # one small row per length band
+                choice = by_band.withColumn("rows", F.when(F.col("use"), F.col("pairs")).otherwise(F.col("chars"))).checkpoint()
+                counted = choice.agg(F.sum("chars"), F.sum(F.when(pairs_bound_band(F.col("b"), t), F.col("pairs"))
+                                                           .otherwise(F.col("chars"))), F.sum("rows")).first()
+                if info is not None:
+                    info.update(join_rows_chars=int(counted[0] or 0), join_rows_pairs=int(counted[1] or 0),
+                                join_rows=int(counted[2] or 0))
+                if max_join_rows is not None and (counted[2] or 0) > max_join_rows:
+                    return None, int(counted[2])
+            if choice is not None:
+                chosen = choice.select("b", F.col("use").alias("pair"))
+                longer, shorter = longer.join(chosen, ["b", "pair"]), shorter.join(chosen, ["b", "pair"])
             hi = (200.0 - t) / t
-            # x is the shorter (or equal) side; the longer side lies in x's band or the next
-            pairs = (shorter.join(longer, ["token", "b", "side"])
-                     .where((F.col("rank_x") != F.col("rank_y"))
-                            & (F.col("len_y") >= F.col("len_x"))
-                            & (F.col("len_y") <= F.col("len_x") * hi + 1e-9))
+            both = F.col("len_x") + F.col("len_y")
+            least = F.ceil(both.cast("double") * t / 200.0 - 1e-9).cast("long")        # matches needed
+            overlap = F.when(F.col("pair"), 3 * least - 1 - both).otherwise(least)     # tokens shared by a match
+            # x is the shorter side (of equal lengths the lower rank); the longer side lies in x's
+            # band or the next
+            shorter_side = ((F.col("len_x") < F.col("len_y"))
+                            | ((F.col("len_x") == F.col("len_y")) & (F.col("rank_x") < F.col("rank_y"))))
+            pairs = (shorter.join(longer, keys)
+                     .where(shorter_side & (F.col("len_y") <= F.col("len_x") * hi + 1e-9))
+                     .select("rank_x", "rank_y", (overlap - F.greatest("slack_x", "slack_y")).alias("required"))
+                     .groupBy("rank_x", "rank_y", "required").agg(F.count(F.lit(1)).alias("shared"))
+                     .where(F.col("shared") >= F.col("required"))
                      .select(F.least("rank_x", "rank_y").alias("rank_i"),
                              F.greatest("rank_x", "rank_y").alias("rank_j"))
-                     .distinct()
                      .checkpoint())
             n_pairs = pairs.count()
         finally:
@@ -182,6 +299,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float, n_nodes: int | None = No
     return pairs, n_pairs
 
 
+PAIRS_SHARED = 8                  # adjacent pairs that two prefixes must share
 BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the prefix join
 # CPU per band pair (bag bound in Python) against per raw prefix-join row (shuffle,
 # de-duplication), measured on documents at sf 0.1: about 15 us against 2.4 us
@@ -265,7 +383,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
         # the prefix join wins on short, varied values; on long texts of one
         # language its raw output can exceed the band pairs many times over
         limit = BAND_COST_RATIO * n_band if strategy == "auto" and n_band <= BAND_PAIRS_COST_MAX else None
-        pairs, n_pairs = candidate_pairs(nodes, t, n_nodes, limit)
+        pairs, n_pairs = candidate_pairs(nodes, t, n_nodes, limit, info=info)
     used = "prefix"
     if pairs is None:
         pairs, n_pairs, used = band_pairs(banded, t), n_band, "band"    # an upper bound of the count

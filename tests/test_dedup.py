@@ -100,6 +100,41 @@ def test_blocking_equals_brute_force(spark):
             assert got == want, (t, strategy)
 
 
+def test_both_kinds_of_tokens_lose_no_match(spark, monkeypatch):
+    # numbered characters and adjacent pairs: every match is a candidate once, whatever must be shared
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 60))) for _ in range(40)] + ["a" * 30, "a" * 33, "ab" * 20]
+    edited = []
+    for b in base:
+        x = list(b)
+        for _ in range(rnd.randint(0, 4)):
+            x[rnd.randrange(len(x))] = rnd.choice("abcdé😀")
+        edited.append("".join(x)[rnd.randint(0, 2):])
+    vals = sorted({*base, *edited, ""})
+    nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
+    for t in (60, 70, 85, 100):
+        want = {(i, j) for i, j, _ in brute_force_edges(vals, t)} - {(0, j) for j in range(len(vals))}
+        for tokens, shared in (("pairs", 1), ("pairs", 8), ("chars", 8)) if t == 85 else (("pairs", 8),):
+            monkeypatch.setattr(blocking, "PAIRS_SHARED", shared)
+            info = {}
+            pairs, n = blocking.candidate_pairs(nodes, t, tokens=tokens, info=info)
+            got = [(r.rank_i, r.rank_j) for r in pairs.collect()]
+            assert len(got) == n == len(set(got)) and want <= set(got), (t, tokens, shared)
+            if tokens != "chars" and t > 67:
+                assert info["join_rows"] >= n
+
+
+def test_pairs_tokens_across_old_and_new(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(8, 40))) for _ in range(30)]
+    vals = sorted({*base, *(b + "x" for b in base), *(b[1:] for b in base)})
+    nodes = spark.createDataFrame([(i, v, i % 3 == 0) for i, v in enumerate(vals)], "rank long, value string, old boolean")
+    want = {(i, j) for i, j, _ in brute_force_edges(vals, 85) if (i % 3 == 0) != (j % 3 == 0)}
+    for tokens in ("chars", "pairs", "auto"):
+        got = {(r.rank_i, r.rank_j) for r in blocking.candidate_pairs(nodes, 85, tokens=tokens)[0].collect()}
+        assert want <= got and all((i % 3 == 0) != (j % 3 == 0) for i, j in got), tokens
+
+
 def test_band_pairs_cover_length_bound(spark):
     # every pair passing the length bound appears exactly once, for any threshold
     rnd = random.Random(5)
