@@ -48,6 +48,13 @@ def present(c: Column, dt: T.DataType) -> Column:
     return c
 
 
+def digest_pair(*cs: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the values under different seeds, 128 bits together. NaN equals NaN, -0.0
+    equals 0.0. Hashes pass over nulls, so null marks are hashed beside several values."""
+    marks = [c.isNull() for c in cs] if len(cs) > 1 else []
+    return F.xxhash64(F.lit(1), *cs, *marks), F.xxhash64(F.lit(2), *cs, *marks)
+
+
 def is_inf(c: Column) -> Column:
     return (c == F.lit(float("inf"))) | (c == F.lit(float("-inf")))
 

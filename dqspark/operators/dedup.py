@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dqspark.functions.scalar import digest_pair
 from dqspark.operators.blocking import similarity_edges
 from dqspark.operators.survivors import greedy_survivors
 from dqspark.session import ensure_checkpoint_dir, staged
@@ -31,9 +32,18 @@ DEFAULT_THRESHOLD = 85
 DEFAULT_MAX_VALUES = None      # all values; a caller may ask for the k most frequent ones
 MATCHES_KEPT = 50              # T2
 MATCHES_SHOWN = 20             # T3: a display limit, never applied to what is stored
+DIGEST_BYTES = 64              # of one digest pair in a broadcast table
 BROADCAST_BYTES = 64 << 20     # drop sets below this many bytes are broadcast to the anti join
 
 
+def fresh_name(taken: list[str], name: str) -> str:
+    """``name`` with as many leading underscores as make it new (names differ by case only: the same)."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name = "_" + name
+    return name
+
+
 def _c(name: str):
     return F.col(f"`{name}`")
 
@@ -43,12 +53,27 @@ def _c(name: str):
 def exact_dedup(df: DataFrame) -> tuple[DataFrame, int]:
     """D1 + A13: whole-row distinct (missing equals missing) and rows removed.
 
-    ``dropDuplicates`` aggregates partially before its shuffle, so a row repeated
-    in a third of the table collapses map-side. Both counts come from one such aggregate.
+    Only 128-bit digests of the rows are shuffled (combined map-side, so a row repeated in a
+    third of the table is one record a task). A row whose digest is its own stays where it is; rows
+    that share one are compared in full, so equal digests are confirmed and a clash of
+    digests loses no row. The set of repeated digests is broadcast when it is measured below
+    ``BROADCAST_BYTES``; beyond that so many rows repeat that all are grouped in full, once.
     """
-    copies = df.groupBy(*[_c(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-    removed = copies.agg(F.sum(F.col("__copies") - 1)).first()[0]
-    return df.dropDuplicates(), int(removed or 0)
+    cols, (d1, d2) = df.columns, digest_pair(*[_c(c) for c in df.columns])
+    marks = [fresh_name(cols, "d1"), fresh_name(cols, "d2")]
+    rows = df.withColumns({marks[0]: d1, marks[1]: d2})
+    repeated = staged(rows.groupBy(*marks).agg(F.count(F.lit(1)).alias("__copies")).where(F.col("__copies") > 1),
+                      "repeated-rows")
+    size, copies = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("__copies"), F.lit(0))).first()
+    if size == 0:
+        return df, 0
+    if size * DIGEST_BYTES <= BROADCAST_BYTES:
+        known = F.broadcast(repeated.select(*marks))
+        firsts = staged(rows.join(known, marks, "left_semi").select(*[_c(c) for c in cols]).dropDuplicates(), "first-copies")
+        alone = rows.join(known, marks, "left_anti").select(*[_c(c) for c in cols])
+        return alone.unionByName(firsts), int(copies) - firsts.count()
+    kept = staged(df.dropDuplicates(), "exact-dedup")
+    return kept, df.count() - kept.count()
 
 
 # --------------------------------------------------------------------------- A8, T1, W1

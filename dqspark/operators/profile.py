@@ -1,46 +1,108 @@
-"""Profiling (A1-A7, A19): one aggregate over all columns, then reshaped to reports.
-
-Plan shape: a single ``HashAggregate`` (partial on the map side) computes the row
-count, every column's missing count and every column's distinct count. Exact
-distinct counts of several columns make Spark expand each row once per column
-and de-duplicate ``(column, value)`` map-side, so a text longer than 32 bytes is
-replaced by its SHA-256 first: no shuffle carries long texts. ``approx=True`` swaps in
-HyperLogLog sketches (no expand, fixed-size buffers).
+"""Profiling (A1-A7, A19): counts of all columns from narrow records, then reshaped to reports.
+
+Spark turns several exact distinct counts of one aggregate into an Expand: every row is
+copied once per column, each copy as wide as all columns. Here no row is copied:
+
+* a row gives one narrow record ``(column, digest)`` per column (a missing value has no
+  digest). ``groupBy(column, digest)`` counts them with map-side combine, so a value
+  held by a third of all rows, or a missing one, is one record a task; the groups are
+  spread by digest, so a column of distinct values is counted by all tasks. A second, tiny
+  aggregate per column gives rows, missing and distinct values. Integers are their own
+  digest (exact); other values have 128-bit digests, so no text is shuffled;
+* integers that lie close together within the tasks (keys, codes) go into bitmaps instead:
+  ``groupBy(column, bucket)`` with ``bitmap_construct_agg``, 4 KB for 32,768 possible values.
+  Which columns do is decided by cost: a first pass over the integer columns alone sketches the
+  ``(task, bucket)`` and ``(task, value)`` pairs, that is the records each way would shuffle.
+  Both ways are exact.
+
+``approx=True`` swaps in HyperLogLog sketches (one aggregate, fixed-size buffers).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqspark.functions.scalar import missing, pct, present
+from dqspark.functions.scalar import digest_pair, missing, pct, present
 
 
 def _col(name: str):
     return F.col(f"`{name}`")
 
 
-def _counted(c, dtype):
-    """What distinct counts compare: a digest (64 characters) for texts longer than 32 bytes."""
-    if not isinstance(dtype, T.StringType):
-        return c
-    return F.when(F.octet_length(c) > 32, F.sha2(c, 256)).otherwise(c)
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+BITMAP_BYTES = 4096      # of one bucket
+RECORD_BYTES = 20        # of one shuffled (column, digest) record
 
 
-def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01, extra: list | None = None) -> DataFrame:
-    """One row: ``n`` plus ``m{i}`` (missing) and ``u{i}`` (distinct, missing not counted).
+def bitmap_columns(df: DataFrame) -> list[str]:
+    """Integer columns whose buckets, as bitmaps, shuffle fewer bytes than their digests would."""
+    ints = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGERS)]
+    if not ints:
+        return []
+    task, values = F.spark_partition_id().alias("task"), [_col(c).cast("long").alias(f"v{i}") for i, c in enumerate(ints)]
+    aggs = []
+    for i in range(len(ints)):
+        v = F.col(f"v{i}")
+        aggs += [F.approx_count_distinct(F.when(v.isNotNull(), F.xxhash64("task", F.bitmap_bucket_number(v)))).alias(f"b{i}"),
+                 F.approx_count_distinct(F.when(v.isNotNull(), F.xxhash64("task", v))).alias(f"d{i}")]
+    row = df.select(task, *values).agg(*aggs).first()
+    return [c for i, c in enumerate(ints) if row[f"b{i}"] * BITMAP_BYTES < row[f"d{i}"] * RECORD_BYTES]
 
-    ``extra`` aggregates ride on the same scan.
-    """
-    aggs = [F.count(F.lit(1)).alias("n")] + list(extra or [])
+
+def _hashed(c: Column, dtype: T.DataType) -> Column:
+    """What is hashed: nested values as JSON, since hashes pass over the nulls inside them."""
+    if isinstance(dtype, T.MapType):
+        c = F.array_sort(F.map_entries(c))
+    return F.to_json(c, {"ignoreNullFields": "false"}) if isinstance(dtype, (T.MapType, T.ArrayType, T.StructType)) else c
+
+
+def _records(rows: list) -> Column:
+    return F.inline(F.array(*[F.struct(*r) for r in rows]))
+
+
+def column_counts(df: DataFrame, bitmaps: list[str]) -> DataFrame:
+    """``(i, n, m, u)`` per column position: rows, missing and distinct values."""
+    digests, buckets = [], []
     for i, f in enumerate(df.schema.fields):
         c = _col(f.name)
-        aggs.append(F.count_if(missing(c, f.dataType)).alias(f"m{i}"))
-        v = present(c, f.dataType)
-        u = F.approx_count_distinct(v, rsd) if approx else F.count_distinct(_counted(v, f.dataType))
-        aggs.append(u.alias(f"u{i}"))
-    return df.agg(*aggs)
+        there = ~missing(c, f.dataType)
+        if f.name in bitmaps:
+            v = c.cast("long")
+            buckets.append([F.lit(i).alias("i"), F.bitmap_bucket_number(v).alias("b"), F.bitmap_bit_position(v).alias("pos")])
+            continue
+        if isinstance(f.dataType, INTEGERS):
+            d1, d2 = c.cast("long"), F.lit(0).cast("long")
+        else:
+            d1, d2 = digest_pair(_hashed(c, f.dataType))
+        digests.append([F.lit(i).alias("i"), F.when(there, d1).alias("d1"), F.when(there, d2).alias("d2")])
+    parts = []
+    if digests:
+        parts.append(df.select(_records(digests)).groupBy("i", "d1", "d2").agg(F.count(F.lit(1)).alias("c"))
+                     .groupBy("i").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("d1").isNull(), F.col("c")).otherwise(0)).alias("m"),
+                                       F.count("d1").alias("u")))
+    if buckets:
+        parts.append(df.select(_records(buckets)).groupBy("i", "b")
+                     .agg(F.count(F.lit(1)).alias("c"), F.bitmap_count(F.bitmap_construct_agg("pos")).alias("u"))
+                     .groupBy("i").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("b").isNull(), F.col("c")).otherwise(0)).alias("m"),
+                                       F.sum(F.when(F.col("b").isNotNull(), F.col("u")).otherwise(0)).alias("u")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """One row: ``n`` plus ``m{i}`` (missing) and ``u{i}`` (distinct, missing not counted)."""
+    fields = df.schema.fields
+    if approx or not fields:
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, f in enumerate(fields):
+            c = _col(f.name)
+            aggs.append(F.count_if(missing(c, f.dataType)).alias(f"m{i}"))
+            aggs.append(F.approx_count_distinct(present(c, f.dataType), rsd).alias(f"u{i}"))
+        return df.agg(*aggs)
+    counts = column_counts(df, bitmap_columns(df))
+    one = lambda i, c: F.coalesce(F.max(F.when(F.col("i") == i, F.col(c))), F.lit(0).cast("long"))
+    return counts.agg(one(0, "n").alias("n"), *[x for i in range(len(fields)) for x in (one(i, "m").alias(f"m{i}"), one(i, "u").alias(f"u{i}"))])
 
 
 def profile_columns(df: DataFrame, stats: DataFrame | None = None, approx: bool = False) -> DataFrame:

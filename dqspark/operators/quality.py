@@ -8,7 +8,7 @@ accuracy     = min(completeness, validity)
 score        = mean of the five (each rounded to 4 digits) * 100, 2 digits
 
 Dimensions are reported as percent with one digit, clamped to 0..100. The clean
-table's counts come from the profile aggregate (one pass, partial aggregation).
+table's counts come from the profile's column counts.
 """
 
 from __future__ import annotations
@@ -32,16 +32,12 @@ def quality_index(clean: DataFrame, raw_count: int | Column, anomaly_count: int
                   approx: bool = False) -> DataFrame:
     """K6: one row ``completeness, uniqueness, validity, consistency, accuracy, cqi_score``.
 
-    With ``anomaly_count=None`` anomalies are counted from ``anomaly_flag`` in the
-    same aggregate as the column statistics.
+    With ``anomaly_count=None`` anomalies are counted from ``anomaly_flag``.
     """
-    count_flags = anomaly_count is None and FLAG_COLUMN in clean.columns
-    extra = [F.count_if(F.col(FLAG_COLUMN) == ANOMALY).alias("anomalies")] if count_flags else []
-    st = profile_stats(clean, approx, extra=extra)
-    if count_flags:
-        anomalies = F.col("anomalies")
-    else:
-        anomalies = _lit(anomaly_count if anomaly_count is not None else 0)
+    if anomaly_count is None and FLAG_COLUMN in clean.columns:
+        anomaly_count = clean.where(F.col(FLAG_COLUMN) == ANOMALY).count()
+    st = profile_stats(clean, approx)
+    anomalies = _lit(anomaly_count if anomaly_count is not None else 0)
     ncols = len(clean.columns)
     n = F.greatest(F.col("n"), F.lit(1))
     nulls = sum((F.col(f"m{i}") for i in range(ncols)), F.lit(0).cast("long"))

@@ -75,19 +75,12 @@ def repair_plan(df: DataFrame, age_columns: list[str] | None = None,
         aggs.append(F.count_if(_c(f.name).isNull()).alias(f"nt:{f.name}"))
         if f.name in emails:
             aggs.append(F.count_if(~has_mark(_c(f.name))).alias(f"be:{f.name}"))
-    # ranges for the exact medians ride on the same scan
-    need_rng = [f.name for f in numeric]
-    for i, name in enumerate(need_rng):
-        v = _c(name).cast("double")
-        if is_float(df.schema[name].dataType):
-            v = F.when(~F.isnan(v), v)
-        fin = F.when(~v.isin(stats.POS_INF, stats.NEG_INF), v)
-        aggs += [F.count(v).alias(f"rn{i}"), F.min(fin).alias(f"rlo{i}"), F.max(fin).alias(f"rhi{i}"),
-                 F.count_if(v == F.lit(stats.NEG_INF)).alias(f"rneg{i}"),
-                 F.count_if(v == F.lit(stats.POS_INF)).alias(f"rpos{i}")]
+    # ranges and sketch windows for the exact medians ride on the same scan
+    probs = [] if approx else [0.5]
+    for i, f in enumerate(numeric):
+        aggs += stats.range_aggs(stats.value_of(df, f.name), i, probs)
     row = df.agg(*aggs).first() if aggs else None
-    ranges = {name: {"n": row[f"rn{i}"], "lo": row[f"rlo{i}"], "hi": row[f"rhi{i}"],
-                     "neg": row[f"rneg{i}"], "pos": row[f"rpos{i}"]} for i, name in enumerate(need_rng)}
+    ranges = {f.name: stats.range_of(row, i, probs) for i, f in enumerate(numeric)}
 
     want_median = [f.name for f in numeric
                    if row[f"nm:{f.name}"] > 0 or (f.name in ages and row[f"ba:{f.name}"] > 0)]

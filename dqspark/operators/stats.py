@@ -1,34 +1,39 @@
 """Exact order statistics without gathering a column into one task.
 
 ``F.median`` / ``percentile`` keep every value of a group in one buffer: a global
-median over a 100 TB column would sit in one task. Here each target rank is found
-by histogram refinement instead:
-
-1. one aggregate gives, per column, the count of present values, the finite
-   minimum and maximum and the counts of -inf / +inf;
-2. each round scans the data once and counts values per (target, bucket) over the
-   target's current value range (``groupBy`` with map-side partial aggregation,
-   at most ``buckets`` groups per target, so the shuffle is tiny and skew-free);
-   the bucket holding the rank becomes the next range;
-3. a range that holds a single value settles its rank; no value is fetched.
-
-Bucketing is monotone in the value, so ranges are exact; no floating tolerance.
+median over a 100 TB column would sit in one task. Here two scans find each quantile:
+
+1. one aggregate gives, per column, the count of present values, the finite minimum
+   and maximum, the counts of -inf / +inf and, from a KLL sketch of fixed size, two values
+   that enclose each wanted quantile (``WINDOW`` of the ranks to either side);
+2. one exact scan counts the values below that window and groups those inside by value
+   (``groupBy`` with map-side combine; about ``2 * WINDOW`` of the distinct values), staged as
+   ``(target, value, count)``. Histogram refinement on the staged counts then finds the rank:
+   per round at most ``buckets`` groups per target, the bucket holding the rank becomes the
+   next range, a range that holds a single value settles it; no value is fetched.
+
+The sketch only narrows: counts are exact, and a rank that its window misses is refined
+over the whole column in the same way. Bucketing is monotone in the value, so ranges are
+exact; no floating tolerance.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.functions.scalar import is_float
+from dqspark.session import staged
 
 POS_INF = float("inf")
 NEG_INF = float("-inf")
+SKETCH_K = 1024        # about 25 KB a column; rank error about 0.3 %
+WINDOW = 0.01          # share of the ranks kept on either side of a wanted quantile
 
 
-def _value(df: DataFrame, name: str):
+def value_of(df: DataFrame, name: str):
     f = df.schema[name]
     c = F.col(f"`{name}`").cast("double")
     if is_float(f.dataType):
@@ -36,52 +41,48 @@ def _value(df: DataFrame, name: str):
     return c
 
 
-def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column: ``n`` present values, finite ``lo``/``hi``, ``neg``/``pos`` infinities."""
-    if not columns:
+def range_aggs(v: Column, i: int | str, probs: list[float] = ()) -> list[Column]:
+    """Aggregates of one column for ``range_of``: counts, finite range, infinities, sketch windows."""
+    fin = F.when(~v.isin(POS_INF, NEG_INF), v)
+    aggs = [F.count(v).alias(f"n{i}"), F.min(fin).alias(f"lo{i}"), F.max(fin).alias(f"hi{i}"),
+            F.count_if(v == F.lit(NEG_INF)).alias(f"neg{i}"), F.count_if(v == F.lit(POS_INF)).alias(f"pos{i}")]
+    for j, p in enumerate(probs):
+        for side, rank in (("a", max(0.0, p - WINDOW)), ("b", min(1.0, p + WINDOW))):
+            at = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v, SKETCH_K), F.lit(rank))
+            aggs.append(F.when(F.count(v) > 0, at).alias(f"w{side}{j}_{i}"))
+    return aggs
+
+
+def range_of(row, i: int | str, probs: list[float] = ()) -> dict:
+    """``n`` present values, finite ``lo``/``hi``, ``neg``/``pos`` infinities, ``windows`` by quantile."""
+    return {"n": row[f"n{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"], "neg": row[f"neg{i}"], "pos": row[f"pos{i}"],
+            "windows": {p: (row[f"wa{j}_{i}"], row[f"wb{j}_{i}"]) for j, p in enumerate(probs)}}
+
+
+def column_ranges(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, dict]:
+    """``range_of`` every column of ``probs`` (column -> wanted quantiles) from one aggregate."""
+    if not probs:
         return {}
-    aggs = []
-    for i, c in enumerate(columns):
-        v = _value(df, c)
-        fin = F.when(~v.isin(POS_INF, NEG_INF), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(fin).alias(f"lo{i}"), F.max(fin).alias(f"hi{i}"),
-                 F.count_if(v == F.lit(NEG_INF)).alias(f"neg{i}"),
-                 F.count_if(v == F.lit(POS_INF)).alias(f"pos{i}")]
+    aggs = [a for i, (c, ps) in enumerate(probs.items()) for a in range_aggs(value_of(df, c), i, ps)]
     row = df.agg(*aggs).first()
-    return {c: {"n": row[f"n{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"],
-                "neg": row[f"neg{i}"], "pos": row[f"pos{i}"]} for i, c in enumerate(columns)}
+    return {c: range_of(row, i, ps) for i, (c, ps) in enumerate(probs.items())}
 
 
-def kth_values(df: DataFrame, targets: list[tuple[str, int]], ranges: dict[str, dict],
-               buckets: int = 4096) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest (0-based) present value for each ``(column, k)``."""
-    out: dict[tuple[str, int], float] = {}
-    # active target: [column, k, lo, hi, below, count_in_range]
-    active = []
-    for col, k in dict.fromkeys(targets):
-        r = ranges[col]
-        if not 0 <= k < r["n"]:
-            raise ValueError(f"rank {k} out of range for {col}")
-        if k < r["neg"]:
-            out[(col, k)] = NEG_INF
-        elif k >= r["n"] - r["pos"]:
-            out[(col, k)] = POS_INF
-        else:
-            active.append([col, k, r["lo"], r["hi"], r["neg"], r["n"] - r["neg"] - r["pos"]])
-    while active:
-        settled = []
-        for t in active:
-            col, k, lo, hi, below, cnt = t
+def _refine(df: DataFrame, active: list[list], value, weight: Column, buckets: int) -> dict:
+    """Settle ``[target, k, lo, hi, below]`` lists: the k-th smallest (0-based) of ``value(target)``,
+    which lies in ``lo..hi`` with ``below`` values under ``lo``. A row counts ``weight`` times."""
+    out = {}
+    while True:
+        for target, k, lo, hi, _ in active:
             if lo == hi:
-                out[(col, k)] = lo
-                settled.append(t)
-        active = [t for t in active if t not in settled]
+                out[(target, k)] = lo
+        active = [t for t in active if t[2] != t[3]]
         if not active:
-            break
+            return out
         # one histogram job for every remaining target
         entries = []
-        for ti, (col, k, lo, hi, below, cnt) in enumerate(active):
-            v = _value(df, col)
+        for ti, (target, _, lo, hi, _) in enumerate(active):
+            v = value(target)
             half_lo, span = lo / 2.0, hi / 2.0 - lo / 2.0
             if span > 0:
                 b = F.least(F.lit(buckets - 1), F.greatest(F.lit(0),
@@ -90,23 +91,75 @@ def kth_values(df: DataFrame, targets: list[tuple[str, int]], ranges: dict[str,
                 b = (v > lo).cast("int")
             entries.append(F.when((v >= lo) & (v <= hi),
                                   F.struct(F.lit(ti).alias("t"), b.alias("b"), v.alias("v"))))
-        hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+        hist = (df.select(weight.alias("w"), F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
                 .groupBy(F.col("e.t").alias("t"), F.col("e.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("e.v").alias("mn"), F.max("e.v").alias("mx"))
+                .agg(F.sum("w").alias("c"), F.min("e.v").alias("mn"), F.max("e.v").alias("mx"))
                 .collect())
         by_target: dict[int, list] = {}
         for r in hist:
             by_target.setdefault(r["t"], []).append((r["b"], r["c"], r["mn"], r["mx"]))
         for ti, t in enumerate(active):
-            col, k, lo, hi, below, cnt = t
-            acc = below
-            for b, c, mn, mx in sorted(by_target.get(ti, [])):
+            k, acc = t[1], t[4]
+            for _, c, mn, mx in sorted(by_target.get(ti, [])):
                 if k < acc + c:
-                    t[2], t[3], t[4], t[5] = mn, mx, acc, c
+                    t[2], t[3], t[4] = mn, mx, acc
                     break
                 acc += c
             else:  # pragma: no cover - counts are consistent by construction
                 raise RuntimeError("rank not found in histogram")
+
+
+def _window_counts(df: DataFrame, windows: list[tuple[str, float, float]]) -> DataFrame:
+    """``(t, v, c)``: copies of each value inside window ``t``, one row without value for those below it."""
+    entries = []
+    for i, (c, lo, hi) in enumerate(windows):
+        v = value_of(df, c)
+        below = F.struct(F.lit(i).alias("t"), F.lit(None).cast("double").alias("v"))
+        entries.append(F.when(v < lo, below).when(v <= hi, F.struct(F.lit(i).alias("t"), v.alias("v"))))
+    counts = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+              .groupBy(F.col("e.t").alias("t"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    return staged(counts, "quantile-windows")
+
+
+def kth_values(df: DataFrame, targets: list[tuple], ranges: dict[str, dict],
+               buckets: int = 4096) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest (0-based) present value for each ``(column, k)`` or ``(column, k, quantile)``;
+    with the quantile, the search starts from its sketch window."""
+    out: dict[tuple[str, int], float] = {}
+    wide, narrow = [], {}
+    for col, k, *p in dict.fromkeys(targets):
+        r = ranges[col]
+        if not 0 <= k < r["n"]:
+            raise ValueError(f"rank {k} out of range for {col}")
+        if k < r["neg"]:
+            out[(col, k)] = NEG_INF
+        elif k >= r["n"] - r["pos"]:
+            out[(col, k)] = POS_INF
+        elif r["lo"] == r["hi"]:
+            out[(col, k)] = r["lo"]
+        elif p and p[0] in r.get("windows", {}):
+            lo, hi = r["windows"][p[0]]
+            narrow.setdefault((col, max(lo, r["lo"]), min(hi, r["hi"])), []).append(k)
+        else:
+            wide.append([col, k, r["lo"], r["hi"], r["neg"]])
+    if narrow:
+        windows = list(narrow)
+        counts = _window_counts(df, windows)
+        found = {r["t"]: r for r in counts.groupBy("t").agg(
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("inside"),
+            F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        inside = []
+        for t, window in enumerate(windows):
+            col, w = window[0], found.get(t)
+            for k in narrow[window]:
+                if w and w["below"] <= k < w["below"] + w["inside"]:
+                    inside.append([t, k, w["lo"], w["hi"], w["below"]])
+                else:
+                    wide.append([col, k, ranges[col]["lo"], ranges[col]["hi"], ranges[col]["neg"]])
+        values = _refine(counts, inside, lambda t: F.when(F.col("t") == t, F.col("v")), F.col("c"), buckets)
+        out.update({(windows[t][0], k): v for (t, k), v in values.items()})
+    out.update(_refine(df, wide, lambda c: value_of(df, c), F.lit(1), buckets))
     return out
 
 
@@ -118,7 +171,7 @@ def quantiles(df: DataFrame, probs: dict[str, list[float]], ranges: dict[str, di
     (``(a + b) / 2``), as a median is usually computed.
     """
     cols = list(probs)
-    ranges = ranges if ranges is not None else column_ranges(df, cols)
+    ranges = ranges if ranges is not None else column_ranges(df, probs)
     targets, plan = [], {}
     for c in cols:
         n = ranges[c]["n"]
@@ -129,7 +182,7 @@ def quantiles(df: DataFrame, probs: dict[str, list[float]], ranges: dict[str, di
             pos = p * (n - 1)
             k0, k1 = math.floor(pos), math.ceil(pos)
             plan[(c, p)] = (k0, k1, pos - k0)
-            targets += [(c, k0), (c, k1)]
+            targets += [(c, k0, p), (c, k1, p)]
     vals = kth_values(df, targets, ranges, **kw) if targets else {}
     res = {}
     for (c, p), spec in plan.items():
@@ -138,7 +191,7 @@ def quantiles(df: DataFrame, probs: dict[str, list[float]], ranges: dict[str, di
             continue
         k0, k1, frac = spec
         a, b = vals[(c, k0)], vals[(c, k1)]
-        if k0 == k1:
+        if k0 == k1 or a == b:
             res[(c, p)] = a
         elif median_mean and p == 0.5:
             res[(c, p)] = (a + b) / 2.0
@@ -161,7 +214,7 @@ def approx_quantiles(df: DataFrame, probs: dict[str, list[float]], accuracy: int
     aggs, keys = [], []
     for c, ps in probs.items():
         for p in ps:
-            aggs.append(F.percentile_approx(_value(df, c), F.lit(p), accuracy).alias(f"q{len(keys)}"))
+            aggs.append(F.percentile_approx(value_of(df, c), F.lit(p), accuracy).alias(f"q{len(keys)}"))
             keys.append((c, p))
     if not aggs:
         return {}

@@ -89,9 +89,9 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     pcols_rows = [r.asDict() for r in pcols.orderBy("position").collect()]
     raw_count = int(ptab_row["total_records"])
 
-    deduped = staged(raw.dropDuplicates(), "exact-dedup")
-    exact_count = deduped.count()
-    exact_removed = raw_count - exact_count
+    deduped, exact_removed = dedup.exact_dedup(raw)
+    deduped = staged(deduped, "exact-dedup")
+    exact_count = raw_count - exact_removed
 
     fz = dedup.fuzzy_dedup(deduped, match_col, threshold, max_values)
     matches = fz.matches.checkpoint()

@@ -94,14 +94,13 @@ from dqspark.functions import scalar  # noqa: E402
 
 def exact_counts(df: DataFrame) -> DataFrame:
     """One row: rows, distinct rows (missing equals missing), rows removed."""
-    return (df.agg(F.count(F.lit(1)).alias("raw_count"),
-                   F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("clean_count"))
-            .withColumn("removed", F.col("raw_count") - F.col("clean_count")))
+    removed = F.lit(dedup.exact_dedup(df)[1]).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("raw_count")).withColumn("clean_count", F.col("raw_count") - removed).withColumn("removed", removed)
 
 
 @register("exact_dedup", "SELECT DISTINCT text, lang FROM documents")
 def q_exact_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("text", "lang").dropDuplicates()
+    return dedup.exact_dedup(table(spark, sf_dir, "documents").select("text", "lang"))[0]
 
 
 @register("exact_removed", """
@@ -114,7 +113,7 @@ def q_exact_removed(spark, sf_dir):
 
 @register("exact_dedup_orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 def q_exact_dedup_orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").dropDuplicates()
+    return dedup.exact_dedup(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"))[0]
 
 
 _ORDERS_TWICE_SQL = "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 = 0"

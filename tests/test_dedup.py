@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dqspark.functions.similarity import ratio
@@ -17,6 +18,26 @@ def _vals(df, col):
     return sorted((r[0] for r in df.select(col).collect()), key=lambda v: (v is None, v))
 
 
+@pytest.mark.parametrize("limit", [dedup.BROADCAST_BYTES, 0])
+def test_exact_dedup_rows_and_clashing_names(spark, monkeypatch, limit):
+    """Both paths: nulls, NaN, signed zeros, columns named like the digests, no rows."""
+    monkeypatch.setattr(dedup, "BROADCAST_BYTES", limit)
+    rows = [(i % 50, None if i % 3 else "x" * (i % 5), [0.0, -0.0, float("nan"), None][i % 4]) for i in range(900)]
+    df = spark.createDataFrame(rows, "D1 int, `d.2` string, x double").repartition(6)
+    want = {(a, b, repr(c if c != 0 else 0.0)) for a, b, c in rows}
+    out, removed = dedup.exact_dedup(df)
+    got = [(r[0], r[1], repr(r[2] if r[2] != 0 else 0.0)) for r in out.collect()]
+    assert out.columns == df.columns and set(got) == want and len(got) == len(want) and removed == 900 - len(want)
+    none, gone = dedup.exact_dedup(df.where("D1 < 0"))
+    assert none.count() == 0 and gone == 0
+
+
+def test_equal_digests_of_different_rows_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "digest_pair", lambda *c: (F.lit(1).cast("long"), F.lit(2).cast("long")))
+    out, removed = dedup.exact_dedup(spark.createDataFrame([(1,), (2,), (2,), (3,)], "a int"))
+    assert sorted(r.a for r in out.collect()) == [1, 2, 3] and removed == 1
+
+
 def test_exact_dedup(people):
     out, removed = dedup.exact_dedup(people)
     assert removed == 9 and out.count() == 30
@@ -216,7 +237,6 @@ def test_survivor_chain_rounds_and_guard(spark):
     s = greedy_survivors(df)
     got = {r.rank: r.keep for r in s.states.collect()}
     assert got == {i: i % 2 == 0 for i in range(n)}
-    import pytest
     with pytest.raises(RuntimeError):
         greedy_survivors(df, max_rounds=0).states.collect()
 

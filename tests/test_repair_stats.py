@@ -60,6 +60,31 @@ def test_exact_quantiles_match_numpy(spark):
     assert med == np.median(present)
 
 
+def test_two_scans_whatever_the_size_of_the_window(spark, monkeypatch):
+    """Windows from the sketch, windows that miss every rank, and infinities: the same exact quantiles."""
+    rnd = random.Random(9)
+    data = [rnd.gauss(0, 1) if rnd.random() < 0.6 else 7.0 for _ in range(20_000)]
+    data += [float("inf")] * 3000 + [float("-inf")] * 2500 + [float("nan"), None]
+    df = spark.createDataFrame([(x, i % 9) for i, x in enumerate(data)], "x double, g int").repartition(5)
+    want = sorted(x for x in data if x is not None and x == x)
+    probs = {"x": [0.0, 0.05, 0.1, 0.5, 0.77, 1.0], "g": [0.5]}
+    sources = []
+    refine = stats._refine
+    monkeypatch.setattr(stats, "_refine", lambda d, active, *a: sources.append((d is df, len(active))) or refine(d, active, *a))
+    for shift in (0.0, 1e9):
+        ranges = stats.column_ranges(df, probs)
+        for r in ranges.values():
+            r["windows"] = {p: (a + shift, b + shift) for p, (a, b) in r["windows"].items()}
+        sources.clear()
+        got = stats.quantiles(df, probs, ranges, median_mean=False)
+        assert (sum(n for on_df, n in sources if on_df) == 0) == (shift == 0.0)       # the source is not refined again
+        for p in probs["x"]:
+            pos = p * (len(want) - 1)
+            a, b = want[int(pos)], want[min(int(pos) + 1, len(want) - 1)]
+            assert got[("x", p)] == (a if a == b or pos == int(pos) else a + (b - a) * (pos - int(pos)))
+        assert got[("g", 0.5)] == 4.0
+
+
 def test_median_even_count_is_mean_of_middle(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "x long")
     assert stats.medians(df, ["x"])["x"] == 2.5
