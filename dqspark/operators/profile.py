@@ -8,12 +8,13 @@ copied once per column, each copy as wide as all columns. Here no row is copied:
   held by a third of all rows, or a missing one, is one record a task; the groups are
   spread by digest, so a column of distinct values is counted by all tasks. A second, tiny
   aggregate per column gives rows, missing and distinct values. Integers are their own
-  digest (exact); other values have 128-bit digests, so no text is shuffled;
-* integers that lie close together within the tasks (keys, codes) go into bitmaps instead:
-  ``groupBy(column, bucket)`` with ``bitmap_construct_agg``, 4 KB for 32,768 possible values.
-  Which columns do is decided by cost: a first pass over the integer columns alone sketches the
-  ``(task, bucket)`` and ``(task, value)`` pairs, that is the records each way would shuffle.
-  Both ways are exact.
+  digest, other values of at most 64 bits have one hash (one to one on 64 bits), so both are
+  exact; texts and the like have 128-bit digests, so no text is shuffled;
+* with ``rescan=True`` (a table that is cheap to read again, such as files) integers that lie
+  close together within the tasks (keys, codes) go into bitmaps instead: ``groupBy(column,
+  bucket)`` with ``bitmap_construct_agg``, 4 KB for 32,768 possible values. Which columns do is
+  decided by cost from their count and range in each task (one pass over the integer columns
+  alone); bitmaps never shuffle more than a record of 20 bytes for each row. Both ways are exact.
 
 ``approx=True`` swaps in HyperLogLog sketches (one aggregate, fixed-size buffers).
 """
@@ -32,23 +33,31 @@ def _col(name: str):
 
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-BITMAP_BYTES = 4096      # of one bucket
+FIXED = (T.BooleanType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+BUCKET = 32_768          # values of one bitmap
+BITMAP_BYTES = 4096      # of one bitmap
 RECORD_BYTES = 20        # of one shuffled (column, digest) record
 
 
 def bitmap_columns(df: DataFrame) -> list[str]:
-    """Integer columns whose buckets, as bitmaps, shuffle fewer bytes than their digests would."""
+    """Integer columns whose buckets, as bitmaps, shuffle fewer bytes than their digests may.
+
+    A task holds at most ``span / 32768 + 1`` buckets and at most ``min(rows, span + 1)`` values.
+    """
     ints = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGERS)]
     if not ints:
         return []
-    task, values = F.spark_partition_id().alias("task"), [_col(c).cast("long").alias(f"v{i}") for i, c in enumerate(ints)]
-    aggs = []
+    values = [_col(c).cast("long").alias(f"v{i}") for i, c in enumerate(ints)]
+    per_task = df.select(F.spark_partition_id().alias("task"), *values).groupBy("task").agg(
+        *[x for i in range(len(ints)) for x in (F.count(f"v{i}").alias(f"n{i}"),
+                                                (F.max(f"v{i}").cast("double") - F.min(f"v{i}").cast("double")).alias(f"s{i}"))])
+    cost = []
     for i in range(len(ints)):
-        v = F.col(f"v{i}")
-        aggs += [F.approx_count_distinct(F.when(v.isNotNull(), F.xxhash64("task", F.bitmap_bucket_number(v)))).alias(f"b{i}"),
-                 F.approx_count_distinct(F.when(v.isNotNull(), F.xxhash64("task", v))).alias(f"d{i}")]
-    row = df.select(task, *values).agg(*aggs).first()
-    return [c for i, c in enumerate(ints) if row[f"b{i}"] * BITMAP_BYTES < row[f"d{i}"] * RECORD_BYTES]
+        n, span = F.col(f"n{i}"), F.col(f"s{i}")
+        cost += [F.sum((F.floor(span / BUCKET) + 2) * float(BITMAP_BYTES)).alias(f"b{i}"),
+                 F.sum(F.least(n.cast("double"), span + 1) * float(RECORD_BYTES)).alias(f"d{i}")]
+    row = per_task.agg(*cost).first()
+    return [c for i, c in enumerate(ints) if row[f"b{i}"] is not None and row[f"b{i}"] < row[f"d{i}"]]
 
 
 def _hashed(c: Column, dtype: T.DataType) -> Column:
@@ -76,6 +85,8 @@ def column_counts(df: DataFrame, bitmaps: list[str]) -> DataFrame:
             d1, d2 = c.cast("long"), F.lit(0).cast("long")
         else:
             d1, d2 = digest_pair(_hashed(c, f.dataType))
+            if isinstance(f.dataType, FIXED):
+                d2 = F.lit(0).cast("long")
         digests.append([F.lit(i).alias("i"), F.when(there, d1).alias("d1"), F.when(there, d2).alias("d2")])
     parts = []
     if digests:
@@ -90,7 +101,7 @@ def column_counts(df: DataFrame, bitmaps: list[str]) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01, rescan: bool = False) -> DataFrame:
     """One row: ``n`` plus ``m{i}`` (missing) and ``u{i}`` (distinct, missing not counted)."""
     fields = df.schema.fields
     if approx or not fields:
@@ -100,14 +111,14 @@ def profile_stats(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> Dat
             aggs.append(F.count_if(missing(c, f.dataType)).alias(f"m{i}"))
             aggs.append(F.approx_count_distinct(present(c, f.dataType), rsd).alias(f"u{i}"))
         return df.agg(*aggs)
-    counts = column_counts(df, bitmap_columns(df))
+    counts = column_counts(df, bitmap_columns(df) if rescan else [])
     one = lambda i, c: F.coalesce(F.max(F.when(F.col("i") == i, F.col(c))), F.lit(0).cast("long"))
     return counts.agg(one(0, "n").alias("n"), *[x for i in range(len(fields)) for x in (one(i, "m").alias(f"m{i}"), one(i, "u").alias(f"u{i}"))])
 
 
-def profile_columns(df: DataFrame, stats: DataFrame | None = None, approx: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, stats: DataFrame | None = None, approx: bool = False, rescan: bool = False) -> DataFrame:
     """``column, dtype, null_count, null_rate, unique_count`` in schema order."""
-    stats = stats if stats is not None else profile_stats(df, approx)
+    stats = stats if stats is not None else profile_stats(df, approx, rescan=rescan)
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                  F.lit(f.dataType.simpleString()).alias("dtype"),
@@ -131,7 +142,7 @@ def profile_table(df: DataFrame, stats: DataFrame | None = None, approx: bool =
         pct(total_nulls, F.col("n") * ncols).alias("null_rate"))
 
 
-def profile(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame]:
+def profile(df: DataFrame, approx: bool = False, rescan: bool = False) -> tuple[DataFrame, DataFrame]:
     """Table row and column rows from one cached statistics row."""
-    stats = profile_stats(df, approx).cache()
+    stats = profile_stats(df, approx, rescan=rescan).cache()
     return profile_table(df, stats), profile_columns(df, stats)

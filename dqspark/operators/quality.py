@@ -29,14 +29,14 @@ def _lit(x) -> Column:
 
 
 def quality_index(clean: DataFrame, raw_count: int | Column, anomaly_count: int | Column | None = None,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, rescan: bool = False) -> DataFrame:
     """K6: one row ``completeness, uniqueness, validity, consistency, accuracy, cqi_score``.
 
     With ``anomaly_count=None`` anomalies are counted from ``anomaly_flag``.
     """
     if anomaly_count is None and FLAG_COLUMN in clean.columns:
         anomaly_count = clean.where(F.col(FLAG_COLUMN) == ANOMALY).count()
-    st = profile_stats(clean, approx)
+    st = profile_stats(clean, approx, rescan=rescan)
     anomalies = _lit(anomaly_count if anomaly_count is not None else 0)
     ncols = len(clean.columns)
     n = F.greatest(F.col("n"), F.lit(1))

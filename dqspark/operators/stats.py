@@ -7,8 +7,8 @@ median over a 100 TB column would sit in one task. Here two scans find each quan
    and maximum, the counts of -inf / +inf and, from a KLL sketch of fixed size, two values
    that enclose each wanted quantile (``WINDOW`` of the ranks to either side);
 2. one exact scan counts the values below that window and groups those inside by value
-   (``groupBy`` with map-side combine; about ``2 * WINDOW`` of the distinct values), staged as
-   ``(target, value, count)``. Histogram refinement on the staged counts then finds the rank:
+   (``groupBy`` with map-side combine; about ``2 * WINDOW`` of the distinct values), kept as
+   ``(target, value, count)``. Histogram refinement on the kept counts then finds the rank:
    per round at most ``buckets`` groups per target, the bucket holding the rank becomes the
    next range, a range that holds a single value settles it; no value is fetched.
 
@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.functions.scalar import is_float
-from dqspark.session import staged
 
 POS_INF = float("inf")
 NEG_INF = float("-inf")
@@ -118,7 +118,7 @@ def _window_counts(df: DataFrame, windows: list[tuple[str, float, float]]) -> Da
         entries.append(F.when(v < lo, below).when(v <= hi, F.struct(F.lit(i).alias("t"), v.alias("v"))))
     counts = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
               .groupBy(F.col("e.t").alias("t"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    return staged(counts, "quantile-windows")
+    return counts.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def kth_values(df: DataFrame, targets: list[tuple], ranges: dict[str, dict],
@@ -158,6 +158,7 @@ def kth_values(df: DataFrame, targets: list[tuple], ranges: dict[str, dict],
                 else:
                     wide.append([col, k, ranges[col]["lo"], ranges[col]["hi"], ranges[col]["neg"]])
         values = _refine(counts, inside, lambda t: F.when(F.col("t") == t, F.col("v")), F.col("c"), buckets)
+        counts.unpersist()
         out.update({(windows[t][0], k): v for (t, k), v in values.items()})
     out.update(_refine(df, wide, lambda c: value_of(df, c), F.lit(1), buckets))
     return out

@@ -4,6 +4,7 @@ profile(raw) -> exact dedup -> near-duplicate dedup on ``match_col`` -> repair -
 anomaly flags -> quality index. Every stage is a DataFrame function; the job
 only decides where to cut lineage:
 
+* after parsing a CSV path: the profile and the exact dedup read its columns several times;
 * after exact dedup: its shuffle output feeds counts, ranking and the anti join;
 * after scoring (inside ``detect_anomalies``): the scored table feeds the cut, the
   flags, the quality aggregate, the preview and the sink, so the forest scores
@@ -81,10 +82,13 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     ensure_checkpoint_dir(spark)
     t0 = time.time()
     raw = load(spark, source, **csv_options)
+    parsed = isinstance(source, str)
+    if parsed:                                          # CSV text is parsed once
+        raw = staged(raw, "raw")
     if match_col is None:
         match_col = default_match_column(raw.columns)   # P4
 
-    ptab, pcols = profile.profile(raw, approx)
+    ptab, pcols = profile.profile(raw, approx, rescan=parsed)
     ptab_row = ptab.first().asDict()
     pcols_rows = [r.asDict() for r in pcols.orderBy("position").collect()]
     raw_count = int(ptab_row["total_records"])
@@ -101,7 +105,7 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     # scored once and staged inside: the cut, the count and the sink read it
     final, anomaly_count = anomaly.detect_anomalies(repaired, approx=approx, n_rows=clean_count,
                                                     feature_cols=feature_cols)
-    cqi = quality.quality_index(final, raw_count, anomaly_count, approx).first().asDict()
+    cqi = quality.quality_index(final, raw_count, anomaly_count, approx, rescan=True).first().asDict()
     return CleanResult(ptab_row, pcols_rows, exact_removed, fz.removed, matches, total_repairs, log,
                        anomaly_count, cqi, raw_count, clean_count, final, final.columns,
                        {"values": fz.values, "pairs": fz.pairs, "rounds": fz.rounds,

@@ -82,6 +82,17 @@ def q_profile_events_columns(spark, sf_dir):
     return prof.profile_columns(table(spark, sf_dir, "events"))
 
 
+LINEITEM_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+                  ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                  ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+
+
+@register("profile_lineitem_columns", _profile_columns_sql("SELECT * FROM lineitem", LINEITEM_TYPES))
+def q_profile_lineitem_columns(spark, sf_dir):
+    """A2-A6 on a scanned table: keys by bitmaps, other columns by digests."""
+    return prof.profile_columns(table(spark, sf_dir, "lineitem"), rescan=True)
+
+
 # ---------------------------------------------------------------------------
 # D1, A13 exact duplicates; A8, T1, W1 frequencies and ranks
 

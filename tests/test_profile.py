@@ -48,9 +48,9 @@ def test_counts_by_digest_and_by_bitmap_agree_with_brute_force(spark, bitmaps):
 def test_bitmaps_are_taken_for_dense_integers_only(spark):
     df = spark.range(0, 60_000, 1, 3).selectExpr("id", "id * 1000003 AS wide", "id % 4 AS code", "cast(null AS int) AS none")
     assert profile.bitmap_columns(df) == ["id"]
-    counts = {r.column: (r.null_count, r.unique_count) for r in profile_columns(df).collect()}
+    counts = {r.column: (r.null_count, r.unique_count) for r in profile_columns(df, rescan=True).collect()}
     assert counts == {"id": (0, 60_000), "wide": (0, 60_000), "code": (0, 4), "none": (60_000, 0)}
-    plan = profile.profile_stats(df)._jdf.queryExecution().executedPlan().toString()
+    plan = profile.profile_stats(df, rescan=True)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "bitmap_construct_agg" in plan
 
 
