@@ -225,14 +225,41 @@ def score_column(forest: Forest, cols: list[str]) -> Column:
     return _score(F.struct(*[v.alias(f"f{i}") for i, v in enumerate(feature_values(cols))]))
 
 
+def score_native(forest: Forest, cols: list[str]) -> Column:
+    """M3 without Python workers: the same walk as nested ``aggregate`` over array literals.
+
+    All trees lie in one set of arrays; a leaf points to itself, so every tree takes the same
+    number of steps, and the leaf values are added in tree order as ``Forest`` adds them.
+    """
+    starts = np.cumsum([0] + [len(t[0]) for t in forest.trees])[:-1]
+    feat, split, left, right, leaf = [], [], [], [], []
+    for at, (f, t, lo, hi, end) in zip(starts, forest.trees, strict=True):
+        me = np.arange(len(f)) + at
+        feat.append(np.maximum(f, 0)); split.append(np.where(f >= 0, t, np.inf)); leaf.append(end)
+        left.append(np.where(f >= 0, lo + at, me)); right.append(np.where(f >= 0, hi + at, me))
+    feat, left, right = (F.lit(np.concatenate(a).astype(np.int32)) for a in (feat, left, right))
+    split, leaf = F.lit(np.concatenate(split).astype(float)), F.lit(np.concatenate(leaf).astype(float))
+    roots, steps = F.lit(starts.astype(np.int32)), F.lit(np.arange(max(forest.max_depth, 1), dtype=np.int32))
+    c = float(average_path_length([forest.psi])[0]) or 1.0
+
+    def score(x):
+        step = lambda node, _: F.when(F.get(x, F.get(feat, node)) <= F.get(split, node), F.get(left, node)).otherwise(F.get(right, node))
+        total = F.aggregate(roots, F.lit(0.0), lambda acc, root: acc + F.get(leaf, F.aggregate(steps, root, step)))
+        return F.pow(F.lit(2.0), -(total / float(max(len(forest.trees), 1))) / c)
+
+    # a lambda variable holds the features, so they are made once a row
+    return F.get(F.transform(F.array(F.array(*feature_values(cols))), score), F.lit(0))
+
+
 # --------------------------------------------------------------------------- M4-M6
 
 def detect_anomalies(df: DataFrame, contamination: float = CONTAMINATION, seed: int = SEED,
                      feature_cols: list[str] | None = None, n_trees: int = N_TREES,
                      max_samples: int = MAX_SAMPLES, approx: bool = False,
-                     n_rows: int | None = None) -> tuple[DataFrame, int]:
+                     n_rows: int | None = None, native: bool = False) -> tuple[DataFrame, int]:
     """M6: returns (table with ``anomaly_flag``, anomaly count).
 
+    ``native=True`` scores in the JVM (``score_native``) instead of an Arrow UDF.
     ``approx=True`` takes the cut from ``percentile_approx`` (A16) in one pass.
     ``n_rows`` saves the counting pass when the caller knows the row count.
     Every row is scored once: the scored table is staged, and the cut, the count and the
@@ -245,7 +272,7 @@ def detect_anomalies(df: DataFrame, contamination: float = CONTAMINATION, seed:
         return staged(base.withColumn(FLAG_COLUMN, F.lit(NORMAL)), "anomaly-flags"), 0
     forest_df, psi = fit_forest(base, cols, n, n_trees, max_samples, seed)
     forest = Forest(forest_df, psi)
-    scored = staged(spread_for_cpu(base).withColumn("__score", score_column(forest, cols)), "anomaly-scores")
+    scored = staged(spread_for_cpu(base).withColumn("__score", (score_native if native else score_column)(forest, cols)), "anomaly-scores")
     neg = scored.select((-F.col("__score")).alias("s"))
     if approx:
         cut = stats.approx_quantiles(neg, {"s": [contamination]})[("s", contamination)]

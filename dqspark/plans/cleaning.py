@@ -50,9 +50,9 @@ class CleanResult:
     columns: list[str]
     stats: dict = field(default_factory=dict)
 
-    def preview(self, n: int = PREVIEW_ROWS) -> DataFrame:
-        """T4 + C1: first rows, NaN/inf as null."""
-        return sanitize(self.table).limit(n)
+    def preview(self, n: int = PREVIEW_ROWS, order_by: list[str] | None = None) -> DataFrame:
+        """T4 + C1: first rows, NaN/inf as null; in the order of ``order_by`` (else as the scan gives them)."""
+        return first_rows(self.table, n, order_by)
 
     def first_matches(self, n: int = dedup.MATCHES_SHOWN) -> DataFrame:
         """The first ``n`` matches, for display."""
@@ -63,6 +63,12 @@ class CleanResult:
                                      self.anomaly_count, self.raw_count, self.clean_count)
 
 
+def first_rows(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows, NaN/inf as null (ordered: a bounded top ``n`` of each task)."""
+    shown = sanitize(df)
+    return (shown.orderBy(*[F.col(f"`{c}`") for c in order_by]) if order_by else shown).limit(n)
+
+
 def load(spark: SparkSession, source: DataFrame | str, encoding: str | None = None, multiline: bool = True,
          schema: T.StructType | None = None) -> DataFrame:
     return csv_source.read_csv(spark, source, encoding, multiline, schema) if isinstance(source, str) else source

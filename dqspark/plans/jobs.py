@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from dqspark.plans.cleaning import UPLOAD_PREVIEW_ROWS, clean_table
+from dqspark.plans.cleaning import UPLOAD_PREVIEW_ROWS, clean_table, first_rows
 from dqspark.plans.runs import RunStore, now
 from dqspark.sources import csv as csv_source
 from dqspark.sources import sinks
@@ -29,7 +29,7 @@ def register_upload(spark: SparkSession, store: RunStore, path: str, job_id: str
     df = csv_source.read_csv(spark, path, **csv_options)
     meta = sinks.input_metadata(spark, job_id, os.path.basename(path.rstrip("/")), df, path).first().asDict()
     store.record(job_id, "uploaded", **{k: v for k, v in meta.items() if k not in ("job_id", "status")})
-    preview = [r.asDict() for r in sinks.sanitize(df).limit(UPLOAD_PREVIEW_ROWS).collect()]
+    preview = [r.asDict() for r in first_rows(df, UPLOAD_PREVIEW_ROWS).collect()]
     return {**meta, "preview": preview}
 
 

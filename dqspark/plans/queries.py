@@ -6,6 +6,7 @@ the pre-registered table views; it must produce the same column names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -550,6 +551,8 @@ from dqspark.operators import quality as qual  # noqa: E402
 from dqspark.operators import anomaly as anom  # noqa: E402
 from dqspark.plans import runs as runs_mod  # noqa: E402
 from dqspark.sources import csv as csv_source  # noqa: E402
+from dqspark.plans import cleaning  # noqa: E402
+from dqspark.session import ensure_checkpoint_dir, staged  # noqa: E402
 from dqspark.sources import sinks  # noqa: E402
 
 _QCOLS = ["text", "lang", "source", "quality", "toxic", "anomaly_flag"]
@@ -839,3 +842,124 @@ def q_people_issues(spark, sf_dir):
 def q_file_checksum(spark, sf_dir):
     c = sinks.checksums(spark, sf_dir, "*.parquet")
     return c.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "checksum")
+
+
+# ---------------------------------------------------------------------------
+# sinks, records and models written and read again
+
+def scratch(spark, name: str) -> str:
+    """A new folder under the session's checkpoint folder, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_TRICKY_SQL = """
+    SELECT CAST(c_custkey AS BIGINT) AS id, '"' || c_name || '", ' || chr(10) || c_mktsegment AS note,
+           CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer"""
+
+
+@register("csv_round_trip", _TRICKY_SQL)
+def q_csv_round_trip(spark, sf_dir):
+    """S7 + S1-S4: customers with quotes, commas and line breaks in a text, written as CSV and read again."""
+    path = scratch(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit('"'), "c_name", F.lit('", \n'), "c_mktsegment").alias("note"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance")), path)
+    return csv_source.read_csv(spark, path)
+
+
+@register("report_round_trip", """
+    SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1""")
+def q_report_round_trip(spark, sf_dir):
+    """A frequency report as JSON, read again."""
+    path = scratch(spark, "report")
+    sinks.write_report(dedup.value_frequencies(table(spark, sf_dir, "orders"), "o_orderpriority"), path, only_if_rows=True)
+    return spark.read.schema("value string, count long").json(path)
+
+
+@register("input_facts", """
+    SELECT 'job' AS job_id, 'orders.parquet' AS filename, count(*) AS rows, 'o_orderkey' AS first_column, 'uploaded' AS status,
+           true AS has_checksum FROM orders""")
+def q_input_facts(spark, sf_dir):
+    """S10 + S9: the metadata row of the orders file."""
+    df = table(spark, sf_dir, "orders")
+    meta = sinks.input_metadata(spark, "job", "orders.parquet", df, f"{sf_dir}/orders.parquet")
+    return meta.select("job_id", "filename", "rows", F.col("columns")[0].alias("first_column"), "status",
+                       ((F.length("input_checksum") == 12) & (F.col("file_size_bytes") > 0)).alias("has_checksum"))
+
+
+@register("run_metrics", """
+    SELECT 'orders' AS run_id, 'total_records' AS key, CAST(count(*) AS DOUBLE) AS value FROM orders
+    UNION ALL SELECT 'orders', 'total_nulls', 0.0
+    UNION ALL SELECT 'lineitem', 'total_records', CAST(count(*) AS DOUBLE) FROM lineitem
+    UNION ALL SELECT 'lineitem', 'total_nulls', 0.0""")
+def q_run_metrics(spark, sf_dir):
+    """The profiles of two tables logged as run metrics, merged into one file, read again."""
+    store = runs_mod.RunStore(spark, scratch(spark, "store"))
+    for name in ("orders", "lineitem"):
+        row = prof.profile_table(table(spark, sf_dir, name)).first()
+        store.log_metrics(name, {"total_records": row["total_records"], "total_nulls": row["total_nulls"]})
+    store.compact("metrics", before="9999-12-31")
+    return store.metrics().select("run_id", "key", "value")
+
+
+@register("run_history_compacted", QUERIES["run_history"][1])
+def q_run_history_compacted(spark, sf_dir):
+    """S11 + K10: the status rows of all jobs stored by month, half of the months merged; the same history."""
+    store = runs_mod.RunStore(spark, scratch(spark, "store"), period="yyyy-MM")
+    rows = run_rows(spark, sf_dir)
+    absent = [f for f in runs_mod.RUN_SCHEMA.fields if f.name not in rows.columns]
+    full = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
+    store.append("runs", full.select(*runs_mod.RUN_SCHEMA.names), F.col("updated_at"))
+    first, last = rows.agg(F.min("updated_at"), F.max("updated_at")).first()
+    store.compact("runs", before=(first + (last - first) / 2).strftime("%Y-%m"))
+    stored = store.runs()
+    return runs_mod.run_history(runs_mod.latest_runs(stored), outputs_from_lineitem(spark, sf_dir), stored).select(
+        "job_id", "status", "cqi_score", F.col("clean_records").cast("double").alias("clean_records"))
+
+
+@register("stored_outputs", """
+    SELECT o_orderstatus AS job_id, count(*) AS clean_records, o_orderstatus || '_clean.csv' AS file FROM orders GROUP BY 1, 3""")
+def q_stored_outputs(spark, sf_dir):
+    """A18 + S7: the orders of each status stored as the output of a job; rows counted over all stored outputs."""
+    store = runs_mod.RunStore(spark, scratch(spark, "store"))
+    orders = table(spark, sf_dir, "orders")
+    for status in ("F", "O", "P"):
+        sinks.write_csv(orders.where(F.col("o_orderstatus") == status), store.output_path(status))
+    return store.outputs().select("job_id", "clean_records", "file")
+
+
+@register("anomaly_model", """
+    SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS native_differing, 100 AS trees, CAST(25600 AS BIGINT) AS sampled
+    FROM lineitem""")
+def q_anomaly_model(spark, sf_dir):
+    """A forest fitted, saved and loaded scores every line item as the fitted one does, and so
+    do the scores made in the JVM."""
+    li, path = table(spark, sf_dir, "lineitem"), scratch(spark, "forest")
+    cols = anom.feature_columns(li)
+    forest, psi = anom.forest_table(li)
+    forest = staged(forest, "forest")
+    anom.save_forest(forest, path, psi)
+    fitted, loaded = anom.Forest(forest, psi), anom.load_forest(spark, path)
+    shape = forest.agg(F.count_distinct("tree").cast("int").alias("trees"),
+                       F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("sampled")).first()
+    scores = li.select(anom.score_column(fitted, cols).alias("a"), anom.score_column(loaded, cols).alias("b"),
+                       anom.score_native(loaded, cols).alias("c"))
+    return scores.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("differing"),
+                      F.count_if(F.abs(F.col("a") - F.col("c")) > 1e-12).alias("native_differing"),
+                      F.lit(shape["trees"]).alias("trees"), F.lit(shape["sampled"]).alias("sampled"))
+
+
+@register("matches_shown", _fuzzy_sql(90, "s_name", "supplier", UNCAPPED, True) + """
+    SELECT e.original, e.duplicate, e.similarity FROM matches m
+    JOIN edges e ON e.rank_i = m.rank_i AND e.rank_j = m.rank_j ORDER BY m.rank_i, m.rank_j LIMIT 20""")
+def q_matches_shown(spark, sf_dir):
+    """T2 + T3: the first matches by rank, for display."""
+    r = dedup.fuzzy_dedup(table(spark, sf_dir, "supplier"), "s_name", 90, max_values=None)
+    return r.first_matches(dedup.MATCHES_SHOWN).select("original", "duplicate", "similarity")
+
+
+@register("preview_rows", """
+    SELECT id, name, email, age, balance, segment FROM (""" + PEOPLE_SQL + """) p ORDER BY name, id LIMIT 50""")
+def q_preview_rows(spark, sf_dir):
+    """The first rows in a stated order, infinities as null."""
+    return cleaning.first_rows(people(spark, sf_dir), cleaning.PREVIEW_ROWS, ["name", "id"])

@@ -10,12 +10,19 @@ Under a runs folder:
 * ``outputs/``  clean tables, one folder ``<job_id>_clean.csv`` per job.
 
 Appends never rewrite earlier files, so concurrent jobs and retried tasks only add
-rows; readers take the latest row per job.
+rows; readers take the latest row per job. Rows lie under ``log/<table>/period=<day>``, the
+day on which they were written. ``compact`` merges the many one-row files of days that
+are over into few files under ``compact/<table>/run=<id>/period=<day>`` and then appends one
+file to ``manifest/<table>`` that names the days and the run. Appending that file is the only
+step readers can see: before it they read a day's own files, after it the merged
+ones, never both, because both sides are pruned by partition with the same manifest. Tables
+written flat under ``<table>/`` by earlier versions are read as well.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +52,7 @@ RUN_SCHEMA = T.StructType([
 
 PARAM_SCHEMA = "run_id string, key string, value string, ts timestamp"
 LEDGER_SCHEMA = "batch long, job_id string, path string, outcome string, ended_at timestamp"
+MANIFEST_SCHEMA = "period string, run string, rows long, merged_at timestamp"
 METRIC_SCHEMA = "run_id string, key string, value double, ts timestamp"
 OUTPUT_FOLDER = r"([^/]+_clean\.csv)/[^/]*$"
 FINISHED = ("complete", "error")
@@ -54,9 +62,19 @@ def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def _schema(text_or_type) -> T.StructType:
+    return T._parse_datatype_string(text_or_type) if isinstance(text_or_type, str) else text_or_type
+
+
+SCHEMAS = {"runs": RUN_SCHEMA, "params": PARAM_SCHEMA, "metrics": METRIC_SCHEMA, "ledger": LEDGER_SCHEMA}
+GRACE = timedelta(days=2)      # a day is over for writers this long after its end
+
+
 class RunStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``period`` is the date pattern of the folders: days, or coarser for a store of few rows."""
+
+    def __init__(self, spark: SparkSession, root: str, period: str = "yyyy-MM-dd"):
+        self.spark, self.root, self.period = spark, root.rstrip("/"), period
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -66,49 +84,94 @@ class RunStore:
         row = {f.name: None for f in RUN_SCHEMA.fields}
         row.update(facts)
         row.update(job_id=job_id, status=status, updated_at=now())
-        self.spark.createDataFrame([tuple(row[f.name] for f in RUN_SCHEMA.fields)], RUN_SCHEMA) \
-            .write.mode("append").parquet(self.path("runs"))
+        self.append("runs", self.spark.createDataFrame([tuple(row[f.name] for f in RUN_SCHEMA.fields)], RUN_SCHEMA))
 
     def log_params(self, run_id: str, params: dict) -> None:
         """S11 parameters."""
         ts = now()
         rows = [(run_id, k, None if v is None else str(v), ts) for k, v in params.items()]
-        self.spark.createDataFrame(rows, PARAM_SCHEMA).write.mode("append").parquet(self.path("params"))
+        self.append("params", self.spark.createDataFrame(rows, PARAM_SCHEMA))
 
     def log_metrics(self, run_id: str, metrics: dict) -> None:
         """S11 metrics."""
         ts = now()
         rows = [(run_id, k, None if v is None else float(v), ts) for k, v in metrics.items()]
-        self.spark.createDataFrame(rows, METRIC_SCHEMA).write.mode("append").parquet(self.path("metrics"))
+        self.append("metrics", self.spark.createDataFrame(rows, METRIC_SCHEMA))
 
     def end_of_file(self, batch: int, job_id: str, path: str, outcome: str) -> None:
         """The job of a landed file has ended, whatever its outcome."""
-        self.spark.createDataFrame([(batch, job_id, path, outcome, now())], LEDGER_SCHEMA) \
-            .write.mode("append").parquet(self.path("ledger"))
+        self.append("ledger", self.spark.createDataFrame([(batch, job_id, path, outcome, now())], LEDGER_SCHEMA))
+
+    def append(self, name: str, rows: DataFrame, at=None) -> None:
+        """Append ``rows`` to a table; ``at`` (a column) is their time when they come from elsewhere."""
+        period = F.date_format(at if at is not None else F.lit(now()), self.period)
+        rows.withColumn("period", period).write.mode("append").partitionBy("period").parquet(self.path(f"log/{name}"))
+
+    def compact(self, name: str = "runs", before: str | None = None) -> int:
+        """Merge the files of the periods up to ``before`` (text of a period, exclusive; default: those
+        over for ``GRACE``). Returns the number of periods merged. A period that got
+        rows after its merge is merged again; periods (one a day) are all the driver sees."""
+        at = F.date_format(F.lit(now() - GRACE), self.period)
+        live = self._live(name).where(F.col("period") < (F.lit(before) if before is not None else at))
+        known = self._manifest(name).select("period", F.col("rows").alias("__merged"))
+        todo = [r["period"] for r in live.groupBy("period").agg(F.count(F.lit(1)).alias("__rows"))
+                .join(known, "period", "left").where(~F.col("__merged").eqNullSafe(F.col("__rows"))).collect()]
+        if not todo:
+            return 0
+        run = uuid.uuid4().hex
+        folder = self.path(f"compact/{name}/run={run}")
+        # rebalance: a period holding most rows is split, small ones share a task
+        live.where(F.col("period").isin(todo)).hint("rebalance", "period").write.partitionBy("period").parquet(folder)
+        merged = self.spark.read.schema(live.schema).parquet(folder)
+        (merged.groupBy("period").agg(F.count(F.lit(1)).alias("rows"))
+         .select("period", F.lit(run).alias("run"), "rows", F.lit(now()).alias("merged_at"))
+         .coalesce(1).write.mode("append").parquet(self.path(f"manifest/{name}")))      # one file: seen whole or not at all
+        return len(todo)
 
     def output_path(self, job_id: str) -> str:
         return self.path(f"outputs/{job_id}_clean.csv")
 
     # ------------------------------------------------------------------ reads
-    def _read(self, name: str, schema) -> DataFrame:
+    def _stored(self, path: str, schema: T.StructType) -> DataFrame:
         # any filesystem the cluster names (no local-disk checks): a table not
         # written yet reads as empty
         try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
+            return self.spark.read.schema(schema).parquet(self.path(path))
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
+    def _live(self, name: str) -> DataFrame:
+        return self._stored(f"log/{name}", T.StructType(_schema(SCHEMAS[name]).fields + [T.StructField("period", T.StringType())]))
+
+    def _manifest(self, name: str) -> DataFrame:
+        """The last merge of each period."""
+        m = self._stored(f"manifest/{name}", _schema(MANIFEST_SCHEMA))
+        last = F.struct("merged_at", "run", "rows")
+        return m.groupBy("period").agg(F.max(last).alias("m")).select("period", "m.run", "m.rows")
+
+    def _read(self, name: str) -> DataFrame:
+        schema = _schema(SCHEMAS[name])
+        merged = [(r["run"], r["period"]) for r in self._manifest(name).collect()]      # one row a day
+        out = self._stored(name, schema).unionByName(
+            self._live(name).where(~F.col("period").isin([p for _, p in merged])).select(*schema.names))
+        if merged:
+            keys = [T.StructField("run", T.StringType()), T.StructField("period", T.StringType())]
+            out = out.unionByName(self._stored(f"compact/{name}", T.StructType(schema.fields + keys))
+                                  .where(F.concat_ws("/", "run", "period").isin([f"{r}/{p}" for r, p in merged]))
+                                  .select(*schema.names))
+        return out
+
     def runs(self) -> DataFrame:
-        return self._read("runs", RUN_SCHEMA)
+        return self._read("runs")
 
     def params(self) -> DataFrame:
-        return self._read("params", T._parse_datatype_string(PARAM_SCHEMA))
+        return self._read("params")
 
     def metrics(self) -> DataFrame:
-        return self._read("metrics", T._parse_datatype_string(METRIC_SCHEMA))
+        return self._read("metrics")
 
     def ledger(self) -> DataFrame:
-        return self._read("ledger", T._parse_datatype_string(LEDGER_SCHEMA))
+        return self._read("ledger")
 
     def latest(self) -> DataFrame:
         return latest_runs(self.runs())

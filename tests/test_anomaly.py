@@ -1,7 +1,10 @@
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
+from dqspark.operators import anomaly
 from dqspark.operators.anomaly import detect_anomalies
 
 
@@ -56,3 +59,15 @@ def test_many_copies_are_dealt_in_chunks(spark, monkeypatch):
     assert {r.d1: (r["count"], r.ks) for r in rows.groupBy("d1").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("k").alias("ks")).collect()} \
         == {1: (1, 1), 2: (100, 100), 3: (101, 101), 4: (1234, 1234)}
     assert rows.select("u").distinct().count() == rows.count()
+
+
+def test_native_scores_equal_the_numpy_walk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), int(b), None if i % 9 else float("inf")) for i, (a, b) in enumerate(zip(rng.normal(size=400), rng.integers(0, 5, 400)))]
+    df = spark.createDataFrame(rows, "a double, b int, c double")
+    cols = ["a", "b", "c"]
+    fdf, psi = anomaly.fit_forest(df, cols, n_trees=20)
+    forest = anomaly.Forest(fdf, psi)
+    both = df.select(anomaly.score_column(forest, cols).alias("s"), anomaly.score_native(forest, cols).alias("t"))
+    assert "Python" not in df.select(anomaly.score_native(forest, cols))._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(r.s - r.t) < 1e-12 for r in both.collect())

@@ -1,7 +1,9 @@
 import os
 import time
+from datetime import datetime
 
 from conftest import SAMPLE_CSV
+from pyspark.sql import functions as F
 
 from dqspark.plans.jobs import register_upload, run_job
 from dqspark.plans.runs import RunStore
@@ -88,3 +90,33 @@ def test_empty_store_reads_empty(spark, tmp_path):
     assert store.outputs().count() == 0 and store.history().count() == 0
     c = store.counters().first()
     assert c.active_jobs == 0 and c.total_jobs == 0
+
+
+def _state(store, name="runs"):
+    return sorted(map(str, store._read(name).collect()))
+
+
+def test_compaction_shows_old_or_new_never_both(spark, tmp_path, monkeypatch):
+    store = RunStore(spark, str(tmp_path / "store"))
+    for i in range(6):
+        store.record(f"j{i % 3}", ["uploaded", "complete"][i // 3], rows=i)
+    old = spark.createDataFrame([("k1", "a", "b", datetime(2020, 1, 1 + i % 2)) for i in range(5)], "run_id string, key string, value string, ts timestamp")
+    store.append("params", old, F.col("ts"))
+    store.log_params("r", {"p": 1, "q": None})
+    before = _state(store), _state(store, "params"), _state(store, "metrics")
+    assert store.compact("runs") == 0 and store.compact("metrics") == 0          # today is not over
+    assert store.compact("runs", before="9999-12-31") == 1
+    assert store.compact("params") == 2                                          # the two old days
+    assert store.compact("params") == 0 and store.compact("runs", before="9999-12-31") == 0
+    assert (_state(store), _state(store, "params"), _state(store, "metrics")) == before
+    # rows after a merge: seen only once the period is merged again, so nothing is counted twice
+    store.append("params", old.limit(1), F.col("ts"))
+    assert store.compact("params") == 1
+    assert len(_state(store, "params")) == len(before[1]) + 1
+    # a merge that stops before its manifest row changes nothing
+    store.append("params", old.select("run_id", "key", "value", F.lit(datetime(2020, 5, 5)).alias("ts")), F.col("ts"))
+    seen = _state(store, "params")
+    (tmp_path / "store" / "compact" / "params" / "run=stopped" / "period=2020-05-05").mkdir(parents=True)
+    spark.read.parquet(f"{store.root}/log/params/period=2020-05-05").write.mode("append").parquet(
+        f"{store.root}/compact/params/run=stopped/period=2020-05-05")
+    assert _state(store, "params") == seen
