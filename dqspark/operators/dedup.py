@@ -78,10 +78,17 @@ def exact_dedup(df: DataFrame) -> tuple[DataFrame, int]:
 
 # --------------------------------------------------------------------------- A8, T1, W1
 
-def value_frequencies(df: DataFrame, col: str) -> DataFrame:
-    """``(value, count)`` of the present values of ``col`` as text."""
-    return (df.select(_c(col).cast("string").alias("value")).where(F.col("value").isNotNull())
-            .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
+def value_frequencies(df: DataFrame, col: str, order_col: str | None = None) -> DataFrame:
+    """``(value, count)`` of the present values of ``col`` as text (C5); with ``order_col`` also
+    ``first``, the smallest value of that column on the value's rows."""
+    aggs = [F.count(F.lit(1)).alias("count")] + ([F.min("first").alias("first")] if order_col else [])
+    cols = [_c(col).cast("string").alias("value")] + ([_c(order_col).alias("first")] if order_col else [])
+    return df.select(*cols).where(F.col("value").isNotNull()).groupBy("value").agg(*aggs)
+
+
+def _rank_order(freq: DataFrame) -> list:
+    """Count descending, then where first seen (if known, unknown last), then value."""
+    return [F.desc("count"), *([F.asc_nulls_last("first")] if "first" in freq.columns else []), F.asc("value")]
 
 
 def top_values(freq: DataFrame, k: int) -> DataFrame:
@@ -113,9 +120,9 @@ def top_values(freq: DataFrame, k: int) -> DataFrame:
             above += r["n"]
         # fewer than k values in all: every one is in
         cand = freq if cut is None else freq.where(F.col("count") >= F.lit(cut))
-        order = [F.desc("count"), F.asc("value")]
+        order = _rank_order(freq)
         ranked = (cand.orderBy(*order)
-                  .select("value", "count", F.spark_partition_id().alias("__pid"),
+                  .select(*freq.columns, F.spark_partition_id().alias("__pid"),
                           F.monotonically_increasing_id().alias("__pos"))
                   .checkpoint())      # fixes the sorted layout for the offsets below
         sizes = sorted((r["__pid"], r["n"]) for r in
@@ -131,10 +138,10 @@ def top_values(freq: DataFrame, k: int) -> DataFrame:
         cond = F.lit(False)
         for pid, take in keep:
             cond = cond | ((F.col("__pid") == pid) & (idx < take))
-        top = ranked.where(cond).select("value", "count")
+        top = ranked.where(cond).select(*freq.columns)
     finally:
         freq.unpersist()
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("first")
 
 
 def rank_all(freq: DataFrame) -> DataFrame:
@@ -146,7 +153,7 @@ def rank_all(freq: DataFrame) -> DataFrame:
     a rank, so no task sees more than its own partition.
     """
     ensure_checkpoint_dir(freq.sparkSession)
-    placed = (freq.orderBy(F.desc("count"), F.asc("value"))
+    placed = (freq.orderBy(*_rank_order(freq))
               .withColumn("__id", F.monotonically_increasing_id()).checkpoint()
               .withColumn("__part", F.shiftright("__id", 33)))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -156,8 +163,10 @@ def rank_all(freq: DataFrame) -> DataFrame:
         "value", "count", (F.col("__before") + inside + 1).cast("long").alias("rank")).checkpoint()
 
 
-def ranked_values(df: DataFrame, col: str, max_values: int | None = DEFAULT_MAX_VALUES) -> DataFrame:
-    freq = value_frequencies(df, col)
+def ranked_values(df: DataFrame, col: str, max_values: int | None = DEFAULT_MAX_VALUES,
+                  order_col: str | None = None) -> DataFrame:
+    """``(value, count, rank)``; ties by value, or by where first seen in the order of ``order_col``."""
+    freq = value_frequencies(df, col, order_col)
     return top_values(freq, max_values) if max_values is not None else rank_all(freq)
 
 
@@ -255,15 +264,18 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
 
 def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
                 max_values: int | None = DEFAULT_MAX_VALUES,
-                first_block: int = FIRST_BLOCK) -> FuzzyResult:
-    """Drop every row whose ``col`` value is a near copy of an earlier kept value."""
+                first_block: int = FIRST_BLOCK, order_col: str | None = None) -> FuzzyResult:
+    """Drop every row whose ``col`` value is a near copy of an earlier kept value.
+
+    Values are ranked by count; ``order_col`` ranks equally frequent ones by where they are first seen.
+    """
     spark = df.sparkSession
     if col not in df.columns:          # P5
         empty = spark.createDataFrame([], "original string, duplicate string, similarity double, "
                                           "rank_i long, rank_j long")
         return FuzzyResult(df, 0, empty, 0, 0, 0, spark.createDataFrame([], "value string, count long"))
     ensure_checkpoint_dir(spark)
-    nodes = ranked_values(df, col, max_values)
+    nodes = ranked_values(df, col, max_values, order_col)
     if max_values is not None:
         nodes = nodes.checkpoint()
     n_values = nodes.count()

@@ -79,8 +79,9 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
                 max_values: int | None = dedup.DEFAULT_MAX_VALUES,
                 approx: bool = False, age_columns: list[str] | None = None,
                 email_columns: list[str] | None = None, feature_cols: list[str] | None = None,
-                **csv_options) -> CleanResult:
-    """K8: the seven stages on a table or a CSV path.
+                order_col: str | None = None, **csv_options) -> CleanResult:
+    """K8: the seven stages on a table or a CSV path. ``order_col`` ranks equally frequent match values
+    by where they are first seen.
 
     ``age_columns``, ``email_columns`` and ``feature_cols`` replace the choice by name and
     type; ``csv_options`` are ``encoding``, ``multiline`` and ``schema`` of a CSV path.
@@ -103,7 +104,7 @@ def clean_table(spark: SparkSession, source: DataFrame | str, match_col: str | N
     deduped = staged(deduped, "exact-dedup")
     exact_count = raw_count - exact_removed
 
-    fz = dedup.fuzzy_dedup(deduped, match_col, threshold, max_values)
+    fz = dedup.fuzzy_dedup(deduped, match_col, threshold, max_values, order_col=order_col)
     matches = fz.matches.checkpoint()
 
     repaired, total_repairs, log = repair.repair(fz.table, age_columns, email_columns, approx)

@@ -963,3 +963,56 @@ def q_matches_shown(spark, sf_dir):
 def q_preview_rows(spark, sf_dir):
     """The first rows in a stated order, infinities as null."""
     return cleaning.first_rows(people(spark, sf_dir), cleaning.PREVIEW_ROWS, ["name", "id"])
+
+
+@register("ranks_first_seen", """
+    SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS count,
+           row_number() OVER (ORDER BY count(*) DESC, min(l_orderkey), CAST(l_partkey AS VARCHAR)) AS rank
+    FROM lineitem GROUP BY l_partkey""")
+def q_ranks_first_seen(spark, sf_dir):
+    """A8 + W1: parts by frequency, equally frequent ones by the first order that has them."""
+    return dedup.ranked_values(table(spark, sf_dir, "lineitem"), "l_partkey", order_col="l_orderkey")
+
+
+@register("tracked_run", _CLEAN_PEOPLE_SQL + """,
+    c AS (SELECT count(*) AS n, (SELECT count(*) FROM customer) AS raw,
+                 count(*) FILTER (WHERE age < 0 OR age > 120) + count(*) FILTER (WHERE balance IS NULL)
+                 + count(*) FILTER (WHERE name IS NULL) + count(*) FILTER (WHERE email IS NULL)
+                 + count(*) FILTER (WHERE NOT coalesce(contains(email, '@'), false))
+                 + count(*) FILTER (WHERE segment IS NULL) AS fixed FROM p)
+    SELECT 'exact_duplicates_removed' AS key, CAST(0 AS DOUBLE) AS value FROM c
+    UNION ALL SELECT 'fuzzy_duplicates_removed', CAST(raw - n AS DOUBLE) FROM c
+    UNION ALL SELECT 'total_repairs', CAST(fixed AS DOUBLE) FROM c
+    UNION ALL SELECT 'clean_count', CAST(n AS DOUBLE) FROM c
+    UNION ALL SELECT 'records_saved', CAST(raw AS DOUBLE) FROM c
+    UNION ALL SELECT 'clean rows stored', CAST(n AS DOUBLE) FROM c""")
+def q_tracked_run(spark, sf_dir):
+    """K9: the tracked job on the dirty customer view; its stored metrics and the rows of its stored table."""
+    out = scratch(spark, "tracked")
+    store = runs_mod.RunStore(spark, f"{out}/runs")
+    cleaning.run_tracked(spark, people(spark, sf_dir), out, "run", "name", 85, store)
+    stored = csv_source.read_csv(spark, f"{out}/clean.csv").agg(
+        F.lit("clean rows stored").alias("key"), F.count(F.lit(1)).cast("double").alias("value"))
+    keys = ["exact_duplicates_removed", "fuzzy_duplicates_removed", "total_repairs", "clean_count", "records_saved"]
+    return store.metrics().where(F.col("key").isin(keys)).select("key", "value").unionByName(stored)
+
+
+@register("landing_ingest", """
+    SELECT 'complete' AS status, count(*) AS rows, count(*) AS clean_records FROM customer GROUP BY c_acctbal < 0
+    UNION ALL SELECT 'error', 0, 0""")
+def q_landing_ingest(spark, sf_dir):
+    """S14 + S1, S5: customers in debt and the others land as one CSV file each, beside a file with an overlong
+    row. The stream runs each file's job once; the bad file has an error row (no counts: 0)."""
+    from dqspark.streaming.ingest import ingest_landing
+    base = scratch(spark, "ingest")
+    customers = table(spark, sf_dir, "customer")
+    for part in (F.col("c_acctbal") < 0, ~(F.col("c_acctbal") < 0)):
+        (customers.where(part).select("c_custkey", "c_name", "c_mktsegment").coalesce(1)
+         .write.mode("append").option("header", True).csv(f"{base}/landing"))
+    # lines as they are: the separator does not occur in them
+    spark.createDataFrame([("name,n",), ("x,1",), ("y,,3",)], "value string").coalesce(1) \
+        .write.mode("append").option("sep", "\u0001").csv(f"{base}/landing")
+    ingest_landing(spark, f"{base}/landing", f"{base}/store", f"{base}/progress", match_col="c_mktsegment",
+                   files_per_batch=8).awaitTermination()
+    return runs_mod.RunStore(spark, f"{base}/store").latest().select(
+        "status", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rows", "clean_records")])

@@ -216,6 +216,15 @@ def test_auto_cost_choice_equals_brute_force(spark, monkeypatch):
             assert got == sorted((i, j) for i, j, _ in brute_force_edges(vals, t)), t
 
 
+def test_ranks_by_where_first_seen(spark):
+    """Both rank paths: equal counts in the order of ``order_col``, then by value; unknown places last."""
+    rows = [("b", 3), ("a", 5), ("b", 9), ("a", 7), ("c", None), ("d", 1), ("e", 1), ("f", 8), (None, 0)]
+    df = spark.createDataFrame(rows, "v string, t int").repartition(3)
+    for k in (None, 6, 3):
+        got = [r.value for r in dedup.ranked_values(df, "v", k, order_col="t").orderBy("rank").collect()]
+        assert got == ["b", "a", "d", "e", "f", "c"][:k]
+
+
 def test_top_values_exact_on_ties(spark):
     # many ties at the cut
     rnd = random.Random(4)
