@@ -27,7 +27,7 @@ Filters (no false negatives; a pair needs ``LCS >= L = ceil(t (la + lb) / 200)``
 4. character-bag and pair-bag overlap and 5. the score itself with early exit, both
    in the verifying Arrow UDF (per batch).
 
-Two exact candidate generators, chosen from counted sizes:
+Three exact candidate generators, chosen from counted sizes:
 
 * band join, for node sets whose same-or-next-band pairs number at most
   ``BAND_PAIRS_MAX`` (always true under the 2,000-value cap): every pair in the
@@ -35,6 +35,12 @@ Two exact candidate generators, chosen from counted sizes:
   holding most values still spreads over many tasks. On long prose, whose
   characters are few and shared, this beats the prefix join by far (each pair
   shares hundreds of prefix tokens there, so the join emits ~200 rows per pair);
+* deletion join, for short values that may differ in few characters: a pair matches
+  exactly when deleting ``la - L`` characters of one and ``lb - L`` of the other can leave the
+  same text, so values meet on the hashes of what such deletions leave (``deletion_pairs``).
+  Nearly every row it makes is a match, however alike the values' characters are (templated
+  names, numbers); its rows are counted from the lengths alone and it is taken when they
+  are few against the band pairs;
 * prefix join otherwise (uncapped value sets), described below, unless its
   exact raw output (counted per join key before joining) costs more than the
   band pairs would (``BAND_COST_RATIO``) and those stay under the counted bound
@@ -54,15 +60,20 @@ shorter-side row is sent to its own and the next band only, then de-duplicated.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.functions.similarity import similarity
+from dqspark.session import staged
+
 
 def _numbered(v: str) -> np.ndarray:
     """``code point << 32 | occurrence`` for each character, in text order."""
@@ -306,7 +317,7 @@ BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the
 BAND_COST_RATIO = 6
 BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever the cost check says
 BAND_SALTS = 16                   # a band is split over this many tasks
-BROADCAST_TEXT_BYTES = 64 << 20   # node texts measured below this size join the pairs without a shuffle
+BROADCAST_TEXT_BYTES = 8 << 20    # node texts measured below this size join the pairs without a shuffle
 
 
 def _banded(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -353,15 +364,144 @@ def band_pairs(banded: DataFrame, threshold: float, salts: int = BAND_SALTS) ->
             .select(F.least("rank_x", "rank_y").alias("rank_i"), F.greatest("rank_x", "rank_y").alias("rank_j")))
 
 
+DELETION_LENGTH = 64              # longer values are not looked at for a deletion join
+DELETION_KEYS = 5_000             # hashes of one value at most
+DELETIONS_FROM = 200_000          # fewer band pairs than this are simply verified
+HASHES_A_PAIR = 10                # hashes (about 0.3 us each) that cost as much as verifying one band pair, at most
+DELETION_CELLS = 1 << 20          # hashes made at a time
+KEY_BYTES = 64                    # of one hash in a broadcast table
+BROADCAST_KEY_BYTES = 16 << 20    # hashes of the earlier values below this size are broadcast
+
+
+def length_counts(nodes: DataFrame) -> dict[tuple[int, bool], int] | None:
+    """``{(length, old): values}``, or None when some value is longer than ``DELETION_LENGTH``."""
+    capped = F.least(F.length("value"), F.lit(DELETION_LENGTH + 1))
+    rows = nodes.groupBy(capped.alias("len"), _old(nodes).alias("old")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return None if any(r["len"] > DELETION_LENGTH for r in rows) else {(r["len"], r["old"]): r["n"] for r in rows}
+
+
+def deletion_plan(counts: dict[tuple[int, bool], int], threshold: float, across: bool) -> dict[tuple[int, bool], list[int]]:
+    """How many characters a value of each length (and side) may lose so that a partner's text is left:
+    one number for each number of matches ``L`` that a partner's length asks for."""
+    plan: dict[tuple[int, bool], set[int]] = {}
+    for n, old in counts:
+        for m, other in counts:
+            least = max(0, math.ceil(threshold * (n + m) / 200.0 - 1e-9))
+            if (not across or old != other) and least <= min(n, m):
+                plan.setdefault((n, old), set()).add(n - least)
+    return {k: sorted(v) for k, v in plan.items()}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix (each step can be undone, so different numbers stay different)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _deletion_hashes(points: np.ndarray, lost: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, wanted)`` of texts of one length (a row each) after every choice of ``lost`` deletions.
+
+    A text's hash is the sum of its mixed characters times powers by place; what stands behind
+    ``k`` deletions moves ``k`` places to the front, so a choice is a sum of ``lost + 1`` differences of
+    running sums. Of a run of equal characters the first ones are deleted, other choices give the same text.
+    """
+    n, size = points.shape
+    choices = np.array(list(combinations(range(size), lost)), np.int64).reshape(math.comb(size, lost), lost)
+    with np.errstate(over="ignore"):
+        letters = _mixed(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(0x9E6C63D0876A9A47))]), dtype=np.uint64)
+        total = np.zeros((n, len(choices)), np.uint64)
+        for k in range(lost + 1):
+            sums = np.zeros((n, size + 1), np.uint64)
+            np.cumsum(letters[:, k:] * power[:size - k], axis=1, out=sums[:, k + 1:])
+            if k < lost:
+                total += sums[:, choices[:, k]]
+            else:
+                total += sums[:, [size]]
+            if k:
+                total -= sums[:, choices[:, k - 1] + 1]
+        hashes = _mixed(total + np.uint64(size - lost + 1) * np.uint64(0xD6E8FEB86659FD93))
+    wanted = np.ones(total.shape, bool)
+    same = np.zeros((n, size + 1), bool)
+    same[:, 1:size] = points[:, 1:] == points[:, :-1]
+    for k in range(lost):
+        free = choices[:, k] > 0 if k == 0 else choices[:, k - 1] != choices[:, k] - 1
+        wanted &= ~(same[:, choices[:, k]] & free)
+    return hashes.view(np.int64), wanted
+
+
+def _deletion_keys(plan: dict[tuple[int, bool], list[int]]):
+    """Map (rank, value, old) batches to (rank, old, key) rows."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks, olds = batch.column("rank").to_numpy(), batch.column("old").to_numpy(zero_copy_only=False)
+            points = [np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for v in batch.column("value").to_pylist()]
+            lens = np.array([len(p) for p in points], np.int64)
+            for (size, old), losses in plan.items():
+                rows = np.flatnonzero((lens == size) & (olds == old))
+                step = max(1, DELETION_CELLS // max(math.comb(size, lost) for lost in losses))
+                for at in range(0, len(rows), step):
+                    part = rows[at:at + step]
+                    grid = np.array([points[i] for i in part], np.uint32).reshape(len(part), size)
+                    for lost in losses:
+                        hashes, wanted = _deletion_hashes(grid, lost)
+                        key = hashes[wanted]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(ranks[part], wanted.sum(1))), pa.array(np.full(len(key), old)), pa.array(key)],
+                            names=["rank", "old", "key"])
+    return keys
+
+
+def deletion_pairs(nodes: DataFrame, counts: dict[tuple[int, bool], int], threshold: float,
+                   max_join_rows: int | None = None) -> tuple[DataFrame | None, int]:
+    """Pairs (rank_i < rank_j) that share a text left by as many deletions as the threshold allows.
+
+    Every match is one of them; others only share a hash by chance. Returns the pairs (stored)
+    and their number; with ``max_join_rows``, ``(None, rows)`` when the join, counted from its keys, has more.
+    """
+    across = "old" in nodes.columns
+    plan = deletion_plan(counts, threshold, across)
+    n_values = sum(counts.values())
+    parts = max(_parallelism(nodes.sparkSession), -(-n_values // 20_000))
+
+    def hashed(part: DataFrame, rank: str) -> DataFrame:
+        return (part.select("rank", "value", _old(part).alias("old")).repartition(parts)
+                .mapInArrow(_deletion_keys(plan), "rank long, old boolean, key long").select("key", F.col("rank").alias(rank)))
+
+    if across:
+        early, late = hashed(nodes.where("old"), "rank_x"), hashed(nodes.where("not old"), "rank_y")
+        size = sum(n * _keys_of(plan, k) for k, n in counts.items() if k[1]) * KEY_BYTES
+        joined = late.join(F.broadcast(early) if size <= BROADCAST_KEY_BYTES else early, "key")
+    else:
+        keys = staged(hashed(nodes, "rank"), "deletion-keys")
+        if max_join_rows is not None:
+            rows = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0]
+            if (rows or 0) > max_join_rows:
+                return None, int(rows)
+        joined = (keys.withColumnRenamed("rank", "rank_x").join(keys.withColumnRenamed("rank", "rank_y"), "key")
+                  .where(F.col("rank_x") < F.col("rank_y")))
+    pairs = staged(joined.select(F.least("rank_x", "rank_y").alias("rank_i"), F.greatest("rank_x", "rank_y").alias("rank_j"))
+                   .distinct(), "deletion-pairs")
+    return pairs, pairs.count()
+
+
+def _keys_of(plan: dict[tuple[int, bool], list[int]], k: tuple[int, bool]) -> int:
+    return sum(math.comb(k[0], lost) for lost in plan.get(k, ()))
+
+
 def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
-                     info: dict | None = None, against: DataFrame | None = None) -> DataFrame:
+                     info: dict | None = None, against: DataFrame | None = None,
+                     max_join_rows: int | None = None) -> DataFrame | None:
     """J1 + D2: ``(rank_i, rank_j, value_i, value_j, similarity)`` with similarity >= threshold.
 
     With ``against(rank, value)``, holding other ranks, only pairs of a value of ``nodes``
     and one of ``against``.
 
-    ``strategy``: ``"band"``, ``"prefix"`` or ``"auto"`` (band join when its counted
-    pairs are at most ``BAND_PAIRS_MAX``). Candidates are sorted by ``rank_i``
+    ``strategy``: ``"band"``, ``"prefix"``, ``"deletions"`` or ``"auto"`` (deletion join when its
+    counted hashes cost less than the band pairs, else band join when its counted pairs are at
+    most ``BAND_PAIRS_MAX``). With ``max_join_rows``, None is returned when a deletion join of ``nodes`` with
+    itself would make more rows: the caller splits its values then. Candidates are sorted by ``rank_i``
     inside each partition so the verifier reuses a value's bit pattern and
     character counts across its partners; it applies the character-bag bound
     before the LCS. Texts are joined to the pairs by rank. ``info``, when
@@ -370,21 +510,33 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     """
     t = float(threshold)
     spark = nodes.sparkSession
-    if strategy not in ("auto", "band", "prefix"):
-        raise ValueError("strategy must be auto, band or prefix")
+    if strategy not in ("auto", "band", "prefix", "deletions"):
+        raise ValueError("strategy must be auto, band, prefix or deletions")
     nodes = nodes.select("rank", "value")
     if against is not None:
         nodes = (against.select("rank", "value", F.lit(True).alias("old"))
                  .unionByName(nodes.withColumn("old", F.lit(False))))
     banded = _banded(nodes, t)
     n_nodes, text_bytes, n_band = band_stats(banded)
-    pairs = None
-    if strategy == "prefix" or (strategy == "auto" and n_band > BAND_PAIRS_MAX):
+    pairs, used = None, "prefix"
+    if strategy == "deletions" or (strategy == "auto" and n_band > DELETIONS_FROM):
+        counts = length_counts(nodes)
+        if counts is None and strategy == "deletions":
+            raise ValueError(f"a deletion join needs values of at most {DELETION_LENGTH} characters")
+        if counts is not None:
+            plan = deletion_plan(counts, t, against is not None)
+            most = max((_keys_of(plan, k) for k in counts), default=0)
+            hashes = sum(n * _keys_of(plan, k) for k, n in counts.items())
+            if strategy == "deletions" or (most <= DELETION_KEYS and hashes <= HASHES_A_PAIR * n_band):
+                pairs, n_pairs = deletion_pairs(nodes, counts, t, max_join_rows)
+                if pairs is None:
+                    return None
+                used = "deletions"
+    if pairs is None and (strategy == "prefix" or (strategy == "auto" and n_band > BAND_PAIRS_MAX)):
         # the prefix join wins on short, varied values; on long texts of one
         # language its raw output can exceed the band pairs many times over
         limit = BAND_COST_RATIO * n_band if strategy == "auto" and n_band <= BAND_PAIRS_COST_MAX else None
         pairs, n_pairs = candidate_pairs(nodes, t, n_nodes, limit, info=info)
-    used = "prefix"
     if pairs is None:
         pairs, n_pairs, used = band_pairs(banded, t), n_band, "band"    # an upper bound of the count
     if info is not None:

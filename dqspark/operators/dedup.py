@@ -33,7 +33,7 @@ DEFAULT_MAX_VALUES = None      # all values; a caller may ask for the k most fre
 MATCHES_KEPT = 50              # T2
 MATCHES_SHOWN = 20             # T3: a display limit, never applied to what is stored
 DIGEST_BYTES = 64              # of one digest pair in a broadcast table
-BROADCAST_BYTES = 64 << 20     # drop sets below this many bytes are broadcast to the anti join
+BROADCAST_BYTES = 8 << 20      # drop sets below this many bytes are broadcast to the anti join
 
 
 def fresh_name(taken: list[str], name: str) -> str:
@@ -189,7 +189,9 @@ class FuzzyResult:
         return self.matches.orderBy("rank_i", "rank_j").limit(n)
 
 
-FIRST_BLOCK = 512        # ranks in the first block of the walk
+FIRST_BLOCK = 512            # ranks in the first block of the walk
+EDGE_ROWS_MAX = 30_000_000   # join rows that one block may make with itself; with more it is split
+SPLIT_AT = 0.25              # share of a split block that is walked first
 
 
 @dataclass
@@ -218,39 +220,57 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
     """
     spark = nodes.sparkSession
     found: list[DataFrame] = []
-    kept: DataFrame | None = None
     pairs = rounds = candidates = 0
     used: set[str] = set()
 
-    def scored(block: DataFrame, against: DataFrame | None) -> tuple[DataFrame, int]:
+    def scored(block: DataFrame, against: DataFrame | None, max_join_rows: int | None = None) -> tuple[DataFrame | None, int]:
         nonlocal candidates
         info: dict = {}
-        edges = staged(similarity_edges(block, threshold, info=info, against=against)
-                       .select("rank_i", "rank_j", "similarity"), "similarity-edges")
+        edges = similarity_edges(block, threshold, info=info, against=against, max_join_rows=max_join_rows)
+        if edges is None:
+            return None, 0
+        edges = staged(edges.select("rank_i", "rank_j", "similarity"), "similarity-edges")
         candidates += info["candidates"]
         used.add(info["strategy"])
         return edges, edges.count()
 
+    def left_of(block: DataFrame, before: DataFrame) -> DataFrame:
+        """The values of a block that no value kept before matches."""
+        nonlocal pairs
+        edges, n = scored(block, before)
+        pairs += n
+        if not n:
+            return block
+        hits = staged(_first_kept(edges), "first-kept")
+        found.append(hits)
+        return staged(block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti"), "walk-block")
+
+    def kept_of(block: DataFrame) -> DataFrame:
+        """The values kept of a block that no value before it matches. A block whose values match
+        one another too often is taken in parts: most of the second falls to what the first keeps."""
+        nonlocal pairs, rounds
+        n_block = block.count()
+        edges, n = scored(block, None, EDGE_ROWS_MAX if n_block > first_block else None)
+        if edges is None:
+            cut = block.approxQuantile("rank", [SPLIT_AT], 0.01)[0]
+            first = staged(kept_of(block.where(F.col("rank") <= cut)), "walk-kept")
+            return first.unionByName(kept_of(left_of(block.where(F.col("rank") > cut), first)))
+        pairs += n
+        if not n:
+            return block
+        surv = greedy_survivors(edges.select("rank_i", "rank_j"))
+        rounds += surv.rounds
+        # what a kept value matches later on is dropped, and nothing else is
+        found.append(staged(_first_kept(edges.join(surv.dropped.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti")),
+                            "first-kept"))
+        return block.join(surv.dropped, "rank", "left_anti")
+
+    kept: DataFrame | None = None
     start, size = 0, first_block
     while start < n_values:
         block = nodes.select("rank", "value").where((F.col("rank") > start) & (F.col("rank") <= start + size))
-        if kept is not None:
-            edges, n = scored(block, kept)
-            pairs += n
-            if n:
-                hits = staged(_first_kept(edges), "first-kept")
-                found.append(hits)
-                block = staged(block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti"), "walk-block")
-        edges, n = scored(block, None)
-        pairs += n
-        if n:
-            surv = greedy_survivors(edges.select("rank_i", "rank_j"))
-            rounds += surv.rounds
-            # what a kept value matches later on is dropped, and nothing else is
-            found.append(staged(_first_kept(edges.join(surv.dropped.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti")),
-                                "first-kept"))
-            block = block.join(surv.dropped, "rank", "left_anti")
-        kept = block if kept is None else kept.unionByName(block)
+        more = kept_of(block if kept is None else left_of(block, kept))
+        kept = more if kept is None else kept.unionByName(more)
         start, size = start + size, max(size, start + size)
         if start < n_values:
             kept = staged(kept, "walk-kept")

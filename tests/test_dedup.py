@@ -347,3 +347,43 @@ def test_pairs_against_earlier_values(spark):
     for strategy in ("band", "prefix"):
         got = sorted((r.rank_i, r.rank_j) for r in blocking.similarity_edges(new, 70, strategy, against=old).collect())
         assert got == want and want, strategy
+
+
+def test_deletion_join_equals_brute_force(spark):
+    # short values of several lengths, runs of equal characters, characters beyond 16 bits, no character
+    rnd = random.Random(31)
+    base = ["".join(rnd.choice("ab01😀") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    vals = sorted({*base, *(b + "0" for b in base[:30]), *(b[1:] for b in base[:30]), "", "aaaaaaa", "aaaaaab"})
+    nodes = spark.createDataFrame(list(enumerate(vals)), "rank long, value string")
+    old = nodes.where("rank % 3 = 0")
+    for t in (60, 80, 90, 100):
+        edges = [(i, j) for i, j, _ in brute_force_edges(vals, t)]
+        rows = blocking.similarity_edges(nodes, t, "deletions").collect()
+        assert sorted((r.rank_i, r.rank_j) for r in rows) == edges, t
+        rows = blocking.similarity_edges(nodes.where("rank % 3 <> 0"), t, "deletions", against=old).collect()
+        assert sorted((r.rank_i, r.rank_j) for r in rows) == [(i, j) for i, j in edges if (i % 3 == 0) != (j % 3 == 0)], t
+
+
+def test_templated_names_make_few_candidates(spark):
+    # names that share nearly all their characters: their number of candidates follows the matches, not all pairs
+    info = {}
+    nodes = spark.range(4000).selectExpr("id AS rank", "concat('Supplier#', lpad(id, 9, '0')) AS value")
+    matches = blocking.similarity_edges(nodes, 90, info=info).count()
+    assert info["candidates"] <= 1.01 * matches < 4000 * 200
+
+
+def test_split_blocks_equal_sequential_walk(spark, monkeypatch):
+    # a block that matches itself too often is walked in parts, with the same result
+    monkeypatch.setattr(dedup, "EDGE_ROWS_MAX", 20)
+    monkeypatch.setattr(blocking, "DELETIONS_FROM", 0)
+    rnd = random.Random(37)
+    vals = sorted({f"{rnd.randint(0, 9999):05d}" for _ in range(220)})
+    edges = brute_force_edges(vals, 80)
+    kept, drop = _greedy(list(range(len(vals))), edges)
+    r = dedup.fuzzy_dedup(spark.createDataFrame([(v,) for v in vals], "name string"), "name", 80, first_block=40)
+    assert sorted(x.name for x in r.table.collect()) == [vals[i] for i in kept]
+    first = {}
+    for i, j, s in edges:
+        if i in set(kept) and j in drop:
+            first.setdefault(vals[j], (vals[i], s))
+    assert {x.duplicate: (x.original, x.similarity) for x in r.matches.collect()} == first
