@@ -179,11 +179,14 @@ def fit_forest(df: DataFrame, cols: list[str], n_rows: int | None = None, n_tree
 class Forest:
     """Forest arrays on the driver (bounded: trees x (2 psi - 1) nodes).
 
-    Each node keeps its leaf value ``depth + c(size)`` ready, so scoring a batch
-    is a walk of index arrays; feature values are read from the flat row-major
-    batch (one gather per tree level).
+    Nodes are numbered level by level, so the right child stands next to the left one and a step
+    is one number plus one comparison; a leaf is its own left child under an infinite split. Each
+    node keeps its leaf value ``depth + c(size)`` ready. Rows are walked ``BLOCK`` at a time, feature by
+    feature in one flat array, so that all a step touches stays in the cache.
     """
 
+    BLOCK = 8192
+
     def __init__(self, forest: DataFrame | pd.DataFrame, psi: int):
         pdf = forest.toPandas() if isinstance(forest, DataFrame) else forest
         pdf = pdf.sort_values(["tree", "node"])
@@ -194,23 +197,52 @@ class Forest:
             self.trees.append((g["feature"].to_numpy().astype(np.int64), g["split"].to_numpy(),
                                g["left"].to_numpy().astype(np.int64), g["right"].to_numpy().astype(np.int64), leaf))
         self.max_depth = int(pdf["depth"].max()) if len(pdf) else 0
+        self.walks = [self._by_level(*tree) for tree in self.trees]
+
+    @staticmethod
+    def _by_level(feat, split, left, right, leaf):
+        """``(feature, split, left child, leaf value, steps)`` with siblings side by side."""
+        order, at, ends = [0], 0, []
+        first = np.zeros(len(feat), np.int64)
+        while at < len(order):
+            ends.append(len(order))
+            for k in range(at, len(order)):
+                node = order[k]
+                if feat[node] >= 0:
+                    first[k] = len(order)
+                    order += [left[node], right[node]]
+                else:
+                    first[k] = k
+            at = ends[-1]
+        f = feat[order]
+        return np.maximum(f, 0), np.where(f >= 0, split[order], np.inf), first, leaf[order], len(ends) - 1
 
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
-        n, nf = x.shape
-        flat = np.ascontiguousarray(x, dtype=float).ravel()
-        row_base = np.arange(n, dtype=np.int64) * nf
-        total = np.zeros(n)
-        for feat, split, left, right, leaf in self.trees:
-            node = np.zeros(n, dtype=np.int64)
-            for _ in range(self.max_depth + 1):
-                f = feat[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = flat[row_base + np.maximum(f, 0)] <= split[node]
-                node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-            total += leaf[node]
-        return total / max(len(self.trees), 1)
+        out = np.empty(len(x))
+        for at in range(0, len(x), self.BLOCK):
+            out[at:at + self.BLOCK] = self._block_lengths(x[at:at + self.BLOCK])
+        return out / max(len(self.trees), 1)
+
+    def _block_lengths(self, x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        flat = np.ascontiguousarray(x.T, dtype=float).ravel()
+        rows = np.arange(n, dtype=np.int64)
+        node, place, value, limit = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n)
+        further, total = np.empty(n, bool), np.zeros(n)
+        for feat, split, first, leaf, steps in self.walks:
+            begin = feat * n
+            node[:] = 0
+            for _ in range(steps):
+                np.take(begin, node, out=place, mode="clip")
+                place += rows
+                np.take(flat, place, out=value, mode="clip")
+                np.take(split, node, out=limit, mode="clip")
+                np.greater(value, limit, out=further)
+                np.take(first, node, out=place, mode="clip")
+                np.add(place, further, out=node)
+            np.take(leaf, node, out=value, mode="clip")
+            total += value
+        return total
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         c = float(average_path_length([self.psi])[0]) or 1.0

@@ -71,3 +71,27 @@ def test_native_scores_equal_the_numpy_walk(spark):
     both = df.select(anomaly.score_column(forest, cols).alias("s"), anomaly.score_native(forest, cols).alias("t"))
     assert "Python" not in df.select(anomaly.score_native(forest, cols))._jdf.queryExecution().executedPlan().toString()
     assert all(abs(r.s - r.t) < 1e-12 for r in both.collect())
+
+
+def test_block_walk_equals_a_plain_walk_of_each_row(spark, monkeypatch):
+    # blocks smaller than the batch, values on the splits, trees of several depths
+    monkeypatch.setattr(anomaly.Forest, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(rng.normal(size=300), rng.integers(0, 4, 300))], "a double, b int")
+    fdf, psi = anomaly.fit_forest(df, ["a", "b"], n_trees=12, max_samples=40)
+    forest = anomaly.Forest(fdf, psi)
+    x = np.concatenate([rng.normal(size=(40, 2)), [[t, t] for f, t, *_ in [tree[:2] for tree in forest.trees] for t in t[f >= 0][:3]]])
+    for feat, split, left, right, leaf in forest.trees:
+        assert len(feat) == len(leaf)
+    want = []
+    for row in x:
+        total = 0.0
+        for feat, split, left, right, leaf in forest.trees:
+            k = 0
+            while feat[k] >= 0:
+                k = left[k] if row[feat[k]] <= split[k] else right[k]
+            total += leaf[k]
+        want.append(total / len(forest.trees))
+    assert forest.path_lengths(x).tolist() == want
+    assert all((first[feat_of >= 0] + 1 < len(first)).all() for feat_of, (_, _, first, _, _) in
+               ((np.where(np.isinf(w[1]), -1, w[0]), w) for w in forest.walks))
