@@ -317,7 +317,8 @@ BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the
 BAND_COST_RATIO = 6
 BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever the cost check says
 BAND_SALTS = 16                   # a band is split over this many tasks
-BROADCAST_TEXT_BYTES = 8 << 20    # node texts measured below this size join the pairs without a shuffle
+BROADCAST_TEXT_BYTES = 32 << 20   # node texts measured below this size join the pairs without a shuffle
+ROW_BYTES = 200                   # of a broadcast row on the driver besides its text
 
 
 def _banded(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -548,7 +549,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     # for the caches, and a value with very many partners still spreads out
     parts = max(4 * _parallelism(spark), -(-n_pairs // 20_000))
     spread = [F.col("rank_i"), F.floor(F.col("rank_j") / 256)]
-    if text_bytes <= BROADCAST_TEXT_BYTES:       # measured, not assumed: only ranks are shuffled
+    if text_bytes + ROW_BYTES * n_nodes <= BROADCAST_TEXT_BYTES:       # measured, not assumed: only ranks are shuffled
         cand = (pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")
                 .join(F.broadcast(left), "rank_i").join(F.broadcast(right), "rank_j"))
     else:

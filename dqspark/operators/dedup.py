@@ -33,7 +33,8 @@ DEFAULT_MAX_VALUES = None      # all values; a caller may ask for the k most fre
 MATCHES_KEPT = 50              # T2
 MATCHES_SHOWN = 20             # T3: a display limit, never applied to what is stored
 DIGEST_BYTES = 64              # of one digest pair in a broadcast table
-BROADCAST_BYTES = 8 << 20      # drop sets below this many bytes are broadcast to the anti join
+BROADCAST_BYTES = 64 << 20     # digest sets below this many bytes are broadcast
+DROP_BYTES = 8 << 20           # and drop sets (short texts, which take several times that on the driver)
 
 
 def fresh_name(taken: list[str], name: str) -> str:
@@ -305,7 +306,7 @@ def fuzzy_dedup(df: DataFrame, col: str, threshold: float = DEFAULT_THRESHOLD,
     stats = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows"),
                         F.sum(F.octet_length("value")).alias("bytes")).first()
     removed = int(stats["rows"] or 0)
-    small = (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= BROADCAST_BYTES     # measured
+    small = (stats["bytes"] or 0) + 16 * (stats["n"] or 0) <= DROP_BYTES     # measured
 
     drop_side = dropped.select(F.col("value").alias("__drop_value"))
     if small:
