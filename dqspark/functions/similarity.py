@@ -163,6 +163,7 @@ class _Caches:
 
 
 BINS = 128                # character bins of the bag bound; ASCII characters have one each
+BAG_FROM = 32             # up to this length the LCS itself costs less than the bag bound
 WORD_BITS = 64            # texts up to this length have their LCS computed many pairs at a time
 MAX_CELLS = 2_000_000     # bit patterns of one step; a step with more is halved
 STEP = 4096               # pairs whose count vectors are compared at a time
@@ -382,23 +383,26 @@ def _score_batch(a, b, threshold: float, caches: _Caches | None = None) -> pd.Se
     caches = caches or _Caches()
     a, b = list(a), list(b)
     scores = np.full(len(a), np.nan)
-    present = np.array([k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None], np.int64)
+    places = {v: k for k, v in enumerate(dict.fromkeys(v for v in a + b if v is not None))}
+    ia = np.fromiter((places.get(v, -1) for v in a), np.int64, len(a))
+    ib = np.fromiter((places.get(v, -1) for v in b), np.int64, len(b))
+    present = np.flatnonzero((ia >= 0) & (ib >= 0))
     if not len(present):
         return pd.Series(scores)
-    places: dict[str, int] = {}
-    ia = np.array([places.setdefault(a[k], len(places)) for k in present])
-    ib = np.array([places.setdefault(b[k], len(places)) for k in present])
+    ia, ib = ia[present], ib[present]
     values = list(places)
-    points = [_points(v) for v in values]
-    lens = np.array([len(p) for p in points], np.int64)
+    lens = np.array([len(v) for v in values], np.int64)
+    flat, ends = _points("".join(values)), np.cumsum(lens).tolist()
+    points = [flat[start:end] for start, end in zip([0] + ends[:-1], ends)]
     la, lb = lens[ia], lens[ib]
     total = la + lb
     need = np.zeros(len(ia), np.int64)
     lcs = np.minimum(la, lb)
     if threshold > 0:
         need = np.maximum(0, np.ceil(threshold * total / 200.0 - 1e-9)).astype(np.int64)
-        fits = np.flatnonzero(lcs >= need)
-        lcs[fits] = np.minimum(lcs[fits], _bag_overlaps(points, ia[fits], ib[fits]))
+        fits = np.flatnonzero((lcs >= need) & (np.maximum(la, lb) > BAG_FROM))
+        if len(fits):
+            lcs[fits] = np.minimum(lcs[fits], _bag_overlaps(points, ia[fits], ib[fits]))
     open_ = lcs >= need                                   # what fails keeps its bound, below the threshold
     short = np.flatnonzero(open_ & (np.maximum(la, lb) <= WORD_BITS))
     if len(short):

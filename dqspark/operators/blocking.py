@@ -318,6 +318,8 @@ BAND_COST_RATIO = 6
 BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever the cost check says
 BAND_SALTS = 16                   # a band is split over this many tasks
 BROADCAST_TEXT_BYTES = 32 << 20   # node texts measured below this size join the pairs without a shuffle
+PAIRS_A_TASK = 20_000             # pairs verified by one task
+PAIRS_A_TASK_SHORT = 100_000      # the same where all texts are known to be short
 ROW_BYTES = 200                   # of a broadcast row on the driver besides its text
 
 
@@ -519,7 +521,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
                  .unionByName(nodes.withColumn("old", F.lit(False))))
     banded = _banded(nodes, t)
     n_nodes, text_bytes, n_band = band_stats(banded)
-    pairs, used = None, "prefix"
+    pairs, used, counts = None, "prefix", None
     if strategy == "deletions" or (strategy == "auto" and n_band > DELETIONS_FROM):
         counts = length_counts(nodes)
         if counts is None and strategy == "deletions":
@@ -547,7 +549,8 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     # verification is CPU-bound: size partitions by pair count (an explicit count
     # is not merged away by AQE); chunks of 256 partners of one value stay together
     # for the caches, and a value with very many partners still spreads out
-    parts = max(4 * _parallelism(spark), -(-n_pairs // 20_000))
+    short = counts is not None                       # texts of one machine word: a few microseconds a pair
+    parts = max(_parallelism(spark) * (1 if short else 4), -(-n_pairs // (PAIRS_A_TASK_SHORT if short else PAIRS_A_TASK)))
     spread = [F.col("rank_i"), F.floor(F.col("rank_j") / 256)]
     if text_bytes + ROW_BYTES * n_nodes <= BROADCAST_TEXT_BYTES:       # measured, not assumed: only ranks are shuffled
         cand = (pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")

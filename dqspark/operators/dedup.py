@@ -190,7 +190,7 @@ class FuzzyResult:
         return self.matches.orderBy("rank_i", "rank_j").limit(n)
 
 
-FIRST_BLOCK = 512            # ranks in the first block of the walk
+FIRST_BLOCK = 4096           # ranks in the first block of the walk
 EDGE_ROWS_MAX = 30_000_000   # join rows that one block may make with itself; with more it is split
 SPLIT_AT = 0.25              # share of a split block that is walked first
 

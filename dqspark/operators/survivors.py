@@ -9,8 +9,8 @@ Spark form, in rounds over the edges (rank_i < rank_j) between undecided values:
 * a value without an undecided earlier neighbour is kept. The edges are range partitioned
   by their later value, and each partition is walked as a sorted stream: a value is dropped
   by any kept neighbour, kept if all its earlier neighbours are dropped, and left open while
-  one of them, in a partition before, is open. Edges of decided values go, and the next round
-  begins; every round settles at least the first open partition, and most settle all;
+  one of them, in a partition before, is open. If none is open the walk is over; else edges of decided
+  values go, and the next round begins; every round settles at least the first open partition, and most settle all;
 * a value with exactly one undecided earlier neighbour is kept if and only if that one is
   dropped. Such values point at their neighbour and form trees; pointer jumping (every
   pointer takes its target's pointer, with the parity of the way) finds the top of each
@@ -63,7 +63,7 @@ def _tree_tops(e: DataFrame) -> tuple[DataFrame | None, int]:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rank, keep) of the later values that a partition, sorted by them, can decide."""
+    """(rank, keep) of the later values of a partition, sorted by them; keep is null where it cannot decide."""
     verdicts: dict[int, bool | None] = {}       # of this partition's values; None: open
     current, dropped, open_ = None, False, False
     for batch in batches:
@@ -72,16 +72,16 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if j != current:
                 if current is not None:
                     verdicts[current] = verdict = False if dropped else None if open_ else True
-                    if verdict is not None:
-                        ranks.append(current)
-                        keeps.append(verdict)
+                    ranks.append(current)
+                    keeps.append(verdict)
                 current, dropped, open_ = j, False, False
             earlier = True if settles else verdicts.get(i)
             dropped |= earlier is True
             open_ |= earlier is None
         yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(keeps, pa.bool_())], names=["rank", "keep"])
-    if current is not None and (dropped or not open_):
-        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([not dropped], pa.bool_())], names=["rank", "keep"])
+    if current is not None:
+        last = False if dropped else None if open_ else True
+        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([last], pa.bool_())], names=["rank", "keep"])
 
 
 def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivors:
@@ -109,6 +109,10 @@ def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivo
                     "rank_i", "rank_j", (F.col("settles") | F.col("even").isNotNull()).alias("settles")), "survivor-trees")
         walked = staged(marked.repartitionByRange("rank_j").sortWithinPartitions("rank_j").mapInArrow(_walk, "rank long, keep boolean"),
                         "survivor-walk")
+        rounds += 1
+        if walked.where("keep is null").isEmpty():          # every later value has its verdict
+            gone.append(walked.where("not keep").select("rank"))
+            break
         kept = walked.where("keep").select("rank")
         drop = walked.where("not keep").select("rank").union(
             marked.join(kept.withColumnRenamed("rank", "rank_i"), "rank_i", "left_semi").select("rank_j")).distinct()
@@ -116,12 +120,12 @@ def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivo
         decided = drop.union(kept)
         e = (marked.where("not settles").join(decided.withColumnRenamed("rank", "rank_j"), "rank_j", "left_anti")
              .join(decided.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti").select("rank_i", "rank_j"))
-        rounds += 1
     spark = edges.sparkSession
     dropped = gone[0] if gone else spark.createDataFrame([], "rank long")
     for more in gone[1:]:
         dropped = dropped.unionByName(more)
-    dropped = staged(dropped.distinct(), "survivor-dropped")
+    if len(gone) > 1:                                       # the values of one round are distinct and stored
+        dropped = staged(dropped.distinct(), "survivor-dropped")
     nodes = first.select(F.col("rank_i").alias("rank")).union(first.select("rank_j")).distinct()
     states = nodes.join(dropped.withColumn("gone", F.lit(True)), "rank", "left").select("rank", F.col("gone").isNull().alias("keep"))
     return Survivors(states, dropped, rounds, jumps)

@@ -283,6 +283,16 @@ def test_trees_below_shared_values_equal_the_walk(spark):
     assert {r.rank for r in s.dropped.collect()} == drop
 
 
+def test_decided_walk_stores_one_round(spark, monkeypatch):
+    # names that fall to one kept value: no second round, no second copy of what is dropped
+    from dqspark.operators import survivors
+    stored = []
+    monkeypatch.setattr(survivors, "staged", lambda df, name, f=survivors.staged: stored.append(name) or f(df, name))
+    s = survivors.greedy_survivors(spark.createDataFrame([(1, k) for k in range(2, 200)], "rank_i long, rank_j long"))
+    assert stored == ["survivor-round", "survivor-walk"] and s.rounds == 1
+    assert {r.rank for r in s.dropped.collect()} == set(range(2, 200))
+
+
 def test_survivors_without_edges(spark):
     s = greedy_survivors(spark.createDataFrame([], "rank_i long, rank_j long"))
     assert s.states.count() == 0 and s.dropped.count() == 0 and s.rounds == 0
