@@ -257,30 +257,44 @@ def score_column(forest: Forest, cols: list[str]) -> Column:
     return _score(F.struct(*[v.alias(f"f{i}") for i, v in enumerate(feature_values(cols))]))
 
 
-def score_native(forest: Forest, cols: list[str]) -> Column:
-    """M3 without Python workers: the same walk as nested ``aggregate`` over array literals.
+def _tree_sql(tree: tuple, names: list[str]) -> str:
+    """A tree as nested conditions over double columns, with its leaf values."""
+    feat, split, left, right, leaf = tree
 
-    All trees lie in one set of arrays; a leaf points to itself, so every tree takes the same
-    number of steps, and the leaf values are added in tree order as ``Forest`` adds them.
+    def node(k: int) -> str:
+        if feat[k] < 0:
+            return f"{float(leaf[k])!r}D"
+        return f"if({names[feat[k]]} <= {float(split[k])!r}D, {node(left[k])}, {node(right[k])})"
+    return node(0)
+
+
+def score_native(forest: Forest, cols: list[str], made: bool = False) -> Column:
+    """M3 without Python workers: every tree as compiled conditions, leaf values added in tree order as
+    ``Forest`` adds them.
+
+    ``made``: the columns hold feature values already, as in ``with_native_score``, which large tables should use;
+    else every condition makes its own. A row with a NaN among made values has no score (Spark orders NaN last, numpy
+    does not). That check is a higher-order function, which also keeps the projection out of whole-stage
+    code generation: Spark generates the trees in many methods on the executors, not in one that cannot be compiled.
     """
-    starts = np.cumsum([0] + [len(t[0]) for t in forest.trees])[:-1]
-    feat, split, left, right, leaf = [], [], [], [], []
-    for at, (f, t, lo, hi, end) in zip(starts, forest.trees, strict=True):
-        me = np.arange(len(f)) + at
-        feat.append(np.maximum(f, 0)); split.append(np.where(f >= 0, t, np.inf)); leaf.append(end)
-        left.append(np.where(f >= 0, lo + at, me)); right.append(np.where(f >= 0, hi + at, me))
-    feat, left, right = (F.lit(np.concatenate(a).astype(np.int32)) for a in (feat, left, right))
-    split, leaf = F.lit(np.concatenate(split).astype(float)), F.lit(np.concatenate(leaf).astype(float))
-    roots, steps = F.lit(starts.astype(np.int32)), F.lit(np.arange(max(forest.max_depth, 1), dtype=np.int32))
+    def value(col: str) -> str:
+        v = f"CAST(`{col}` AS DOUBLE)"
+        return f"`{col}`" if made else f"(CASE WHEN {v} IS NULL OR isnan({v}) OR abs({v}) = double('Infinity') THEN 0D ELSE {v} END)"
+
+    features = [value(c) for c in cols]
+    total = F.lit(0.0)
+    for tree in forest.trees:
+        total = total + F.expr(_tree_sql(tree, features))
     c = float(average_path_length([forest.psi])[0]) or 1.0
+    score = F.pow(F.lit(2.0), -(total / float(max(len(forest.trees), 1))) / c)
+    return F.when(~F.exists(F.array(*[F.expr(f) for f in features]), F.isnan), score)
 
-    def score(x):
-        step = lambda node, _: F.when(F.get(x, F.get(feat, node)) <= F.get(split, node), F.get(left, node)).otherwise(F.get(right, node))
-        total = F.aggregate(roots, F.lit(0.0), lambda acc, root: acc + F.get(leaf, F.aggregate(steps, root, step)))
-        return F.pow(F.lit(2.0), -(total / float(max(len(forest.trees), 1))) / c)
 
-    # a lambda variable holds the features, so they are made once a row
-    return F.get(F.transform(F.array(F.array(*feature_values(cols))), score), F.lit(0))
+def with_native_score(df: DataFrame, forest: Forest, cols: list[str], name: str) -> DataFrame:
+    """``df`` with its native score; the features are columns of their own below it, made once a row."""
+    marks = [f"__feature{i}" for i in range(len(cols))]
+    made = df.withColumns(dict(zip(marks, feature_values(cols), strict=True)))
+    return made.withColumn(name, score_native(forest, marks, made=True)).drop(*marks)
 
 
 # --------------------------------------------------------------------------- M4-M6
@@ -304,7 +318,9 @@ def detect_anomalies(df: DataFrame, contamination: float = CONTAMINATION, seed:
         return staged(base.withColumn(FLAG_COLUMN, F.lit(NORMAL)), "anomaly-flags"), 0
     forest_df, psi = fit_forest(base, cols, n, n_trees, max_samples, seed)
     forest = Forest(forest_df, psi)
-    scored = staged(spread_for_cpu(base).withColumn("__score", (score_native if native else score_column)(forest, cols)), "anomaly-scores")
+    spread = spread_for_cpu(base)
+    scored = staged(with_native_score(spread, forest, cols, "__score") if native
+                    else spread.withColumn("__score", score_column(forest, cols)), "anomaly-scores")
     neg = scored.select((-F.col("__score")).alias("s"))
     if approx:
         cut = stats.approx_quantiles(neg, {"s": [contamination]})[("s", contamination)]

@@ -942,8 +942,8 @@ def q_anomaly_model(spark, sf_dir):
     fitted, loaded = anom.Forest(forest, psi), anom.load_forest(spark, path)
     shape = forest.agg(F.count_distinct("tree").cast("int").alias("trees"),
                        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("sampled")).first()
-    scores = li.select(anom.score_column(fitted, cols).alias("a"), anom.score_column(loaded, cols).alias("b"),
-                       anom.score_native(loaded, cols).alias("c"))
+    scores = anom.with_native_score(li.select(*cols, anom.score_column(fitted, cols).alias("a"),
+                                              anom.score_column(loaded, cols).alias("b")), loaded, cols, "c")
     return scores.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("differing"),
                       F.count_if(F.abs(F.col("a") - F.col("c")) > 1e-12).alias("native_differing"),
                       F.lit(shape["trees"]).alias("trees"), F.lit(shape["sampled"]).alias("sampled"))

@@ -73,6 +73,18 @@ def test_native_scores_equal_the_numpy_walk(spark):
     assert all(abs(r.s - r.t) < 1e-12 for r in both.collect())
 
 
+def test_native_score_is_compiled_conditions(spark):
+    # conditions that Spark compiles, over features made once a row; missing and infinite values as 0
+    rows = [(float(i % 7), i, None if i % 9 else float("inf")) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b int, c double")
+    forest = anomaly.Forest(*anomaly.fit_forest(df, ["a", "b", "c"], n_trees=20))
+    both = anomaly.with_native_score(df.withColumn("s", anomaly.score_column(forest, ["a", "b", "c"])), forest, ["a", "b", "c"], "t")
+    assert both.columns == ["a", "b", "c", "s", "t"]
+    plan = both.select("t")._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and not any(line.lstrip(" :+-").startswith("*") and "lambda" in line for line in plan.splitlines())
+    assert all(abs(r.s - r.t) < 1e-12 for r in both.collect())
+
+
 def test_block_walk_equals_a_plain_walk_of_each_row(spark, monkeypatch):
     # blocks smaller than the batch, values on the splits, trees of several depths
     monkeypatch.setattr(anomaly.Forest, "BLOCK", 7)
