@@ -444,46 +444,65 @@ def _let(value: Column, use) -> Column:
 def similarity_native(a: Column, b: Column) -> Column:
     """The exact score as one Spark expression (no Python worker), for texts of any length.
 
-    ``aggregate`` feeds the characters of ``b`` to the recurrence, an inner ``aggregate`` goes over
-    the words of ``a`` with the carry. Two empty texts score 100; null if a text is null. About
-    ``len a * len b / 62`` interpreted steps a pair: for short texts and checks; joins use ``similarity``.
+    The words of ``a`` are taken one after the other; each goes over all of ``b`` in blocks of as many
+    characters, with the carries of a block in one long, so no state is copied for each character. Two empty texts
+    score 100; null if a text is null. About ``len a * len b / 62`` interpreted steps a pair: for short texts
+    and checks; joins use ``similarity``.
     """
-    zero, low = F.lit(0).cast("long"), F.lit((1 << NATIVE_BITS) - 1).cast("long")
-    bit_of = F.transform(F.sequence(F.lit(0), F.lit(NATIVE_BITS - 1)),
-                         lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    zero, one, low = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit((1 << NATIVE_BITS) - 1).cast("long")
+    bit_of = F.transform(F.sequence(F.lit(0), F.lit(NATIVE_BITS - 1)), lambda i: F.call_function("shiftleft", one, i))
+    no_longs = F.array().cast("array<bigint>")
 
     def chars(x: Column) -> Column:
         return F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
 
-    def pattern(letter: Column, in_a: Column, bits: Column, words: Column) -> Column:
-        def word(w: Column) -> Column:
-            part = F.slice(in_a, w * NATIVE_BITS + 1, F.lit(NATIVE_BITS))
+    def blocks(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / NATIVE_BITS)).cast("int")
+
+    def pattern(letters: Column, part: Column, bits: Column) -> Column:
+        """For no letter (0) and each letter: its places in a word of ``a``."""
+        def places(letter: Column) -> Column:
             hits = F.zip_with(part, bits, lambda c, bit: F.when(c == letter, bit).otherwise(zero))
             return F.aggregate(hits, zero, lambda n, bit: n + bit)
-        return F.transform(F.sequence(F.lit(0), words - 1), word)
-
-    def feed(state: Column, match: Column) -> Column:
-        def word(done: Column, pair: Column) -> Column:
-            s, u = pair["s"], pair["s"].bitwiseAND(pair["m"])
-            total = s + u + done["carry"]
-            new = total.bitwiseAND(low).bitwiseOR(s.bitwiseXOR(u))
-            return F.struct(F.shiftright(total, NATIVE_BITS).alias("carry"),
-                            F.concat(done["words"], F.array(new)).alias("words"))
-
-        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("words"))
-        both = F.zip_with(state, match, lambda s, m: F.struct(s.alias("s"), F.coalesce(m, zero).alias("m")))
-        return F.aggregate(both, start, word, lambda done: done["words"])
-
-    def lcs(in_a: Column) -> Column:
-        words = F.greatest(F.lit(1), F.ceil(F.size(in_a) / NATIVE_BITS)).cast("int")
-        letters = F.array_distinct(in_a)
-        patterns = _let(bit_of, lambda bits: F.map_from_arrays(
-            letters, F.transform(letters, lambda c: pattern(c, in_a, bits, words))))
-        nothing = F.array().cast("array<bigint>")
-        fed = _let(patterns, lambda known: F.transform(chars(b), lambda c: F.coalesce(F.element_at(known, c), nothing)))
-        state = F.aggregate(fed, F.array_repeat(low, words), feed)
-        return words * NATIVE_BITS - F.aggregate(state, zero, lambda n, s: n + F.bit_count(s))
-
+        return F.concat(F.array(zero), F.transform(letters, places))
+
+    def feed(done: Column, match: Column) -> Column:
+        s, u = done["s"], done["s"].bitwiseAND(match)
+        total = s + u + done["into"].bitwiseAND(one)
+        return F.struct(total.bitwiseAND(low).bitwiseOR(s.bitwiseXOR(u)).alias("s"), F.shiftright(done["into"], 1).alias("into"),
+                        F.shiftright(done["out"], 1).bitwiseOR(F.shiftleft(F.shiftright(total, NATIVE_BITS), NATIVE_BITS - 1)).alias("out"))
+
+    def block(done: Column, place: Column) -> Column:
+        """One word of ``a`` against one block of ``b``: the carries that go in and out are one long each."""
+        start = F.struct(done["s"].alias("s"), place["into"].alias("into"), zero.alias("out"))
+        return _let(F.aggregate(place["matches"], start, feed), lambda r: F.struct(
+            r["s"].alias("s"), F.concat(done["carries"], F.array(r["out"])).alias("carries")))
+
+    def lcs(in_a: Column, letters: Column, bits_of_word: Column) -> Column:
+        def over_words(fed: Column) -> Column:
+            def word(done: Column, w: Column) -> Column:
+                def along(bits: Column) -> Column:
+                    places = F.zip_with(fed, done["carries"], lambda codes, into: F.struct(
+                        F.transform(codes, lambda c: F.get(bits, c)).alias("matches"), into.alias("into")))
+                    end = F.aggregate(places, F.struct(low.alias("s"), no_longs.alias("carries")), block)
+                    return _let(end, lambda e: F.struct(e["carries"].alias("carries"), (
+                        done["common"] + (F.lit(NATIVE_BITS) - F.bit_count(e["s"])).cast("long")).alias("common")))
+                part = F.slice(in_a, w * NATIVE_BITS + 1, F.lit(NATIVE_BITS))
+                return _let(_let(part, lambda p: pattern(letters, p, bits_of_word)), along)
+            start = F.struct(F.array_repeat(zero, F.size(fed)).alias("carries"), zero.alias("common"))
+            return F.aggregate(F.sequence(F.lit(0), blocks(F.size(in_a)) - 1), start, word, lambda done: done["common"])
+
+        def in_blocks(codes: Column) -> Column:
+            n = blocks(F.size(codes))
+            padded = F.concat(codes, F.array_repeat(F.lit(0), n * NATIVE_BITS - F.size(codes)))
+            return _let(padded, lambda all_: F.transform(
+                F.sequence(F.lit(0), n - 1), lambda i: F.slice(all_, i * NATIVE_BITS + 1, F.lit(NATIVE_BITS))))
+
+        codes = F.transform(chars(b), lambda c: F.array_position(letters, c).cast("int"))
+        return _let(_let(codes, in_blocks), over_words)
+
+    common = _let(chars(a), lambda in_a: _let(F.array_distinct(in_a), lambda letters: _let(
+        bit_of, lambda bits: lcs(in_a, letters, bits))))
     total = F.length(a) + F.length(b)
-    score = (F.lit(1.0) - (total - 2 * _let(chars(a), lcs)) / total) * 100.0
+    score = (F.lit(1.0) - (total - 2 * common) / total) * 100.0
     return F.when(a.isNull() | b.isNull(), None).when(total == 0, 100.0).otherwise(score)

@@ -319,6 +319,8 @@ BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever th
 BAND_SALTS = 16                   # a band is split over this many tasks
 BROADCAST_TEXT_BYTES = 32 << 20   # node texts measured below this size join the pairs without a shuffle
 PAIRS_A_TASK = 20_000             # pairs verified by one task
+LONG_TEXT_BYTES = 4096            # pairs of texts longer than this on average are spread one by one
+LONG_TEXT_TASKS = 1024            # over this many tasks at most, or one for each PAIRS_A_TASK pairs
 PAIRS_A_TASK_SHORT = 100_000      # the same where all texts are known to be short
 ROW_BYTES = 200                   # of a broadcast row on the driver besides its text
 
@@ -551,7 +553,10 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     # for the caches, and a value with very many partners still spreads out
     short = counts is not None                       # texts of one machine word: a few microseconds a pair
     parts = max(_parallelism(spark) * (1 if short else 4), -(-n_pairs // (PAIRS_A_TASK_SHORT if short else PAIRS_A_TASK)))
-    spread = [F.col("rank_i"), F.floor(F.col("rank_j") / 256)]
+    partners = 256
+    if text_bytes > LONG_TEXT_BYTES * n_nodes:       # seconds a pair: a value's partners are dealt out one by one
+        parts, partners = max(parts, min(n_pairs, LONG_TEXT_TASKS)), 1
+    spread = [F.col("rank_i"), F.floor(F.col("rank_j") / partners)]
     if text_bytes + ROW_BYTES * n_nodes <= BROADCAST_TEXT_BYTES:       # measured, not assumed: only ranks are shuffled
         cand = (pairs.repartition(parts, *spread).sortWithinPartitions("rank_i")
                 .join(F.broadcast(left), "rank_i").join(F.broadcast(right), "rank_j"))

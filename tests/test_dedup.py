@@ -397,3 +397,14 @@ def test_split_blocks_equal_sequential_walk(spark, monkeypatch):
         if i in set(kept) and j in drop:
             first.setdefault(vals[j], (vals[i], s))
     assert {x.duplicate: (x.original, x.similarity) for x in r.matches.collect()} == first
+
+
+def test_pairs_of_long_texts_are_dealt_out_one_by_one(spark, monkeypatch):
+    # few long texts: the partners of the first value do not share a task
+    words = [f"{k:04d}" for k in range(2000)]
+    rows = [(i + 1, " ".join(words[: 1500 + i])) for i in range(8)]
+    seen = []
+    monkeypatch.setattr(blocking, "similarity", lambda a, b, t: seen.append(1) or F.spark_partition_id().cast("double") + 1000)
+    edges = blocking.similarity_edges(spark.createDataFrame(rows, "rank long, value string"), 60)
+    tasks = {r.similarity for r in edges.where("rank_i = 1").collect()}
+    assert seen and len(tasks) > 3

@@ -183,3 +183,14 @@ def test_native_form_equals_kernel(spark):
     for r in df.select(similarity_native(F.col("a"), F.col("b")).alias("native"),
                        similarity(F.col("a"), F.col("b")).alias("kernel")).collect():
         assert r.native == r.kernel or (r.native is None and (r.kernel is None or r.kernel != r.kernel))
+
+
+def test_native_form_of_long_texts_copies_no_state(spark):
+    # many words against many blocks; the letters of a are looked for once, not once for each character of b
+    from pyspark.sql import functions as F
+    a, b = "ab" * 700 + "c", "ba" * 650 + "xa"
+    df = spark.createDataFrame([(a, b), (b, a), (a, a), ("", a), ("é" * 63, "é" * 62)], "a string, b string")
+    col = similarity_native(F.col("a"), F.col("b"))
+    for r in df.select("a", "b", col.alias("s")).collect():
+        assert abs(r.s - ratio(r.a, r.b)) < 1e-12
+    assert df.select(col.alias("s"))._jdf.queryExecution().analyzed().toString().count("array_distinct") == 1
