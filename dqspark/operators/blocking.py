@@ -61,18 +61,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.functions.similarity import similarity
-from dqspark.session import staged
+from dqspark.session import staged, staged_counted
 
 
 def _numbered(v: str) -> np.ndarray:
@@ -317,7 +318,7 @@ BAND_PAIRS_MAX = 4_000_000        # band joins up to this many pairs replace the
 BAND_COST_RATIO = 6
 BAND_PAIRS_COST_MAX = 40_000_000  # never more band pairs than this, whatever the cost check says
 BAND_SALTS = 16                   # a band is split over this many tasks
-BROADCAST_TEXT_BYTES = 32 << 20   # node texts measured below this size join the pairs without a shuffle
+BROADCAST_TEXT_BYTES = 8 << 20    # node texts measured below this size join the pairs without a shuffle
 PAIRS_A_TASK = 20_000             # pairs verified by one task
 LONG_TEXT_BYTES = 4096            # pairs of texts longer than this on average are spread one by one
 LONG_TEXT_TASKS = 1024            # over this many tasks at most, or one for each PAIRS_A_TASK pairs
@@ -378,11 +379,36 @@ KEY_BYTES = 64                    # of one hash in a broadcast table
 BROADCAST_KEY_BYTES = 16 << 20    # hashes of the earlier values below this size are broadcast
 
 
-def length_counts(nodes: DataFrame) -> dict[tuple[int, bool], int] | None:
-    """``{(length, old): values}``, or None when some value is longer than ``DELETION_LENGTH``."""
+@dataclass
+class ShortStats:
+    """Of values of at most ``DELETION_LENGTH`` characters, from one small aggregate."""
+    counts: dict[tuple[int, bool], int]    # (length, old): values
+    text_bytes: int
+    old_bytes: int                         # of the earlier values
+    band_pairs: int
+
+
+def short_stats(nodes: DataFrame, threshold: float) -> ShortStats | None:
+    """Counts by length, with the band join's pairs worked out from them (see ``band_stats``); None when
+    some value is longer than ``DELETION_LENGTH``."""
     capped = F.least(F.length("value"), F.lit(DELETION_LENGTH + 1))
-    rows = nodes.groupBy(capped.alias("len"), _old(nodes).alias("old")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return None if any(r["len"] > DELETION_LENGTH for r in rows) else {(r["len"], r["old"]): r["n"] for r in rows}
+    rows = nodes.groupBy(capped.alias("len"), _old(nodes).alias("old")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 16).alias("bytes")).collect()
+    if any(r["len"] > DELETION_LENGTH for r in rows):
+        return None
+    ratio = (200.0 - threshold) / threshold
+    bands: dict[tuple[int, bool], int] = {}
+    for r in rows:
+        band = r["len"] if ratio <= 1.0 else math.floor(math.log(max(r["len"], 1)) / (math.log(ratio) * (1.0 + 1e-9)))
+        bands[band, r["old"]] = bands.get((band, r["old"]), 0) + r["n"]
+    across, pairs = "old" in nodes.columns, 0
+    for (band, old), n in bands.items():
+        if across:
+            pairs += n * (bands.get((band + 1, not old), 0) + (bands.get((band, False), 0) if old else 0))
+        else:
+            pairs += n * (n - 1) // 2 + n * bands.get((band + 1, old), 0)
+    return ShortStats({(r["len"], r["old"]): r["n"] for r in rows}, sum(r["bytes"] for r in rows),
+                      sum(r["bytes"] for r in rows if r["old"]), pairs)
 
 
 def deletion_plan(counts: dict[tuple[int, bool], int], threshold: float, across: bool) -> dict[tuple[int, bool], list[int]]:
@@ -458,46 +484,116 @@ def _deletion_keys(plan: dict[tuple[int, bool], list[int]]):
     return keys
 
 
+def _hashed(part: DataFrame, counts: dict[tuple[int, bool], int], plan: dict[tuple[int, bool], list[int]], rank: str) -> DataFrame:
+    """``(key, rank)`` of what deletions leave of the values; ``counts`` says how many there are."""
+    parts = max(_parallelism(part.sparkSession), -(-sum(counts.values()) // 20_000))
+    return (part.select("rank", "value", _old(part).alias("old")).repartition(parts)
+            .mapInArrow(_deletion_keys(plan), "rank long, old boolean, key long").select("key", F.col("rank").alias(rank)))
+
+
+def _joined_across(nodes: DataFrame, counts: dict[tuple[int, bool], int], plan: dict[tuple[int, bool], list[int]]) -> DataFrame:
+    """``(rank_x, rank_y)`` of an earlier and a new value, once for each hash they share."""
+    early, late = _hashed(nodes.where("old"), counts, plan, "rank_x"), _hashed(nodes.where("not old"), counts, plan, "rank_y")
+    size = sum(n * _keys_of(plan, k) for k, n in counts.items() if k[1]) * KEY_BYTES
+    return late.join(F.broadcast(early) if size <= BROADCAST_KEY_BYTES else early, "key")
+
+
+def join_rows_below(keys: DataFrame, cuts: list[float]) -> list[int]:
+    """Rows that the join of ``keys`` with itself makes among the ranks up to each cut (one pass)."""
+    below = [F.count_if(F.col("rank") <= c).alias(f"c{k}") for k, c in enumerate(cuts)]
+    row = keys.groupBy("key").agg(*below).agg(
+        *[F.sum(F.col(f"c{k}") * (F.col(f"c{k}") - 1) / 2) for k in range(len(cuts))]).first()
+    return [int(x or 0) for x in row]
+
+
 def deletion_pairs(nodes: DataFrame, counts: dict[tuple[int, bool], int], threshold: float,
-                   max_join_rows: int | None = None) -> tuple[DataFrame | None, int]:
+                   max_join_rows: int | None = None, keys: DataFrame | None = None,
+                   info: dict | None = None) -> tuple[DataFrame | None, int]:
     """Pairs (rank_i < rank_j) that share a text left by as many deletions as the threshold allows.
 
     Every match is one of them; others only share a hash by chance. Returns the pairs (stored)
     and their number; with ``max_join_rows``, ``(None, rows)`` when the join, counted from its keys, has more.
+    ``keys``: the hashes of ``nodes`` where they are stored already; ``info`` receives those stored here.
     """
-    across = "old" in nodes.columns
-    plan = deletion_plan(counts, threshold, across)
-    n_values = sum(counts.values())
-    parts = max(_parallelism(nodes.sparkSession), -(-n_values // 20_000))
-
-    def hashed(part: DataFrame, rank: str) -> DataFrame:
-        return (part.select("rank", "value", _old(part).alias("old")).repartition(parts)
-                .mapInArrow(_deletion_keys(plan), "rank long, old boolean, key long").select("key", F.col("rank").alias(rank)))
-
-    if across:
-        early, late = hashed(nodes.where("old"), "rank_x"), hashed(nodes.where("not old"), "rank_y")
-        size = sum(n * _keys_of(plan, k) for k, n in counts.items() if k[1]) * KEY_BYTES
-        joined = late.join(F.broadcast(early) if size <= BROADCAST_KEY_BYTES else early, "key")
+    plan = deletion_plan(counts, threshold, "old" in nodes.columns)
+    if "old" in nodes.columns:
+        joined = _joined_across(nodes, counts, plan)
     else:
-        keys = staged(hashed(nodes, "rank"), "deletion-keys")
+        keys = staged(_hashed(nodes, counts, plan, "rank"), "deletion-keys") if keys is None else keys
+        if info is not None:
+            info["keys"] = keys
         if max_join_rows is not None:
-            rows = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0]
-            if (rows or 0) > max_join_rows:
-                return None, int(rows)
+            rows = join_rows_below(keys, [float("inf")])[0]
+            if rows > max_join_rows:
+                return None, rows
         joined = (keys.withColumnRenamed("rank", "rank_x").join(keys.withColumnRenamed("rank", "rank_y"), "key")
                   .where(F.col("rank_x") < F.col("rank_y")))
-    pairs = staged(joined.select(F.least("rank_x", "rank_y").alias("rank_i"), F.greatest("rank_x", "rank_y").alias("rank_j"))
-                   .distinct(), "deletion-pairs")
-    return pairs, pairs.count()
+    return staged_counted(joined.select(F.least("rank_x", "rank_y").alias("rank_i"), F.greatest("rank_x", "rank_y").alias("rank_j"))
+                          .distinct(), "deletion-pairs")
 
 
 def _keys_of(plan: dict[tuple[int, bool], list[int]], k: tuple[int, bool]) -> int:
     return sum(math.comb(k[0], lost) for lost in plan.get(k, ()))
 
 
+def _deletions_pay(stats: ShortStats, threshold: float, across: bool) -> bool:
+    plan = deletion_plan(stats.counts, threshold, across)
+    most = max((_keys_of(plan, k) for k in stats.counts), default=0)
+    hashes = sum(n * _keys_of(plan, k) for k, n in stats.counts.items())
+    return stats.band_pairs > DELETIONS_FROM and most <= DELETION_KEYS and hashes <= HASHES_A_PAIR * stats.band_pairs
+
+
+def _across(nodes: DataFrame, against: DataFrame) -> DataFrame:
+    return (against.select("rank", "value", F.lit(True).alias("old"))
+            .unionByName(nodes.select("rank", "value", F.lit(False).alias("old"))))
+
+
+def first_partners(nodes: DataFrame, threshold: float, against: DataFrame, info: dict) -> tuple[DataFrame, int]:
+    """For each value of ``nodes`` that a value of ``against`` (of lower ranks) matches, the match of the lowest
+    rank: stored ``(rank_i, rank_j, similarity)``, and their number.
+
+    Values that share a deletion's hash match, but for a clash of hashes. So the lowest rank is taken while they are
+    joined (combined in each task) and one pair a value is scored, not all of them. Should the score refuse one, or
+    where no deletion join pays, all pairs are scored.
+    """
+    t = float(threshold)
+    both = _across(nodes, against)
+    stats = short_stats(both, t)
+    if stats is not None and _deletions_pay(stats, t, True):
+        counts, spark = stats.counts, nodes.sparkSession
+        n_new = sum(n for (_, old), n in counts.items() if not old)
+        n_old = sum(counts.values()) - n_new
+        parts = max(_parallelism(spark), -(-n_new // PAIRS_A_TASK_SHORT))
+        left = against.select(F.col("rank").alias("rank_i"), F.col("value").alias("value_i"))
+        small = stats.old_bytes + ROW_BYTES * n_old <= BROADCAST_TEXT_BYTES
+        lowest = (_joined_across(both, counts, deletion_plan(counts, t, True))
+                  .groupBy(F.col("rank_y").alias("rank_j")).agg(F.min("rank_x").alias("rank_i")))
+        scored = (lowest.repartition(parts, "rank_j")
+                  .join(nodes.select(F.col("rank").alias("rank_j"), F.col("value").alias("value_j")), "rank_j")
+                  .join(F.broadcast(left) if small else left, "rank_i")
+                  .select("rank_i", "rank_j", similarity(F.col("value_i"), F.col("value_j"), t).alias("similarity")))
+        seen = Observation()
+        firsts = staged(scored.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("similarity") < t).alias("refused")),
+                        "first-kept")
+        if not seen.get["refused"]:
+            n = int(seen.get["rows"])
+            info.update(strategy="deletions", candidates=n)
+            return firsts, n
+    edges = similarity_edges(nodes, t, info=info, against=against, stats=stats)
+    edges = staged(edges.select("rank_i", "rank_j", "similarity"), "similarity-edges")
+    return staged_counted(first_matches(edges), "first-kept")
+
+
+def first_matches(edges: DataFrame) -> DataFrame:
+    """W2 on ranks: per later rank the smallest earlier one, with its score."""
+    return (edges.groupBy("rank_j").agg(F.min(F.struct("rank_i", "similarity")).alias("m"))
+            .select(F.col("m.rank_i").alias("rank_i"), "rank_j", F.col("m.similarity").alias("similarity")))
+
+
 def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
                      info: dict | None = None, against: DataFrame | None = None,
-                     max_join_rows: int | None = None) -> DataFrame | None:
+                     max_join_rows: int | None = None, stats: ShortStats | None = None,
+                     keys: DataFrame | None = None) -> DataFrame | None:
     """J1 + D2: ``(rank_i, rank_j, value_i, value_j, similarity)`` with similarity >= threshold.
 
     With ``against(rank, value)``, holding other ranks, only pairs of a value of ``nodes``
@@ -506,7 +602,8 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     ``strategy``: ``"band"``, ``"prefix"``, ``"deletions"`` or ``"auto"`` (deletion join when its
     counted hashes cost less than the band pairs, else band join when its counted pairs are at
     most ``BAND_PAIRS_MAX``). With ``max_join_rows``, None is returned when a deletion join of ``nodes`` with
-    itself would make more rows: the caller splits its values then. Candidates are sorted by ``rank_i``
+    itself would make more rows: the caller splits its values then, and finds the stored hashes in ``info``; with ``keys`` (those
+    of ``nodes``) none are made. ``stats`` are those of the same values where they are known. Candidates are sorted by ``rank_i``
     inside each partition so the verifier reuses a value's bit pattern and
     character counts across its partners; it applies the character-bag bound
     before the LCS. Texts are joined to the pairs by rank. ``info``, when
@@ -517,26 +614,22 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     spark = nodes.sparkSession
     if strategy not in ("auto", "band", "prefix", "deletions"):
         raise ValueError("strategy must be auto, band, prefix or deletions")
-    nodes = nodes.select("rank", "value")
-    if against is not None:
-        nodes = (against.select("rank", "value", F.lit(True).alias("old"))
-                 .unionByName(nodes.withColumn("old", F.lit(False))))
+    nodes = nodes.select("rank", "value") if against is None else _across(nodes, against)
     banded = _banded(nodes, t)
-    n_nodes, text_bytes, n_band = band_stats(banded)
-    pairs, used, counts = None, "prefix", None
-    if strategy == "deletions" or (strategy == "auto" and n_band > DELETIONS_FROM):
-        counts = length_counts(nodes)
-        if counts is None and strategy == "deletions":
-            raise ValueError(f"a deletion join needs values of at most {DELETION_LENGTH} characters")
-        if counts is not None:
-            plan = deletion_plan(counts, t, against is not None)
-            most = max((_keys_of(plan, k) for k in counts), default=0)
-            hashes = sum(n * _keys_of(plan, k) for k, n in counts.items())
-            if strategy == "deletions" or (most <= DELETION_KEYS and hashes <= HASHES_A_PAIR * n_band):
-                pairs, n_pairs = deletion_pairs(nodes, counts, t, max_join_rows)
-                if pairs is None:
-                    return None
-                used = "deletions"
+    stats = stats or short_stats(nodes, t)
+    if stats is not None:
+        n_nodes, text_bytes, n_band = sum(stats.counts.values()), stats.text_bytes, stats.band_pairs
+    else:
+        n_nodes, text_bytes, n_band = band_stats(banded)
+    pairs, used = None, "prefix"
+    if strategy == "deletions" and stats is None:
+        raise ValueError(f"a deletion join needs values of at most {DELETION_LENGTH} characters")
+    if strategy == "deletions" or (strategy == "auto" and stats is not None
+                                   and (keys is not None or _deletions_pay(stats, t, against is not None))):
+        pairs, n_pairs = deletion_pairs(nodes, stats.counts, t, max_join_rows, keys, info)
+        if pairs is None:
+            return None
+        used = "deletions"
     if pairs is None and (strategy == "prefix" or (strategy == "auto" and n_band > BAND_PAIRS_MAX)):
         # the prefix join wins on short, varied values; on long texts of one
         # language its raw output can exceed the band pairs many times over
@@ -551,7 +644,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, strategy: str = "auto",
     # verification is CPU-bound: size partitions by pair count (an explicit count
     # is not merged away by AQE); chunks of 256 partners of one value stay together
     # for the caches, and a value with very many partners still spreads out
-    short = counts is not None                       # texts of one machine word: a few microseconds a pair
+    short = stats is not None                        # texts of one machine word: a few microseconds a pair
     parts = max(_parallelism(spark) * (1 if short else 4), -(-n_pairs // (PAIRS_A_TASK_SHORT if short else PAIRS_A_TASK)))
     partners = 256
     if text_bytes > LONG_TEXT_BYTES * n_nodes:       # seconds a pair: a value's partners are dealt out one by one

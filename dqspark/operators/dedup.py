@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.scalar import digest_pair
-from dqspark.operators.blocking import similarity_edges
-from dqspark.operators.survivors import greedy_survivors
-from dqspark.session import ensure_checkpoint_dir, staged
+from dqspark.operators.blocking import first_matches, first_partners, join_rows_below, short_stats, similarity_edges
+from dqspark.operators.survivors import greedy_survivors, window_matches
+from dqspark.session import ensure_checkpoint_dir, staged, staged_counted
 
 DEFAULT_THRESHOLD = 85
 DEFAULT_MAX_VALUES = None      # all values; a caller may ask for the k most frequent ones
@@ -179,7 +179,8 @@ class FuzzyResult:
     removed: int              # rows removed (A13)
     matches: DataFrame        # D5: original, duplicate, similarity, rank_i, rank_j (all)
     values: int               # ranked values
-    pairs: int                # pairs scored >= threshold; those of dropped values are not looked for
+    pairs: int                # pairs scored >= threshold; those of dropped values are not looked for, and of a value
+                              # that falls to one kept in a block before, the first pair alone
     rounds: int               # survivor rounds
     dropped: DataFrame        # (value, count) of dropped values
     candidates: int = 0       # candidate pairs verified (band join: its counted upper bound)
@@ -191,8 +192,12 @@ class FuzzyResult:
 
 
 FIRST_BLOCK = 4096           # ranks in the first block of the walk
-EDGE_ROWS_MAX = 30_000_000   # join rows that one block may make with itself; with more it is split
-SPLIT_AT = 0.25              # share of a split block that is walked first
+BLOCK_GROWTH = 3             # a later block is this many times as large as all before it together
+EDGE_ROWS_MAX = 12_000_000   # join rows that one block may make with itself; with more it is split
+WALK_WINDOW = 4096           # values that one task walks without edges, in a larger set of short values
+ALIKE = 0.25                 # at most this share of a window was kept: what follows is walked in windows, not joined
+SPLIT_FROM = 512             # values; fewer are never split
+SPLIT_AT = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2)   # shares of a split block that may be walked first
 
 
 @dataclass
@@ -204,65 +209,82 @@ class Walk:
     strategy: str
 
 
-def _first_kept(edges: DataFrame) -> DataFrame:
-    """W2 on ranks: per later rank the smallest earlier one, with its score."""
-    return (edges.groupBy("rank_j").agg(F.min(F.struct("rank_i", "similarity")).alias("m"))
-            .select(F.col("m.rank_i").alias("rank_i"), "rank_j", F.col("m.similarity").alias("similarity")))
-
-
 def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block: int = FIRST_BLOCK) -> Walk:
     """The greedy walk over ``nodes(rank 1..n, value)`` without the edges of dropped values.
 
-    Ranks are taken in blocks, each as large as all before it together. A value's fate
+    Ranks are taken in blocks, each ``BLOCK_GROWTH`` times as large as all before it together. A value's fate
     depends on earlier kept values alone, so a block is first matched with the values kept
     so far; only what is left is joined with itself and walked (D3). Work grows with
     values x kept values: templated names, where nearly all pairs match, keep few. Each
     block's results are checkpointed, so a lost executor re-runs one block at most.
+
+    Of more than ``WALK_WINDOW`` short values, what is left of a block is walked in windows as long as these keep few:
+    the first window by itself (``window_matches``), the rest after losing what the window's kept values match.
+    Varied values, which make few edges, are joined and walked in rounds as before.
     """
     spark = nodes.sparkSession
     found: list[DataFrame] = []
     pairs = rounds = candidates = 0
     used: set[str] = set()
+    windows = n_values > WALK_WINDOW <= first_block
+    alike = False
 
-    def scored(block: DataFrame, against: DataFrame | None, max_join_rows: int | None = None) -> tuple[DataFrame | None, int]:
-        nonlocal candidates
+    def left_of(block: DataFrame, before: DataFrame) -> DataFrame:
+        """The values of a block that no value kept before matches."""
+        nonlocal pairs, candidates
         info: dict = {}
-        edges = similarity_edges(block, threshold, info=info, against=against, max_join_rows=max_join_rows)
-        if edges is None:
-            return None, 0
-        edges = staged(edges.select("rank_i", "rank_j", "similarity"), "similarity-edges")
+        hits, n = first_partners(block, threshold, before, info)
         candidates += info["candidates"]
         used.add(info["strategy"])
-        return edges, edges.count()
-
-    def left_of(block: DataFrame, before: DataFrame) -> DataFrame:
-        """The values of a block that no value kept before matches."""
-        nonlocal pairs
-        edges, n = scored(block, before)
         pairs += n
         if not n:
             return block
-        hits = staged(_first_kept(edges), "first-kept")
         found.append(hits)
         return staged(block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti"), "walk-block")
 
-    def kept_of(block: DataFrame) -> DataFrame:
+    def kept_of(block: DataFrame, keys: DataFrame | None = None, fits: bool = False) -> DataFrame:
         """The values kept of a block that no value before it matches. A block whose values match
-        one another too often is taken in parts: most of the second falls to what the first keeps."""
-        nonlocal pairs, rounds
-        n_block = block.count()
-        edges, n = scored(block, None, EDGE_ROWS_MAX if n_block > first_block else None)
+        one another too often is taken in parts: most of the second falls to what the first keeps.
+        ``keys`` are the block's stored hashes, ``fits`` says that their join was counted."""
+        nonlocal pairs, rounds, candidates, alike
+        info: dict = {}
+        stats = short_stats(block, threshold)
+        n_block = sum(stats.counts.values()) if stats is not None else block.count()
+        if n_block < 2:
+            return block
+        if windows and stats is not None and (alike or n_block <= WALK_WINDOW):
+            if n_block > WALK_WINDOW:
+                # the sketch may miss by as many ranks as are left out
+                cut = block.approxQuantile("rank", [0.9 * WALK_WINDOW / n_block], 0.1 * WALK_WINDOW / n_block)[0]
+                first = staged(kept_of(block.where(F.col("rank") <= cut)), "walk-kept")
+                return first.unionByName(kept_of(left_of(block.where(F.col("rank") > cut), first)))
+            hits, n = staged_counted(window_matches(block, threshold), "window-matches")
+            alike = n_block - n <= ALIKE * n_block
+            used.add("window")
+            pairs += n
+            candidates += n
+            rounds += 1
+            found.append(hits)
+            return block.join(hits.select(F.col("rank_j").alias("rank")), "rank", "left_anti")
+        limit = EDGE_ROWS_MAX if n_block > min(first_block, SPLIT_FROM) and not fits else None
+        edges = similarity_edges(block, threshold, info=info, max_join_rows=limit, stats=stats, keys=keys)
         if edges is None:
-            cut = block.approxQuantile("rank", [SPLIT_AT], 0.01)[0]
-            first = staged(kept_of(block.where(F.col("rank") <= cut)), "walk-kept")
+            cuts = block.approxQuantile("rank", list(SPLIT_AT), 0.001)
+            rows = join_rows_below(info["keys"], cuts)
+            low = [k for k, n in enumerate(rows) if n <= EDGE_ROWS_MAX]
+            cut = cuts[low[-1] if low else 0]
+            first = staged(kept_of(block.where(F.col("rank") <= cut), info["keys"].where(F.col("rank") <= cut), bool(low)), "walk-kept")
             return first.unionByName(kept_of(left_of(block.where(F.col("rank") > cut), first)))
+        edges, n = staged_counted(edges.select("rank_i", "rank_j", "similarity"), "similarity-edges")
+        candidates += info["candidates"]
+        used.add(info["strategy"])
         pairs += n
         if not n:
             return block
         surv = greedy_survivors(edges.select("rank_i", "rank_j"))
         rounds += surv.rounds
         # what a kept value matches later on is dropped, and nothing else is
-        found.append(staged(_first_kept(edges.join(surv.dropped.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti")),
+        found.append(staged(first_matches(edges.join(surv.dropped.withColumnRenamed("rank", "rank_i"), "rank_i", "left_anti")),
                             "first-kept"))
         return block.join(surv.dropped, "rank", "left_anti")
 
@@ -272,7 +294,7 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
         block = nodes.select("rank", "value").where((F.col("rank") > start) & (F.col("rank") <= start + size))
         more = kept_of(block if kept is None else left_of(block, kept))
         kept = more if kept is None else kept.unionByName(more)
-        start, size = start + size, max(size, start + size)
+        start, size = start + size, max(size, BLOCK_GROWTH * (start + size))
         if start < n_values:
             kept = staged(kept, "walk-kept")
     if not found:

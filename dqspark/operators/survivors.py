@@ -18,6 +18,10 @@ Spark form, in rounds over the edges (rank_i < rank_j) between undecided values:
   A tree whose top is kept is settled whole; one whose top has several earlier
   neighbours waits for it.
 
+``window_matches`` walks a bounded window of short values (the lowest ranks of a large set) without
+edges, which alike values make by the million: the lowest rank left is kept and scored against all
+others left, in one numpy step a character; what it matches goes.
+
 Stored tables of each round (and jump) hold ranks only. A walk holds the verdicts of its
 own partition's values; nothing is gathered in one group or on the driver, and a lost
 executor re-runs the current round.
@@ -25,11 +29,12 @@ executor re-runs the current round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dqspark.session import staged
@@ -84,6 +89,48 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([last], pa.bool_())], names=["rank", "keep"])
 
 
+def _window_walk(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r, v) for batch in batches
+                      for r, v in zip(batch.column("rank").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        if not rows:
+            return
+        ranks = np.array([r for r, _ in rows], np.int64)
+        points = [np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for _, v in rows]
+        lens = np.array([len(p) for p in points], np.int64)
+        alphabet, codes = np.unique(np.concatenate(points), return_inverse=True)
+        grid = np.full((int(lens.max()), len(rows)), len(alphabet))     # the code past a text's end has no pattern bits
+        owner = np.repeat(np.arange(len(rows)), lens)
+        grid[np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens), owner] = codes
+        all_ones = np.uint64(2**64 - 1)
+        while len(ranks) > 1:
+            size, rest = int(lens[0]), lens[1:]
+            pattern = np.zeros(len(alphabet) + 1, np.uint64)
+            np.bitwise_or.at(pattern, grid[:size, 0], np.uint64(1) << np.arange(size, dtype=np.uint64))
+            s = np.full(len(rest), all_ones)
+            for step in range(int(rest.max())):
+                u = s & pattern[grid[step, 1:]]
+                s = (s + u) | (s - u)
+            low = all_ones >> np.uint64(64 - size) if size else np.uint64(0)
+            lcs = size - np.bitwise_count(s & low).astype(np.int64)
+            total = size + rest
+            score = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / np.maximum(total, 1)) * 100.0)
+            hit = score >= threshold
+            if hit.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(hit.sum()), ranks[0])), pa.array(ranks[1:][hit]), pa.array(score[hit])],
+                    names=["rank_i", "rank_j", "similarity"])
+            ranks, lens, grid = ranks[1:][~hit], rest[~hit], grid[:, 1:][:, ~hit]
+    return walk
+
+
+def window_matches(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(rank_i, rank_j, similarity)``: each dropped value of a window with its first kept match. One task walks
+    the window, so the caller bounds it; values have at most 64 characters."""
+    return (nodes.select("rank", "value").repartition(1)
+            .mapInArrow(_window_walk(float(threshold)), "rank_i long, rank_j long, similarity double"))
+
+
 def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivors:
     """Rounds until every node is decided. ``max_rounds`` only guards a job: reaching
     it with edges left raises (undecided nodes are never reported as kept)."""
@@ -91,10 +138,11 @@ def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivo
     first, gone, rounds, jumps = None, [], 0, 0
     while True:
         later = e.select(F.col("rank_j").alias("rank_i")).distinct().withColumn("waits", F.lit(True))
-        marked = staged(e.join(later, "rank_i", "left").select("rank_i", "rank_j", F.col("waits").isNull().alias("settles")),
-                        "survivor-round")
+        seen = Observation()                                # rows and open values are counted as they are written
+        marked = staged(e.join(later, "rank_i", "left").select("rank_i", "rank_j", F.col("waits").isNull().alias("settles"))
+                        .observe(seen, F.count(F.lit(1)).alias("edges")), "survivor-round")
         first = marked if first is None else first
-        left = marked.count()
+        left = seen.get["edges"]
         if not left:
             break
         if max_rounds is not None and rounds >= max_rounds:
@@ -107,10 +155,11 @@ def greedy_survivors(edges: DataFrame, max_rounds: int | None = None) -> Survivo
                 even = tops.where("not odd").join(heads, "top", "left_semi").select(F.col("node").alias("rank_i"), F.lit(True).alias("even"))
                 marked = staged(marked.join(even, "rank_i", "left").select(
                     "rank_i", "rank_j", (F.col("settles") | F.col("even").isNotNull()).alias("settles")), "survivor-trees")
-        walked = staged(marked.repartitionByRange("rank_j").sortWithinPartitions("rank_j").mapInArrow(_walk, "rank long, keep boolean"),
-                        "survivor-walk")
+        seen = Observation()
+        walked = staged(marked.repartitionByRange("rank_j").sortWithinPartitions("rank_j").mapInArrow(_walk, "rank long, keep boolean")
+                        .observe(seen, F.count_if(F.col("keep").isNull()).alias("open")), "survivor-walk")
         rounds += 1
-        if walked.where("keep is null").isEmpty():          # every later value has its verdict
+        if not seen.get["open"]:                            # every later value has its verdict
             gone.append(walked.where("not keep").select("rank"))
             break
         kept = walked.where("keep").select("rank")

@@ -408,3 +408,52 @@ def test_pairs_of_long_texts_are_dealt_out_one_by_one(spark, monkeypatch):
     edges = blocking.similarity_edges(spark.createDataFrame(rows, "rank long, value string"), 60)
     tasks = {r.similarity for r in edges.where("rank_i = 1").collect()}
     assert seen and len(tasks) > 3
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_walk_in_windows_equals_sequential_walk(spark, monkeypatch, alike):
+    # a large set of short values: alike ones are walked in windows, varied ones joined after the first window
+    monkeypatch.setattr(dedup, "WALK_WINDOW", 30)
+    monkeypatch.setattr(blocking, "DELETIONS_FROM", 0)
+    rnd = random.Random(41)
+    if alike:
+        vals = sorted({f"No {rnd.randint(0, 9999):04d}" for _ in range(230)} | {"", "😀", "aa"})
+    else:
+        base = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(60)]
+        vals = sorted({*base, *(b[:-1] + "z" for b in base)})
+    edges = brute_force_edges(vals, 80)
+    kept, drop = _greedy(list(range(len(vals))), edges)
+    r = dedup.fuzzy_dedup(spark.createDataFrame([(v,) for v in vals], "name string"), "name", 80, first_block=30)
+    assert sorted(x.name for x in r.table.collect()) == [vals[i] for i in kept]
+    first = {}
+    for i, j, s in edges:
+        if i in set(kept) and j in drop:
+            first.setdefault(vals[j], (vals[i], s))
+    assert {x.duplicate: (x.original, x.similarity) for x in r.matches.collect()} == first
+    assert "window" in r.strategy and ("deletions" in r.strategy)
+
+
+def test_alike_values_store_no_edges(spark, monkeypatch):
+    # 6,000 templated names match one another millions of times; the walk stores no such pairs, and few tables
+    stored = []
+    for module in (dedup, blocking):
+        monkeypatch.setattr(module, "staged", lambda df, name, f=module.staged: stored.append(name) or f(df, name))
+        monkeypatch.setattr(module, "staged_counted", lambda df, name, f=module.staged_counted: stored.append(name) or f(df, name))
+    nodes = spark.range(1, 6001).selectExpr("id AS rank", "concat('Customer#', lpad(id, 9, '0')) AS value")
+    walk = dedup.greedy_walk(nodes, 6000, 85)
+    gone = {x.rank_j for x in walk.matches.collect()}
+    assert len(gone) == walk.pairs and walk.candidates < 60_000
+    assert "deletion-keys" not in stored and "survivor-round" not in stored and len(stored) < 12
+
+
+def test_refused_hash_clash_scores_all_pairs(spark, monkeypatch):
+    # hashes that clash for all values: the first partners are those that the score accepts
+    monkeypatch.setattr(blocking, "DELETIONS_FROM", 0)
+    monkeypatch.setattr(blocking, "HASHES_A_PAIR", 1000)
+    values = ["abcdefghij", "0123456789", "012345678x", "zzzzzzzzzz"]
+    old = spark.createDataFrame([(1, values[0]), (2, values[1])], "rank long, value string")
+    new = spark.createDataFrame([(3, values[2]), (4, values[3])], "rank long, value string")
+    monkeypatch.setattr(blocking, "_joined_across", lambda nodes, counts, plan: nodes.where("old").select(F.col("rank").alias("rank_x"))
+                        .crossJoin(nodes.where("not old").select(F.col("rank").alias("rank_y"))))
+    hits, n = blocking.first_partners(new, 85, old, {})
+    assert n == 1 and [(r.rank_i, r.rank_j, r.similarity) for r in hits.collect()] == [(2, 3, ratio(values[1], values[2]))]
