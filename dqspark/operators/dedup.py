@@ -302,6 +302,8 @@ def greedy_walk(nodes: DataFrame, n_values: int, threshold: float, first_block:
     matches = found[0]
     for part in found[1:]:
         matches = matches.unionByName(part)
+    if len(found) > 1:                                  # later plans read one table, not one of each block
+        matches = staged(matches, "walk-matches")
     return Walk(matches, pairs, rounds, candidates, "+".join(sorted(used)))
 
 
