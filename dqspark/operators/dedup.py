@@ -5,9 +5,9 @@ Near-duplicate plan over the match column ``col``:
   rows --groupBy(value) (map-side combined)--> frequencies (A8)
        --rank by (count desc, value asc)--> nodes (W1; ``max_values`` caps to
          the most frequent values as the reference does; ``None`` ranks all)
-       --blocks of ranks, each as large as all before it: a block meets only the values
+       --blocks of ranks, each three times as large as all before it: a block meets only the values
          kept so far (J1), what matches goes; the rest is joined with itself (J1) and
-         walked greedily (D3)--> dropped values, each with its first kept match (W2)
+         walked greedily (D3; alike short values in windows)--> dropped values, each with its first kept match (W2)
        --left anti join (J2)--> rows without dropped values
 
 Rows sharing a kept value all stay, rows sharing a dropped value all go, rows
