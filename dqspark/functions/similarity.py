@@ -434,6 +434,7 @@ def similarity(a: Column, b: Column, threshold: float = 0.0) -> Column:
 
 
 NATIVE_BITS = 62          # bits of a word of the native form: its sums stay within a signed long
+NARROW_BLOCKS = 4         # blocks beside the diagonal in the native form's first walk
 
 
 def _let(value: Column, use) -> Column:
@@ -444,12 +445,19 @@ def _let(value: Column, use) -> Column:
 def similarity_native(a: Column, b: Column) -> Column:
     """The exact score as one Spark expression (no Python worker), for texts of any length.
 
-    The words of ``a`` are taken one after the other; each goes over all of ``b`` in blocks of as many
-    characters, with the carries of a block in one long, so no state is copied for each character. Two empty texts
-    score 100; null if a text is null. About ``len a * len b / 62`` interpreted steps a pair: for short texts
-    and checks; joins use ``similarity``.
+    The words of ``a`` are taken one after the other; each goes over ``b`` in blocks of as many characters, with
+    the carries of a block in one long, so no state is copied for each character. The carries that leave a word are the
+    columns where ``LCS(a[:i], b[:j])`` grows, so their counts give that length at every block's end.
+
+    Long texts are walked twice. The first walk takes the blocks beside the diagonal only: leaving out matches can
+    only lower the result, so it is a lower bound ``need`` of the LCS. The second leaves out just the blocks where
+    ``LCS(a[:i], b[:j]) + min(len a - i, len b - j) < need``, which no alignment of ``need`` matches enters: its result is exact
+    whatever the first gave. Where nothing can be left out (unlike texts) it is all ``len a * len b / 62`` interpreted
+    steps, for like texts about as many as ``(len a + len b - 2 LCS) * len / 62``. Two empty texts score 100; null if a
+    text is null. For checks; joins use ``similarity``.
     """
     zero, one, low = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit((1 << NATIVE_BITS) - 1).cast("long")
+    top = F.lit(1 << NATIVE_BITS).cast("long")
     bit_of = F.transform(F.sequence(F.lit(0), F.lit(NATIVE_BITS - 1)), lambda i: F.call_function("shiftleft", one, i))
     no_longs = F.array().cast("array<bigint>")
 
@@ -459,38 +467,82 @@ def similarity_native(a: Column, b: Column) -> Column:
     def blocks(n: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(n / NATIVE_BITS)).cast("int")
 
+    def ones(carries: Column) -> Column:
+        return F.bit_count(carries).cast("long")
+
     def pattern(letters: Column, part: Column, bits: Column) -> Column:
         """For no letter (0) and each letter: its places in a word of ``a``."""
         def places(letter: Column) -> Column:
             hits = F.zip_with(part, bits, lambda c, bit: F.when(c == letter, bit).otherwise(zero))
-            return F.aggregate(hits, zero, lambda n, bit: n + bit)
+            return F.when(F.array_contains(part, letter), F.aggregate(hits, zero, lambda n, bit: n + bit)).otherwise(zero)
         return F.concat(F.array(zero), F.transform(letters, places))
 
     def feed(done: Column, match: Column) -> Column:
-        s, u = done["s"], done["s"].bitwiseAND(match)
-        total = s + u + done["into"].bitwiseAND(one)
-        return F.struct(total.bitwiseAND(low).bitwiseOR(s.bitwiseXOR(u)).alias("s"), F.shiftright(done["into"], 1).alias("into"),
-                        F.shiftright(done["out"], 1).bitwiseOR(F.shiftleft(F.shiftright(total, NATIVE_BITS), NATIVE_BITS - 1)).alias("out"))
-
-    def block(done: Column, place: Column) -> Column:
-        """One word of ``a`` against one block of ``b``: the carries that go in and out are one long each."""
-        start = F.struct(done["s"].alias("s"), place["into"].alias("into"), zero.alias("out"))
-        return _let(F.aggregate(place["matches"], start, feed), lambda r: F.struct(
-            r["s"].alias("s"), F.concat(done["carries"], F.array(r["out"])).alias("carries")))
+        """One character: bit 62 of ``s`` is the carry of the character before, ``io`` gives a carry and takes one."""
+        s, io = done["s"], done["io"]
+        total = s.bitwiseAND(low) + s.bitwiseAND(match) + io.bitwiseAND(one)
+        return F.struct(total.bitwiseOR(s.bitwiseAND(match.bitwiseXOR(low))).alias("s"),
+                        F.shiftright(io.bitwiseOR(s.bitwiseAND(top)), 1).alias("io"))
+
+    def fed_all(done: Column) -> Column:
+        return F.struct(done["s"].bitwiseAND(low).alias("s"),
+                        F.shiftright(done["io"].bitwiseOR(done["s"].bitwiseAND(top)), 1).alias("out"))
+
+    def word_over_blocks(bits: Column, first: Column, base: Column, most: Column, places: Column) -> Column:
+        """The carries of one word's blocks from ``first`` on; ``base`` is the length before that block, ``most`` the
+        characters of ``b`` that an alignment of ``need`` matches can leave out."""
+        def block(done: Column, place: Column) -> Column:
+            start = F.struct(done["s"].alias("s"), place["into"].alias("io"))
+            end = F.aggregate(F.transform(place["codes"], lambda c: F.get(bits, c)), start, feed, fed_all)
+            taken = _let(end, lambda r: F.struct(r["s"].alias("s"), (done["common"] + ones(r["out"])).alias("common"),
+                                                 F.concat(done["carries"], F.array(r["out"])).alias("carries")))
+            # neither this block nor one to its right can still reach ``need``
+            late = (first + F.size(done["carries"])) * NATIVE_BITS - done["common"] > most
+            return F.when(late, done).otherwise(taken)
+        start = F.struct(low.alias("s"), base.alias("common"), no_longs.alias("carries"))
+        return F.aggregate(places, start, block, lambda done: done["carries"])
 
     def lcs(in_a: Column, letters: Column, bits_of_word: Column) -> Column:
-        def over_words(fed: Column) -> Column:
-            def word(done: Column, w: Column) -> Column:
-                def along(bits: Column) -> Column:
-                    places = F.zip_with(fed, done["carries"], lambda codes, into: F.struct(
-                        F.transform(codes, lambda c: F.get(bits, c)).alias("matches"), into.alias("into")))
-                    end = F.aggregate(places, F.struct(low.alias("s"), no_longs.alias("carries")), block)
-                    return _let(end, lambda e: F.struct(e["carries"].alias("carries"), (
-                        done["common"] + (F.lit(NATIVE_BITS) - F.bit_count(e["s"])).cast("long")).alias("common")))
-                part = F.slice(in_a, w * NATIVE_BITS + 1, F.lit(NATIVE_BITS))
-                return _let(_let(part, lambda p: pattern(letters, p, bits_of_word)), along)
-            start = F.struct(F.array_repeat(zero, F.size(fed)).alias("carries"), zero.alias("common"))
-            return F.aggregate(F.sequence(F.lit(0), blocks(F.size(in_a)) - 1), start, word, lambda done: done["common"])
+        def over_words(codes: Column, fed: Column) -> Column:
+            # sizes of arrays at hand: ``length`` would count a text's characters anew each time
+            size_a, size_b = F.size(in_a).cast("long"), F.size(codes).cast("long")
+            words_a, blocks_b = blocks(size_a).cast("long"), F.size(fed).cast("long")
+
+            def walk(need: Column, narrow: Column) -> Column:
+                def word(done: Column, w: Column) -> Column:
+                    row = w.cast("long")
+                    above, below = row * NATIVE_BITS, F.least((row + 1) * NATIVE_BITS, size_a)
+                    lead = F.when(narrow, F.floor(row * blocks_b / words_a) - NARROW_BLOCKS).otherwise(zero)
+                    last = F.least(blocks_b - 1, F.when(narrow, F.floor((row + 1) * blocks_b / words_a) + NARROW_BLOCKS)
+                                   .otherwise(F.floor((below + size_b - need) / NATIVE_BITS)))
+
+                    def pass_by(left: Column, carries: Column) -> Column:
+                        """Blocks at the front, up to whose ends nothing can reach ``need`` any more."""
+                        common = left["seen"] + ones(carries)
+                        gone = (left["first"] < lead) | (common + size_a - above < need)
+                        return F.struct((left["first"] + gone.cast("long")).alias("first"),
+                                        F.when(gone, common).otherwise(left["base"]).alias("base"), common.alias("seen"))
+
+                    def along(left: Column) -> Column:
+                        first, base = left["first"], left["base"]
+                        into = F.slice(done["carries"], (first - done["first"] + 1).cast("int"), F.size(done["carries"]))
+                        here = F.slice(fed, (first + 1).cast("int"), F.greatest(zero, last - first + 1).cast("int"))
+                        places = F.zip_with(here, into, lambda codes, carries: F.struct(
+                            codes.alias("codes"), F.coalesce(carries, zero).alias("into")))
+                        part = F.slice(in_a, w * NATIVE_BITS + 1, F.lit(NATIVE_BITS))
+                        carried = _let(_let(part, lambda p: pattern(letters, p, bits_of_word)),
+                                       lambda bits: word_over_blocks(bits, first, base, size_b - need, places))
+                        return F.struct(first.alias("first"), base.alias("base"), carried.alias("carries"))
+
+                    start = F.struct(done["first"].alias("first"), done["base"].alias("base"), done["base"].alias("seen"))
+                    return _let(F.aggregate(done["carries"], start, pass_by), along)
+
+                start = F.struct(zero.alias("first"), zero.alias("base"), no_longs.alias("carries"))
+                return F.aggregate(F.sequence(F.lit(0), (words_a - 1).cast("int")), start, word, lambda done: F.aggregate(
+                    done["carries"], done["base"], lambda n, carries: n + ones(carries)))
+
+            long_ = F.least(words_a, blocks_b) > 4 * NARROW_BLOCKS
+            return F.aggregate(F.when(long_, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))), zero, walk)
 
         def in_blocks(codes: Column) -> Column:
             n = blocks(F.size(codes))
@@ -499,7 +551,7 @@ def similarity_native(a: Column, b: Column) -> Column:
                 F.sequence(F.lit(0), n - 1), lambda i: F.slice(all_, i * NATIVE_BITS + 1, F.lit(NATIVE_BITS))))
 
         codes = F.transform(chars(b), lambda c: F.array_position(letters, c).cast("int"))
-        return _let(_let(codes, in_blocks), over_words)
+        return _let(codes, lambda all_: _let(in_blocks(all_), lambda fed: over_words(all_, fed)))
 
     common = _let(chars(a), lambda in_a: _let(F.array_distinct(in_a), lambda letters: _let(
         bit_of, lambda bits: lcs(in_a, letters, bits))))

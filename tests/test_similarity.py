@@ -194,3 +194,39 @@ def test_native_form_of_long_texts_copies_no_state(spark):
     for r in df.select("a", "b", col.alias("s")).collect():
         assert abs(r.s - ratio(r.a, r.b)) < 1e-12
     assert df.select(col.alias("s"))._jdf.queryExecution().analyzed().toString().count("array_distinct") == 1
+
+
+def test_native_form_leaves_out_blocks_exactly(spark, monkeypatch):
+    # short words, so that short texts have many blocks: both walks, with blocks left out at either side
+    from pyspark.sql import functions as F
+
+    from dqspark.functions import similarity as sim
+    monkeypatch.setattr(sim, "NATIVE_BITS", 6)
+    monkeypatch.setattr(sim, "NARROW_BLOCKS", 1)
+    rnd = random.Random(11)
+    pairs = []
+    for n in (0, 6, 60, 200, 400):
+        x = "".join(rnd.choice("abcé😀 ") for _ in range(n))
+        few = "".join(c for c in x if rnd.random() > 0.05)
+        pairs += [(x, x), (x, few), (x, x[n // 3:] + x[:n // 3]), (x, x[:n // 4] + "b" * n + x[n // 4:]), (x, x[n // 2:]),
+                  (x, "".join(rnd.choice("abc") for _ in range(n))), (x, "z" * n)]
+    pairs += [(y, x) for x, y in pairs]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    for r in df.select("a", "b", similarity_native(F.col("a"), F.col("b")).alias("s")).collect():
+        assert r.s == ratio(r.a, r.b)
+
+
+def test_native_form_of_like_texts_takes_few_blocks(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    rnd = random.Random(12)
+    x = "".join(rnd.choice("abcdefgh") for _ in range(16000))
+    y = "".join(c for c in x if rnd.random() > 0.02)
+    took = {}
+    for name, a, b in (("warm", x[:4000], y[:4000]), ("like", x, y), ("unlike", x, "z" * 16000)):
+        df = spark.createDataFrame([(a, b)], "a string, b string")
+        began = time.perf_counter()
+        assert df.select(similarity_native(F.col("a"), F.col("b")).alias("s")).first().s == ratio(a, b)
+        took[name] = time.perf_counter() - began
+    assert took["like"] < took["unlike"] / 2      # both took the same 4 million steps
