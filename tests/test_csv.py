@@ -116,3 +116,33 @@ def test_rows_that_fit_are_no_error(spark, tmp_path, multiline):
     p.write_text('a,b\n1,\n,\n3\n"4,5",\n"",6\n')
     rows = read_csv(spark, str(p), multiline=multiline).collect()
     assert len(rows) == 5 and {r.a for r in rows} == {"1", None, "3", "4,5"}
+
+
+def test_checksum_of_large_files_holds_no_file_whole(spark, tmp_path, monkeypatch):
+    import hashlib
+    import random
+
+    from dqspark.sources import sinks
+    monkeypatch.setattr(sinks, "WHOLE_BYTES", 100)
+    noise = random.Random(3).randbytes(300_000)
+    bodies = {"noise.parquet": noise, "a b%é.csv": b"\xef\xbb\xbf" + b"x,y\r\n" * 50, "mark.csv": b"\xef\xbb\xbf" + b"1,2\n" * 50 + b"3",
+              "feeds.csv": b"\n" * 500, "open.csv": b"q" * 101, "zeros.bin": bytes(5000), "bad.txt": b"\xff\xfe\n\xc3(\n\xed\xa0\x80" * 30,
+              "stored.gz": noise[:5000], "stored.bz2": noise[5000:9000] + b"\n", "small.csv": b"1\n", "nosuffix": noise[:700],
+              ".hid": noise[:10], "edge.csv": b"z" * 100}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")         # a split would break the chain
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")   # as 2 GB is: a file in one row may not be longer
+    try:
+        rows = {r.path.split("/")[-1]: r for r in sinks.checksums(spark, str(tmp_path)).collect()}
+        whole = {r.path for r in spark.read.format("binaryFile").load(str(tmp_path)).select("path").collect()}
+        plan = sinks.checksums(spark, str(tmp_path), "noise.*")._jdf.queryExecution().executedPlan().toString()
+        assert {r.path.split("/")[-1] for r in sinks.checksums(spark, str(tmp_path), "*.csv").collect()} == {
+            n for n in bodies if n.endswith(".csv")}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r.path for r in rows.values()} == whole
+    assert {n: (r.length, r.checksum) for n, r in rows.items()} == {
+        n: (len(b), hashlib.sha256(b).hexdigest()[:12]) for n, b in bodies.items() if n != ".hid"}
+    assert "FileScan text" in plan
