@@ -488,19 +488,18 @@ def similarity_native(a: Column, b: Column) -> Column:
         return F.struct(done["s"].bitwiseAND(low).alias("s"),
                         F.shiftright(done["io"].bitwiseOR(done["s"].bitwiseAND(top)), 1).alias("out"))
 
-    def word_over_blocks(bits: Column, first: Column, base: Column, most: Column, places: Column) -> Column:
-        """The carries of one word's blocks from ``first`` on; ``base`` is the length before that block, ``most`` the
+    def word_over_blocks(bits: Column, blocks_at: Column, codes_at, into_at, base: Column, most: Column) -> Column:
+        """The carries of one word over blocks that follow each other; ``base`` is the length before them, ``most`` the
         characters of ``b`` that an alignment of ``need`` matches can leave out."""
-        def block(done: Column, place: Column) -> Column:
-            start = F.struct(done["s"].alias("s"), place["into"].alias("io"))
-            end = F.aggregate(F.transform(place["codes"], lambda c: F.get(bits, c)), start, feed, fed_all)
+        def block(done: Column, k: Column) -> Column:
+            start = F.struct(done["s"].alias("s"), F.coalesce(into_at(k), zero).alias("io"))
+            end = F.aggregate(F.transform(codes_at(k), lambda c: F.get(bits, c)), start, feed, fed_all)
             taken = _let(end, lambda r: F.struct(r["s"].alias("s"), (done["common"] + ones(r["out"])).alias("common"),
                                                  F.concat(done["carries"], F.array(r["out"])).alias("carries")))
             # neither this block nor one to its right can still reach ``need``
-            late = (first + F.size(done["carries"])) * NATIVE_BITS - done["common"] > most
-            return F.when(late, done).otherwise(taken)
+            return F.when(k.cast("long") * NATIVE_BITS - done["common"] > most, done).otherwise(taken)
         start = F.struct(low.alias("s"), base.alias("common"), no_longs.alias("carries"))
-        return F.aggregate(places, start, block, lambda done: done["carries"])
+        return F.aggregate(blocks_at, start, block, lambda done: done["carries"])
 
     def lcs(in_a: Column, letters: Column, bits_of_word: Column) -> Column:
         def over_words(codes: Column, fed: Column) -> Column:
@@ -525,13 +524,11 @@ def similarity_native(a: Column, b: Column) -> Column:
 
                     def along(left: Column) -> Column:
                         first, base = left["first"], left["base"]
-                        into = F.slice(done["carries"], (first - done["first"] + 1).cast("int"), F.size(done["carries"]))
-                        here = F.slice(fed, (first + 1).cast("int"), F.greatest(zero, last - first + 1).cast("int"))
-                        places = F.zip_with(here, into, lambda codes, carries: F.struct(
-                            codes.alias("codes"), F.coalesce(carries, zero).alias("into")))
+                        here = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
                         part = F.slice(in_a, w * NATIVE_BITS + 1, F.lit(NATIVE_BITS))
-                        carried = _let(_let(part, lambda p: pattern(letters, p, bits_of_word)),
-                                       lambda bits: word_over_blocks(bits, first, base, size_b - need, places))
+                        carried = _let(_let(part, lambda p: pattern(letters, p, bits_of_word)), lambda bits: word_over_blocks(
+                            bits, here, lambda k: F.get(fed, k),
+                            lambda k: F.get(done["carries"], (k - done["first"]).cast("int")), base, size_b - need))
                         return F.struct(first.alias("first"), base.alias("base"), carried.alias("carries"))
 
                     start = F.struct(done["first"].alias("first"), done["base"].alias("base"), done["base"].alias("seen"))
